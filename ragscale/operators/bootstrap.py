@@ -33,6 +33,7 @@ POISSON_CUTS = (790015084, 1580030168, 1975037710, 2106706891, 2139624186, 21462
 BLOCK_ROWS = 1 << 22
 DRAW_BLOCK_ROWS = 1 << 18
 _TILE = 64
+_DRAW_CELLS = 1 << 20
 
 
 def _fold(x: np.ndarray, spare: np.ndarray) -> None:
@@ -134,11 +135,12 @@ def _generator_sums(values: np.ndarray, n_resamples: int, seed: int):
     """Means of the resamples numpy's generator draws when restarted for each metric."""
     rng = np.random.default_rng(seed)
     n = len(values)
-    means = np.empty((n_resamples, values.shape[1]))
     columns = np.ascontiguousarray(values.T)
-    for b in range(n_resamples):
-        picked = columns[:, rng.integers(0, n, size=n)]
-        means[b] = [row.mean() for row in picked]
+    means = np.empty((n_resamples, values.shape[1]))
+    tile = max(1, _DRAW_CELLS // (n * values.shape[1]))
+    for at in range(0, n_resamples, tile):
+        picks = np.array([rng.integers(0, n, size=n) for _ in range(min(tile, n_resamples - at))])
+        means[at:at + len(picks)] = columns[:, picks].mean(axis=2).T
     return np.ones(n_resamples), means
 
 
