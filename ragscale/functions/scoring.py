@@ -39,7 +39,8 @@ def precision_flag(mean: Column, lo: Column, hi: Column, share: float) -> Column
 
 def interval_text(mean: Column, lo: Column, hi: Column, flagged: Column | None = None, digits: int = 3) -> Column:
     """``0.715 [0.702, 0.727]``, ``N/A`` without a mean, ``**!**`` appended when flagged."""
-    body = F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", mean, lo, hi)
+    shown = [F.round(F.round(c, 9), digits) for c in (mean, lo, hi)]
+    body = F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", *shown)
     if flagged is not None:
         body = F.concat(body, F.when(flagged, F.lit(" **!**")).otherwise(F.lit("")))
     return F.when(mean.isNull(), F.lit("N/A")).otherwise(body)

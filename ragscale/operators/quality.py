@@ -35,27 +35,30 @@ def _json_type(doc: Column, path: str) -> Column:
 
 
 def raw_violations(lines: DataFrame, text: str = "line") -> DataFrame:
-    """Adds ``violations``: the contract rules a raw JSON record breaks. Extra fields are fine."""
+    """Adds ``violations``: the contract rules a raw JSON record breaks. Extra fields are fine.
+
+    A line is parsed once and each field's type read once; the rules then compare texts.
+    """
+    paths = {f: f"$.{f}" for f in RAW_TYPES} | {f"scores.{f}": f"$.scores.ragchecker.{f}" for f in SCORE_FIELDS}
+    allowed = RAW_TYPES | {f"scores.{f}": NUMBER for f in SCORE_FIELDS}
+    choices = {"source": SOURCES, "pass": PASSES, "provider": PROVIDERS}
     doc = F.col("_doc")
-    missing = F.lit(None).cast("string")
-    rules: list[Column] = []
-
-    def check(name: str, path: str, allowed: list[str], guard: Column | None = None) -> None:
-        kind = _json_type(doc, path)
-        found = F.when(kind.isNull(), F.lit(f"missing:{name}")).when(~kind.isin(*allowed), F.lit(f"type:{name}"))
-        rules.append(found if guard is None else F.when(guard, found))
-
-    for field, allowed in RAW_TYPES.items():
-        check(field, f"$.{field}", allowed)
-    scored = _json_type(doc, "$.scores") == "OBJECT"
-    for field in SCORE_FIELDS:
-        check(f"scores.{field}", f"$.scores.ragchecker.{field}", NUMBER, scored)
-    for field, values in (("source", SOURCES), ("pass", PASSES), ("provider", PROVIDERS)):
-        value = F.try_variant_get(doc, f"$.{field}", "string")
-        rules.append(F.when(value.isNotNull() & ~value.isin(*values), F.lit(f"value:{field}")))
-    checked = lines.withColumn("_doc", F.try_parse_json(F.col(text)))
-    found = F.when(doc.isNull(), F.array(F.lit("malformed"))).otherwise(F.array_compact(F.array(missing, *rules)))
-    return checked.withColumn("violations", found).drop("_doc")
+    parsed = lines.withColumn("_doc", F.try_parse_json(F.col(text)))
+    kinds = F.struct(*[_json_type(doc, path).alias(f"k{i}") for i, path in enumerate(paths.values())])
+    values = F.struct(*[F.try_variant_get(doc, f"$.{f}", "string").alias(f) for f in choices])
+    typed = parsed.withColumn("_kinds", kinds).withColumn("_values", values)
+    scored = F.col(f"_kinds.k{list(paths).index('scores')}") == "OBJECT"
+    rules: list[Column] = [F.when(doc.isNull(), F.lit("malformed"))]
+    for i, name in enumerate(paths):
+        kind = F.col(f"_kinds.k{i}")
+        found = F.when(kind.isNull(), F.lit(f"missing:{name}")).when(~kind.isin(*allowed[name]), F.lit(f"type:{name}"))
+        guard = doc.isNotNull() & scored if name.startswith("scores.") else doc.isNotNull()
+        rules.append(F.when(guard, found))
+    for name, known in choices.items():
+        value = F.col(f"_values.{name}")
+        rules.append(F.when(value.isNotNull() & ~value.isin(*known), F.lit(f"value:{name}")))
+    checked = typed.withColumn("violations", F.array_compact(F.array(*rules)))
+    return checked.drop("_doc", "_kinds", "_values")
 
 
 def aggregated_violations(df: DataFrame) -> DataFrame:
@@ -71,7 +74,9 @@ def aggregated_violations(df: DataFrame) -> DataFrame:
 
 
 def violation_counts(checked: DataFrame) -> DataFrame:
-    return checked.select(F.explode("violations").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    # explode_outer: a plain explode would copy the whole rule set into a filter below it
+    rules = checked.select(F.explode_outer("violations").alias("rule")).where("rule is not null")
+    return rules.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 def score_or_default(records: DataFrame, scores: DataFrame, key: list[str], metrics: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["statistics"]
+AREAS = ["statistics", "curves", "records"]
 
 
 def load_catalog():

@@ -13,11 +13,12 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str =
     return spark.read.schema(schema).option("mode", mode).option("pathGlobFilter", "*.json*").json(path)
 
 
-def scan_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan_tolerant(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.json*") -> DataFrame:
     """Like ``scan_jsonl``; a malformed line becomes a row with its text in ``_corrupt_record``."""
     wide = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    reader = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
-    return reader.option("pathGlobFilter", "*.json*").json(path)
+    lines = spark.read.option("pathGlobFilter", glob).text(path).where("trim(value) <> ''")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    return lines.select(F.from_json("value", wide, options).alias("_d")).select("_d.*")
 
 
 def split_tolerant(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
