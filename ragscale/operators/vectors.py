@@ -203,7 +203,9 @@ def topk_vectors(
     first = _rank(near, query_id, chunk_id, k)
     kth = first.where(F.col("rank") == k).select(query_id, F.col("score").alias("_kth"))
     gap = F.lit(2.0) - F.lit(2.0) * F.col("_kth") if cosine else -F.col("_kth")
-    reach = F.sqrt(F.greatest(gap, F.lit(0.0)) + F.lit(10.0 ** -DIGITS * 4))
+    slack = F.lit(10.0 ** -DIGITS * 4)
+    # fewer than k found so far: no bound, every cell is open
+    reach = F.when(F.col("_kth").isNotNull(), F.sqrt(F.greatest(gap, F.lit(0.0)) + slack))
     bounded = queries.join(kth, query_id, "left").withColumn("_reach", reach).drop("_kth")
     rest = _visits(bounded, pivots, vector, cosine, probe, radius)
     far = _search(rest, placed, by, query_id, chunk_id, vector, k, cosine, block_rows)

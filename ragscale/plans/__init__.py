@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["statistics", "curves", "records"]
+AREAS = ["statistics", "curves", "records", "texts"]
 
 
 def load_catalog():
