@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The characters at which a plain ``str.split()`` separates words.
 WHITESPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# The same set in the form Spark's regular expressions match fastest.
+_SPACE = r"(?U)[\s\x1c-\x1f]+"
+_NON_SPACE = r"(?U)[^\s\x1c-\x1f]"
 NON_TOKEN = r"[^\p{L}\p{N}]+"
 SENTENCE_END = r"[.!?\n]+"
 
@@ -18,12 +21,12 @@ def _col(c: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """Whitespace-separated words, empty array for blank text."""
-    return F.array_remove(F.split(_col(text), WHITESPACE + "+"), "")
+    return F.array_remove(F.split(_col(text), _SPACE), "")
 
 
 def is_blank(text: Column | str) -> Column:
     """True where a text is null or holds whitespace only."""
-    return F.coalesce(F.regexp_replace(_col(text), WHITESPACE + "+", "") == "", F.lit(True))
+    return F.coalesce(~F.rlike(_col(text), F.lit(_NON_SPACE)), F.lit(True))
 
 
 def word_count(text: Column | str) -> Column:
@@ -56,6 +59,16 @@ def chunk_words(text: Column | str, size: int, overlap: int, word_array: Column
     )
 
 
+def exploded(df: DataFrame, keep: list[str], items: Column, value: str, position: str | None = None) -> DataFrame:
+    """One row per array element, none for an empty array.
+
+    The outer form keeps the planner from copying ``items`` into a filter below
+    the explode, which would compute it twice.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias("_at", value)).where(F.col("_at").isNotNull())
+    return rows.withColumnRenamed("_at", position) if position else rows.drop("_at")
+
+
 def token_set(text: Column | str) -> Column:
     """Distinct lower-case letter/digit runs of a text."""
     return F.array_distinct(F.array_remove(F.split(F.lower(_col(text)), NON_TOKEN), ""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ragscale.functions.text import chunk_count, chunk_words, is_blank, words
+from ragscale.functions.text import chunk_count, chunk_words, exploded, is_blank, words
 from ragscale.operators.skew import shuffle_partitions
 from ragscale.schemas import CHUNK_OVERLAP, CHUNK_WORDS
 from ragscale.session import materialize
@@ -21,7 +21,7 @@ def extract_passages(samples: DataFrame, metadata: str = "metadata") -> DataFram
     """One row per indexable passage with its position in the sample."""
     texts = sample_passages(F.col(f"{metadata}.original_passages"), F.col(f"{metadata}.knowledge"))
     rest = [c for c in samples.columns if c != metadata]
-    return samples.select(*rest, F.posexplode(texts).alias("passage", "text"))
+    return exploded(samples, rest, texts, "text", "passage")
 
 
 def chunk_passages(
@@ -31,7 +31,7 @@ def chunk_passages(
     rest = [c for c in df.columns if c != text]
     split = df.withColumn("_words", words(text))
     pieces = chunk_words(F.col(text), size, overlap, F.col("_words"))
-    return split.select(*rest, F.posexplode(pieces).alias("chunk_index", text))
+    return exploded(split, rest, pieces, text, "chunk_index")
 
 
 def running_start(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:

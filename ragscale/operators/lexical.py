@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from ragscale.functions.text import tokens
+from ragscale.functions.text import exploded, tokens
 from ragscale.operators.skew import hot_keys, same, with_salt
 from ragscale.schemas import TOP_K
 from ragscale.session import materialize
@@ -22,47 +22,51 @@ POSTING_BLOCK = 1 << 20
 
 
 def _vocabulary(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.explode(F.array_distinct(tokens(text))).alias("token"))
+    return exploded(df, [key], F.array_distinct(tokens(text)), "token")
 
 
 def _postings(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """``(key, token, tf, n_tokens)`` for the tokens of a vocabulary."""
-    rows = df.select(key, F.explode(F.col("_t")).alias("token"), F.size("_t").alias("n_tokens"))
+    rows = exploded(df.withColumn("n_tokens", F.size("_t")), [key, "n_tokens"], F.col("_t"), "token")
     known = rows.join(vocabulary.select("token").distinct(), "token", "left_semi")
     return known.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("n_tokens").alias("n_tokens"))
 
 
-def _candidates(drivers: DataFrame, postings: DataFrame, left: str, right: str) -> DataFrame:
-    """Distinct pairs sharing a driver token; a frequent token is split over several tasks."""
-    narrow = postings.select("token", right)
-    used = narrow.join(drivers.select("token").distinct(), "token", "left_semi")
+def _token_hits(terms: DataFrame, postings: DataFrame, by_text: str) -> DataFrame:
+    """Inverted-index join on the token; a frequent token is split over several tasks."""
+    used = postings.join(terms.select("token").distinct(), "token", "left_semi")
     hot = hot_keys(used, ["token"], POSTING_BLOCK)
-    big = with_salt(used, ["token"], hot, right)
-    small = drivers.select(left, "token")
-    if hot:
-        schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("_n", T.IntegerType())])
-        table = small.sparkSession.createDataFrame([(r["token"], n) for r, n in hot], schema)
-        small = small.join(F.broadcast(table), same(small, table, ["token"]), "left").select(
-            small[left], small["token"], F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_salt"))
-    else:
-        small = small.withColumn("_salt", F.lit(0))
-    return small.join(big, ["token", "_salt"]).select(left, right).distinct()
-
-
-def _matches(pairs: DataFrame, vocabulary: DataFrame, postings: DataFrame, left: str, right: str) -> DataFrame:
-    """Every shared token of every candidate pair."""
-    return pairs.join(vocabulary, left).join(postings, [right, "token"])
+    big = with_salt(used, ["token"], hot, by_text)
+    if not hot:
+        return terms.join(big.drop("_salt"), "token")
+    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("_n", T.IntegerType())])
+    table = terms.sparkSession.createDataFrame([(r["token"], n) for r, n in hot], schema)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(table["_n"], F.lit(1)) - 1))
+    small = terms.join(F.broadcast(table), same(terms, table, ["token"]), "left").select(
+        *[terms[c] for c in terms.columns], copies.alias("_salt"))
+    return small.join(big, ["token", "_salt"]).drop("_salt")
+
+
+def _pair_hits(pairs: DataFrame, terms: DataFrame, postings: DataFrame, left: str, right: str) -> DataFrame:
+    """The given terms of every given pair that its text holds.
+
+    The hint keeps the postings from being broadcast on the strength of their
+    small compressed file size.
+    """
+    return pairs.join(terms, left).join(postings.hint("merge"), [right, "token"])
 
 
 def bm25_topk(
     queries: DataFrame, chunks: DataFrame, k: int = TOP_K, query_id: str = "query_id", chunk_id: str = "chunk_id",
-    query_text: str = "query", chunk_text: str = "text", seeds: int = 2,
+    query_text: str = "query", chunk_text: str = "text", seed_rows: int = 2000,
 ) -> DataFrame:
     """The k chunks with the highest BM25 score per query: ``(query, chunk, score, rank)``.
 
-    A first round over each query's rarest tokens gives a score its k-th chunk
-    reaches. Tokens whose best scores together stay below it cannot lift a chunk
-    into the result alone, so the second round starts from the other tokens only.
+    A first round over each query's rarest tokens finds a score that its k-th
+    chunk reaches. Frequent tokens whose best scores together stay below it cannot
+    lift a chunk into the result alone, so only the other tokens drive the second
+    round, and only chunks still able to reach the score are completed with the
+    frequent ones. The result is exact; ``seed_rows`` affects speed only.
     """
     cut = chunks.select(chunk_id, tokens(chunk_text).alias("_t"))
     size = cut.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("len")).first()
@@ -76,26 +80,36 @@ def bm25_topk(
     idf = F.log(F.lit(1.0) + (F.lit(float(n_chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = vocabulary.join(stats, "token").select(query_id, "token", "df", idf.alias("idf"), (idf * F.col("_max")).alias("_bound"))
     rare = Window.partitionBy(query_id).orderBy("df", "token")
-    terms = materialize(terms.withColumn("_r", F.row_number().over(rare)), "terms")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        hits = _matches(pairs, terms.select(query_id, "token", "idf"), postings, query_id, chunk_id)
-        total = F.round(F.sum(F.col("idf") * F.col("weight")), DIGITS)
-        return hits.groupBy(query_id, chunk_id).agg(total.alias("score"))
-
-    best = Window.partitionBy(query_id).orderBy(F.desc("score"), chunk_id)
-
-    def top(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-    seeded = terms.where(F.col("_r") <= seeds)
-    first = top(scored(_candidates(seeded, postings, query_id, chunk_id)))
-    reached = first.where(F.col("rank") == k).select(query_id, F.col("score").alias("_reached"))
-    frequent_first = Window.partitionBy(query_id).orderBy(F.desc("_r"))
-    together = F.sum("_bound").over(frequent_first)
-    needed = terms.withColumn("_together", together).join(reached, query_id, "left").where(
-        F.col("_together") + 1e-6 >= F.coalesce("_reached", F.lit(0.0)))
-    return top(scored(_candidates(needed, postings, query_id, chunk_id)))
+    to_here = F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = terms.withColumn("_r", F.row_number().over(rare)).withColumn("_rows", to_here)
+    terms = materialize(ranked, "terms")
+    pair = [query_id, chunk_id]
+    gain = F.sum(F.col("idf") * F.col("weight"))
+    weights = terms.select(query_id, "token", "idf")
+
+    def top(found: DataFrame, n: int) -> DataFrame:
+        best = Window.partitionBy(query_id).orderBy(F.desc("score"), chunk_id)
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+    seeded = terms.where((F.col("_r") == 1) | (F.col("_rows") <= seed_rows)).select(query_id, "token", "idf")
+    promising = top(_token_hits(seeded, postings, chunk_id).groupBy(*pair).agg(gain.alias("score")), 4 * k)
+    known = _pair_hits(promising.select(*pair), weights, postings, query_id, chunk_id).groupBy(*pair).agg(gain.alias("score"))
+    reached = top(known, k).where(F.col("rank") == k).select(query_id, F.col("score").alias("_reached"))
+
+    together = F.sum("_bound").over(Window.partitionBy(query_id).orderBy(F.desc("_r")))
+    bounded = terms.withColumn("_together", together).join(reached, query_id, "left")
+    bounded = materialize(bounded.withColumn("_reached", F.coalesce("_reached", F.lit(0.0)) - 1e-6), "bounds")
+    driving = bounded.where("_together >= _reached").select(query_id, "token", "idf")
+    resting = bounded.where("_together < _reached")
+    limits = bounded.groupBy(query_id).agg(
+        F.first("_reached").alias("_reached"),
+        F.sum(F.when(F.col("_together") < F.col("_reached"), F.col("_bound")).otherwise(0.0)).alias("_rest"))
+    part = _token_hits(driving, postings, chunk_id).groupBy(*pair).agg(gain.alias("_part"))
+    alive = part.join(limits, query_id).where("_part + _rest >= _reached").select(*pair, "_part")
+    more = _pair_hits(alive, resting.select(query_id, "token", "idf"), postings, query_id, chunk_id).select(
+        *pair, (F.col("idf") * F.col("weight")).alias("_part"))
+    total = F.round(F.sum("_part"), DIGITS).alias("score")
+    return top(alive.unionByName(more).groupBy(*pair).agg(total), k)
 
 
 def entailed_claims(
@@ -116,8 +130,8 @@ def entailed_claims(
     need = F.ceil(F.col("n_claim_tokens") * coverage / F.lit(100)).cast("bigint")
     ranked = vocabulary.join(df, "token", "left").withColumn("_r", F.row_number().over(rare)).join(sizes, claim_id)
     drivers = ranked.where(F.col("df").isNotNull() & (F.col("_r") <= F.col("n_claim_tokens") - need + 1))
-    pairs = _candidates(drivers, postings, claim_id, text_id)
-    shared = _matches(pairs, vocabulary, postings, claim_id, text_id).groupBy(claim_id, text_id).agg(
+    pairs = _token_hits(drivers.select(claim_id, "token"), postings, text_id).select(claim_id, text_id).distinct()
+    shared = _pair_hits(pairs, vocabulary, postings, claim_id, text_id).groupBy(claim_id, text_id).agg(
         F.count(F.lit(1)).alias("n_shared"))
     return shared.join(sizes, claim_id).where(F.col("n_shared") * 100 >= F.col("n_claim_tokens") * coverage)
 

@@ -29,36 +29,48 @@ RAW_TYPES = {
 NUMBER = ["BIGINT", "DOUBLE", "DECIMAL", "FLOAT"]
 
 
-def _json_type(doc: Column, path: str) -> Column:
-    """Type name at a path, null when absent."""
-    return F.regexp_extract(F.schema_of_variant(F.variant_get(doc, path, "variant")), r"^[A-Z]+", 0)
+def _kinds(doc: Column, path: str) -> Column:
+    """JSON type name of each field of the object at a path."""
+    fields = F.try_variant_get(doc, path, "map<string,variant>")
+    return F.transform_values(fields, lambda _, v: F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0))
+
+
+def _type_rules(kinds: Column, allowed: dict[str, list[str]], prefix: str = "") -> Column:
+    """Broken presence and type rules of a table of fields, nulls in between."""
+    spec = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.array(*[F.lit(t) for t in types]).alias("types"))
+        for name, types in allowed.items()])
+
+    def broken(rule: Column) -> Column:
+        kind = F.coalesce(F.try_element_at(kinds, rule["name"]), F.lit(""))
+        label = F.concat(F.lit(prefix), rule["name"])
+        return F.when(kind == "", F.concat(F.lit("missing:"), label)).when(
+            ~F.array_contains(rule["types"], kind), F.concat(F.lit("type:"), label))
+
+    return F.transform(spec, broken)
 
 
 def raw_violations(lines: DataFrame, text: str = "line") -> DataFrame:
     """Adds ``violations``: the contract rules a raw JSON record breaks. Extra fields are fine.
 
-    A line is parsed once and each field's type read once; the rules then compare texts.
+    A line is parsed once and each field's type read once; the rules are data, so
+    the generated code stays small enough to be compiled.
     """
-    paths = {f: f"$.{f}" for f in RAW_TYPES} | {f"scores.{f}": f"$.scores.ragchecker.{f}" for f in SCORE_FIELDS}
-    allowed = RAW_TYPES | {f"scores.{f}": NUMBER for f in SCORE_FIELDS}
-    choices = {"source": SOURCES, "pass": PASSES, "provider": PROVIDERS}
-    doc = F.col("_doc")
+    none = F.array().cast("array<string>")
+    doc, top = F.col("_doc"), F.col("_top")
     parsed = lines.withColumn("_doc", F.try_parse_json(F.col(text)))
-    kinds = F.struct(*[_json_type(doc, path).alias(f"k{i}") for i, path in enumerate(paths.values())])
-    values = F.struct(*[F.try_variant_get(doc, f"$.{f}", "string").alias(f) for f in choices])
-    typed = parsed.withColumn("_kinds", kinds).withColumn("_values", values)
-    scored = F.col(f"_kinds.k{list(paths).index('scores')}") == "OBJECT"
-    rules: list[Column] = [F.when(doc.isNull(), F.lit("malformed"))]
-    for i, name in enumerate(paths):
-        kind = F.col(f"_kinds.k{i}")
-        found = F.when(kind.isNull(), F.lit(f"missing:{name}")).when(~kind.isin(*allowed[name]), F.lit(f"type:{name}"))
-        guard = doc.isNotNull() & scored if name.startswith("scores.") else doc.isNotNull()
-        rules.append(F.when(guard, found))
-    for name, known in choices.items():
-        value = F.col(f"_values.{name}")
-        rules.append(F.when(value.isNotNull() & ~value.isin(*known), F.lit(f"value:{name}")))
-    checked = typed.withColumn("violations", F.array_compact(F.array(*rules)))
-    return checked.drop("_doc", "_kinds", "_values")
+    typed = parsed.withColumn("_top", _kinds(doc, "$")).withColumn("_scores", _kinds(doc, "$.scores.ragchecker"))
+    rules = _type_rules(top, RAW_TYPES)
+    scores = _type_rules(F.col("_scores"), {f: NUMBER for f in SCORE_FIELDS}, "scores.")
+    scored = F.try_element_at(top, F.lit("scores")) == "OBJECT"
+    values = []
+    for name, known in {"source": SOURCES, "pass": PASSES, "provider": PROVIDERS}.items():
+        value = F.try_variant_get(doc, f"$.{name}", "string")
+        values.append(F.when(~value.isin(*known), F.lit(f"value:{name}")))
+    found = F.concat(rules, F.when(scored, scores).otherwise(none), F.array(*values))
+    checked = typed.withColumn(
+        "violations", F.when(top.isNull(), F.array(F.lit("malformed"))).otherwise(F.array_compact(found)))
+    return checked.drop("_doc", "_top", "_scores")
 
 
 def aggregated_violations(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ragscale.operators import aggregate, collections, incremental, quality, sampling
+from ragscale.operators.skew import spread
 from ragscale.plans.catalog import query, r6, rounded, table
 from ragscale.plans.curves import ROLES, role_table
 from ragscale.plans.evalview import ev, eval_records
@@ -146,7 +147,7 @@ _BROKEN = {
 @query("contract_violations", ev(" union all ".join(
     f"select '{rule}' as rule, count(*) as n from ev where {where} having count(*) > 0" for rule, where in _BROKEN.items())))
 def _(spark, sf_dir):
-    e = eval_records(spark, sf_dir)
+    e = spread(eval_records(spark, sf_dir), "event_id")
     breaks = lambda rule: F.expr(_BROKEN[rule])
     field = lambda name, v: F.concat(F.lit(f'"{name}":'), v)
     quoted = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ragscale.functions.hashing import content_digest, stable_key
-from ragscale.functions.text import NON_TOKEN, SENTENCE_END, WHITESPACE, chunk_count, format_context, word_count, words
+from ragscale.functions.text import (
+    NON_TOKEN, SENTENCE_END, WHITESPACE, chunk_count, chunk_words, format_context, is_blank, word_count,
+    words,
+)
 from ragscale.operators import chunking, claims, incremental, lexical, prompts, vectors
+from ragscale.operators.skew import spread
 from ragscale.plans.catalog import query, r6, rounded, table
 from ragscale.schemas import PROMPTS, SCORE_FIELDS
 
@@ -33,7 +37,7 @@ def _chunks_sql(src: str, keys: str, size: int, overlap: int) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,9 +115,8 @@ def _(spark, sf_dir):
   md5(coalesce(array_to_string(list(text order by i), chr(10) || chr(10)), '')) as digest, count(*) as n_chunks from dc group by 1""")
 def _(spark, sf_dir):
     split = documents(spark, sf_dir).select("doc_id", "text", words("text").alias("_w"))
-    from ragscale.functions.text import chunk_words
-    cut = split.select("doc_id", chunk_words(F.col("text"), 300, 64, F.col("_w")).alias("chunks"))
-    return cut.where(F.size("chunks") > 0).select(
+    cut = split.where(~is_blank("text")).select("doc_id", chunk_words(F.col("text"), 300, 64, F.col("_w")).alias("chunks"))
+    return cut.select(
         "doc_id", F.md5(format_context("chunks")).alias("digest"), F.size("chunks").cast("bigint").alias("n_chunks"))
 
 
@@ -260,7 +263,6 @@ def turn_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns(spark, sf_dir).where("role = 'assistant'")
     around = F.concat_ws(" ", "before", "text", "after")
     cut = t.withColumn("_around", around).withColumn("_words", words("_around"))
-    from ragscale.functions.text import chunk_words
     return cut.select("conv_id", "turn", F.col("text").alias("response"), F.col("before").alias("ground_truth"),
                       chunk_words(F.col("_around"), 30, 10, F.col("_words")).alias("context_chunks"))
 
