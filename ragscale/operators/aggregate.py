@@ -32,6 +32,19 @@ def unpivot_metrics(df: DataFrame, ids: list[str], metrics: list[str] = METRICS)
     return df.unpivot(ids, metrics, "metric", "value")
 
 
+def config_heads(df: DataFrame, order_by: str, keys: list[str] = CONFIG_KEY) -> DataFrame:
+    """Row count, mean cu and the first record's source per configuration.
+
+    Sources are grouping keys of the first, hash-based aggregation; picking one
+    then runs over a few rows per configuration.
+    """
+    cells = df.groupBy(*keys, F.coalesce(F.col("source"), F.lit("local")).alias("source")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(or_zero(F.col("cu"))).alias("_cu"), F.min(order_by).alias("_first"))
+    return cells.groupBy(*keys).agg(
+        F.sum("_n").alias("n_queries"), (F.sum("_cu") / F.sum("_n")).alias("_cu_mean"),
+        F.min_by("source", "_first").alias("source"))
+
+
 def config_aggregate(
     df: DataFrame, order_by: str, keys: list[str] = CONFIG_KEY, metrics: list[str] = METRICS,
 ) -> DataFrame:
@@ -39,15 +52,13 @@ def config_aggregate(
 
     The source is that of the first record in ``order_by`` order.
     """
-    aggs = [
-        F.count(F.lit(1)).alias("n_queries"),
-        F.min_by(F.coalesce(F.col("source"), F.lit("local")), F.col(order_by)).alias("source"),
-    ]
+    aggs = []
     for m in metrics:
         value = or_zero(F.col(m))
         aggs.append(F.avg(value).alias(f"{m}_mean"))
         aggs.append(or_zero(F.stddev_samp(value)).alias(f"{m}_std"))
-    return df.groupBy(*keys).agg(*aggs)
+    stats = df.groupBy(*keys).agg(*aggs)
+    return config_heads(df, order_by, keys).drop("_cu_mean").join(stats, keys)
 
 
 def _latest(value: str, order_by: str, when: Column) -> Column:
@@ -100,11 +111,8 @@ def aggregate_results(
 ) -> DataFrame:
     """The study's aggregated result, one row per configuration and metric (gap included)."""
     stats = poisson_ci(df, CONFIG_KEY, metrics, row_key, n_resamples, confidence)
-    heads = df.groupBy(*CONFIG_KEY).agg(
-        F.count(F.lit(1)).alias("n_queries"),
-        F.min_by(F.coalesce(F.col("source"), F.lit("local")), F.col(order_by)).alias("source"),
-        degraded_flag(F.first("pass"), F.avg(or_zero(F.col("cu"))), strict=strict).alias("capability_degraded"),
-    )
+    heads = config_heads(df, order_by).withColumn(
+        "capability_degraded", degraded_flag(F.col("pass"), F.col("_cu_mean"), strict=strict))
     gaps = preference_gap(df, order_by, "cu", loose, strict, n_resamples=n_resamples, confidence=confidence)
     gap_rows = attach_gap(heads.select(*CONFIG_KEY), gaps, strict).select(
         *CONFIG_KEY, F.lit(GAP_METRIC).alias("metric"),

@@ -30,7 +30,7 @@ from ragscale.schemas import BOOTSTRAP_RESAMPLES, BOOTSTRAP_SEED, CONFIDENCE_LEV
 PRIME = (1 << 31) - 1
 # Cumulative Poisson(1) probabilities, scaled to PRIME.
 POISSON_CUTS = (790015084, 1580030168, 1975037710, 2106706891, 2139624186, 2146207645, 2147304888)
-BLOCK_ROWS = 1 << 22
+BLOCK_ROWS = 1 << 20
 DRAW_BLOCK_ROWS = 1 << 18
 _TILE = 64
 _DRAW_CELLS = 1 << 20

@@ -41,13 +41,14 @@ def resolve_collections(
         .unionByName(stripped.select("_key", actual, F.lit(2).alias("_rank")))
         .unionByName(inner.select("_key", actual, F.lit(3).alias("_rank")))
     )
-    matched = wanted.join(ranked, wanted[name] == ranked["_key"], "left")
-    best = matched.groupBy(name).agg(
+    # one row per key before the join: a word in every catalog name is no hot key
+    per_key = ranked.groupBy("_key").agg(
         F.min(F.when(F.col("_rank") == 1, F.col(actual))).alias("_exact"),
         F.min(F.when(F.col("_rank") == 2, F.col(actual))).alias("_core"),
         F.min(F.when(F.col("_rank") == 3, F.col(actual))).alias("_inner"),
         F.count(F.when(F.col("_rank") == 3, 1)).alias("_n"),
     )
+    best = wanted.join(per_key, wanted[name] == per_key["_key"], "left")
     rule = (
         F.when(F.col("_exact").isNotNull(), "exact")
         .when(F.col("_core").isNotNull(), "core")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ragscale.operators.skew import shuffle_partitions
+from ragscale.operators.skew import shuffle_partitions, with_dimension
 
 
 def remaining_work(todo: DataFrame, done: DataFrame, key: list[str], query: str = "query_id") -> DataFrame:
@@ -53,7 +53,7 @@ def experiment_grid(
     """
     slots = shuffle_partitions(queries)
     default = F.array(*[F.lit(p) for p in default_passes])
-    planned = queries.join(policy, subset, "left").withColumn(
+    planned = with_dimension(queries, policy, [subset]).withColumn(
         "pass", F.explode(F.coalesce(F.col("passes"), default))
     ).drop("passes")
     left = planned.withColumn("_slot", F.pmod(F.xxhash64("query_id", "pass"), F.lit(slots)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ragscale.schemas import CONFIG_KEY, PASSES, PROVIDERS, SCORE_FIELDS, SOURCES
 
@@ -119,8 +119,6 @@ def determinism_per_query(df: DataFrame, query: str = "query", response: str = "
     Responses are made distinct first; only ``examples`` of them are then kept
     per query, so a query with many responses never gathers in one row.
     """
-    from pyspark.sql import Window
-
     distinct = df.groupBy(query, response).agg(F.count(F.lit(1)).alias("n_runs"))
     counts = distinct.groupBy(query).agg(
         F.count(F.lit(1)).alias("n_unique_responses"), F.sum("n_runs").alias("n_runs")
@@ -141,6 +139,6 @@ def determinism_summary(df: DataFrame, query: str = "query", seed: str = "seed",
         F.coalesce(F.sum(F.when(F.col("_u") > 1, 1).otherwise(0)), F.lit(0)).alias("n_divergent_queries"),
     )
     seeds = df.agg(F.countDistinct(seed).alias("n_seeds"))
-    return divergent.withColumn("_one", F.lit(1)).join(seeds.withColumn("_one", F.lit(1)), "_one").select(
-        (F.col("n_divergent_queries") == 0).alias("deterministic"), "n_seeds", "n_queries", "n_divergent_queries"
-    )
+    return divergent.select(
+        (F.col("n_divergent_queries") == 0).alias("deterministic"), seeds.scalar().alias("n_seeds"),
+        "n_queries", "n_divergent_queries")

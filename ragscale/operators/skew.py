@@ -63,8 +63,11 @@ def with_salt(df: DataFrame, keys: list[str], hot: list, spread_by: str, salt: s
     return joined.withColumn(salt, spread.cast("int")).drop("_n_salts")
 
 
-def heavy_tokens(postings: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys holding more than ``share`` of all rows: at most ``1 / share`` of them."""
-    counts = postings.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = counts.agg(F.sum("n_rows").alias("total"))
-    return counts.where(F.col("n_rows") > total.scalar() * share).select(key)
+def with_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left", max_rows: int = 100_000) -> DataFrame:
+    """Join to a lookup table, broadcast only after counting that it is small.
+
+    A broadcast keeps frequent keys where they are. A larger table takes the
+    planner's ordinary join, where adaptive execution splits skewed keys.
+    """
+    small = dim.limit(max_rows + 1).count() <= max_rows
+    return df.join(F.broadcast(dim) if small else dim, on, how)

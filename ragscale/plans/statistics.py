@@ -144,9 +144,8 @@ SECOND = {"cu": "claim_recall", "sk": "hallucination", "faithfulness": "overall_
 
 def judge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = eval_records(spark, sf_dir)
-    a = records.select("event_id", "model", *SECOND)
     b = records.select("event_id", *[F.col(second).alias(m) for m, second in SECOND.items()])
-    return agreement.pair_judges(a, b, ["event_id"], list(SECOND)).join(a.select("event_id", "model"), "event_id")
+    return agreement.pair_judges(records, b, ["event_id"], list(SECOND))
 
 
 def direct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +183,7 @@ KAPPA = """case when e / (t.n * t.n)::double >= 1 then 1.0 else
 
 @query("judge_pairing", ev(f"select event_id, {', '.join(f'{r6(m, m + chr(95) * 2 + chr(97))}, {r6(s, m + chr(95) * 2 + chr(98))}' for m, s in SECOND.items())} from ev"))
 def _(spark, sf_dir):
-    return rounded(judge_pairs(spark, sf_dir).drop("model"))
+    return rounded(judge_pairs(spark, sf_dir))
 
 
 @query("cohens_kappa", """

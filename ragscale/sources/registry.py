@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from ragscale.operators.skew import with_dimension
 from ragscale.schemas import REGISTRY
 
 
@@ -33,6 +34,6 @@ def pass_policy(spark: SparkSession, policy: dict[str, list[str]]) -> DataFrame:
 
 
 def with_role(df: DataFrame, role_table: DataFrame, model: str = "model") -> DataFrame:
-    """Adds the model's role, ``unknown`` when it has none. The planner broadcasts a small registry."""
-    joined = df.join(role_table.select(F.col("model").alias("_m"), "role"), F.col(model) == F.col("_m"), "left")
-    return joined.drop("_m").withColumn("role", F.coalesce("role", F.lit("unknown")))
+    """Adds the model's role, ``unknown`` when it has none."""
+    known = role_table.select(F.col("model").alias(model), "role")
+    return with_dimension(df, known, [model]).withColumn("role", F.coalesce("role", F.lit("unknown")))

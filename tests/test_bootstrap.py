@@ -98,8 +98,8 @@ def test_salted_multinomial_keeps_the_law(spark):
 
 
 def test_empty_input(spark):
-    assert bootstrap.poisson_ci(frame(spark, {}) if False else frame(spark, {"x": [1.0]}).where("false"),
-                                ["g"], ["v"], "id").count() == 0
+    nothing = frame(spark, {"x": [1.0]}).where("false")
+    assert bootstrap.poisson_ci(nothing, ["g"], ["v"], "id").count() == 0
     with pytest.raises(ValueError):
         bootstrap.bootstrap_values([])
 
