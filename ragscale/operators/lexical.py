@@ -59,6 +59,7 @@ def _pair_hits(pairs: DataFrame, terms: DataFrame, postings: DataFrame, left: st
 def bm25_topk(
     queries: DataFrame, chunks: DataFrame, k: int = TOP_K, query_id: str = "query_id", chunk_id: str = "chunk_id",
     query_text: str = "query", chunk_text: str = "text", seed_rows: int = 2000,
+    rest_share: float = 0.5,
 ) -> DataFrame:
     """The k chunks with the highest BM25 score per query: ``(query, chunk, score, rank)``.
 
@@ -66,7 +67,8 @@ def bm25_topk(
     chunk reaches. Frequent tokens whose best scores together stay below it cannot
     lift a chunk into the result alone, so only the other tokens drive the second
     round, and only chunks still able to reach the score are completed with the
-    frequent ones. The result is exact; ``seed_rows`` affects speed only.
+    frequent ones. The result is exact for any ``seed_rows`` and ``rest_share`` (at
+    most 1): they set how much the first round reads and how many tokens may rest.
     """
     cut = chunks.select(chunk_id, tokens(chunk_text).alias("_t"))
     size = cut.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("len")).first()
@@ -99,11 +101,11 @@ def bm25_topk(
     together = F.sum("_bound").over(Window.partitionBy(query_id).orderBy(F.desc("_r")))
     bounded = terms.withColumn("_together", together).join(reached, query_id, "left")
     bounded = materialize(bounded.withColumn("_reached", F.coalesce("_reached", F.lit(0.0)) - 1e-6), "bounds")
-    driving = bounded.where("_together >= _reached").select(query_id, "token", "idf")
-    resting = bounded.where("_together < _reached")
+    rests = F.col("_together") < F.col("_reached") * rest_share
+    driving = bounded.where(~rests).select(query_id, "token", "idf")
+    resting = bounded.where(rests)
     limits = bounded.groupBy(query_id).agg(
-        F.first("_reached").alias("_reached"),
-        F.sum(F.when(F.col("_together") < F.col("_reached"), F.col("_bound")).otherwise(0.0)).alias("_rest"))
+        F.first("_reached").alias("_reached"), F.sum(F.when(rests, F.col("_bound")).otherwise(0.0)).alias("_rest"))
     part = _token_hits(driving, postings, chunk_id).groupBy(*pair).agg(gain.alias("_part"))
     alive = part.join(limits, query_id).where("_part + _rest >= _reached").select(*pair, "_part")
     more = _pair_hits(alive, resting.select(query_id, "token", "idf"), postings, query_id, chunk_id).select(

@@ -129,8 +129,8 @@ def corpus(n=120):
     return texts, queries
 
 
-@pytest.mark.parametrize("seed_rows", [1, 2000])
-def test_bm25_is_exact(spark, seed_rows):
+@pytest.mark.parametrize("seed_rows, rest_share", [(1, 1.0), (2000, 0.5), (5, 0.8)])
+def test_bm25_is_exact(spark, seed_rows, rest_share):
     texts, queries = corpus()
     bags = [Counter(re.findall(r"\w+", t)) for t in texts]
     size = [sum(b.values()) for b in bags]
@@ -139,7 +139,7 @@ def test_bm25_is_exact(spark, seed_rows):
     q = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
     c = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string")
     got = {}
-    for r in lexical.bm25_topk(q, c, 3, seed_rows=seed_rows).orderBy("query_id", "rank").collect():
+    for r in lexical.bm25_topk(q, c, 3, seed_rows=seed_rows, rest_share=rest_share).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
     for i, text in enumerate(queries):
         score = {}
