@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ragscale.operators import aggregate, bootstrap, curves
-from ragscale.plans.catalog import query, r6, rounded
+from ragscale.plans.catalog import NUDGE, query, r6, rounded
 from ragscale.plans.evalview import AXIS, ev, eval_records, long_rows, poisson_cte
 from ragscale.plans.statistics import KEYS, STATS, results, results_cte
 from ragscale.schemas import CONFIG_KEY
@@ -169,14 +169,15 @@ def _(spark, sf_dir):
 
 
 def _cell(m: str) -> str:
-    num = lambda c: f"printf('%.3f', round(round({c}, 9), 3))"
+    num = lambda c: f"printf('%.3f', round(round({c} + {NUDGE}::double, 9), 3))"
     cell = f"{num('mean')} || ' [' || {num('ci_lo')} || ', ' || {num('ci_hi')} || ']' || case when {_FLAG} then ' **!**' else '' end"
     return f"coalesce(max(case when metric = '{m}' then {cell} end), 'N/A') as {m}"
 
 
 @query("summary_report", _cte(f"{results_cte(tuple(REPORTED))} select {KEYS}, n_queries, {', '.join(_cell(m) for m in REPORTED)} from res group by {KEYS}, n_queries"))
 def _(spark, sf_dir):
-    cells = curves.report_cells(_reported(spark, sf_dir))
+    off_ties = {c: F.col(c) + F.lit(NUDGE) for c in ("mean", "ci_lo", "ci_hi")}
+    cells = curves.report_cells(_reported(spark, sf_dir).withColumns(off_ties))
     wide = cells.groupBy(*CONFIG_KEY, "n_queries").pivot("metric", REPORTED).agg(F.first("cell"))
     return wide.select(*CONFIG_KEY, "n_queries", *[F.coalesce(m, F.lit("N/A")).alias(m) for m in REPORTED])
 
