@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ragscale.functions.text import chunk_count, chunk_words, exploded, is_blank, words
-from ragscale.operators.skew import shuffle_partitions
 from ragscale.schemas import CHUNK_OVERLAP, CHUNK_WORDS
 from ragscale.session import materialize
 
@@ -42,7 +41,7 @@ def running_start(df: DataFrame, group: list[str], order: list[str], value: str)
     Only slice totals meet per group; a group of any size stays spread out.
     """
     narrow = df.select(*group, *order, value)
-    sliced = narrow.repartitionByRange(shuffle_partitions(df), *group, *order)
+    sliced = narrow.repartitionByRange(*group, *order)
     fixed = materialize(sliced.withColumn("_slice", F.spark_partition_id()), "slices")
     inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

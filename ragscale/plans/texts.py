@@ -9,7 +9,7 @@ from ragscale.functions.text import (
     NON_TOKEN, SENTENCE_END, WHITESPACE, chunk_count, chunk_words, format_context, is_blank, word_count,
     words,
 )
-from ragscale.operators import chunking, claims, incremental, lexical, prompts, vectors
+from ragscale.operators import chunking, claims, context, incremental, lexical, prompts, vectors
 from ragscale.operators.skew import spread
 from ragscale.plans.catalog import query, r6, rounded, table
 from ragscale.schemas import PROMPTS, SCORE_FIELDS
@@ -228,7 +228,7 @@ def passages_as_queries(spark: SparkSession, sf_dir: str, key: str, text: str) -
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias(key), F.col("text").alias(text))
 
 
-@query("topk_lexical", f"""with {DOC_CHUNKS}, ct as (select chunk_id, {_tokens_sql('text')} as t from dc),
+BM25 = f"""{DOC_CHUNKS}, ct as (select chunk_id, {_tokens_sql('text')} as t from dc),
 st as (select count(*) as n, avg(len(t)) as avgdl from ct),
 tf as (select chunk_id, len as dl, tok, count(*) as tf from (select chunk_id, len(t) as len, unnest(t) as tok from ct) group by 1, 2, 3),
 df as (select tok, count(*) as df from tf group by 1),
@@ -236,13 +236,32 @@ q as (select distinct item_id, tok from (select item_id, unnest({_tokens_sql('te
 s as (select q.item_id, tf.chunk_id, round(sum(ln(1.0::double + (n - df.df + 0.5::double) / (df.df + 0.5::double)) *
     (tf.tf * 2.2::double / (tf.tf + 1.2::double * (0.25::double + 0.75::double * tf.dl / avgdl)))), 9) as score
   from q join tf on q.tok = tf.tok join df on df.tok = q.tok, st group by 1, 2),
-r as (select *, row_number() over (partition by item_id order by score desc, chunk_id) as rank from s)
-select item_id as query_id, chunk_id, {r6("score", "score")}, rank::int as rank from r where rank <= 5""")
+r as (select *, row_number() over (partition by item_id order by score desc, chunk_id) as rank from s),
+top as (select item_id, chunk_id, score, rank from r where rank <= 5)"""
+
+
+@query("topk_lexical", f"""with {BM25}
+select item_id as query_id, chunk_id, {r6("score", "score")}, rank::int as rank from top""")
 def _(spark, sf_dir):
     found = lexical.bm25_topk(passages_as_queries(spark, sf_dir, "query_id", "query"), doc_chunks(spark, sf_dir))
     return rounded(found.select("query_id", "chunk_id", "score", "rank"))
 
 
+@query("retrieve_and_prompt", f"""with {BM25}, ctx as (select item_id, count(*) as n_chunks,
+  array_to_string(list(dc.text order by rank), chr(10) || chr(10)) as c from top join dc on top.chunk_id = dc.chunk_id group by 1)
+select b.item_id as query_id, coalesce(n_chunks, 0) as n_chunks, case when c is not null then
+  md5('system:{PROMPTS[2]["system"]}' || chr(10) || 'user:Context:' || chr(10) || c || chr(10) || chr(10) || b.text || chr(10)) end as digest
+from benchmark b left join ctx on b.item_id = ctx.item_id""")
+def _(spark, sf_dir):
+    queries, chunks = passages_as_queries(spark, sf_dir, "query_id", "query"), doc_chunks(spark, sf_dir)
+    contexts = context.gather_context(lexical.bm25_topk(queries, chunks), chunks)
+    asked = context.with_context(queries, contexts).withColumn("pass", F.lit("pass3_strict"))
+    flat = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    n_chunks = F.coalesce(F.size(F.col("context_chunks")), F.lit(0))
+    return prompts.build_messages(asked).select(
+        "query_id", F.greatest(n_chunks, F.lit(0)).cast("bigint").alias("n_chunks"), F.md5(flat).alias("digest"))
+
+
 @query("claim_entailment", f"""with {DOC_CHUNKS}, ct as (select distinct chunk_id, tok from (select chunk_id, unnest({_tokens_sql('text')}) as tok from dc)),
 q as (select distinct item_id, tok from (select item_id, unnest({_tokens_sql('text')}) as tok from benchmark)),
 m as (select item_id, count(*) as n_claim_tokens from q group by 1),

@@ -63,9 +63,3 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "append", partition_by: li
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", "true").csv(path)
-
-
-def write_collections(chunks: DataFrame, path: str, keys: list[str], force: bool = False) -> None:
-    """Chunk collections as partitions; existing ones stay unless ``force`` rebuilds them."""
-    writer = chunks.write.partitionBy(*keys).option("partitionOverwriteMode", "dynamic")
-    writer.mode("overwrite" if force else "append").parquet(path)

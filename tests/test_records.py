@@ -198,3 +198,18 @@ def test_streaming_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).json(str(tmp_path / "in"))
     r = ingest.drain(ingest.running_stats(stream, ["query_id"])).first()
     assert r["n_queries"] == 50 and r["mean"] == pytest.approx(sum(i / 100 for i in range(50)) / 50)
+
+
+def test_collections_are_built_once(spark, tmp_path):
+    from ragscale.sources import collections as stored
+    path, keys = str(tmp_path / "index"), ["dataset", "subset"]
+    frame = lambda rows: spark.createDataFrame(rows, "chunk_id string, text string, dataset string, subset string")
+    first = frame([("1", "a", "d", "x"), ("2", "b", "d", "007")])
+    stored.build_collections(first, path, keys)
+    more = frame([("1", "changed", "d", "x"), ("3", "c", "d", "y")])
+    read = lambda: {(r["subset"], r["chunk_id"], r["text"]) for r in spark.read.schema(first.schema).parquet(path).collect()}
+    stored.build_collections(more, path, keys)
+    assert read() == {("x", "1", "a"), ("007", "2", "b"), ("y", "3", "c")}
+    stored.build_collections(more, path, keys, force=True)
+    assert read() == {("x", "1", "changed"), ("007", "2", "b"), ("y", "3", "c")}
+    assert stored.read_collection(first.schema, spark, path, dataset="d", subset="y").count() == 1
