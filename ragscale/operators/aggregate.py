@@ -10,6 +10,7 @@ from ragscale.schemas import (
     BOOTSTRAP_RESAMPLES, CONFIDENCE_LEVEL, CONFIG_KEY, DEGRADED_BELOW, GAP_METRIC, JUDGE_NAME, METRICS,
     PAIR_KEY, SHORT_NAME,
 )
+from ragscale.session import materialize
 
 
 def scores_to_short(df: DataFrame, scores: str = "scores.ragchecker") -> DataFrame:
@@ -90,7 +91,8 @@ def preference_gap(
     """Mean, interval and deviation of ``strict - loose`` over the queries both passes share."""
     pairs = paired_passes(df, order_by, value, loose, strict, keys, query)
     diffs = pairs.select(*keys, query, (F.col("strict") - F.col("loose")).alias(GAP_METRIC))
-    return poisson_ci(diffs, keys, [GAP_METRIC], query, n_resamples, confidence)
+    # pairing shuffles all records of both passes; its narrow result is read several times
+    return poisson_ci(materialize(diffs, "gaps"), keys, [GAP_METRIC], query, n_resamples, confidence)
 
 
 def attach_gap(configs: DataFrame, gaps: DataFrame, strict: str = "pass3", keys: list[str] = PAIR_KEY) -> DataFrame:

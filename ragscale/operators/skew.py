@@ -36,8 +36,12 @@ def hot_keys(df: DataFrame, keys: list[str], block_rows: int) -> list:
     of them so that a block stays under ``block_rows``. Fewer than ``slots`` keys
     can exceed it: what reaches the driver grows with the tasks, not the keys.
     """
+    return hot_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")), df, block_rows)
+
+
+def hot_counts(counts: DataFrame, df: DataFrame, block_rows: int) -> list:
+    """``hot_keys`` from counts that exist already: one row per key with ``n_rows``."""
     seen = Observation()
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     slots = shuffle_partitions(df)
     ranked = counts.observe(seen, F.sum("n_rows").alias("total")).orderBy(F.desc("n_rows"))
     top = ranked.limit(slots).collect()

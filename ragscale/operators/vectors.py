@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ragscale.functions.hashing import stable_key
-from ragscale.operators.skew import hot_keys, same, with_salt
+from ragscale.operators.skew import hot_counts, hot_keys, same, with_salt
 from ragscale.schemas import TOP_K
+from ragscale.session import materialize
 
 BLOCK_ROWS = 1 << 14
 MAX_CELLS = 256
@@ -111,11 +112,10 @@ def _best(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, cosine: bool):
             yield pool[order], row[pool[order]]
 
 
-def _search(visits: DataFrame, chunks: DataFrame, by: list[str], query_id: str, chunk_id: str, vector: str,
-            k: int, cosine: bool, block_rows: int) -> DataFrame:
+def _search(visits: DataFrame, chunks: DataFrame, hot_chunks: list, by: list[str], query_id: str, chunk_id: str,
+            vector: str, k: int, cosine: bool, block_rows: int) -> DataFrame:
     """Best k per query and (cell block) of the visited cells."""
     keys = [*by, "_cell"]
-    hot_chunks = hot_keys(chunks, keys, block_rows)
     hot_visits = hot_keys(visits, keys, block_rows)
     left = with_salt(visits, keys, hot_visits, query_id, "_qs")
     right = with_salt(chunks, keys, hot_chunks, chunk_id, "_cs")
@@ -184,23 +184,28 @@ def topk_vectors(
     queries = queries.select(query_id, *by, vector)
     chunks = chunks.select(chunk_id, *by, vector)
     if len(rows) <= 1:
-        return _rank(
-            _search(queries.withColumn("_cell", F.lit(0)), chunks.withColumn("_cell", F.lit(0)), by, query_id,
-                    chunk_id, vector, k, cosine, block_rows), query_id, chunk_id, k)
+        whole = chunks.withColumn("_cell", F.lit(0))
+        hot = hot_keys(whole, [*by, "_cell"], block_rows)
+        return _rank(_search(queries.withColumn("_cell", F.lit(0)), whole, hot, by, query_id, chunk_id, vector, k,
+                             cosine, block_rows), query_id, chunk_id, k)
     pivots = np.asarray(rows, dtype=np.float64)
     if cosine:
         norm = np.linalg.norm(pivots, axis=1, keepdims=True)
         pivots = np.divide(pivots, norm, out=np.zeros_like(pivots), where=norm > 0)
     placed = _assign(chunks, pivots, vector, cosine)
+    # at most one row per collection and pivot, read three times
+    sizes = materialize(placed.groupBy(*by, "_cell").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("_dist").alias("radius")), "cells")
+    hot = hot_counts(sizes, placed, block_rows)
     probe = nprobe or 1
-    near = _search(_visits(queries, pivots, vector, cosine, probe), placed, by, query_id, chunk_id, vector, k,
+    near = _search(_visits(queries, pivots, vector, cosine, probe), placed, hot, by, query_id, chunk_id, vector, k,
                    cosine, block_rows)
     if nprobe:
         return _rank(near, query_id, chunk_id, k)
     radius = np.full(len(pivots), -np.inf)
-    for row in placed.groupBy("_cell").agg(F.max("_dist").alias("r")).collect():
-        radius[row["_cell"]] = row["r"]
-    first = _rank(near, query_id, chunk_id, k)
+    for row in sizes.groupBy("_cell").agg(F.max("radius").alias("radius")).collect():
+        radius[row["_cell"]] = row["radius"]
+    first = materialize(_rank(near, query_id, chunk_id, k), "nearest")
     kth = first.where(F.col("rank") == k).select(query_id, F.col("score").alias("_kth"))
     gap = F.lit(2.0) - F.lit(2.0) * F.col("_kth") if cosine else -F.col("_kth")
     slack = F.lit(10.0 ** -DIGITS * 4)
@@ -208,7 +213,7 @@ def topk_vectors(
     reach = F.when(F.col("_kth").isNotNull(), F.sqrt(F.greatest(gap, F.lit(0.0)) + slack))
     bounded = queries.join(kth, query_id, "left").withColumn("_reach", reach).drop("_kth")
     rest = _visits(bounded, pivots, vector, cosine, probe, radius)
-    far = _search(rest, placed, by, query_id, chunk_id, vector, k, cosine, block_rows)
+    far = _search(rest, placed, hot, by, query_id, chunk_id, vector, k, cosine, block_rows)
     return _rank(first.drop("rank").unionByName(far), query_id, chunk_id, k)
 
 

@@ -25,12 +25,12 @@ def numpy_ci(values, n=1000, confidence=0.95):
 
 
 GROUPS = {
-    "uniform": np.random.default_rng(42).uniform(0, 1, 500),
-    "normal": np.random.default_rng(99).normal(5, 1, 200),
-    "wide": np.random.default_rng(7).normal(0, 2, 100),
-    "tight": np.random.default_rng(0).normal(10, 0.01, 500),
-    "same": np.full(50, 0.75),
-    "single": np.array([3.14]),
+    "uniform": np.random.default_rng(21).uniform(0, 1, 400),
+    "normal": np.random.default_rng(22).normal(5, 1, 250),
+    "wide": np.random.default_rng(23).normal(0, 2, 120),
+    "tight": np.random.default_rng(24).normal(10, 0.01, 400),
+    "same": np.full(40, 0.25),
+    "single": np.array([2.5]),
 }
 
 
@@ -71,7 +71,7 @@ def test_intervals_are_close_to_numpy(spark, method):
 
 
 def test_wider_confidence_is_wider(spark):
-    df = frame(spark, {"x": np.random.default_rng(12).normal(0, 1, 300)})
+    df = frame(spark, {"x": np.random.default_rng(25).normal(0, 1, 320)})
     wide = bootstrap.poisson_ci(df, ["g"], ["v"], "id", confidence=0.99).first()
     narrow = bootstrap.poisson_ci(df, ["g"], ["v"], "id", confidence=0.90).first()
     assert wide["ci_hi"] - wide["ci_lo"] > narrow["ci_hi"] - narrow["ci_lo"]
