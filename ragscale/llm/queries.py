@@ -35,3 +35,39 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragscale.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op7_winnowing")
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragscale.llm.winnow import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragscale.llm.simhash import fingerprint_hex, near_duplicates
+
+    rows = near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
+_BASE32 = "||".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(h), {5 * i + 1}, 5))::bigint >> {shift}) & 31)::int + 1, 1)"
+    for i in range(8) for shift in (15, 10, 5, 0)
+)
+
+
+@query("op9_warc", f"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+     d as (select page_id, h, max(page_id) over (partition by h) as largest from p)
+select page_id, strlen(h)::bigint as payload_bytes, {_BASE32} as payload_digest,
+       case when page_id is not distinct from largest then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from largest then largest end as refers_to
+from d""")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragscale.llm.warc import archive_folder, archive_round_trip
+
+    columns = ["key", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    back = archive_round_trip(table(spark, sf_dir, "pages"), archive_folder(spark), columns=columns)
+    return back.select("page_id", *columns[1:])
