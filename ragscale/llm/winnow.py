@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ragscale.session import materialize
+from ragscale.llm.order import numbered
 
 GRAM, WINDOW = 5, 16
 SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
@@ -54,24 +54,6 @@ def likeness(a: Column | str, b: Column | str) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / every)
 
 
-def _ordered(keys: DataFrame) -> tuple[DataFrame, int]:
-    """Rows numbered densely by (id, nulls last, then h): ranges are sorted apart and their sizes added up."""
-    spark = keys.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("id").asc_nulls_last(), F.col("h").asc()]
-    ranged = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = materialize(ranged.withColumn("mid", F.monotonically_increasing_id()), "order")
-    part, row = F.shiftright("mid", 33), F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).count().withColumnRenamed("count", "n").collect())  # one row for each range
-    before, total = [], 0
-    for number, n in sizes:
-        before.append((number, total))
-        total += n
-    offsets = spark.createDataFrame(before, "part bigint, before bigint")
-    numbered = placed.withColumn("part", part).join(F.broadcast(offsets), "part")
-    return numbered.select("key", "h", "n_chars", (F.col("before") + row).alias("rank")), total
-
-
 def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Fingerprints of every text and of the text whose last quarter is replaced by the next document's beginning.
 
@@ -86,7 +68,7 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text",
     mark = F.xxhash64(body, F.col(id).isNull())
     rows = docs.select(F.col(id).alias("id"), key.alias("key"), mark.alias("h"), F.char_length(body).alias("n_chars"))
     distinct = rows.groupBy("key", "h").agg(F.first("id").alias("id"), F.first("n_chars").alias("n_chars"))
-    ranked, total = _ordered(distinct)
+    ranked, total = numbered(distinct, [F.col("id").asc_nulls_last(), F.col("h").asc()])
     ranked = ranked.withColumn("next_rank", (F.col("rank") + 1) % F.lit(max(total, 1)))
     following = ranked.select(F.col("rank").alias("next_rank"), F.col("key").alias("next_key"), F.col("h").alias("next_h"))
     asks = ranked.join(following, "next_rank").select(
