@@ -71,3 +71,17 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["key", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     back = archive_round_trip(table(spark, sf_dir, "pages"), archive_folder(spark), columns=columns)
     return back.select("page_id", *columns[1:])
+
+
+@query("op2_mixing")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragscale.llm.mixing import mix_sizes
+
+    return mix_sizes(table(spark, sf_dir, "documents"), weights=[1, 2, 3], most=3)
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragscale.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
