@@ -85,3 +85,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragscale.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op1_language_mixture")
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragscale.llm.language import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(~held_out("doc_id")))
+    rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    return identify(rows, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+@query("op3_fertility")
+def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragscale.llm.fertility import fertility_rules
+
+    return fertility_rules(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"])
