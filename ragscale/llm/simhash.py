@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ragscale.llm.arrays import SPACE, text_buffers, text_slices, word_bounds
 from ragscale.llm.components import connected_components
+from ragscale.llm.frames import carry, with_names
 from ragscale.session import materialize
 
 BITS = 64
@@ -65,18 +66,19 @@ def simhash_rows(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int)
     return out
 
 
-def simhash(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 3, seed: int = 42, out: str = "fp") -> DataFrame:
-    """Columns ``keep`` and the 64-bit fingerprint of each row's text, as bigint."""
-    rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+def simhash(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """Columns ``keep`` as ``k0, k1, ...`` and ``fp``, the 64-bit fingerprint of each row's text as bigint."""
+    rows, _ = carry(docs, keep, F.col(text).cast("string"))
+    names = [f"k{i}" for i in range(len(keep))]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "_text"):
+        for part in text_slices(batches, "x0"):
             data, offsets = text_buffers(part.column(len(keep)))
             fp = simhash_rows(data, offsets, shingle, seed).view(np.int64)
-            yield pa.record_batch([*part.columns[: len(keep)], pa.array(fp)], names=[*keep, out])
+            yield pa.record_batch([*part.columns[: len(keep)], pa.array(fp)], names=[*names, "fp"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(task, f"{fields}, {out} bigint")
+    fields = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
+    return rows.mapInArrow(task, f"{fields}fp bigint")
 
 
 def bit_statistics(fps: DataFrame, column: str = "fp") -> tuple[int, np.ndarray]:
@@ -229,13 +231,13 @@ def near_duplicates(docs: DataFrame, keep: list[str], id: str = "doc_id", text:
     those ids are null. Copies share a fingerprint and are joined before anything is paired. An empty table gives none.
     """
     hashed = materialize(simhash(docs, keep, text, shingle, seed), "simhash")
-    fps = materialize(hashed.groupBy("fp").agg(F.min(id).alias("first_id")), "fingerprints")
+    fps = materialize(hashed.groupBy("fp").agg(F.min(f"k{keep.index(id)}").alias("first_id")), "fingerprints")
     roots = connected_components(near_links(fps.select("fp"), distance, paired))
     linked = roots.join(fps, roots["node"] == fps["fp"]).select("fp", "root", "first_id")
     best = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     merged = linked.join(best, "root").select("fp", F.col("component_id").alias("merged_id"))
     named = fps.join(merged, "fp", "left").select("fp", F.coalesce("merged_id", "first_id").alias("component_id"))
-    return hashed.join(named, "fp").select(*keep, "fp", "component_id")
+    return with_names(hashed.join(named, "fp"), keep, "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column | str) -> Column:
