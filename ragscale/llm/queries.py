@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ragscale.plans.catalog import r6, rounded
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -102,3 +104,28 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragscale.llm.fertility import fertility_rules
 
     return fertility_rules(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"])
+
+
+_SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query("op10_stupid_backoff", f"""
+with t as (select doc_id, {_SPLIT} as ws from documents),
+     e as (select doc_id, i, ws[i] as a, case when i > 1 then ws[i - 1] end as b, case when i > 2 then ws[i - 2] end as c
+           from t, unnest(range(1, len(ws) + 1)) as u(i)),
+     k as (select *, count(*) over (partition by a) - count(*) over (partition by doc_id, a) as c1,
+                  count(*) over (partition by b, a) - count(*) over (partition by doc_id, b, a) as c2,
+                  count(*) over (partition by c, b, a) - count(*) over (partition by doc_id, c, b, a) as c3,
+                  count(*) over () - count(*) over (partition by doc_id) as rest from e),
+     p as (select *, lag(c1) over (partition by doc_id order by i) as p1, lag(c2) over (partition by doc_id order by i) as p2 from k),
+     s as (select doc_id, case when i > 2 and c3 > 0 then 3 when i > 1 and c2 > 0 then 2 when c1 > 0 then 1 else 0 end as used,
+                  least(i, 3) as top, c1, c2, c3, p1, p2, rest from p),
+     v as (select doc_id, used, ln(0.4) * (top - used)
+                  + case used when 3 then ln(c3 / p2) when 2 then ln(c2 / p1) when 1 then ln(c1 / rest) else -ln(greatest(rest, 1)) end as value from s)
+select t.doc_id, count(used) as n_words, count(*) filter (used = 3) as n_3, count(*) filter (used = 2) as n_2, count(*) filter (used = 1) as n_1,
+       count(*) filter (used = 0) as n_unseen, {r6("avg(value)", "score")}
+from t left join v using (doc_id) group by t.doc_id""")
+def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragscale.llm.backoff import backoff_scores
+
+    return rounded(backoff_scores(table(spark, sf_dir, "documents"), ["doc_id"]))
