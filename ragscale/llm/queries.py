@@ -129,3 +129,12 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragscale.llm.backoff import backoff_scores
 
     return rounded(backoff_scores(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
+@query("op4_cotraining")
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragscale.llm import cotrain
+
+    docs = table(spark, sf_dir, "documents")
+    scorer = cotrain.learn(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, scorer, ["doc_id"])
