@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ragscale.llm.arrays import SPACE, text_buffers, text_slices, word_bounds
 from ragscale.llm.components import connected_components
@@ -223,21 +223,38 @@ def near_links(fps: DataFrame, distance: int = 2, paired: int = PAIRED, plan: li
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", distance: int = 2, shingle: int = 3, seed: int = 42, paired: int = PAIRED) -> DataFrame:
-    """Columns ``keep`` (``id`` among them), ``fp`` and ``component_id`` of every row, repeated rows included.
+    """Columns ``keep`` (``id`` among them), ``fp``, ``component_id`` and ``group_fp`` of every row, repeated rows included.
 
     Text: A-Z in lower case, words between ASCII white space, shingles of ``shingle`` words with repeats; a shorter
     text is one shingle. Null and blank texts have fingerprint 0 and are linked like any other. ``component_id`` is
     the smallest non-null id that links of at most ``distance`` differing bits reach, the row's own included; null if all
-    those ids are null. Copies share a fingerprint and are joined before anything is paired. An empty table gives none.
+    those ids are null. ``group_fp`` names the component also then: its smallest fingerprint. Copies share a fingerprint
+    and are joined before anything is paired. An empty table gives none.
     """
     hashed = materialize(simhash(docs, keep, text, shingle, seed), "simhash")
     fps = materialize(hashed.groupBy("fp").agg(F.min(f"k{keep.index(id)}").alias("first_id")), "fingerprints")
     roots = connected_components(near_links(fps.select("fp"), distance, paired))
     linked = roots.join(fps, roots["node"] == fps["fp"]).select("fp", "root", "first_id")
     best = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    merged = linked.join(best, "root").select("fp", F.col("component_id").alias("merged_id"))
-    named = fps.join(merged, "fp", "left").select("fp", F.coalesce("merged_id", "first_id").alias("component_id"))
-    return with_names(hashed.join(named, "fp"), keep, "fp", "component_id")
+    merged = linked.join(best, "root").select("fp", "root", F.col("component_id").alias("merged_id"))
+    named = fps.join(merged, "fp", "left").select(
+        "fp", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("merged_id")).alias("component_id"), F.coalesce("root", "fp").alias("group_fp")
+    )
+    return with_names(hashed.join(named, "fp"), keep, "fp", "component_id", "group_fp")
+
+
+def one_per_group(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, one of each near-duplicate group: that with the smallest id (null last), then the smallest text hash,
+    then the smallest hash of all its columns. All columns stay as they are. Texts are shuffled once at most."""
+    key = F.coalesce(F.concat(F.lit("="), F.col(id).cast("string")), F.lit(""))  # tells null from every value
+    mark = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    narrow = near_duplicates(docs.select(F.col(id).alias("id"), key.alias("key"), mark.alias("mark"), F.col(text).alias("text")), ["id", "key", "mark"], "id", "text", **options)
+    first = narrow.groupBy("group_fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark", "key")).alias("first"))
+    chosen = materialize(first.select("first.key", "first.mark").distinct(), "chosen")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), mark.alias("mark"))
+    kept = whole.join(chosen, ["key", "mark"], "left_semi")
+    turn = F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.xxhash64("row")))
+    return kept.withColumn("turn", turn).where("turn = 1").select("row.*")
 
 
 def fingerprint_hex(fp: Column | str) -> Column:
