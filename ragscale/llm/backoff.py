@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ragscale.llm.arrays import codes, slice_strings, text_buffers, text_slices, word_bounds
+from ragscale.llm.arrays import codes, text_buffers, text_slices, word_bounds, word_strings
 from ragscale.llm.frames import carry
 from ragscale.session import materialize
 
 ALPHA = 0.4
-BLOCK_BYTES = 10 << 20  # text of a block
-PART_GRAMS = 3 << 20  # n-grams that a hash partition is meant for
+BLOCK_BYTES = 5 << 20  # text of a block
+PART_GRAMS = 3 << 19  # n-grams that a hash partition is meant for
+KEY_BITS = 48  # that tell n-grams of one hash partition apart; partitions grow with the corpus, their contents do not
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -42,7 +43,7 @@ def blocks(docs: DataFrame, keep: list[str], text: str, block_bytes: int) -> tup
         table = pa.Table.from_batches(parts).combine_chunks()
         words = sum(len(word_bounds(*text_buffers(p.column(len(keep))))[0]) for p in parts)
         out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
             writer.write_table(table)
         return pa.record_batch([pa.array([block]), pa.array([words]), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "n_words", "docs"])
 
@@ -80,7 +81,7 @@ def grams(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
 
     data, offsets = text_buffers(column)
     starts, ends, first = word_bounds(data, offsets)
-    number, distinct = codes(slice_strings(data, starts, ends))
+    number, distinct = codes(word_strings(data, starts, ends))
     word = np.fromiter((xxh64_intdigest(w) for w in distinct.cast(pa.large_binary()).to_pylist()), np.uint64, len(distinct))[number]
     out = [mixed(word + _MIX[0])]
     for _ in range(1, order):
@@ -96,16 +97,19 @@ def depth_of(first: np.ndarray) -> np.ndarray:
     return np.arange(first[-1]) - np.repeat(first[:-1], n)
 
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The hash partition of each key; ascending with the keys."""
-    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+def placed(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, int]:
+    """Hashes as ``partition, key`` in one number, ascending by partition, and the bits of the key."""
+    bits = min(KEY_BITS, 64 - max(parts - 1, 1).bit_length())
+    part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return (part << np.uint64(bits)) | (hashes & np.uint64((1 << bits) - 1)), bits
 
 
-def _asked(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All n-gram hashes of a block by (length, word), which of them exist, and the rows' first words."""
+def _asked(table: pa.Table, order: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """A block's n-grams as placed keys, length by length, which words of each length have one, the rows' first words, key bits."""
     hashes, first = grams(table.column(table.num_columns - 1).combine_chunks() if table.num_rows else pa.array([], pa.string()), order)
     exist = np.stack([depth_of(first) >= n for n in range(order)])
-    return np.stack(hashes), exist, first
+    keys, bits = placed(np.stack(hashes)[exist], parts)
+    return keys, exist, first, bits
 
 
 def questions(stored: DataFrame, order: int, parts: int) -> DataFrame:
@@ -114,13 +118,16 @@ def questions(stored: DataFrame, order: int, parts: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hashes, exist, _ = _asked(opened(data.as_py()), order)
-                keys, counts = np.unique(hashes[exist], return_counts=True)
+                keys, _, _, bits = _asked(opened(data.as_py()), order, parts)
                 if not len(keys):
                     continue
-                part = part_of(keys, parts)
+                keys.sort()
+                new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                counts, keys = np.diff(np.append(new, len(keys))), keys[new]
+                part = keys >> np.uint64(bits)
                 cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 ends = np.append(cut[1:], len(keys))
+                keys &= np.uint64((1 << bits) - 1)
                 yield pa.record_batch(
                     [pa.array(np.full(len(cut), block, np.int64)), pa.array(part[cut].astype(np.int64)), pa.array([planes(keys[a:b]) for a, b in zip(cut, ends)], pa.binary()), pa.array([planes(counts[a:b]) for a, b in zip(cut, ends)], pa.binary())],
                     names=["block", "part", "keys", "counts"],
@@ -133,29 +140,37 @@ def answers(asked: DataFrame) -> DataFrame:
     """``block, part, totals``: corpus counts of the n-grams each block asked a partition for, in the question's order."""
 
     def count(table: pa.Table) -> pa.Table:
-        sent = [unplaned(k) for k in table.column("keys").to_pylist()]
-        own = np.concatenate([unplaned(c) for c in table.column("counts").to_pylist()]).astype(np.int64)
-        _, at = np.unique(np.concatenate(sent), return_inverse=True)
-        totals = np.zeros(int(at.max()) + 1, np.int64)
-        np.add.at(totals, at, own)
-        totals, ends = totals[at], np.cumsum([len(s) for s in sent])
+        keys = np.concatenate([unplaned(k.as_py()) for k in table.column("keys")])
+        own = [unplaned(c.as_py()).astype(np.int64) for c in table.column("counts")]
+        ends = np.cumsum([len(c) for c in own])
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        sums = np.add.reduceat(np.concatenate(own)[order], np.flatnonzero(new))
+        totals = np.empty(len(keys), np.int64)
+        totals[order] = sums[np.cumsum(new) - 1]
         told = [planes(t) for t in np.split(totals, ends[:-1])]
         return pa.table({"block": table.column("block"), "part": table.column("part"), "totals": pa.array(told, pa.binary())})
 
     return asked.groupBy("part").applyInArrow(count, "block bigint, part bigint, totals binary")
 
 
-def scores(table: pa.Table, totals: np.ndarray, corpus: int, order: int, alpha: float) -> tuple[np.ndarray, ...]:
+def scores(table: pa.Table, totals: np.ndarray, corpus: int, order: int, alpha: float, parts: int) -> tuple[np.ndarray, ...]:
     """``n_words``, words scored at each length (order to 1, then unseen), and mean log score of a block's rows."""
-    hashes, exist, first = _asked(table, order)
+    keys, exist, first, _ = _asked(table, order, parts)
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
-    keys = np.unique(hashes[exist])
-    others = np.zeros(hashes.shape, np.int64)  # counts outside the word's own document
-    for k in range(order):
-        at = np.searchsorted(keys, hashes[k][exist[k]])
-        _, pair, own = np.unique(row[exist[k]] * len(keys) + at, return_inverse=True, return_counts=True)
-        others[k][exist[k]] = totals[at] - own[pair]
+    # One stable sort brings equal n-grams together and keeps each row's occurrences of one next to each other.
+    by = np.argsort(keys, kind="stable")
+    owner = np.concatenate([row[e] for e in exist])[by]
+    keys = keys[by]
+    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    turn = np.flatnonzero(new | np.append(True, owner[1:] != owner[:-1])) if len(keys) else np.zeros(0, np.int64)
+    own = np.diff(np.append(turn, len(keys)))
+    outside = np.empty(len(keys), np.int64)
+    outside[by] = totals[np.cumsum(new) - 1] - np.repeat(own, own)
+    others = np.zeros(exist.shape, np.int64)  # counts outside the word's own document
+    others[exist] = outside
     rest = np.maximum(corpus - n, 0)[row]
     depth = depth_of(first)
     level = np.minimum(depth, order - 1)
@@ -181,7 +196,8 @@ def backoff_scores(docs: DataFrame, keep: list[str], text: str = "text", order:
     have gives its count over its context's, times ``alpha`` for each shorter length taken; a word that no other document has
     gets ``alpha`` once more over the number of their words. Counts cover all rows; a row's own are subtracted, a repeated
     row's copies are not. N-grams do not cross rows. A null text or one without words has 0 words and a null score. An empty
-    table gives no rows. Words are told apart by 64-bit hashes. Memory is bounded by a block (or one longer text) and by a hash
+    table gives no rows. N-grams of a hash partition are told
+    apart by up to 48 bits of their hash, which confuses about one in 10^8, whatever the size of the corpus. Memory is bounded by a block (or one longer text) and by a hash
     partition, whose number grows with the corpus.
     """
     stored, fields = blocks(docs, keep, text, block_bytes)
@@ -197,7 +213,7 @@ def backoff_scores(docs: DataFrame, keep: list[str], text: str = "text", order:
         out = []
         for data in right.column("docs").to_pylist():
             table = opened(data)
-            n, hits, score = scores(table, totals, corpus, order, alpha)
+            n, hits, score = scores(table, totals, corpus, order, alpha, parts)
             columns = [*table.columns[:width], pa.array(n), *(pa.array(h.astype(np.int64)) for h in hits), pa.array(score, mask=n == 0)]
             out.append(pa.Table.from_arrays(columns, names=names))
         return pa.concat_tables(out)
