@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 8 << 20  # text handled at once inside a task; a longer single text is handled alone
+SLICE_BYTES = 4 << 20  # text handled at once inside a task; a longer single text is handled alone
 
 # The characters that separate words.
 SPACE = np.zeros(256, dtype=bool)
@@ -31,10 +31,10 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a text column and the row offsets into them; null counts as empty."""
-    column = column.cast(pa.large_string())
+    """UTF-8 bytes of a text column (or a binary one's bytes) and the row offsets into them; null counts as empty."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
@@ -64,6 +64,13 @@ def slice_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.
     return strings(flat, offsets)
 
 
+def word_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeStringArray:
+    """The words of ``word_bounds`` as an Arrow array."""
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    return strings(data[~SPACE[data]], offsets)
+
+
 def strings(data: np.ndarray, offsets: np.ndarray) -> pa.LargeStringArray:
     return pa.LargeStringArray.from_buffers(
         len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))

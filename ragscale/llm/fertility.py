@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ragscale.llm.arrays import codes, ragged_ranges, row_sums, slice_strings, text_buffers, text_slices, word_bounds
+from ragscale.llm.arrays import codes, ragged_ranges, row_sums, slice_strings, text_buffers, text_slices, word_bounds, word_strings
 from ragscale.llm.frames import carry
 
 SYMBOLS = b"#*$%&|<>"
@@ -139,7 +139,7 @@ def measure(column: pa.Array, vocabulary: Vocabulary, bands: dict = BANDS) -> li
     chars = np.concatenate([[0], np.cumsum(lead)])
     word_chars = row_sums(chars[ends] - chars[starts], first)
     symbols = row_sums(_SYMBOL[data], offsets)
-    number, distinct = codes(slice_strings(data, starts, ends))
+    number, distinct = codes(word_strings(data, starts, ends))
     repeat = repeated_words(number, first)
     lines = repeated_lines(data, offsets, starts)
     failed = (n_words < MIN_WORDS) | (100 * repeat > MOST_REPEATED * n_words)
@@ -167,7 +167,7 @@ def vocabulary_of(path: str) -> Vocabulary:
     return _KNOWN[path]
 
 
-def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", bands: dict = BANDS, slice_bytes: int = 16 << 20) -> DataFrame:
+def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", bands: dict = BANDS, slice_bytes: int = 8 << 20) -> DataFrame:
     """Columns ``keep`` and MEASURES of every row, repeated rows included.
 
     ``kept`` is false for texts under 50 words, texts more than half of whose words lie in repeated windows of three, and

@@ -18,16 +18,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ragscale.llm.arrays import ragged_ranges, text_slices
+from ragscale.llm.arrays import ragged_ranges, text_buffers, text_slices
 from ragscale.llm.word_tokens import word_tokenizer
 from ragscale.operators.skew import with_dimension
 from ragscale.session import materialize
 
 LENGTH, CELL, QUEUES = 2048, 128, 256
+ID = np.dtype("<u2")  # stored ids; the vocabulary must fit
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id: str, text: str, source: str) -> DataFrame:
-    """Written ``id, block, source, start, n, ids``: each row's ids, and its place among its source's ids in its block.
+    """Written ``id, block, source, start, n, ids``: each row's ids as bytes (16 bits each), and its place among its source's
+    ids in its block.
 
     A block is a task of this stage; it is fixed by being written.
     """
@@ -39,22 +41,25 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id: str, text: str,
         block, used = TaskContext.get().partitionId(), {}
         for part in text_slices(batches, "text"):
             flat, at = word_tokenizer(vocabulary).ids(part.column(2))
+            if len(flat) and flat.max() > np.iinfo(ID).max:
+                raise ValueError("the vocabulary has ids of more than 16 bits")
             n = np.diff(at) + 1
             ends = np.cumsum(n)
-            ids = np.full(ends[-1], end_id, np.int32)
-            ids[np.delete(np.arange(len(ids)), ends - 1)] = flat
+            ids, body = np.full(ends[-1], end_id, ID), np.ones(ends[-1], bool)
+            body[ends - 1] = False
+            ids[body] = flat
             starts = []
             for name, size in zip(part.column(1).to_pylist(), n.tolist()):
                 starts.append(used.get(name, 0))
                 used[name] = starts[-1] + size
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.concatenate([[0], ends]) * 2).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.record_batch(
-                [part.column(0), pa.array(np.full(len(n), block, np.int64)), part.column(1), pa.array(starts, pa.int64()), pa.array(n), lists],
+                [part.column(0), pa.array(np.full(len(n), block, np.int64)), part.column(1), pa.array(starts, pa.int64()), pa.array(n), packed],
                 names=["id", "block", "source", "start", "n", "ids"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(task, f"id {kind}, block bigint, source string, start bigint, n bigint, ids array<int>"), "tokens")
+    return materialize(rows.mapInArrow(task, f"id {kind}, block bigint, source string, start bigint, n bigint, ids binary"), "tokens")
 
 
 def queue_places(tokens: DataFrame, weights: dict | None, most_queues: int) -> tuple[DataFrame, list[tuple[int, float]]]:
@@ -190,8 +195,7 @@ def pack(
             if not batch.num_rows:
                 continue
             queue, first, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
-            lists = batch.column(4)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            flat = text_buffers(batch.column(4))[0].view(ID).astype("<u4")
             row, start, size, seq, offset = layout.pieces(queue, first, n)
             at = (np.cumsum(n) - n)[row] + start
             view = memoryview(flat).cast("B")

@@ -14,6 +14,7 @@ import json
 import numpy as np
 
 MAX_CELLS = 24 << 20  # transitions kept at once, 5 bytes each
+COLUMNS = 32  # symbols for which room is made at once
 WORD_END = 256  # added to the last symbol of a word in vocabularies that mark word ends
 
 
@@ -27,7 +28,9 @@ def byte_symbols() -> dict[str, int]:
 class Bpe:
     """Merge rules of one vocabulary, and the count-annotated transitions they imply."""
 
-    def __init__(self, path: str, suffix: str = ""):
+    def __init__(self, path: str, suffix: str = "", remember: bool = True):
+        """``remember``: keep transitions for callers that step one symbol at a time; lanes keep their own."""
+        self.remember = remember
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         to_byte = byte_symbols()
@@ -116,8 +119,9 @@ class Bpe:
         if token < 0:
             raise ValueError(f"symbol {symbol} is not in the vocabulary")
         nxt = self.intern(tuple((n, t, b - count) for n, t, b in opened) + ((0, token, 0),))
-        self.known[key] = (nxt, count)
-        return self.known[key]
+        if self.remember:
+            self.known[key] = (nxt, count)
+        return nxt, count
 
     def last_token(self, state: int) -> int:
         return self.states[state][-1][1]
@@ -143,16 +147,16 @@ class Lanes:
 
     def _clear(self) -> None:
         self.columns = np.full(512, -1, np.int32)
-        self.n_columns, room = 0, 64
-        self.next = np.full((1024, room), -1, np.int32)
-        self.emit = np.zeros((1024, room), np.int8)
+        self.n_columns = 0
+        self.next = np.full((1024, COLUMNS), -1, np.int32)
+        self.emit = np.zeros((1024, COLUMNS), np.int8)
 
     def _column(self, symbols: np.ndarray) -> None:
         for s in symbols:
             self.columns[s] = self.n_columns
             self.n_columns += 1
         if self.n_columns > self.next.shape[1]:
-            self._grow(self.next.shape[0], min(512, max(self.n_columns, 2 * self.next.shape[1])))
+            self._grow(self.next.shape[0], -(-self.n_columns // COLUMNS) * COLUMNS)
 
     def _grow(self, rows: int, columns: int) -> None:
         r, c = self.next.shape
@@ -177,7 +181,7 @@ class Lanes:
             state, symbol = divmod(key, 512)
             nxt, count = self.machine.advance(state, symbol)
             if self.machine.size() > self.next.shape[0]:
-                self._grow(2 * self.machine.size(), self.next.shape[1])
+                self._grow(self.machine.size() * 5 // 4, self.next.shape[1])
             self.next[state, self.columns[symbol]] = nxt
             self.emit[state, self.columns[symbol]] = count
 
@@ -196,7 +200,7 @@ class Lanes:
             if (self.columns[seen] < 0).any():
                 self._column(seen[self.columns[seen] < 0])
             if self.machine.size() > self.next.shape[0]:
-                self._grow(2 * self.machine.size(), self.next.shape[1])
+                self._grow(self.machine.size() * 5 // 4, self.next.shape[1])
             symbol = symbols[starts[:active] + step]
             column, now = self.columns[symbol], state[:active]
             to = self.next[now, column]

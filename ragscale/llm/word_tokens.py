@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from ragscale.llm.arrays import codes, ragged_ranges, slice_strings, text_buffers, word_bounds
+from ragscale.llm.arrays import codes, ragged_ranges, slice_strings, text_buffers, word_bounds, word_strings
 from ragscale.llm.transducer import WORD_END, Bpe, Lanes
 
 LETTER, DIGIT, SIGN, REST = 1, 2, 3, 0
@@ -23,8 +23,8 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.bpe = Bpe(path, suffix="</w>")
-        self.lanes = Lanes(self.bpe)
+        self.bpe = Bpe(path, suffix="</w>", remember=False)
+        self.lanes, self.last = Lanes(self.bpe), _LastTokens(self.bpe)
         self.width = np.zeros(max(self.bpe.symbols) + 1, np.int64)  # symbols of each token
         for token, seq in self.bpe.symbols.items():
             self.width[token] = len(seq)
@@ -42,7 +42,7 @@ class WordTokenizer:
         """All rows' ids one after the other, and the offsets of the rows."""
         data, offsets = text_buffers(column)
         starts, ends, first = word_bounds(data, offsets)
-        number, distinct = codes(slice_strings(data, starts, ends))
+        number, distinct = codes(word_strings(data, starts, ends))
         flat, at = self._words(distinct)
         lengths = np.diff(at)
         out, word_at = ragged_ranges(flat, at[number], lengths[number])
@@ -114,9 +114,8 @@ class WordTokenizer:
 
     def _trace(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         table = np.full((int(lengths.max()) + 1, len(lengths)), -1, np.int32)
-        last = _LastTokens(self.bpe)
         state = np.full(len(lengths), self.bpe.start, np.int32)
-        counts = self.lanes.run(symbols, starts, lengths, state, trace=lambda step, lanes, states: table.__setitem__((step, lanes), last.of(states)))
+        counts = self.lanes.run(symbols, starts, lengths, state, trace=lambda step, lanes, states: table.__setitem__((step, lanes), self.last.of(states)))
         ends = np.cumsum(counts)
         flat, at = np.empty(int(ends[-1]), np.uint32), ends.copy()
         place, lane = lengths.copy(), np.arange(len(lengths))
@@ -134,14 +133,16 @@ class _LastTokens:
     """The last token of each state, kept as an array; a state's number changes when the arrays were full."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.states, self.tokens = bpe, None, np.zeros(0, np.int32)
+        self.bpe, self.states, self.n, self.tokens = bpe, None, 0, np.zeros(0, np.int32)
 
     def of(self, states: np.ndarray) -> np.ndarray:
         if self.states is not self.bpe.states:
-            self.states, self.tokens = self.bpe.states, np.zeros(0, np.int32)
-        if len(self.tokens) < len(self.states):
-            more = [s[-1][1] for s in self.states[len(self.tokens) :]]
-            self.tokens = np.concatenate([self.tokens, np.array(more, np.int32)])
+            self.states, self.n = self.bpe.states, 0
+        if self.n < len(self.states):
+            if len(self.tokens) < len(self.states):
+                self.tokens = np.concatenate([self.tokens[: self.n], np.zeros(len(self.states) * 5 // 4 - self.n, np.int32)])
+            self.tokens[self.n : len(self.states)] = [s[-1][1] for s in self.states[self.n :]]
+            self.n = len(self.states)
         return self.tokens[states]
 
 
