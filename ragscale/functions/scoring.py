@@ -20,10 +20,9 @@ def discretize_open(value: Column, edges: tuple[float, ...] = OPEN_EDGES) -> Col
 
 
 def _bins(value: Column, edges, below) -> Column:
-    out = None
+    out = F.when(value.isNull(), F.lit(None))  # a missing value has no bin
     for i, edge in enumerate(edges):
-        test = below(value, F.lit(float(edge)))
-        out = F.when(test, i) if out is None else out.when(test, i)
+        out = out.when(below(value, F.lit(float(edge))), i)
     return out.otherwise(len(edges)).cast("int")
 
 
@@ -39,8 +38,9 @@ def precision_flag(mean: Column, lo: Column, hi: Column, share: float) -> Column
 
 def interval_text(mean: Column, lo: Column, hi: Column, flagged: Column | None = None, digits: int = 3) -> Column:
     """``0.715 [0.702, 0.727]``, ``N/A`` without a mean, ``**!**`` appended when flagged."""
-    shown = [F.round(F.round(c, 9), digits) for c in (mean, lo, hi)]
-    body = F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", *shown)
+    # The published form of a cell, with nan in lower case.
+    shown = [F.when(F.isnan(c), "nan").otherwise(F.format_string(f"%.{digits}f", F.round(F.round(c, 9), digits))) for c in (mean, lo, hi)]
+    body = F.concat(shown[0], F.lit(" ["), shown[1], F.lit(", "), shown[2], F.lit("]"))
     if flagged is not None:
         body = F.concat(body, F.when(flagged, F.lit(" **!**")).otherwise(F.lit("")))
     return F.when(mean.isNull(), F.lit("N/A")).otherwise(body)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ragscale.functions.scoring import or_zero
 from ragscale.operators.bootstrap import metric_stats, poisson_ci
+from ragscale.operators.skew import join_same
 from ragscale.schemas import (
     BOOTSTRAP_RESAMPLES, CONFIDENCE_LEVEL, CONFIG_KEY, DEGRADED_BELOW, GAP_METRIC, JUDGE_NAME, METRICS,
     PAIR_KEY, SHORT_NAME,
@@ -33,21 +34,26 @@ def unpivot_metrics(df: DataFrame, ids: list[str], metrics: list[str] = METRICS)
     return df.unpivot(ids, metrics, "metric", "value")
 
 
-def config_heads(df: DataFrame, order_by: str, keys: list[str] = CONFIG_KEY) -> DataFrame:
+def order_of(order_by: str | list[str]) -> Column:
+    """One comparable column for an order by one or several columns."""
+    return F.col(order_by) if isinstance(order_by, str) else F.struct(*order_by)
+
+
+def config_heads(df: DataFrame, order_by: str | list[str], keys: list[str] = CONFIG_KEY) -> DataFrame:
     """Row count, mean cu and the first record's source per configuration.
 
     Sources are grouping keys of the first, hash-based aggregation; picking one
     then runs over a few rows per configuration.
     """
     cells = df.groupBy(*keys, F.coalesce(F.col("source"), F.lit("local")).alias("source")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(or_zero(F.col("cu"))).alias("_cu"), F.min(order_by).alias("_first"))
+        F.count(F.lit(1)).alias("_n"), F.sum(or_zero(F.col("cu"))).alias("_cu"), F.min(order_of(order_by)).alias("_first"))
     return cells.groupBy(*keys).agg(
         F.sum("_n").alias("n_queries"), (F.sum("_cu") / F.sum("_n")).alias("_cu_mean"),
         F.min_by("source", "_first").alias("source"))
 
 
 def config_aggregate(
-    df: DataFrame, order_by: str, keys: list[str] = CONFIG_KEY, metrics: list[str] = METRICS,
+    df: DataFrame, order_by: str | list[str], keys: list[str] = CONFIG_KEY, metrics: list[str] = METRICS,
 ) -> DataFrame:
     """Row count, representative source, mean and deviation per configuration, one row each.
 
@@ -59,16 +65,16 @@ def config_aggregate(
         aggs.append(F.avg(value).alias(f"{m}_mean"))
         aggs.append(or_zero(F.stddev_samp(value)).alias(f"{m}_std"))
     stats = df.groupBy(*keys).agg(*aggs)
-    return config_heads(df, order_by, keys).drop("_cu_mean").join(stats, keys)
+    return join_same(config_heads(df, order_by, keys).drop("_cu_mean"), stats, keys)
 
 
-def _latest(value: str, order_by: str, when: Column) -> Column:
+def _latest(value: str, order_by: str | list[str], when: Column) -> Column:
     """Value of the last record that meets a condition, null if that record has none."""
-    return F.max_by(F.when(when, F.col(value)), F.when(when, F.col(order_by)))
+    return F.max_by(F.when(when, F.col(value)), F.when(when, order_of(order_by)))
 
 
 def paired_passes(
-    df: DataFrame, order_by: str, value: str = "cu", loose: str = "pass2", strict: str = "pass3",
+    df: DataFrame, order_by: str | list[str], value: str = "cu", loose: str = "pass2", strict: str = "pass3",
     keys: list[str] = PAIR_KEY, query: str = "query_id",
 ) -> DataFrame:
     """Both passes' values per query; the last record of a query wins in each pass.
@@ -84,7 +90,7 @@ def paired_passes(
 
 
 def preference_gap(
-    df: DataFrame, order_by: str, value: str = "cu", loose: str = "pass2", strict: str = "pass3",
+    df: DataFrame, order_by: str | list[str], value: str = "cu", loose: str = "pass2", strict: str = "pass3",
     keys: list[str] = PAIR_KEY, query: str = "query_id", n_resamples: int = BOOTSTRAP_RESAMPLES,
     confidence: float = CONFIDENCE_LEVEL,
 ) -> DataFrame:
@@ -99,7 +105,7 @@ def attach_gap(configs: DataFrame, gaps: DataFrame, strict: str = "pass3", keys:
     """Gap statistics next to every configuration; zeros where there is no gap."""
     stats = ["mean", "ci_lo", "ci_hi", "std"]
     right = gaps.select(*keys, *[F.col(c).alias(f"gap_{c}") for c in stats], F.lit(strict).alias("pass"))
-    joined = configs.join(right, [*keys, "pass"], "left")
+    joined = join_same(configs, right, [*keys, "pass"], "left")
     return joined.withColumns({f"gap_{c}": or_zero(F.col(f"gap_{c}")) for c in stats})
 
 
@@ -108,10 +114,14 @@ def degraded_flag(pass_name: Column, cu_mean: Column, below: float = DEGRADED_BE
 
 
 def aggregate_results(
-    df: DataFrame, row_key: str, order_by: str, loose: str = "pass2", strict: str = "pass3",
+    df: DataFrame, row_key: str | list[str], order_by: str | list[str], loose: str = "pass2", strict: str = "pass3",
     metrics: list[str] = METRICS, n_resamples: int = BOOTSTRAP_RESAMPLES, confidence: float = CONFIDENCE_LEVEL,
 ) -> DataFrame:
-    """The study's aggregated result, one row per configuration and metric (gap included)."""
+    """The study's aggregated result, one row per configuration and metric (gap included).
+
+    ``row_key`` identifies a record inside its configuration and ``order_by`` orders records totally; both may be
+    several columns. Null configuration keys are keys like any other.
+    """
     stats = poisson_ci(df, CONFIG_KEY, metrics, row_key, n_resamples, confidence)
     heads = config_heads(df, order_by).withColumn(
         "capability_degraded", degraded_flag(F.col("pass"), F.col("_cu_mean"), strict=strict))
@@ -121,7 +131,7 @@ def aggregate_results(
         *[F.col(f"gap_{c}").alias(c) for c in ("mean", "ci_lo", "ci_hi", "std")],
     )
     rows = stats.drop("n").unionByName(gap_rows)
-    return rows.join(heads, CONFIG_KEY).select(
+    return join_same(rows, heads, CONFIG_KEY).select(
         *CONFIG_KEY, "source", "n_queries", "metric", "mean", "ci_lo", "ci_hi", "std", "capability_degraded"
     )
 

@@ -7,11 +7,12 @@ those few cells, so only the count ever shuffles rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ragscale.functions.scoring import discretize_closed, or_zero
+from ragscale.operators.sampling import stratified_sample
+from ragscale.operators.skew import join_same
 from ragscale.schemas import KAPPA_THRESHOLD
 
 
@@ -46,20 +47,27 @@ def with_overall(cells: DataFrame, stratum: str) -> DataFrame:
     return cells.unionByName(overall.withColumn(stratum, F.lit(None).cast(cells.schema[stratum].dataType)))
 
 
-def _margin(side: str, c: int) -> Column:
-    return F.sum(F.when(F.col(side) == c, F.col("n")).otherwise(0))
+def label_margins(cells: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, label, n_a, n_b)``: how often each rater gave each label that either of them gave."""
+    sides = [
+        cells.select(*by, F.col(c).alias("label"), *[(F.col("n") if c == d else F.lit(0)).cast("bigint").alias(f"n_{d}") for d in ("a", "b")])
+        for c in ("a", "b")
+    ]
+    return sides[0].unionByName(sides[1]).groupBy(*by, "label").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
 
 
-def cohens_kappa(cells: DataFrame, by: list[str], classes: int = 3, digits: int = 4) -> DataFrame:
-    """Unweighted kappa per group: 0 without samples, 1 when chance agreement is complete."""
-    expected = reduce(lambda x, y: x + y, [
-        _margin("a", c).cast("double") * _margin("b", c) for c in range(classes)
-    ])
-    sums = cells.groupBy(*by).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)), F.lit(0)).alias("agree"),
-        or_zero(expected).alias("_e"),
-    )
+def _totals(cells: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    agree = F.sum(F.when(F.col("a").eqNullSafe(F.col("b")), F.col("n")).otherwise(0))
+    return cells.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(agree, F.lit(0)).alias("agree"), *more)
+
+
+def cohens_kappa(cells: DataFrame, by: list[str], digits: int = 4) -> DataFrame:
+    """Unweighted kappa per group: 0 without samples, 1 when chance agreement is complete.
+
+    The classes are the labels that either rater gave; a missing label is a class of its own.
+    """
+    expected = label_margins(cells, by).groupBy(*by).agg(F.sum(F.col("n_a").cast("double") * F.col("n_b")).alias("_e"))
+    sums = join_same(_totals(cells, by), expected, by, "left") if by else _totals(cells, by).join(expected)
     n = F.col("n").cast("double")
     p_o, p_e = F.col("agree") / n, F.col("_e") / (n * n)
     kappa = (
@@ -70,18 +78,24 @@ def cohens_kappa(cells: DataFrame, by: list[str], classes: int = 3, digits: int
     return sums.select(*by, "n", "agree", kappa.alias("kappa"))
 
 
-def linear_kappa(cells: DataFrame, by: list[str], classes: int = 3, digits: int = 3) -> DataFrame:
-    """Linear-weighted kappa per group: 0 without samples, 1 without expected disagreement."""
-    observed = F.sum(F.abs(F.col("a") - F.col("b")) * F.col("n")).cast("double") / (classes - 1)
-    expected = reduce(lambda x, y: x + y, [
-        _margin("a", i).cast("double") * _margin("b", j) * F.lit(abs(i - j) / (classes - 1))
-        for i in range(classes) for j in range(classes) if i != j
-    ])
-    sums = cells.groupBy(*by).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)), F.lit(0)).alias("agree"),
-        or_zero(observed).alias("_o"), or_zero(expected).alias("_e"),
+def linear_kappa(cells: DataFrame, by: list[str], digits: int = 3) -> DataFrame:
+    """Linear-weighted kappa per group over numeric labels: 0 without samples, 1 without expected disagreement.
+
+    The expected disagreement is summed along the ordered labels: between two neighbours it grows by their
+    distance for each pair of ratings that lie on either side. Rows with a missing label are left out.
+    """
+    known = cells.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    margins = label_margins(known, by)
+    along = Window.partitionBy(*by).orderBy("label")
+    steps = margins.select(
+        *by, (F.lead("label").over(along) - F.col("label")).alias("_gap"), F.sum("n_a").over(along).cast("double").alias("_a"),
+        F.sum("n_b").over(along).cast("double").alias("_b"), F.sum("n_a").over(Window.partitionBy(*by)).alias("_all"),
     )
+    apart = F.col("_a") * (F.col("_all") - F.col("_b")) + F.col("_b") * (F.col("_all") - F.col("_a"))
+    expected = steps.groupBy(*by).agg(or_zero(F.sum(F.col("_gap") * apart)).alias("_e"))
+    observed = F.sum(F.abs(F.col("a") - F.col("b")) * F.col("n")).cast("double")
+    sums = _totals(known, by, or_zero(observed).alias("_o"))
+    sums = join_same(sums, expected, by, "left") if by else sums.join(expected)
     kappa = (
         F.when(F.col("n") == 0, 0.0)
         .when(F.col("_e") == 0, 1.0)
@@ -98,16 +112,27 @@ def raw_agreement(cells: DataFrame, by: list[str]) -> DataFrame:
     return sums.withColumn("raw_agreement", F.concat_ws("/", F.col("agree").cast("string"), F.col("n").cast("string")))
 
 
-def confusion_matrix(cells: DataFrame, by: list[str], classes: int = 3) -> DataFrame:
-    """The full matrix per group, empty cells included."""
-    grid = [F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i in range(classes) for j in range(classes)]
-    counts = cells.groupBy(*by).agg(*[
-        F.sum(F.when((F.col("a") == i) & (F.col("b") == j), F.col("n")).otherwise(0)).alias(f"c{i}_{j}")
-        for i in range(classes) for j in range(classes)
-    ])
-    values = [F.struct(g.alias("g"), F.col(f"c{k // classes}_{k % classes}").alias("n")) for k, g in enumerate(grid)]
-    out = counts.select(*by, F.explode(F.array(*values)).alias("_c"))
-    return out.select(*by, F.col("_c.g.a").alias("a"), F.col("_c.g.b").alias("b"), F.col("_c.n").alias("n"))
+def confusion_matrix(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The full matrix per group over the labels that either rater gave, empty cells included."""
+    labels = label_margins(cells, by).select(*by, "label")
+    grid = join_same(labels.withColumnRenamed("label", "a"), labels.withColumnRenamed("label", "b"), by)
+    counted = join_same(grid, cells.groupBy(*by, "a", "b").agg(F.sum("n").alias("n")), [*by, "a", "b"], "left")
+    return counted.select(*by, "a", "b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def agreement_study(
+    a: DataFrame, b: DataFrame, key: list[str], metrics: list[str], stratum: str, sizes: dict[str, int],
+    seed: int = 42, threshold: float = KAPPA_THRESHOLD,
+) -> DataFrame:
+    """The whole study: a stratified sample of ``a``, paired with the second judge, binned, kappa and verdict.
+
+    One row per metric over all strata (``stratum`` null) and per metric and stratum. ``b`` must cover the sample.
+    """
+    sample = stratified_sample(a, stratum, sizes, key, seed)
+    pairs = pair_judges(sample, b, key, metrics)
+    pairs = join_same(pairs, sample.select(*key, stratum), key)
+    cells = confusion_cells(pairs, metrics, [stratum])
+    return verdict(cohens_kappa(with_overall(cells, stratum), ["metric", stratum]), threshold)
 
 
 def verdict(kappas: DataFrame, threshold: float = KAPPA_THRESHOLD) -> DataFrame:

@@ -1,6 +1,6 @@
 """Distributed bootstrap confidence intervals.
 
-Three estimators share one plan: rows are hash-partitioned on (group, salt) and
+Both estimators share one plan: rows are hash-partitioned on (group, salt) and
 sorted, an Arrow task streams over one block at a time, and only replicate sums
 leave the task. A group bigger than a task's fair share is salted over several
 blocks whose replicate sums are added up by a normal aggregation, so no task
@@ -8,10 +8,9 @@ ever needs a whole hot group.
 
 * ``poisson_ci``: every row gets a Poisson(1) weight per replicate from integer
   arithmetic on its key. Independent of partitioning and of row order.
-* ``multinomial_ci``: n draws with replacement per replicate; a salted group
-  first divides the n draws over its blocks by a binary tree of binomials.
-* ``seeded_ci``: for groups of bounded size, the draws of numpy's default
-  generator; larger groups take ``multinomial_ci``.
+* ``multinomial_ci``: n draws with replacement per replicate. A draw is a
+  position from a hash of its number; a block keeps the draws that fall into
+  its own range of positions, so blocks change nothing in the result.
 """
 
 from __future__ import annotations
@@ -20,12 +19,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ragscale.functions.hashing import stable_key
-from ragscale.operators.skew import hot_keys, same, with_salt
+from ragscale.operators.skew import hot_keys, is_small, join_same, shuffle_partitions, with_salt
 from ragscale.schemas import BOOTSTRAP_RESAMPLES, BOOTSTRAP_SEED, CONFIDENCE_LEVEL
+from ragscale.session import materialize
 
 PRIME = (1 << 31) - 1
 # Cumulative Poisson(1) probabilities, scaled to PRIME.
@@ -93,55 +93,26 @@ def _poisson_sums(keys: np.ndarray, values: np.ndarray, n_resamples: int, seed:
     return total, sums.T
 
 
-def draw_positions(n_draws: int, replicate: int, n_rows: int, seed: int) -> np.ndarray:
-    """Row positions drawn with replacement for one replicate; equal for equal sizes."""
-    h = _row_seed(np.arange(n_draws, dtype=np.int64), seed) + np.uint64((replicate * 7919) % PRIME)
-    _, x, spare = _buffers(n_draws)
-    return _scramble(h, x, spare) % np.uint32(n_rows)
+def draw_positions(first: int, last: int, replicate: int, n_rows: int, seed: int) -> np.ndarray:
+    """Row positions of draws ``first`` to ``last`` (exclusive) of one replicate."""
+    h = _row_seed(np.arange(first, last, dtype=np.int64), seed) + np.uint64((replicate * 7919) % PRIME)
+    _, x, spare = _buffers(last - first)
+    return (_scramble(h, x, spare) % np.uint64(n_rows)).astype(np.int64)
 
 
-def _draw_sums(values: np.ndarray, draws: np.ndarray, seed: int):
-    """Sums over the drawn rows; ``draws`` holds the number of draws per replicate."""
-    sums = np.empty((len(draws), values.shape[1]))
-    for b, m in enumerate(draws):
-        times = np.bincount(draw_positions(int(m), b, len(values), seed), minlength=len(values))
-        sums[b] = times @ values
-    return draws.astype(np.float64), sums
-
-
-def split_draws(sizes: np.ndarray, block: int, n_resamples: int, seed: int, tag: int) -> np.ndarray:
-    """Draws that fall into one block per replicate.
-
-    Halving the block range and drawing the left half's share as a binomial, node
-    by node, gives the multinomial split over all blocks. Seeds depend on the
-    node only, so tasks agree without talking to each other.
-    """
-    lo, hi = 0, len(sizes)
-    draws = np.full(n_resamples, int(sizes.sum()), dtype=np.int64)
-    cum = np.concatenate([[0], np.cumsum(sizes)])
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        share = (cum[mid] - cum[lo]) / (cum[hi] - cum[lo])
-        rng = np.random.default_rng([seed, tag, lo, hi])
-        left = rng.binomial(draws, share)
-        if block < mid:
-            draws, hi = left, mid
-        else:
-            draws, lo = draws - left, mid
-    return draws
-
-
-def _generator_sums(values: np.ndarray, n_resamples: int, seed: int):
-    """Means of the resamples numpy's generator draws when restarted for each metric."""
-    rng = np.random.default_rng(seed)
-    n = len(values)
-    columns = np.ascontiguousarray(values.T)
-    means = np.empty((n_resamples, values.shape[1]))
-    tile = max(1, _DRAW_CELLS // (n * values.shape[1]))
-    for at in range(0, n_resamples, tile):
-        picks = np.array([rng.integers(0, n, size=n) for _ in range(min(tile, n_resamples - at))])
-        means[at:at + len(picks)] = columns[:, picks].mean(axis=2).T
-    return np.ones(n_resamples), means
+def _draw_sums(positions: np.ndarray, values: np.ndarray, n_rows: int, n_resamples: int, seed: int):
+    """Sums over the draws that fall on a block's consecutive positions, and their number, per replicate."""
+    lo, size = int(positions[0]), len(positions)
+    total, sums = np.zeros(n_resamples), np.zeros((n_resamples, values.shape[1]))
+    for b in range(n_resamples):
+        for at in range(0, n_rows, _DRAW_CELLS):
+            drawn = draw_positions(at, min(at + _DRAW_CELLS, n_rows), b, n_rows, seed) - lo
+            if size < n_rows:
+                drawn = drawn[(drawn >= 0) & (drawn < size)]
+            times = np.bincount(drawn, minlength=size)
+            total[b] += len(drawn)
+            sums[b] += times @ values
+    return total, sums
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -181,28 +152,27 @@ def _intervals(total: np.ndarray, sums: np.ndarray, confidence: float) -> np.nda
 
 
 def _resample(
-    df: DataFrame, keys: list[str], metrics: list[str], hot: list, sums_of: Callable, confidence: float,
-    n_resamples: int,
+    df: DataFrame, keys: list[str], metrics: list[str], salted: bool, sums_of: Callable, confidence: float,
 ) -> DataFrame:
     """Intervals per key as arrays ``lo`` and ``hi`` in metric order.
 
-    ``df`` has columns keys, ``_salt``, ``_row`` and the metrics. ``sums_of``
-    takes (key values, salt, row keys, values) and returns weights and sums.
+    ``df`` has columns keys, ``_salt``, ``_row``, ``_n`` and the metrics. ``sums_of`` takes
+    (row keys, group size, values) of a block and returns weights and sums. A row
+    key that repeats inside a block, where rows of one key always meet, raises.
     """
     n_keys, n_metrics = len(keys), len(metrics)
     key_fields = [df.schema[k] for k in keys]
-    salted = bool(hot)
     arrays = ["_w", *[f"_s{i}" for i in range(n_metrics)]] if salted else ["_lo", "_hi"]
     out_schema = T.StructType(key_fields + [T.StructField(a, T.ArrayType(T.DoubleType())) for a in arrays])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, n_keys):
             first = block.slice(0, 1)
-            key_values = tuple(first.column(i)[0].as_py() for i in range(n_keys))
-            salt = first.column(n_keys)[0].as_py()
             row_keys = block.column(n_keys + 1).to_numpy()
-            values = np.column_stack([block.column(n_keys + 2 + i).to_numpy() for i in range(n_metrics)])
-            total, sums = sums_of(key_values, salt, row_keys, values)
+            if (row_keys[1:] == row_keys[:-1]).any():
+                raise ValueError("the row key repeats inside a group; name columns that identify a record")
+            values = np.column_stack([block.column(n_keys + 3 + i).to_numpy() for i in range(n_metrics)])
+            total, sums = sums_of(row_keys, block.column(n_keys + 2)[0].as_py(), values)
             if salted:
                 lists = [total, *sums.T]
             else:
@@ -211,7 +181,7 @@ def _resample(
             columns += [pa.array([a], type=pa.list_(pa.float64())) for a in lists]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, *arrays])
 
-    columns = df.select(*keys, "_salt", "_row", *metrics)
+    columns = df.select(*keys, "_salt", "_row", "_n", *metrics)
     ordered = columns.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt", "_row")
     found = ordered.mapInArrow(run, out_schema)
     if not salted:
@@ -251,34 +221,58 @@ def _finish(df: DataFrame, keys: list[str], metrics: list[str], bounds: DataFram
         )
         for i, m in enumerate(metrics)
     ]
-    joined = stats.join(bounds, same(stats, bounds, keys)).select(
-        *[stats[k] for k in keys], "n", F.explode(F.array(*rows)).alias("_r")
-    )
+    joined = join_same(stats, bounds, keys).select(*keys, "n", F.explode(F.array(*rows)).alias("_r"))
     return joined.select(*keys, "n", "_r.*")
 
 
-def _prepare(df: DataFrame, keys: list[str], metrics: list[str], row: F.Column) -> DataFrame:
+def row_key_text(row_key: str | list[str]) -> Column:
+    """One column for a record key of one or several columns; nulls are a value."""
+    if isinstance(row_key, str):
+        return F.col(row_key)
+    if len(row_key) == 1:
+        return F.col(row_key[0])
+    return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in row_key])
+
+
+def _prepare(df: DataFrame, keys: list[str], metrics: list[str], row: Column) -> DataFrame:
     return df.select(*keys, row.alias("_row"), *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics])
 
 
 def poisson_ci(
-    df: DataFrame, keys: list[str], metrics: list[str], row_key: str,
+    df: DataFrame, keys: list[str], metrics: list[str], row_key: str | list[str],
     n_resamples: int = BOOTSTRAP_RESAMPLES, confidence: float = CONFIDENCE_LEVEL,
     seed: int = BOOTSTRAP_SEED, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(keys, n, metric, mean, ci_lo, ci_hi, std)`` by the Poisson bootstrap.
 
-    A missing metric counts as 0.0. ``row_key`` identifies a row; its hash drives
-    the weights, so the same rows give the same interval in any order.
+    A missing metric counts as 0.0. ``row_key`` (one or several columns) identifies a
+    row inside its group; its hash drives the weights, so the same rows give the same
+    interval in any order. A key that repeats inside a group raises.
     """
-    data = _prepare(df, keys, metrics, stable_key(row_key))
+    data = _prepare(df, keys, metrics, stable_key(row_key_text(row_key)))
     hot = hot_keys(df, keys, block_rows)
 
-    def sums_of(key_values, salt, row_keys, values):
+    def sums_of(row_keys, n_rows, values):
         return _poisson_sums(row_keys, values, n_resamples, seed)
 
-    bounds = _resample(with_salt(data, keys, hot, "_row"), keys, metrics, hot, sums_of, confidence, n_resamples)
-    return _finish(data, keys, metrics, bounds)
+    salted = with_salt(data, keys, hot, "_row").withColumn("_n", F.lit(0).cast("bigint"))
+    return _finish(data, keys, metrics, _resample(salted, keys, metrics, hot is not None, sums_of, confidence))
+
+
+def dense_positions(df: DataFrame, keys: list[str], order: str, position: str = "_pos", size: str = "_n") -> DataFrame:
+    """Written rows with their position in ``order`` inside their group and the group's size.
+
+    Ranges of (keys, order) are sorted apart; the ranges' sizes per group give the offsets.
+    """
+    ranged = df.repartitionByRange(shuffle_partitions(df), *keys, order).sortWithinPartitions(*keys, order)
+    placed = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()), "positions")
+    placed = placed.withColumn("_range", F.shiftright("_mid", 33))
+    parts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_in"), F.min("_mid").alias("_first"))
+    whole = Window.partitionBy(*keys)
+    before = F.sum("_in").over(whole.orderBy("_range")) - F.col("_in")
+    parts = materialize(parts.select(*keys, "_range", "_first", before.alias("_before"), F.sum("_in").over(whole).alias(size)), "offsets")
+    joined = join_same(placed, F.broadcast(parts) if is_small(parts) else parts, [*keys, "_range"])
+    return joined.withColumn(position, F.col("_before") + F.col("_mid") - F.col("_first")).select(*df.columns, position, size)
 
 
 def multinomial_ci(
@@ -288,77 +282,20 @@ def multinomial_ci(
 ) -> DataFrame:
     """Like ``poisson_ci`` with exactly n draws with replacement per replicate.
 
-    ``row_key`` must be an integer that orders the rows of a group.
+    ``row_key`` must be an integer that orders the rows of a group; one that repeats raises. One rule
+    holds at every size: neither ``block_rows`` nor the number of partitions changes a result. Each
+    block goes through all draws of its group, so the work for one group grows with its size times its blocks;
+    for very large groups ``poisson_ci`` is the estimator of choice.
     """
-    data = _prepare(df, keys, metrics, F.col(row_key).cast("bigint"))
-    hot = hot_keys(df, keys, block_rows)
-    spread = with_salt(data, keys, hot, "_row")
-    sizes: dict[tuple, np.ndarray] = {}
-    if hot:
-        per_block = spread.join(
-            F.broadcast(df.sparkSession.createDataFrame(
-                [tuple(r[k] for k in keys) for r, _ in hot], T.StructType([data.schema[k] for k in keys]))),
-            keys, "left_semi",
-        ).groupBy(*keys, "_salt").count()
-        salts = {tuple(r[k] for k in keys): n for r, n in hot}
-        for row in per_block.collect():
-            key = tuple(row[k] for k in keys)
-            sizes.setdefault(key, np.zeros(salts[key], dtype=np.int64))[row["_salt"]] = row["count"]
-
-    def sums_of(key_values, salt, row_keys, values):
-        blocks = sizes.get(key_values)
-        if blocks is None:
-            return _draw_sums(values, np.full(n_resamples, len(values)), seed)
-        tag = int(stable_tag(key_values))
-        return _draw_sums(values, split_draws(blocks, salt, n_resamples, seed, tag), seed + 31 * (salt + 1))
-
-    bounds = _resample(spread, keys, metrics, hot, sums_of, confidence, n_resamples)
-    return _finish(data, keys, metrics, bounds)
-
-
-def stable_tag(values: tuple) -> int:
-    """Small integer for a key tuple, equal in every process."""
-    import hashlib
-    return int(hashlib.md5("\x1f".join(map(str, values)).encode()).hexdigest()[:8], 16)
-
-
-def seeded_ci(
-    df: DataFrame, keys: list[str], metrics: list[str], row_key: str,
-    n_resamples: int = BOOTSTRAP_RESAMPLES, confidence: float = CONFIDENCE_LEVEL,
-    seed: int = BOOTSTRAP_SEED, max_group_rows: int = DRAW_BLOCK_ROWS,
-) -> DataFrame:
-    """Intervals equal, bit for bit, to numpy's seeded resampling in ``row_key`` order.
-
-    Its random stream cannot be divided, so only groups of at most
-    ``max_group_rows`` rows take it; larger ones take ``multinomial_ci``. The
-    column ``method`` says which.
-    """
-    data = _prepare(df, keys, metrics, F.col(row_key).cast("bigint"))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = counts.where(F.col("_n") > max_group_rows).drop("_n")
-    has_large = bool(large.take(1))
-    small = data.join(large, same(data, large, keys), "left_anti") if has_large else data
-
-    def sums_of(key_values, salt, row_keys, values):
-        return _generator_sums(values, n_resamples, seed)
-
-    bounds = _resample(small.withColumn("_salt", F.lit(0)), keys, metrics, [], sums_of, confidence, n_resamples)
-    out = _finish(small, keys, metrics, bounds).withColumn("method", F.lit("generator"))
-    if has_large:
-        rest = df.join(large, same(df, large, keys), "left_semi")
-        out = out.unionByName(
-            multinomial_ci(rest, keys, metrics, row_key, n_resamples, confidence, seed)
-            .withColumn("method", F.lit("multinomial"))
-        )
-    return out
-
-
-def bootstrap_values(values, n_resamples: int = BOOTSTRAP_RESAMPLES, confidence: float = CONFIDENCE_LEVEL,
-                     seed: int = BOOTSTRAP_SEED) -> tuple[float, float, float]:
-    """(mean, lo, hi) of one small local array by the seeded resampling."""
-    arr = np.asarray(values, dtype=np.float64)
-    if arr.size == 0:
-        raise ValueError("cannot bootstrap an empty array")
-    total, sums = _generator_sums(arr[:, None], n_resamples, seed)
-    lo, hi = _intervals(total, sums, confidence)[:, 0]
-    return float(arr.mean()), float(lo), float(hi)
+    data = dense_positions(_prepare(df, keys, metrics, F.col(row_key).cast("bigint")), keys, "_row")
+    repeats = data.groupBy(*keys, "_row").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    if repeats.take(1):
+        raise ValueError("the row key repeats inside a group; name a column that identifies a record")
+    salt = F.floor(F.col("_pos") / block_rows).cast("int")
+    salted = data.select(*keys, *metrics, "_n", F.col("_pos").alias("_row"), salt.alias("_salt"))
+
+    def sums_of(positions, n_rows, values):
+        return _draw_sums(positions, values, n_rows, n_resamples, seed)
+
+    split = bool(data.where(F.col("_n") > block_rows).take(1))
+    return _finish(data, keys, metrics, _resample(salted, keys, metrics, split, sums_of, confidence))

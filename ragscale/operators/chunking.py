@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ragscale.functions.text import chunk_count, chunk_words, exploded, is_blank, words
+from ragscale.operators.skew import join_same
 from ragscale.schemas import CHUNK_OVERLAP, CHUNK_WORDS
 from ragscale.session import materialize
 
@@ -49,7 +50,7 @@ def running_start(df: DataFrame, group: list[str], order: list[str], value: str)
         *group, "_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base")
     )
     local = fixed.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return local.join(totals, [*group, "_slice"]).select(
+    return join_same(local, totals, [*group, "_slice"]).select(
         *group, *order, (F.col("_base") + F.col("_local")).cast("bigint").alias("start")
     )
 
@@ -60,12 +61,28 @@ def number_chunks(
 ) -> DataFrame:
     """Chunks with ids ``<sample>_chunk_<n>``, n counting through the whole collection.
 
-    Needs columns group, sample, ``passage`` and text, unique in the first three.
+    Needs columns group, sample, ``passage`` and text, unique in the first three; any may be null. A null sample
+    takes the fallback id of ``sample_ids`` in its chunk ids.
     """
     group = group or ["dataset", "subset"]
     order = [sample, "passage"]
     counts = passages.withColumn("n_chunks", chunk_count(F.size(words(text)), size, overlap))
     starts = running_start(counts, group, order, "n_chunks")
-    chunks = chunk_passages(passages.join(starts, [*group, *order]), text, size, overlap)
+    chunks = chunk_passages(join_same(passages, starts, [*group, *order]), text, size, overlap)
     number = (F.col("start") + F.col("chunk_index")).cast("string")
-    return chunks.withColumn("chunk_id", F.concat_ws("_chunk_", F.col(sample).cast("string"), number)).drop("start")
+    named = F.coalesce(F.col(sample).cast("string"), fallback_id(group))
+    return chunks.withColumn("chunk_id", F.concat_ws("_chunk_", named, number)).drop("start")
+
+
+def fallback_id(group: list[str], *content: str) -> Column:
+    """``<group>_<digest>``: a line's number is not stable where files are read in parallel, its content is."""
+    parts = [F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group]
+    if content:
+        parts.append(F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]), 256), 1, 16))
+    return F.concat_ws("_", *parts)
+
+
+def sample_ids(samples: DataFrame, content: list[str], sample: str = "sample_id", group: list[str] | None = None) -> DataFrame:
+    """Null or blank sample ids replaced by ``<dataset>_<subset>_<digest of the content columns>``."""
+    have = F.when(F.trim(F.col(sample).cast("string")) != "", F.col(sample).cast("string"))
+    return samples.withColumn(sample, F.coalesce(have, fallback_id(group or ["dataset", "subset"], *content)))

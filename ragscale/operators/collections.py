@@ -17,11 +17,11 @@ def resolve_collections(
     """
     wanted = names.select(name).distinct()
     known = catalog.select(actual).distinct()
-    bare = F.regexp_extract(F.col(actual), f"^(.*){marker}.*$", 1)
+    quoted = "".join(c if c.isalnum() or c == "_" else "\\" + c for c in marker)
+    bare = F.regexp_extract(F.col(actual), f"^(.*){quoted}.*$", 1)
     at = F.instr(F.col("_cut"), prefix)
     core = F.when(at == 0, F.col("_cut")).otherwise(
-        F.concat(F.expr(f"left(_cut, instr(_cut, '{prefix}') - 1)"),
-                 F.expr(f"substring(_cut, instr(_cut, '{prefix}') + {len(prefix)})"))
+        F.concat(F.substring("_cut", F.lit(1), at - 1), F.substring("_cut", at + len(prefix), F.length("_cut")))
     )
     # stripping the prefix first cannot change which marker is last
     stripped = known.withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ragscale.functions.scoring import interval_text, precision_flag
+from ragscale.operators.skew import join_same
 from ragscale.schemas import CI_WIDTH_SHARE, PRACTICAL_DELTA, QUANT_AXIS
 
 
@@ -54,11 +55,11 @@ def baseline_delta(df: DataFrame, keys: list[str], baseline: str = QUANT_AXIS[-1
 
 
 def curve_pattern(df: DataFrame, keys: list[str], axis: list[str] = QUANT_AXIS) -> DataFrame:
-    """Shape of each curve, read from the baseline (last label) down to the first label.
+    """Shape of each curve, read from the baseline (last label) down to the first label, by its intervals.
 
-    gullible rises at every step, stubborn falls at every step, inverted_u ends
-    significantly below an inner peak, resilient never leaves the baseline's
-    interval; anything else is indeterminate.
+    resilient never leaves the baseline's interval; gullible rises at every step and ends clear above the baseline,
+    stubborn falls at every step and ends clear below it; inverted_u ends significantly below an inner peak; anything
+    else is indeterminate.
     """
     last = len(axis) - 1
     steps = Window.partitionBy(*keys).orderBy(F.desc("x"))
@@ -71,6 +72,7 @@ def curve_pattern(df: DataFrame, keys: list[str], axis: list[str] = QUANT_AXIS)
         F.every(F.col("_step") < 0).alias("_down"),
         F.max_by("x", peak_rank).alias("_peak"),
         F.max_by("ci_lo", peak_rank).alias("_peak_lo"),
+        at("ci_lo", 0).alias("_end_lo"),
         at("ci_hi", 0).alias("_end_hi"),
         F.max("ci_lo").alias("_max_lo"),
         F.min("ci_hi").alias("_min_hi"),
@@ -79,10 +81,10 @@ def curve_pattern(df: DataFrame, keys: list[str], axis: list[str] = QUANT_AXIS)
     )
     pattern = (
         F.when(F.col("n_points") < 2, "indeterminate")
-        .when(F.col("_up"), "gullible")
-        .when(F.col("_down"), "stubborn")
-        .when((F.col("_peak") > 0) & (F.col("_peak") < last) & (F.col("_end_hi") < F.col("_peak_lo")), "inverted_u")
         .when((F.col("_max_lo") <= F.col("_base_hi")) & (F.col("_min_hi") >= F.col("_base_lo")), "resilient")
+        .when(F.col("_up") & (F.col("_end_lo") > F.col("_base_hi")), "gullible")
+        .when(F.col("_down") & (F.col("_end_hi") < F.col("_base_lo")), "stubborn")
+        .when((F.col("_peak") > 0) & (F.col("_peak") < last) & (F.col("_end_hi") < F.col("_peak_lo")), "inverted_u")
         .otherwise("indeterminate")
     )
     return seen.select(*keys, "n_points", pattern.alias("pattern"))
@@ -99,15 +101,12 @@ def falsification(patterns: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def cross_pairs(df: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) -> DataFrame:
-    """Declared model pairs compared at equal quantization (and other keys)."""
-    partner = F.create_map(*[x for a, b in pairs for x in (F.lit(a), F.lit(b))])
+    """Declared model pairs compared at equal quantization (and other keys); a model may occur in several pairs."""
     side = ["mean", "ci_lo", "ci_hi"]
-    firsts = [a for a, _ in pairs]
-    left = df.where(F.col("model").isin(*firsts)).select(
-        F.col("model").alias("model_a"), partner[F.col("model")].alias("model_b"), *keys,
-        *[F.col(c).alias(f"a_{c}") for c in side])
+    wanted = df.sparkSession.createDataFrame(pairs, "model_a string, model_b string")
+    left = df.select(F.col("model").alias("model_a"), *keys, *[F.col(c).alias(f"a_{c}") for c in side]).join(F.broadcast(wanted), "model_a")
     right = df.select(F.col("model").alias("model_b"), *keys, *[F.col(c).alias(f"b_{c}") for c in side])
-    joined = left.join(right, ["model_b", *keys])
+    joined = join_same(left, right, ["model_b", *keys])
     return joined.select(
         "model_a", "model_b", *keys, F.col("a_mean"), F.col("b_mean"),
         (F.col("a_mean") - F.col("b_mean")).alias("delta"),
@@ -118,7 +117,7 @@ def cross_pairs(df: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) ->
 def flag_width(df: DataFrame, share: float = CI_WIDTH_SHARE) -> DataFrame:
     """Adds ``flagged`` and the warning text of too wide intervals."""
     flagged = precision_flag(F.col("mean"), F.col("ci_lo"), F.col("ci_hi"), share)
-    text = F.format_string(
+    text = F.format_string(  # fixed value: the published wording of the warning
         f"%s: CI width (%.4f) > {share * 100:.0f}%% of mean (%.4f) — needs more runs",
         F.col("metric"), F.col("ci_hi") - F.col("ci_lo"), F.col("mean"),
     )

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ragscale.operators.skew import shuffle_partitions, with_dimension
+from ragscale.operators.skew import is_small, join_same, with_dimension
 
 
 def remaining_work(todo: DataFrame, done: DataFrame, key: list[str], query: str = "query_id") -> DataFrame:
     """Work items whose full key is not in the output; blank ids never count as done."""
     finished = done.where(F.col(query).isNotNull() & (F.col(query) != "")).select(*key, query).distinct()
-    return todo.join(finished, [*key, query], "left_anti")
+    return join_same(todo, finished, [*key, query], "left_anti")
 
 
 def last_wins(df: DataFrame, key: list[str], order_by: str) -> DataFrame:
-    """The last record per key, by partial aggregation instead of a sort."""
+    """The last record per key, by partial aggregation instead of a sort. ``order_by`` must be a total order within a key."""
     rest = [c for c in df.columns if c not in key]
     picked = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order_by)).alias("_r"))
     return picked.select(*key, "_r.*")
@@ -32,7 +32,7 @@ def collection_plan(found: DataFrame, existing: DataFrame, key: list[str], force
     """
     sizes = found.groupBy(*key).agg(F.sum("n_chunks").alias("n_chunks"))
     have = existing.select(*key).distinct().withColumn("_exists", F.lit(True))
-    joined = sizes.join(have, key, "left")
+    joined = join_same(sizes, have, key, "left")
     there = F.coalesce(F.col("_exists"), F.lit(False))
     action = (
         F.when(there & F.lit(not force), "skip_existing")
@@ -48,14 +48,14 @@ def experiment_grid(
 ) -> DataFrame:
     """Planned calls: every query with every configuration and the passes of its subset.
 
-    The product is the result here. Queries and configurations meet by an equality
-    join on a spread slot, so the product is built in parallel in even parts.
+    The product is the result here. The configurations go as one array to each query and are
+    exploded there, so nothing is shuffled and no copy of them multiplied; they are counted first.
     """
-    slots = shuffle_partitions(queries)
+    if not is_small(configs):
+        raise ValueError("a grid of this many configurations has to be planned in parts")
     default = F.array(*[F.lit(p) for p in default_passes])
     planned = with_dimension(queries, policy, [subset]).withColumn(
         "pass", F.explode(F.coalesce(F.col("passes"), default))
     ).drop("passes")
-    left = planned.withColumn("_slot", F.pmod(F.xxhash64("query_id", "pass"), F.lit(slots)))
-    right = configs.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))))
-    return left.join(right, "_slot").drop("_slot")
+    every = configs.agg(F.collect_list(F.struct(*configs.columns)).alias("_configs"))
+    return planned.withColumn("_config", F.explode(every.scalar())).select(*planned.columns, "_config.*")

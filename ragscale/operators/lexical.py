@@ -8,10 +8,9 @@ results are exact.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql import types as T
 
 from ragscale.functions.text import exploded, tokens
-from ragscale.operators.skew import hot_keys, same, with_salt
+from ragscale.operators.skew import hot_keys, replicated, with_salt
 from ragscale.schemas import TOP_K
 from ragscale.session import materialize
 
@@ -36,14 +35,7 @@ def _token_hits(terms: DataFrame, postings: DataFrame, by_text: str) -> DataFram
     """Inverted-index join on the token; a frequent token is split over several tasks."""
     used = postings.join(terms.select("token").distinct(), "token", "left_semi")
     hot = hot_keys(used, ["token"], POSTING_BLOCK)
-    big = with_salt(used, ["token"], hot, by_text)
-    if not hot:
-        return terms.join(big.drop("_salt"), "token")
-    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("_n", T.IntegerType())])
-    table = terms.sparkSession.createDataFrame([(r["token"], n) for r, n in hot], schema)
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(table["_n"], F.lit(1)) - 1))
-    small = terms.join(F.broadcast(table), same(terms, table, ["token"]), "left").select(
-        *[terms[c] for c in terms.columns], copies.alias("_salt"))
+    big, small = with_salt(used, ["token"], hot, by_text), replicated(terms, ["token"], hot)
     return small.join(big, ["token", "_salt"]).drop("_salt")
 
 

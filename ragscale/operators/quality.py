@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ragscale.operators.skew import join_same
 from ragscale.schemas import CONFIG_KEY, PASSES, PROVIDERS, SCORE_FIELDS, SOURCES
 
 # JSON types each field of a raw record may have.
@@ -94,7 +95,7 @@ def violation_counts(checked: DataFrame) -> DataFrame:
 def score_or_default(records: DataFrame, scores: DataFrame, key: list[str], metrics: list[str]) -> DataFrame:
     """Records with their scores; where scoring failed all metrics are 0.0 and ``is_failed`` is set."""
     right = scores.select(*key, *metrics, F.lit(True).alias("_scored"))
-    joined = records.join(right, key, "left")
+    joined = join_same(records, right, key, "left")
     rest = [c for c in records.columns]
     return joined.select(
         *rest, *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in metrics],
@@ -109,7 +110,7 @@ def error_census(df: DataFrame, keys: list[str] = CONFIG_KEY, error: str = "erro
     """
     cells = df.groupBy(*keys, error).agg(F.count(F.lit(1)).alias("n"))
     totals = cells.groupBy(*keys).agg(F.sum("n").alias("n_records"))
-    out = cells.where(F.col(error).isNotNull()).join(totals, keys)
+    out = join_same(cells.where(F.col(error).isNotNull()), totals, keys)
     return out.withColumn("rate", F.col("n") / F.col("n_records"))
 
 
@@ -127,7 +128,7 @@ def determinism_per_query(df: DataFrame, query: str = "query", response: str = "
     first = distinct.withColumn("_r", rank).where(F.col("_r") <= examples).groupBy(query).agg(
         F.sort_array(F.collect_list(response)).alias("unique_responses")
     )
-    return counts.join(first, query)
+    return join_same(counts, first, [query])
 
 
 def determinism_summary(df: DataFrame, query: str = "query", seed: str = "seed", response: str = "response") -> DataFrame:

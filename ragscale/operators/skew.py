@@ -1,14 +1,15 @@
-"""Finding and spreading keys that hold a large share of the rows."""
+"""Finding and spreading keys that hold a large share of the rows, and joins that keep null keys."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ragscale.session import materialize
 
 MIN_BLOCK_ROWS = 1 << 14  # splitting smaller groups costs more than it spreads
+BROADCAST_ROWS = 100_000  # lookups of more rows are joined by a shuffle
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -29,49 +30,57 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: list[str], block_rows: int) -> list:
-    """``(key row, number of blocks)`` of the keys larger than a task's fair share.
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the columns of ``left``, then those of ``right`` that are no keys."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_same_{k}" for k in keys])
 
-    The share is ``total / slots`` with ``slots`` the shuffle partitions, or more
-    of them so that a block stays under ``block_rows``. Fewer than ``slots`` keys
-    can exceed it: what reaches the driver grows with the tasks, not the keys.
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def hot_keys(df: DataFrame, keys: list[str], block_rows: int, counts: DataFrame | None = None) -> DataFrame | None:
+    """Written ``keys, n_blocks`` of the keys larger than a task's fair share; None if there are none.
+
+    The share is ``total / shuffle partitions``, within ``block_rows``. ``counts`` (``keys, n_rows``) saves counting.
+    Only the total and the largest count reach the driver.
     """
-    return hot_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")), df, block_rows)
+    if counts is None:
+        counts = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")), "counts")
+    total, largest = counts.agg(F.sum("n_rows"), F.max("n_rows")).first()
+    fair = max(1, min(block_rows, max((total or 0) // shuffle_partitions(df), MIN_BLOCK_ROWS)))
+    if (largest or 0) <= fair:
+        return None
+    return materialize(counts.where(F.col("n_rows") > fair).select(*keys, F.ceil(F.col("n_rows") / fair).cast("int").alias("n_blocks")), "hot")
 
 
-def hot_counts(counts: DataFrame, df: DataFrame, block_rows: int) -> list:
-    """``hot_keys`` from counts that exist already: one row per key with ``n_rows``."""
-    seen = Observation()
-    slots = shuffle_partitions(df)
-    ranked = counts.observe(seen, F.sum("n_rows").alias("total")).orderBy(F.desc("n_rows"))
-    top = ranked.limit(slots).collect()
-    total = seen.get["total"] or 0
-    if total > block_rows * slots:
-        slots = -(-total // block_rows)
-        top = counts.where(F.col("n_rows") > total // slots).collect()
-    fair = max(1, total // slots, min(block_rows, MIN_BLOCK_ROWS))
-    return [(row, -(-row["n_rows"] // fair)) for row in top if row["n_rows"] > fair]
+def _with_blocks(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Adds ``_n_blocks``, 1 for ordinary keys. The hot keys are broadcast only where they are few."""
+    joined = join_same(df, F.broadcast(hot) if is_small(hot) else hot, keys, "left")
+    return joined.withColumn("_n_blocks", F.coalesce("n_blocks", F.lit(1))).drop("n_blocks")
 
 
-def with_salt(df: DataFrame, keys: list[str], hot: list, spread_by: str, salt: str = "_salt") -> DataFrame:
+def with_salt(df: DataFrame, keys: list[str], hot: DataFrame | None, spread_by: str, salt: str = "_salt") -> DataFrame:
     """Add a salt column: 0 for ordinary keys, spread by row for hot ones."""
-    if not hot:
+    if hot is None:
+        return df.withColumn(salt, F.lit(0))
+    at = F.pmod(F.xxhash64(F.col(spread_by), F.lit(17)), F.col("_n_blocks"))
+    return _with_blocks(df, keys, hot).withColumn(salt, at.cast("int")).drop("_n_blocks")
+
+
+def replicated(df: DataFrame, keys: list[str], hot: DataFrame | None, salt: str = "_salt") -> DataFrame:
+    """Copy the rows of a split key to each of its blocks."""
+    if hot is None:
         return df.withColumn(salt, F.lit(0))
-    spark = df.sparkSession
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_n_salts", T.LongType())])
-    table = spark.createDataFrame([tuple(r[k] for k in keys) + (n,) for r, n in hot], schema)
-    joined = df.join(F.broadcast(table), same(df, table, keys), "left").select(
-        *[df[c] for c in df.columns], table["_n_salts"]
-    )
-    spread = F.pmod(F.xxhash64(F.col(spread_by), F.lit(17)), F.coalesce("_n_salts", F.lit(1)))
-    return joined.withColumn(salt, spread.cast("int")).drop("_n_salts")
+    return _with_blocks(df, keys, hot).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col("_n_blocks") - 1))).drop("_n_blocks")
 
 
-def with_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left", max_rows: int = 100_000) -> DataFrame:
+def with_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join to a lookup table, broadcast only after counting that it is small.
 
     A broadcast keeps frequent keys where they are. A larger table takes the
     planner's ordinary join, where adaptive execution splits skewed keys.
     """
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return df.join(F.broadcast(dim) if small else dim, on, how)
+    return df.join(F.broadcast(dim) if is_small(dim, max_rows) else dim, on, how)

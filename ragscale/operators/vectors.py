@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ragscale.functions.hashing import stable_key
-from ragscale.operators.skew import hot_counts, hot_keys, same, with_salt
+from ragscale.operators.skew import hot_keys, replicated, with_salt
 from ragscale.schemas import TOP_K
 from ragscale.session import materialize
 
 BLOCK_ROWS = 1 << 14
-MAX_CELLS = 256
+MAX_PIVOTS = 4096  # pivots the driver and each task hold; cells of larger collections are split into blocks
 DIGITS = 9  # scores closer than this count as equal; the smaller id comes first
 _TILE_CELLS = 1 << 22
 
@@ -32,6 +32,9 @@ def _matrix(column, unit: bool) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    sizes = np.diff(np.asarray(column.offsets))
+    if column.null_count or (sizes != sizes[:1]).any() or not np.isfinite(flat).all():
+        raise ValueError("vectors must all have the same length and finite numbers")
     m = flat.reshape(len(column), -1)
     if unit:
         norm = np.linalg.norm(m, axis=1, keepdims=True)
@@ -112,15 +115,15 @@ def _best(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, cosine: bool):
             yield pool[order], row[pool[order]]
 
 
-def _search(visits: DataFrame, chunks: DataFrame, hot_chunks: list, by: list[str], query_id: str, chunk_id: str,
+def _search(visits: DataFrame, chunks: DataFrame, hot_chunks: DataFrame | None, by: list[str], query_id: str, chunk_id: str,
             vector: str, k: int, cosine: bool, block_rows: int) -> DataFrame:
     """Best k per query and (cell block) of the visited cells."""
     keys = [*by, "_cell"]
     hot_visits = hot_keys(visits, keys, block_rows)
     left = with_salt(visits, keys, hot_visits, query_id, "_qs")
     right = with_salt(chunks, keys, hot_chunks, chunk_id, "_cs")
-    left = _replicate(left, keys, hot_chunks, "_cs")
-    right = _replicate(right, keys, hot_visits, "_qs")
+    left = replicated(left, keys, hot_chunks, "_cs")
+    right = replicated(right, keys, hot_visits, "_qs")
     group = [*keys, "_cs", "_qs"]
     schema = T.StructType([
         T.StructField(query_id, visits.schema[query_id].dataType),
@@ -149,16 +152,6 @@ def _search(visits: DataFrame, chunks: DataFrame, hot_chunks: list, by: list[str
     return lq.groupBy(*group).cogroup(rc.groupBy(*group)).applyInArrow(run, schema)
 
 
-def _replicate(df: DataFrame, keys: list[str], hot: list, salt: str) -> DataFrame:
-    """Copy rows of a split key to each of its blocks."""
-    if not hot:
-        return df.withColumn(salt, F.lit(0))
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_n", T.IntegerType())])
-    table = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) + (n,) for r, n in hot], schema)
-    joined = df.join(F.broadcast(table), same(df, table, keys), "left").select(*[df[c] for c in df.columns], table["_n"])
-    return joined.withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
-
-
 def _rank(found: DataFrame, query_id: str, chunk_id: str, k: int) -> DataFrame:
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), chunk_id)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -173,12 +166,16 @@ def topk_vectors(
 
     With ``by`` a query meets only chunks of its own collection. Exact unless
     ``nprobe`` is given, which limits the search to that many nearest cells.
+    Rows without a vector match nothing and are left out; vectors of another
+    length or with numbers that are not finite raise.
     Score is the cosine, or minus the squared distance for ``metric="l2"``.
     """
     by = by or []
     cosine = metric == "cosine"
+    full = F.col(vector).isNotNull() & ~F.exists(F.coalesce(F.col(vector), F.array()), lambda x: x.isNull())
+    queries, chunks = queries.where(full), chunks.where(full)
     n = chunks.count()
-    n_cells = cells or int(min(MAX_CELLS, max(1, -(-n // block_rows))))
+    n_cells = cells or int(min(MAX_PIVOTS, max(1, -(-n // block_rows), int(n**0.5) if n > block_rows else 1)))
     picked = chunks.select(vector, stable_key(chunk_id).alias("_k"), chunk_id).orderBy("_k", chunk_id).limit(n_cells)
     rows = [r[vector] for r in picked.collect()]
     queries = queries.select(query_id, *by, vector)
@@ -192,11 +189,11 @@ def topk_vectors(
     if cosine:
         norm = np.linalg.norm(pivots, axis=1, keepdims=True)
         pivots = np.divide(pivots, norm, out=np.zeros_like(pivots), where=norm > 0)
-    placed = _assign(chunks, pivots, vector, cosine)
+    placed = materialize(_assign(chunks, pivots, vector, cosine), "placed")  # read three times below
     # at most one row per collection and pivot, read three times
     sizes = materialize(placed.groupBy(*by, "_cell").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("_dist").alias("radius")), "cells")
-    hot = hot_counts(sizes, placed, block_rows)
+    hot = hot_keys(placed, [*by, "_cell"], block_rows, sizes.select(*by, "_cell", "n_rows"))
     probe = nprobe or 1
     near = _search(_visits(queries, pivots, vector, cosine, probe), placed, hot, by, query_id, chunk_id, vector, k,
                    cosine, block_rows)

@@ -95,12 +95,12 @@ def _(spark, sf_dir):
 
 PATTERN = f"""steps as (select *, mean - lag(mean) over (partition by {CURVE_SQL} order by x desc) as step from cu where x is not null),
 shape as (select {CURVE_SQL}, count(*) as n_points, bool_and(step > 0) as up, bool_and(step < 0) as down,
-  arg_max(x, mean) as peak, arg_max(ci_lo, mean) as peak_lo, max(case when x = 0 then ci_hi end) as end_hi,
+  arg_max(x, mean) as peak, arg_max(ci_lo, mean) as peak_lo, max(case when x = 0 then ci_hi end) as end_hi, max(case when x = 0 then ci_lo end) as end_lo,
   max(ci_lo) as max_lo, min(ci_hi) as min_hi, max(case when x = 5 then ci_lo end) as base_lo,
   max(case when x = 5 then ci_hi end) as base_hi from steps group by {CURVE_SQL}),
-patterns as (select {CURVE_SQL}, n_points, case when n_points < 2 then 'indeterminate' when up then 'gullible'
-  when down then 'stubborn' when peak > 0 and peak < 5 and end_hi < peak_lo then 'inverted_u'
-  when max_lo <= base_hi and min_hi >= base_lo then 'resilient' else 'indeterminate' end as pattern from shape)"""
+patterns as (select {CURVE_SQL}, n_points, case when n_points < 2 then 'indeterminate'
+  when max_lo <= base_hi and min_hi >= base_lo then 'resilient' when up and end_lo > base_hi then 'gullible'
+  when down and end_hi < base_lo then 'stubborn' when peak > 0 and peak < 5 and end_hi < peak_lo then 'inverted_u' else 'indeterminate' end as pattern from shape)"""
 
 
 @query("curve_pattern", _cte(f"{CU}, {PATTERN} select {CURVE_SQL}, n_points, pattern from patterns"))
@@ -129,7 +129,7 @@ def _(spark, sf_dir):
     return curves.falsification(patterns, role_table(spark, sf_dir))
 
 
-CROSS = [("click", "view"), ("purchase", "signup")]
+CROSS = [("click", "view"), ("purchase", "signup"), ("click", "purchase")]
 
 
 @query("cross_arch_pairs", _cte(f"""{CU}, pairs(a, b) as (values {", ".join(str(p) for p in CROSS)})

@@ -159,13 +159,13 @@ def _(spark, sf_dir):
         F.when(~breaks("missing:run_id"), field("run_id", quoted("event_id"))),
         F.when(~breaks("missing:timestamp"), field("timestamp", quoted("ts"))),
         *[field(c, quoted(c)) for c in ("model", "quantization", "dataset", "subset", "pass", "query_id")],
-        field("source", F.when(breaks("value:source"), F.lit('"cloud"')).otherwise(F.lit('"local"'))),
+        field("source", F.when(breaks("value:source"), F.lit('"elsewhere"')).otherwise(F.lit('"local"'))),
         field("provider", F.lit("null")),
-        field("seed", F.when(breaks("type:seed"), F.lit('"forty-two"')).otherwise(F.lit("42"))),
+        field("seed", F.when(breaks("type:seed"), F.lit('"many"')).otherwise(F.lit("42"))),
         field("query", F.lit('"q"')), field("ground_truth", F.lit('"g"')), field("response", F.lit('"r"')),
         field("context_chunks", F.when(breaks("type:context_chunks"), F.lit('"text"'))
               .when(F.col("pass") == "pass1", F.lit("null")).otherwise(F.lit('["a","b"]'))),
-        field("generation_time_ms", F.when(breaks("type:generation_time_ms"), F.lit('"fast"')).otherwise(F.col("cents").cast("string"))),
+        field("generation_time_ms", F.when(breaks("type:generation_time_ms"), F.lit('"soon"')).otherwise(F.col("cents").cast("string"))),
         field("scores", F.when(breaks("type:scores"), F.lit('"none"')).otherwise(
             F.concat(F.lit('{"ragchecker":{'), scores, F.lit("}}")))),
     ]

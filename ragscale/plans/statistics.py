@@ -101,11 +101,6 @@ def _(spark, sf_dir):
     return rounded(bootstrap.multinomial_ci(eval_records(spark, sf_dir), _MQ, ["cu"], "event_id"))
 
 
-@query("bootstrap_ci_numpy")
-def _(spark, sf_dir):
-    return rounded(bootstrap.seeded_ci(eval_records(spark, sf_dir), CONFIG_KEY, METRICS, "event_id"))
-
-
 @query("paired_pass_join", ev(f", {PAIRED} select {PAIRS}, query_id, {r6('loose', 'loose')}, {r6('strict', 'strict')} from pairs").replace(") ,", "),", 1))
 def _(spark, sf_dir):
     return rounded(aggregate.paired_passes(eval_records(spark, sf_dir), "event_id"))
@@ -198,7 +193,7 @@ def _(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     cells = labels.groupBy(F.lit("quality_toxic").alias("metric"), F.col("quality").alias("a"), F.col("toxic").alias("b")).agg(
         F.count(F.lit(1)).alias("n"))
-    return agreement.cohens_kappa(cells, ["metric"], classes=2)
+    return agreement.cohens_kappa(cells, ["metric"])
 
 
 @query("kappa_by_stratum", ev(f""", {CLOSED}, {GROUPED}
@@ -243,14 +238,103 @@ def _(spark, sf_dir):
     return agreement.verdict(agreement.cohens_kappa(cells, ["metric"]))
 
 
-@query("discretize_closed", ev(f"select event_id, {_bin('cu', '<=')} as bin from ev"))
+def _bin_or_null(v: str, op: str, edges) -> str:
+    return f"case when {v} is null then null when {v} {op} {edges[0]} then 0 when {v} {op} {edges[1]} then 1 else 2 end"
+
+
+@query("discretize_closed", ev(f"select event_id, {_bin_or_null('sk', '<=', (0.33, 0.66))} as bin from ev"))
+def _(spark, sf_dir):
+    return eval_records(spark, sf_dir).select("event_id", discretize_closed(F.col("sk")).alias("bin"))
+
+
+@query("discretize_open", ev(f"select event_id, {_bin_or_null('sk', '<', (0.33, 0.67))} as bin from ev"))
+def _(spark, sf_dir):
+    return eval_records(spark, sf_dir).select("event_id", discretize_open(F.col("sk")).alias("bin"))
+
+
+_APART = "quality * 5 as a, case when doc_id % 7 = 0 then 3 else toxic * 5 end as b"
+
+
+@query("kappa_label_union", f"""
+with g as (select a, b, count(*) as n from (select {_APART} from labels) group by 1, 2),
+l as (select a as v from g union select b from g),
+x as (select v, coalesce((select sum(n) from g where a = v), 0) as na, coalesce((select sum(n) from g where b = v), 0) as nb from l),
+t as (select sum(n) as n, sum(case when a = b then n else 0 end) as agree, sum(abs(a - b) * n) as o from g),
+e as (select sum(na * nb) as e from x), w as (select sum(x.na * y.nb * abs(x.v - y.v)) as w from x, x y)
+select 'apart' as metric, t.n::bigint as n, agree::bigint as agree,
+  round((agree / t.n::double - e / (t.n * t.n)::double) / (1 - e / (t.n * t.n)::double), 4) as kappa,
+  round(1 - o * t.n / w::double, 3) as linear from t, e, w""")
+def _(spark, sf_dir):
+    rated = table(spark, sf_dir, "labels").selectExpr("'apart' as metric", *_APART.split(", ", 1))
+    cells = rated.groupBy("metric", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    linear = agreement.linear_kappa(cells, ["metric"]).select("metric", F.col("kappa").alias("linear"))
+    return agreement.cohens_kappa(cells, ["metric"]).join(linear, "metric")
+
+
+STUDY_SIZES = {"click": 40, "view": 60, "error": 10**9}
+
+
+@query("agreement_study", ev(f""",
+s as (select * from (select *, row_number() over (partition by model order by md5('42-' || cast(event_id as varchar)), event_id) as r from ev)
+  where r <= case model {" ".join(f"when '{m}' then {n}" for m, n in STUDY_SIZES.items())} else 0 end),
+{CLOSED.replace("from ev", "from s")}, {GROUPED}
+select t.metric, t.stratum as model, t.n::bigint as n, agree::bigint as agree, {KAPPA} as kappa, 0.8::double as threshold, {KAPPA} >= 0.8 as validated
+from tot t join pe on t.metric = pe.metric and t.stratum is not distinct from pe.stratum""").replace(") ,", "),", 1))
+def _(spark, sf_dir):
+    records = eval_records(spark, sf_dir)
+    second = records.select("event_id", *[F.col(s).alias(m) for m, s in SECOND.items()])
+    return agreement.agreement_study(records, second, ["event_id"], list(SECOND), "model", STUDY_SIZES)
+
+
+_HOLED = ["model", "quantization", "dataset", "subset", "pass"]
+_NULLS = "nullif(quantization, 'Q4') as quantization, nullif(subset, 'noise') as subset"
+_NULL_KEYS = f"nk as (select * exclude (quantization, subset), {_NULLS} from ev)"
+
+
+def null_key_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived records with missing configuration keys."""
+    return eval_records(spark, sf_dir).withColumns({"quantization": F.expr("nullif(quantization, 'Q4')"), "subset": F.expr("nullif(subset, 'noise')")})
+
+
+@query("config_aggregate_null_keys", ev(f""", {_NULL_KEYS} select {KEYS}, count(*) as n_queries,
+  arg_min(coalesce(source, 'local'), event_id) as source, {r6("avg(cu)", "cu_mean")}, {r6("coalesce(stddev_samp(cu), 0.0)", "cu_std")}
+  from nk group by {KEYS}""").replace(") ,", "),", 1))
 def _(spark, sf_dir):
-    return eval_records(spark, sf_dir).select("event_id", discretize_closed(F.col("cu")).alias("bin"))
+    return rounded(aggregate.config_aggregate(null_key_records(spark, sf_dir), ["event_id", "query_id"], metrics=["cu"]))
 
 
-@query("discretize_open", ev(f"select event_id, {_bin('cu', '<', (0.33, 0.67))} as bin from ev"))
+@query("bootstrap_ci_null_keys", ev(f""", {_NULL_KEYS}, b as (select *, coalesce(quantization, '?') as qk from nk),
+{poisson_cte("b", ["model", "qk"], ["cu"], "event_id")}
+select model, nullif(qk, '?') as quantization, n, metric, {LONG} from ({long_rows("boot", ["model", "qk"], ["cu"])})""").replace(") ,", "),", 1))
+def _(spark, sf_dir):
+    return rounded(bootstrap.poisson_ci(null_key_records(spark, sf_dir), _MQ, ["cu"], ["event_id"]))
+
+
+@query("resume_null_keys", ev(f""", {_NULL_KEYS}, w as (select distinct {KEYS}, query_id, cents from nk)
+select distinct {KEYS}, query_id from w t where not exists (select 1 from w d where d.cents < 5000 and d.query_id = t.query_id
+  and {" and ".join(f"d.{k} is not distinct from t.{k}" for k in _HOLED)})""").replace(") ,", "),", 1))
+def _(spark, sf_dir):
+    work = null_key_records(spark, sf_dir).select(*CONFIG_KEY, "query_id", "cents")
+    return incremental.remaining_work(work.drop("cents").distinct(), work.where("cents < 5000"), CONFIG_KEY)
+
+
+_FLAG_ROWS = "select l_returnflag as flag, l_orderkey * 10 + l_linenumber as k, l_quantity::double as v from lineitem"
+
+
+@query("bootstrap_ci_exact_large", f"""
+with vals as (select flag, v, row_number() over (partition by flag order by k) - 1 as pos, count(*) over (partition by flag) as n from ({_FLAG_ROWS})),
+sizes as (select distinct flag, n from vals),
+draws as (select flag, b, ((i * 1000003 + 42) % 2147483647 + (b * 7919) % 2147483647) % 2147483647 as h0, n
+  from sizes, range((select max(n) from sizes)) t(i), range(100) s(b) where i < n),
+h1 as (select *, (h0 * h0 + 12345) % 2147483647 as h1 from draws),
+picked as (select flag, b, ((h1 * h1 + h0) % 2147483647) % n as pos from h1),
+reps as (select p.flag, b, avg(v) as m from picked p join vals v on p.flag = v.flag and p.pos = v.pos group by 1, 2),
+ci as (select flag, quantile_cont(m, 0.025) as ci_lo, quantile_cont(m, 0.975) as ci_hi from reps group by 1),
+st as (select flag, count(*) as n, avg(v) as mean, coalesce(stddev_samp(v), 0.0) as std from vals group by 1)
+select st.flag, n, 'v' as metric, {LONG} from st join ci on st.flag = ci.flag""")
 def _(spark, sf_dir):
-    return eval_records(spark, sf_dir).select("event_id", discretize_open(F.col("cu")).alias("bin"))
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag as flag", "l_orderkey * 10 + l_linenumber as k", "double(l_quantity) as v")
+    return rounded(bootstrap.multinomial_ci(rows, ["flag"], ["v"], "k", n_resamples=100, block_rows=5000))
 
 
 # --- determinism ---------------------------------------------------------------------------

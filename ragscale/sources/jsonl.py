@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 BAD = "_corrupt_record"
+RECORD_FILES = "{*.jsonl,part-*.json}"  # JSON lines, and what the sink writes; other JSON files are no records
 
 
-def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST") -> DataFrame:
-    """All ``*.jsonl`` and ``*.json`` files of a directory; blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", mode).option("pathGlobFilter", "*.json*").json(path)
+def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST", glob: str = RECORD_FILES) -> DataFrame:
+    """All record files of a directory; blank lines are skipped."""
+    return spark.read.schema(schema).option("mode", mode).option("pathGlobFilter", glob).json(path)
 
 
-def scan_tolerant(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.json*") -> DataFrame:
+def scan_tolerant(spark: SparkSession, path: str, schema: T.StructType, glob: str = RECORD_FILES) -> DataFrame:
     """Like ``scan_jsonl``; a malformed line becomes a row with its text in ``_corrupt_record``."""
     wide = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
     lines = spark.read.option("pathGlobFilter", glob).text(path).where("trim(value) <> ''")
@@ -41,11 +42,13 @@ def scan_partitioned(
     return df
 
 
-def scan_named_files(spark: SparkSession, root: str, schema: T.StructType, subset: str | None = None) -> DataFrame:
-    """A ``<dataset>/normalized/<subset>.jsonl`` layout; names become columns, files are pruned by name."""
+def scan_named_files(
+    spark: SparkSession, root: str, schema: T.StructType, subset: str | None = None, dataset: str | None = None,
+) -> DataFrame:
+    """A ``<dataset>/normalized/<subset>.jsonl`` layout; names become columns, folders and files are pruned by name."""
     glob = f"{subset}.jsonl" if subset else "*.jsonl"
     fields = [f for f in schema.fields if f.name not in ("dataset", "subset")]
-    df = spark.read.schema(T.StructType(fields)).option("pathGlobFilter", glob).json(f"{root}/*/normalized")
+    df = spark.read.schema(T.StructType(fields)).option("pathGlobFilter", glob).json(f"{root}/{dataset or '*'}/normalized")
     where = F.split(F.col("_metadata.file_path"), "/")
     return df.select(
         "*", F.element_at(where, -3).alias("dataset"),
@@ -54,12 +57,17 @@ def scan_named_files(spark: SparkSession, root: str, schema: T.StructType, subse
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "append", partition_by: list[str] | None = None) -> None:
-    """Records as JSON lines: ``append`` for raw and scored ones, ``overwrite`` for aggregates."""
+    """Records as JSON lines: ``append`` for raw and scored ones, ``overwrite`` for aggregates.
+
+    The scans know the written part files by their names.
+    """
     writer = df.write.mode(mode).option("ignoreNullFields", "false")
     if partition_by:
         writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     writer.json(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", "true").csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sort_by: list[str] | None = None) -> None:
+    """A CSV table with a header, its rows ordered through all files if ``sort_by`` is given."""
+    ordered = df.orderBy(*sort_by) if sort_by else df
+    ordered.write.mode(mode).option("header", "true").csv(path)

@@ -37,6 +37,7 @@ def drain(stats: DataFrame, name: str = "running") -> DataFrame:
     """
     spark = stats.sparkSession
     path = work_path(spark, name)
+    spark.createDataFrame([], stats.schema).write.parquet(f"{path}/result")  # stays if nothing arrives
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/result")

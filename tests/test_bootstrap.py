@@ -16,58 +16,90 @@ def by_group(df):
     return {r["g"]: r for r in df.collect()}
 
 
-def numpy_ci(values, n=1000, confidence=0.95):
-    """Brute force: one resample after the other from numpy's default generator."""
-    rng = np.random.default_rng(42)
-    means = [np.mean(rng.choice(values, size=len(values), replace=True)) for _ in range(n)]
-    alpha = 1 - confidence
-    return np.percentile(means, 100 * alpha / 2), np.percentile(means, 100 * (1 - alpha / 2))
+def skewed(n, power, seed):
+    """Scores in [0, 1] piled up near 0."""
+    return np.random.default_rng(seed).random(n) ** power
 
 
 GROUPS = {
-    "uniform": np.random.default_rng(21).uniform(0, 1, 400),
-    "normal": np.random.default_rng(22).normal(5, 1, 250),
-    "wide": np.random.default_rng(23).normal(0, 2, 120),
-    "tight": np.random.default_rng(24).normal(10, 0.01, 400),
-    "same": np.full(40, 0.25),
-    "single": np.array([2.5]),
+    "skewed": skewed(700, 4, 1),
+    "ties": np.repeat([0.0, 0.25, 0.5], [50, 130, 70]),
+    "yes_no": (np.arange(300) % 3 == 0).astype(float),
+    "narrow": 0.6 + skewed(260, 2, 2) / 500,
+    "constant": np.full(33, 0.125),
+    "one": np.array([0.75]),
 }
+METHODS = [bootstrap.poisson_ci, bootstrap.multinomial_ci]
 
 
-@pytest.mark.parametrize("method", [bootstrap.poisson_ci, bootstrap.multinomial_ci, bootstrap.seeded_ci])
+@pytest.mark.parametrize("method", METHODS)
 def test_interval_properties(spark, method):
     found = by_group(method(frame(spark, GROUPS), ["g"], ["v"], "id"))
     for g, values in GROUPS.items():
         r = found[g]
-        assert r["n"] == len(values)
-        assert r["mean"] == pytest.approx(values.mean())
-        assert r["ci_lo"] <= r["mean"] + 1e-9 and r["mean"] <= r["ci_hi"] + 1e-9
-    assert found["normal"]["ci_lo"] <= 5.0 <= found["normal"]["ci_hi"]
-    assert found["tight"]["ci_hi"] - found["tight"]["ci_lo"] < 0.1
-    for g in ("same", "single"):
-        assert found[g]["ci_lo"] == pytest.approx(found[g]["mean"])
-        assert found[g]["ci_hi"] == pytest.approx(found[g]["mean"])
-        assert found[g]["std"] == 0.0
-
-
-def test_seeded_equals_numpy_bit_for_bit(spark):
-    found = by_group(bootstrap.seeded_ci(frame(spark, GROUPS), ["g"], ["v"], "id"))
-    for g, values in GROUPS.items():
-        assert (found[g]["ci_lo"], found[g]["ci_hi"]) == numpy_ci(values), g
-
+        assert r["n"] == len(values) and r["mean"] == pytest.approx(values.mean())
+        assert r["ci_lo"] - 1e-9 <= r["mean"] <= r["ci_hi"] + 1e-9
+        if len(set(values)) == 1:
+            assert r["ci_lo"] == pytest.approx(r["ci_hi"]) and r["std"] == 0.0
+        else:  # normal theory: the interval spans 3.92 standard errors
+            assert r["ci_hi"] - r["ci_lo"] == pytest.approx(3.92 * values.std(ddof=1) / len(values) ** 0.5, rel=0.15)
+
+
+def brute_multinomial(values, n_resamples=1000, seed=42):
+    prime, n = (1 << 31) - 1, len(values)
+    means = []
+    for b in range(n_resamples):
+        h = [((i * 1000003 + seed) % prime + (b * 7919) % prime) % prime for i in range(n)]
+        means.append(np.mean([values[(((x * x + 12345) % prime) ** 2 + x) % prime % n] for x in h]))
+    return np.percentile(means, [2.5, 97.5])
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 60])
+@pytest.mark.parametrize("block_rows", [23, 1 << 18])
+def test_multinomial_does_not_depend_on_blocks_or_partitions(spark, partitions, block_rows):
+    groups = {k: GROUPS[k] for k in ("ties", "narrow", "one")} | {None: GROUPS["constant"]}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = by_group(bootstrap.multinomial_ci(frame(spark, groups).repartition(5), ["g"], ["v"], "id", n_resamples=60, block_rows=block_rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for g, values in groups.items():
+        assert (found[g]["ci_lo"], found[g]["ci_hi"]) == pytest.approx(tuple(brute_multinomial(values, 60)), abs=1e-9)
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_a_repeated_row_key_is_an_error(spark, method):
+    df = frame(spark, {"a": [0.1, 0.2, 0.3]}).withColumn("id", F.lit(1).cast("bigint"))
+    with pytest.raises(Exception, match="row key repeats"):
+        method(df, ["g"], ["v"], "id").collect()
+
+
+def test_more_hot_keys_than_partitions(spark, monkeypatch):
+    from ragscale.operators import skew
+    monkeypatch.setattr(skew, "MIN_BLOCK_ROWS", 10)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 5)
+    groups = {f"g{i}": skewed(60, 2, i) for i in range(30)} | {None: skewed(80, 3, 99), "small": [0.5]}
+    df = frame(spark, groups)
+    hot = skew.hot_keys(df, ["g"], 25)
+    assert hot.count() == 31 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain = by_group(bootstrap.poisson_ci(df, ["g"], ["v"], "id", block_rows=10**6))
+    split = by_group(bootstrap.poisson_ci(df, ["g"], ["v"], ["id"], block_rows=25))
+    assert plain.keys() == split.keys() == groups.keys()
+    for g in plain:
+        assert [split[g][c] for c in ("n", "mean", "ci_lo", "ci_hi")] == pytest.approx([plain[g][c] for c in ("n", "mean", "ci_lo", "ci_hi")])
 
-def test_large_groups_leave_the_seeded_stream(spark):
-    found = by_group(bootstrap.seeded_ci(frame(spark, GROUPS), ["g"], ["v"], "id", max_group_rows=300))
-    assert {g for g, r in found.items() if r["method"] == "multinomial"} == {"uniform", "tight"}
-    assert len(found) == len(GROUPS)
 
-
-@pytest.mark.parametrize("method", [bootstrap.poisson_ci, bootstrap.multinomial_ci])
-def test_intervals_are_close_to_numpy(spark, method):
-    found = by_group(method(frame(spark, GROUPS), ["g"], ["v"], "id"))
-    for g in ("uniform", "normal", "wide", "tight"):
-        lo, hi = numpy_ci(GROUPS[g])
-        assert found[g]["ci_hi"] - found[g]["ci_lo"] == pytest.approx(hi - lo, rel=0.2)
+def test_composite_keys_give_real_intervals(spark):
+    """Records identified by several columns, as the README shows; one column alone would repeat."""
+    rows = [("m", "Q4", None, "d", "s", "pass2_loose", f"q{i // 2}", "run", f"2024-01-0{1 + i % 2}", i / 40) for i in range(40)]
+    schema = "model string, quantization string, source string, dataset string, subset string, pass string, query_id string, run_id string, timestamp string, cu double"
+    df = spark.createDataFrame(rows, schema)
+    got = aggregate.aggregate_results(df, ["query_id", "timestamp", "run_id"], ["timestamp", "run_id"], "pass2_loose", "pass3_strict", metrics=["cu"])
+    cu = {r["metric"]: r for r in got.collect()}["cu"]
+    assert cu["ci_hi"] - cu["ci_lo"] > 0.1 and cu["n_queries"] == 40
+    with pytest.raises(Exception, match="row key repeats"):
+        aggregate.aggregate_results(df, "run_id", "timestamp", "pass2_loose", "pass3_strict", metrics=["cu"]).collect()
 
 
 def test_wider_confidence_is_wider(spark):
@@ -77,31 +109,19 @@ def test_wider_confidence_is_wider(spark):
     assert wide["ci_hi"] - wide["ci_lo"] > narrow["ci_hi"] - narrow["ci_lo"]
 
 
-def test_poisson_ignores_salting_order_and_partitions(spark):
-    df = frame(spark, {"big": GROUPS["uniform"], "small": GROUPS["wide"]})
+def test_poisson_ignores_order_and_partitions(spark):
+    df = frame(spark, {"big": GROUPS["skewed"], "small": GROUPS["ties"]})
     plain = by_group(bootstrap.poisson_ci(df, ["g"], ["v"], "id"))
-    salted = by_group(bootstrap.poisson_ci(df.repartition(5).orderBy(F.rand(1)), ["g"], ["v"], "id", block_rows=60))
+    mixed = by_group(bootstrap.poisson_ci(df.repartition(5).orderBy(F.rand(1)), ["g"], ["v"], "id"))
     for g in plain:
         for c in ("mean", "ci_lo", "ci_hi", "std"):
-            assert salted[g][c] == pytest.approx(plain[g][c], abs=1e-12)
-
-
-def test_salted_multinomial_keeps_the_law(spark):
-    df = frame(spark, {"big": GROUPS["uniform"], "small": GROUPS["wide"]})
-    salted = by_group(bootstrap.multinomial_ci(df, ["g"], ["v"], "id", block_rows=60))
-    lo, hi = numpy_ci(GROUPS["uniform"])
-    assert salted["big"]["ci_hi"] - salted["big"]["ci_lo"] == pytest.approx(hi - lo, rel=0.25)
-    sizes = np.array([60, 55, 70, 65, 50])
-    parts = np.array([bootstrap.split_draws(sizes, b, 200, 42, 1) for b in range(5)])
-    assert (parts.sum(axis=0) == 300).all()
-    assert parts.mean(axis=1) == pytest.approx(sizes, rel=0.1)
+            assert mixed[g][c] == pytest.approx(plain[g][c], abs=1e-12)
 
 
 def test_empty_input(spark):
     nothing = frame(spark, {"x": [1.0]}).where("false")
     assert bootstrap.poisson_ci(nothing, ["g"], ["v"], "id").count() == 0
-    with pytest.raises(ValueError):
-        bootstrap.bootstrap_values([])
+    assert bootstrap.multinomial_ci(nothing, ["g"], ["v"], "id").count() == 0
 
 
 def pairs(spark, loose, strict):
@@ -111,14 +131,13 @@ def pairs(spark, loose, strict):
         rows, "id bigint, model string, quantization string, dataset string, subset string, pass string, query_id string, cu double")
 
 
-@pytest.mark.parametrize("loose, strict, mean", [
-    ([0.5, 0.4], [0.8, 0.7], 0.3), ([0.9, 0.8], [0.3, 0.2], -0.6), ([0.6, 0.7], [0.6, 0.7], 0.0),
-    ([0.3, 0.5, 0.7], [0.6, 0.4, 0.9], 0.4 / 3), ([0.5], [0.7], 0.2),
-])
-def test_gap(spark, loose, strict, mean):
-    r = aggregate.preference_gap(pairs(spark, loose, strict), "id").first()
-    assert r["mean"] == pytest.approx(mean, abs=1e-9)
-    assert r["ci_lo"] - 1e-9 <= r["mean"] <= r["ci_hi"] + 1e-9 and r["std"] >= 0
+def test_gap_is_the_mean_difference_of_shared_queries(spark):
+    rng = np.random.default_rng(12)
+    loose, strict = rng.random(37) ** 2, rng.random(29)
+    r = aggregate.preference_gap(pairs(spark, loose.tolist(), strict.tolist()), "id").first()
+    diff = strict - loose[:29]
+    assert r["n"] == 29 and r["mean"] == pytest.approx(diff.mean()) and r["std"] == pytest.approx(diff.std(ddof=1))
+    assert r["ci_lo"] < r["mean"] < r["ci_hi"]
 
 
 def test_gap_last_record_wins_and_nulls_drop(spark):

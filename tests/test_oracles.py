@@ -18,10 +18,13 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+MAY_BE_EMPTY: set[str] = set()  # queries whose right answer on the smallest tables has no rows
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, sf_dir, name):
     ok, note = compare(spark, con, sf_dir, QUERIES[name], SQL.get(name))
-    assert ok or note.endswith("EMPTY"), note
+    assert ok or (name in MAY_BE_EMPTY and note.endswith("EMPTY")), note
 
 
 def test_entry_has_rows(spark):

@@ -23,19 +23,29 @@ def test_kappas(spark):
     assert kappa(same) == linear(same) == 1.0
     assert kappa([(1, 1)] * 5) == linear([(1, 1)] * 5) == 1.0
     mixed = [(0, 0)] * 20 + [(0, 1)] * 5 + [(1, 0)] * 10 + [(1, 1)] * 15
-    assert kappa(mixed, classes=2) == pytest.approx(0.4, abs=1e-4)
-    assert linear(mixed, classes=2) == pytest.approx(kappa(mixed, classes=2), abs=1e-3)
+    assert kappa(mixed) == pytest.approx(0.4, abs=1e-4)
+    assert linear(mixed) == pytest.approx(kappa(mixed), abs=1e-3)
+    far = [(0, 0)] * 10 + [(0, 5)] * 10 + [(5, 0)] * 10 + [(5, 5)] * 10  # labels are what the raters gave, not a range
+    assert kappa(far) == linear(far) == 0.0
+    assert kappa(far + [(None, None)] * 10) > 0
+    three = [(0, 0)] * 6 + [(1, 2)] * 3 + [(7, 1)] * 2 + [(2, 2)] * 4 + [(7, 7)]
+    labels = sorted({v for p in three for v in p})
+    share = lambda i, v: sum(p[i] == v for p in three) / len(three)
+    chance = sum(share(0, a) * share(1, b) * abs(a - b) for a in labels for b in labels)
+    assert linear(three) == pytest.approx(1 - sum(abs(a - b) for a, b in three) / len(three) / chance, abs=1e-3)
+    grid = agreement.confusion_matrix(cells(spark, three), ["metric"]).collect()
+    assert len(grid) == 16 and sum(r["n"] for r in grid) == len(three)
     assert agreement.cohens_kappa(cells(spark, mixed).where("false"), []).first()["kappa"] == 0.0
     assert agreement.linear_kappa(cells(spark, mixed).where("false"), []).first()["kappa"] == 0.0
     assert agreement.raw_agreement(cells(spark, mixed), ["metric"]).first()["raw_agreement"] == "35/50"
-    assert agreement.confusion_matrix(cells(spark, mixed), ["metric"]).count() == 9
+    assert agreement.confusion_matrix(cells(spark, mixed), ["metric"]).count() == 4
 
 
 def test_bin_edges(spark):
-    df = spark.createDataFrame([(v,) for v in (0.0, 0.33, 0.34, 0.66, 0.67, 1.0)], "v double")
+    df = spark.createDataFrame([(v,) for v in (0.0, 0.33, 0.34, 0.66, 0.67, 1.0, None)], "v double")
     rows = df.select(discretize_closed(F.col("v")).alias("c"), discretize_open(F.col("v")).alias("o")).collect()
-    assert [r["c"] for r in rows] == [0, 0, 1, 1, 2, 2]
-    assert [r["o"] for r in rows] == [0, 1, 1, 1, 2, 2]
+    assert [r["c"] for r in rows] == [0, 0, 1, 1, 2, 2, None]
+    assert [r["o"] for r in rows] == [0, 1, 1, 1, 2, 2, None]
 
 
 def test_stratified_sample_is_exact_and_stable(spark):
@@ -181,13 +191,72 @@ def test_determinism(spark):
 def test_hot_keys_are_bounded_and_split(spark):
     df = spark.range(4000).withColumn("k", F.when(F.col("id") < 2500, 0).otherwise(F.col("id")))
     hot = skew.hot_keys(df, ["k"], block_rows=500)
-    assert [r["k"] for r, _ in hot] == [0]
+    assert [r["k"] for r in hot.collect()] == [0]
     spread = skew.with_salt(df, ["k"], hot, "id")
     assert spread.count() == 4000
-    assert spread.where("k = 0").select("_salt").distinct().count() == hot[0][1] >= 5
+    assert spread.where("k = 0").select("_salt").distinct().count() == hot.first()["n_blocks"] >= 5
     assert spread.where("k <> 0").select("_salt").distinct().count() == 1
 
 
+def test_null_keys_stay(spark):
+    df = spark.createDataFrame([(None, "a", 1), ("x", None, 2), (None, None, 3)], "k string, query_id string, n int")
+    assert incremental.remaining_work(df, df.where("n = 1"), ["k"]).count() == 2
+    census = quality.error_census(df.withColumn("error", F.lit("timeout")), ["k"])
+    assert {(r["k"], r["n_records"]) for r in census.collect()} == {(None, 2), ("x", 1)}
+    assert skew.join_same(df, df.select("k", F.lit(1).alias("one")).distinct(), ["k"]).count() == 3
+
+
+def test_grid_is_the_whole_product(spark):
+    queries = spark.createDataFrame([(f"q{i}", "s" if i % 2 else None) for i in range(9)], "query_id string, subset string")
+    configs = spark.createDataFrame([("m", "Q4"), ("m", None)], "model string, quantization string")
+    policy = spark.createDataFrame([("s", ["p1", "p2"])], "subset string, passes array<string>")
+    grid = incremental.experiment_grid(queries, configs, policy, ["p1"])
+    assert grid.count() == 2 * (4 * 2 + 5) and grid.where("quantization is null").count() == 13
+
+
+def points(spark, means, width=0.01, model="m"):
+    rows = [(model, q, float(m), m - width, m + width) for q, m in zip(["Q3", "Q4", "FP16"], means)]
+    return spark.createDataFrame(rows, "model string, quantization string, mean double, ci_lo double, ci_hi double")
+
+
+@pytest.mark.parametrize("means, width, pattern", [
+    ([0.5002, 0.5001, 0.5], 0.2, "resilient"), ([0.9, 0.7, 0.5], 0.01, "gullible"), ([0.1, 0.3, 0.5], 0.01, "stubborn"),
+    ([0.3, 0.8, 0.5], 0.01, "inverted_u"), ([0.52, 0.51, 0.5], 0.004, "gullible"), ([0.9, 0.4, 0.5], 0.01, "indeterminate"),
+])
+def test_patterns_go_by_intervals(spark, means, width, pattern):
+    found = curves.curve_pattern(points(spark, means, width), ["model"], ["Q3", "Q4", "FP16"]).first()
+    assert found["pattern"] == pattern
+
+
+def test_a_model_in_two_pairs(spark):
+    df = points(spark, [1, 2, 3], model="a").union(points(spark, [2, 2, 2], model="b")).union(points(spark, [5, 5, 5], model="c"))
+    assert curves.cross_pairs(df, [("a", "b"), ("a", "c"), ("b", "a")], ["quantization"]).count() == 9
+
+
+def test_cells_of_a_report(spark):
+    from ragscale.functions.scoring import interval_text
+    df = spark.createDataFrame([(0.5, 0.25, 0.75), (0.5, float("nan"), float("nan")), (None, None, None)], "m double, a double, b double")
+    assert [r[0] for r in df.select(interval_text(F.col("m"), F.col("a"), F.col("b"))).collect()] == ["0.500 [0.250, 0.750]", "0.500 [nan, nan]", "N/A"]
+
+
+def test_csv_is_ordered_and_other_json_is_no_record(spark, tmp_path):
+    df = spark.createDataFrame([(i % 3, f"k{i}") for i in range(30)], "g int, k string")
+    jsonl.write_csv(df, str(tmp_path / "csv"), sort_by=["g", "k"])
+    back = [tuple(r) for r in spark.read.option("header", "true").csv(str(tmp_path / "csv")).coalesce(1).collect()]
+    assert sorted(back) == back and len(back) == 30
+    jsonl.write_jsonl(df, str(tmp_path / "in"))
+    (tmp_path / "in" / "manifest.json").write_text('{"g": 1, "k": "stray"}')
+    assert jsonl.scan_jsonl(spark, str(tmp_path / "in"), df.schema).count() == 30
+
+
+def test_drain_without_data(spark, tmp_path):
+    from ragscale.streaming import ingest
+    (tmp_path / "none").mkdir()
+    schema = "model string, quantization string, dataset string, subset string, pass string, query_id string, cu double"
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "none"))
+    assert ingest.drain(ingest.running_stats(stream, ["query_id"])).count() == 0
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     from ragscale.streaming import ingest
     rows = [("m", "q", "d", "s", "p", str(i), i / 100) for i in range(50)]

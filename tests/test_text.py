@@ -200,3 +200,31 @@ def test_context_is_ordered_by_rank(spark):
     queries = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
     got = {r[0]: r[1] for r in context.with_context(queries, context.gather_context(found, chunks)).collect()}
     assert got == {1: ["B", "A"], 2: ["C"], 3: None}
+
+
+def test_null_samples_keep_their_chunks(spark):
+    from ragscale.operators import chunking
+    rows = [("d", "s", None, 0, "a b"), ("d", "s", "x", 0, "c"), ("d", None, "y", 0, "e f")]
+    df = spark.createDataFrame(rows, "dataset string, subset string, sample_id string, passage int, text string")
+    got = {(r["text"], r["chunk_id"]) for r in chunking.number_chunks(df).collect()}
+    assert got == {("a b", "d_s_chunk_0"), ("c", "x_chunk_1"), ("e f", "y_chunk_0")}
+    named = chunking.sample_ids(df, ["text"]).collect()
+    assert all(r["sample_id"] for r in named) and sum(r["sample_id"].startswith("d_s_") for r in named) == 1
+
+
+def test_missing_vectors_match_nothing(spark):
+    from ragscale.operators import vectors
+    chunks = spark.createDataFrame([(i, [float(i), 1.0] if i % 2 else None) for i in range(8)], "chunk_id int, embedding array<double>")
+    queries = spark.createDataFrame([(0, [3.0, 1.0]), (1, None)], "query_id int, embedding array<double>")
+    got = vectors.topk_vectors(queries, chunks, k=2, metric="l2").collect()
+    assert [(r["query_id"], r["chunk_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 3), (0, 1)]
+    bad = chunks.where("embedding is not null").union(spark.createDataFrame([(99, [1.0])], chunks.schema))
+    with pytest.raises(Exception, match="same length"):
+        vectors.topk_vectors(queries, bad, k=2).collect()
+
+
+def test_collection_names_with_signs(spark):
+    from ragscale.operators import collections
+    names = spark.createDataFrame([("core",)], "name string")
+    catalog = spark.createDataFrame([("it's.core+v(1)",)], "actual string")
+    assert collections.resolve_collections(names, catalog, "it's.", "+v(").first()["actual"] == "it's.core+v(1)"
