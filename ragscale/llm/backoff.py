@@ -27,12 +27,26 @@ KEY_BITS = 48  # that tell n-grams of one hash partition apart; partitions grow
 
 
 def planes(values: np.ndarray) -> bytes:
-    """64-bit values by byte position: sorted keys and small counts compress well that way."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Non-negative numbers by byte position, as many positions as the largest needs; the first byte says how many."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
 
 
 def unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    width = data[0]
+    flat = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((flat.shape[1], 8), np.uint8)
+    out[:, :width] = flat.T
+    return out.view("<u8").ravel()
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences, which need fewer bytes."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unstepped(data: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(data), dtype=np.uint64)
 
 
 def blocks(docs: DataFrame, keep: list[str], text: str, block_bytes: int) -> tuple[DataFrame, str]:
@@ -129,7 +143,7 @@ def questions(stored: DataFrame, order: int, parts: int) -> DataFrame:
                 ends = np.append(cut[1:], len(keys))
                 keys &= np.uint64((1 << bits) - 1)
                 yield pa.record_batch(
-                    [pa.array(np.full(len(cut), block, np.int64)), pa.array(part[cut].astype(np.int64)), pa.array([planes(keys[a:b]) for a, b in zip(cut, ends)], pa.binary()), pa.array([planes(counts[a:b]) for a, b in zip(cut, ends)], pa.binary())],
+                    [pa.array(np.full(len(cut), block, np.int64)), pa.array(part[cut].astype(np.int64)), pa.array([steps(keys[a:b]) for a, b in zip(cut, ends)], pa.binary()), pa.array([planes(counts[a:b]) for a, b in zip(cut, ends)], pa.binary())],
                     names=["block", "part", "keys", "counts"],
                 )
 
@@ -140,7 +154,7 @@ def answers(asked: DataFrame) -> DataFrame:
     """``block, part, totals``: corpus counts of the n-grams each block asked a partition for, in the question's order."""
 
     def count(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([unplaned(k.as_py()) for k in table.column("keys")])
+        keys = np.concatenate([unstepped(k.as_py()) for k in table.column("keys")])
         own = [unplaned(c.as_py()).astype(np.int64) for c in table.column("counts")]
         ends = np.cumsum([len(c) for c in own])
         order = np.argsort(keys)

@@ -3,9 +3,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from ragscale.llm.backoff import backoff_scores
+from ragscale.llm.backoff import backoff_scores, planes, steps, unplaned, unstepped
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,3 +62,12 @@ def test_no_documents(spark):
     assert backoff_scores(spark.createDataFrame([], "doc_id int, text string"), ["doc_id"]).collect() == []
     only = backoff_scores(spark.createDataFrame([(1, "a b")], "doc_id int, text string"), ["doc_id"]).collect()
     assert (only[0].n_words, only[0].n_unseen) == (2, 2)
+
+
+def test_bytes_round_trip():
+    rng = np.random.default_rng(1)
+    for top in (1, 255, 256, 1 << 40, (1 << 63) - 1):
+        values = rng.integers(0, top, 50).astype(np.uint64)
+        assert unplaned(planes(values)).tolist() == values.tolist()
+        assert unstepped(steps(np.sort(values))).tolist() == sorted(values.tolist())
+    assert unplaned(planes(np.zeros(0, np.uint64))).tolist() == []
