@@ -52,6 +52,26 @@ def config_heads(df: DataFrame, order_by: str | list[str], keys: list[str] = CON
         F.min_by("source", "_first").alias("source"))
 
 
+def stats_and_heads(df: DataFrame, order_by: str | list[str], keys: list[str], metrics: list[str]) -> DataFrame:
+    """``metric_stats`` of every configuration with its first record's source and mean cu, from one read.
+
+    Moments are taken per configuration and source and then put together, so the aggregation over all
+    records stays hash-based.
+    """
+    source = F.coalesce(F.col("source"), F.lit("local")).alias("source")
+    value = {m: or_zero(F.col(m).cast("double")) for m in metrics}
+    cells = df.groupBy(*keys, source).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(order_of(order_by)).alias("_first"), F.sum(or_zero(F.col("cu"))).alias("_cu"),
+        *[c for m, v in value.items() for c in (F.avg(v).alias(f"_m_{m}"), F.var_pop(v).alias(f"_v_{m}"))])
+    n = F.sum("_n")
+    out = []
+    for m in metrics:
+        mean = F.sum(F.col("_n") * F.col(f"_m_{m}")) / n
+        square = F.sum(F.col("_n") * (F.col(f"_v_{m}") + F.col(f"_m_{m}") * F.col(f"_m_{m}"))) - n * mean * mean
+        out += [mean.alias(f"{m}__mean"), F.when(n > 1, F.sqrt(F.greatest(square, F.lit(0.0)) / (n - 1))).otherwise(0.0).alias(f"{m}__std")]
+    return cells.groupBy(*keys).agg(n.alias("n"), F.min_by("source", "_first").alias("source"), (F.sum("_cu") / n).alias("_cu_mean"), *out)
+
+
 def config_aggregate(
     df: DataFrame, order_by: str | list[str], keys: list[str] = CONFIG_KEY, metrics: list[str] = METRICS,
 ) -> DataFrame:
@@ -120,11 +140,14 @@ def aggregate_results(
     """The study's aggregated result, one row per configuration and metric (gap included).
 
     ``row_key`` identifies a record inside its configuration and ``order_by`` orders records totally; both may be
-    several columns. Null configuration keys are keys like any other.
+    several columns. Null configuration keys are keys like any other. The records are read three times: for the
+    statistics, for the bootstrap and for pairing the passes.
     """
-    stats = poisson_ci(df, CONFIG_KEY, metrics, row_key, n_resamples, confidence)
-    heads = config_heads(df, order_by).withColumn(
-        "capability_degraded", degraded_flag(F.col("pass"), F.col("_cu_mean"), strict=strict))
+    found = materialize(stats_and_heads(df, order_by, CONFIG_KEY, metrics), "configs")
+    heads = found.select(
+        *CONFIG_KEY, "source", F.col("n").alias("n_queries"),
+        degraded_flag(F.col("pass"), F.col("_cu_mean"), strict=strict).alias("capability_degraded"))
+    stats = poisson_ci(df, CONFIG_KEY, metrics, row_key, n_resamples, confidence, stats=found.drop("source", "_cu_mean"))
     gaps = preference_gap(df, order_by, "cu", loose, strict, n_resamples=n_resamples, confidence=confidence)
     gap_rows = attach_gap(heads.select(*CONFIG_KEY), gaps, strict).select(
         *CONFIG_KEY, F.lit(GAP_METRIC).alias("metric"),
@@ -146,7 +169,13 @@ def nest_aggregated(rows: DataFrame) -> DataFrame:
              "capability_degraded")
 
 
+def unnest_aggregated(records: DataFrame) -> DataFrame:
+    """Nested aggregated records as one row per configuration and metric again."""
+    keys = ["model", "quantization", "source", "dataset", "subset", "pass", "n_queries", "capability_degraded"]
+    return records.select(*keys, F.explode("metrics").alias("metric", "_s")).select(*keys, "metric", "_s.*")
+
+
 __all__ = [
     "aggregate_results", "attach_gap", "config_aggregate", "degraded_flag", "judge_to_short", "metric_stats",
-    "nest_aggregated", "paired_passes", "preference_gap", "scores_to_short", "unpivot_metrics",
+    "nest_aggregated", "paired_passes", "preference_gap", "scores_to_short", "unnest_aggregated", "unpivot_metrics",
 ]

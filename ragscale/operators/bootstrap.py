@@ -209,8 +209,7 @@ def metric_stats(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
     return df.groupBy(*keys).agg(*aggs)
 
 
-def _finish(df: DataFrame, keys: list[str], metrics: list[str], bounds: DataFrame) -> DataFrame:
-    stats = metric_stats(df, keys, metrics)
+def _finish(stats: DataFrame, keys: list[str], metrics: list[str], bounds: DataFrame) -> DataFrame:
     rows = [
         F.struct(
             F.lit(m).alias("metric"),
@@ -241,22 +240,25 @@ def _prepare(df: DataFrame, keys: list[str], metrics: list[str], row: Column) ->
 def poisson_ci(
     df: DataFrame, keys: list[str], metrics: list[str], row_key: str | list[str],
     n_resamples: int = BOOTSTRAP_RESAMPLES, confidence: float = CONFIDENCE_LEVEL,
-    seed: int = BOOTSTRAP_SEED, block_rows: int = BLOCK_ROWS,
+    seed: int = BOOTSTRAP_SEED, block_rows: int = BLOCK_ROWS, stats: DataFrame | None = None,
 ) -> DataFrame:
     """``(keys, n, metric, mean, ci_lo, ci_hi, std)`` by the Poisson bootstrap.
 
     A missing metric counts as 0.0. ``row_key`` (one or several columns) identifies a
     row inside its group; its hash drives the weights, so the same rows give the same
-    interval in any order. A key that repeats inside a group raises.
+    interval in any order. A key that repeats inside a group raises. ``stats`` (as of
+    ``metric_stats``, written) saves computing them, which is the first of two reads.
     """
     data = _prepare(df, keys, metrics, stable_key(row_key_text(row_key)))
-    hot = hot_keys(df, keys, block_rows)
+    if stats is None:
+        stats = materialize(metric_stats(data, keys, metrics), "stats")
+    hot = hot_keys(df, keys, block_rows, stats.select(*keys, F.col("n").alias("n_rows")))
 
     def sums_of(row_keys, n_rows, values):
         return _poisson_sums(row_keys, values, n_resamples, seed)
 
     salted = with_salt(data, keys, hot, "_row").withColumn("_n", F.lit(0).cast("bigint"))
-    return _finish(data, keys, metrics, _resample(salted, keys, metrics, hot is not None, sums_of, confidence))
+    return _finish(stats, keys, metrics, _resample(salted, keys, metrics, hot is not None, sums_of, confidence))
 
 
 def dense_positions(df: DataFrame, keys: list[str], order: str, position: str = "_pos", size: str = "_n") -> DataFrame:
@@ -298,4 +300,5 @@ def multinomial_ci(
         return _draw_sums(positions, values, n_rows, n_resamples, seed)
 
     split = bool(data.where(F.col("_n") > block_rows).take(1))
-    return _finish(data, keys, metrics, _resample(salted, keys, metrics, split, sums_of, confidence))
+    bounds = _resample(salted, keys, metrics, split, sums_of, confidence)
+    return _finish(metric_stats(data, keys, metrics), keys, metrics, bounds)

@@ -9,7 +9,7 @@ from ragscale.operators.skew import is_small, join_same, with_dimension
 
 def remaining_work(todo: DataFrame, done: DataFrame, key: list[str], query: str = "query_id") -> DataFrame:
     """Work items whose full key is not in the output; blank ids never count as done."""
-    finished = done.where(F.col(query).isNotNull() & (F.col(query) != "")).select(*key, query).distinct()
+    finished = done.where(F.col(query).isNotNull() & (F.col(query).cast("string") != "")).select(*key, query).distinct()
     return join_same(todo, finished, [*key, query], "left_anti")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ragscale.operators.skew import join_same
-from ragscale.schemas import CONFIG_KEY, PASSES, PROVIDERS, SCORE_FIELDS, SOURCES
+from ragscale.schemas import CONFIG_KEY, GAP_METRIC, METRICS, PASSES, PROVIDERS, SCORE_FIELDS, SOURCES
 
 # JSON types each field of a raw record may have.
 RAW_TYPES = {
@@ -86,6 +86,37 @@ def aggregated_violations(df: DataFrame) -> DataFrame:
     return df.withColumn("violations", F.array_compact(F.array(*rules)))
 
 
+# JSON types each field of an aggregated record may have.
+AGGREGATED_TYPES = {
+    "model": ["STRING"], "quantization": ["STRING"], "source": ["STRING"], "dataset": ["STRING"], "subset": ["STRING"], "pass": ["STRING"],
+    "n_queries": ["BIGINT"], "metrics": ["OBJECT"], "capability_degraded": ["BOOLEAN"],
+}
+
+
+def aggregated_record_violations(lines: DataFrame, text: str = "line", names: list[str] | None = None) -> DataFrame:
+    """Adds ``violations``: the contract rules an aggregated JSON record breaks, its exact set of metrics included."""
+    names = names or [*METRICS, GAP_METRIC]
+    doc = F.col("_doc")
+    parsed = lines.withColumn("_doc", F.try_parse_json(F.col(text)))
+    typed = parsed.withColumn("_top", _kinds(doc, "$")).withColumn("_metrics", _kinds(doc, "$.metrics"))
+    have = F.map_keys("_metrics")
+    found = [_type_rules(F.col("_top"), AGGREGATED_TYPES)]
+    found.append(F.transform(F.array_except(F.array(*map(F.lit, names)), have), lambda m: F.concat(F.lit("missing:metrics."), m)))
+    found.append(F.transform(F.array_except(have, F.array(*map(F.lit, names))), lambda m: F.concat(F.lit("unknown:metrics."), m)))
+    stats = F.from_json(F.get_json_object(F.col(text), "$.metrics"), "map<string, struct<mean: double, ci_lo: double, ci_hi: double, std: double>>")
+    entries = F.map_entries(F.col("_stats"))
+    typed = typed.withColumn("_stats", stats)
+    incomplete = F.filter(entries, lambda e: e["value"]["mean"].isNull() | e["value"]["ci_lo"].isNull() | e["value"]["ci_hi"].isNull() | e["value"]["std"].isNull())
+    crossed = F.filter(entries, lambda e: (e["value"]["ci_lo"] > e["value"]["mean"]) | (e["value"]["mean"] > e["value"]["ci_hi"]))
+    found.append(F.transform(incomplete, lambda e: F.concat(F.lit("stats:"), e["key"])))
+    found.append(F.transform(crossed, lambda e: F.concat(F.lit("order:"), e["key"])))
+    count = F.try_variant_get(doc, "$.n_queries", "bigint")
+    found.append(F.array(F.when(count <= 0, F.lit("value:n_queries"))))
+    whole = F.array_compact(F.concat(*[F.coalesce(f, F.array().cast("array<string>")) for f in found]))
+    checked = typed.withColumn("violations", F.when(F.col("_top").isNull(), F.array(F.lit("malformed"))).otherwise(whole))
+    return checked.drop("_doc", "_top", "_metrics", "_stats")
+
+
 def violation_counts(checked: DataFrame) -> DataFrame:
     # explode_outer: a plain explode would copy the whole rule set into a filter below it
     rules = checked.select(F.explode_outer("violations").alias("rule")).where("rule is not null")

@@ -9,8 +9,8 @@ from ragscale.operators.skew import spread
 from ragscale.plans.catalog import query, r6, rounded, table
 from ragscale.plans.curves import ROLES, role_table
 from ragscale.plans.evalview import ev, eval_records
-from ragscale.plans.statistics import KEYS
-from ragscale.schemas import CONFIG_KEY, ERROR_CATEGORIES, JUDGE_NAME, METRICS, RAW_RECORD, SCORE_FIELDS, SHORT_NAME
+from ragscale.plans.statistics import AGGREGATED_SQL, KEYS, results
+from ragscale.schemas import AGGREGATED_RECORD, CONFIG_KEY, ERROR_CATEGORIES, JUDGE_NAME, METRICS, RAW_RECORD, SCORE_FIELDS, SHORT_NAME
 from ragscale.session import work_path
 from ragscale.sources import jsonl, records, registry
 from ragscale.streaming import ingest
@@ -173,6 +173,44 @@ def _(spark, sf_dir):
     return quality.violation_counts(quality.raw_violations(lines))
 
 
+_SPOILT = {  # which derived aggregates are spoilt, and how
+    "missing:model": "h % 11 = 0", "type:n_queries": "h % 13 = 0", "value:n_queries": "h % 13 <> 0 and h % 17 = 0",
+    "missing:metrics.sk": "h % 7 = 0", "unknown:metrics.speed": "h % 5 = 0", "stats:cu": "h % 3 = 0", "order:cu": "h % 3 = 1 and h % 2 = 0",
+}
+_HASHED = "user_id % 100003 as h"
+
+
+@query("aggregated_violations", f"with u as (select {_HASHED} from events) " + " union all ".join(
+    f"select '{rule}' as rule, count(*) as n from u where {when} having count(*) > 0" for rule, when in _SPOILT.items()))
+def _(spark, sf_dir):
+    def stat(mean: str) -> str:
+        return f'{{"mean":{mean},"ci_lo":0.25,"ci_hi":0.75,"std":0.125}}'
+
+    breaks = lambda rule: F.expr(_SPOILT[rule])
+    metrics = [F.concat(F.lit(f'"{m}":'), F.lit(stat("0.5"))) for m in [*METRICS, "preference_gap"] if m not in ("cu", "sk")]
+    cu = F.when(breaks("stats:cu"), F.lit(stat("null"))).when(breaks("order:cu"), F.lit(stat("0.875"))).otherwise(F.lit(stat("0.5")))
+    metrics += [
+        F.concat(F.lit('"cu":'), cu), F.when(~breaks("missing:metrics.sk"), F.lit('"sk":' + stat("0.5"))),
+        F.when(breaks("unknown:metrics.speed"), F.lit('"speed":' + stat("0.5"))),
+    ]
+    parts = [
+        F.when(~breaks("missing:model"), F.lit('"model":"m"')), F.lit('"quantization":"Q4","source":"local","dataset":"d","subset":"s","pass":"pass1"'),
+        F.concat(F.lit('"n_queries":'), F.when(breaks("type:n_queries"), F.lit('"several"')).when(breaks("value:n_queries"), F.lit("0")).otherwise(F.lit("9"))),
+        F.concat(F.lit('"metrics":{'), F.concat_ws(",", *metrics), F.lit("}")), F.lit('"capability_degraded":false'),
+    ]
+    hashed = spread(table(spark, sf_dir, "events"), "event_id").selectExpr(_HASHED)
+    lines = hashed.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("line"))
+    return quality.violation_counts(quality.aggregated_record_violations(lines))
+
+
+@query("aggregated_roundtrip", AGGREGATED_SQL)
+def _(spark, sf_dir):
+    path = work_path(spark, "aggregated")
+    jsonl.write_jsonl(aggregate.nest_aggregated(results(spark, sf_dir)), path, "overwrite")
+    rows = aggregate.unnest_aggregated(jsonl.scan_jsonl(spark, path, AGGREGATED_RECORD))
+    return rounded(rows)
+
+
 _ERR = "case when model = 'error' then case cents % 6 " + " ".join(
     f"when {i} then '{c}'" for i, c in enumerate(ERROR_CATEGORIES)) + " end end"
 

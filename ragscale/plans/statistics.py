@@ -49,8 +49,10 @@ res as (select r.*, source, n_queries, capability_degraded from res_rows r join
   on {" and ".join(f"r.{k} = h.{k}" for k in CONFIG_KEY)})"""
 
 
-@query("aggregate_results", ev(f", {results_cte()} select {KEYS}, source, n_queries, metric, {LONG}, capability_degraded from res")
-       .replace(") ,", "),", 1))
+AGGREGATED_SQL = ev(f", {results_cte()} select {KEYS}, source, n_queries, metric, {LONG}, capability_degraded from res").replace(") ,", "),", 1)
+
+
+@query("aggregate_results", AGGREGATED_SQL)
 def _(spark, sf_dir):
     return rounded(results(spark, sf_dir))
 
@@ -318,7 +320,7 @@ def _(spark, sf_dir):
     return incremental.remaining_work(work.drop("cents").distinct(), work.where("cents < 5000"), CONFIG_KEY)
 
 
-_FLAG_ROWS = "select l_returnflag as flag, l_orderkey * 10 + l_linenumber as k, l_quantity::double as v from lineitem"
+_FLAG_ROWS = "select case when event_id % 10 < 9 then 'most' end as flag, event_id as k, value::double as v from events"
 
 
 @query("bootstrap_ci_exact_large", f"""
@@ -328,13 +330,13 @@ draws as (select flag, b, ((i * 1000003 + 42) % 2147483647 + (b * 7919) % 214748
   from sizes, range((select max(n) from sizes)) t(i), range(100) s(b) where i < n),
 h1 as (select *, (h0 * h0 + 12345) % 2147483647 as h1 from draws),
 picked as (select flag, b, ((h1 * h1 + h0) % 2147483647) % n as pos from h1),
-reps as (select p.flag, b, avg(v) as m from picked p join vals v on p.flag = v.flag and p.pos = v.pos group by 1, 2),
+reps as (select p.flag, b, avg(v) as m from picked p join vals v on p.flag is not distinct from v.flag and p.pos = v.pos group by 1, 2),
 ci as (select flag, quantile_cont(m, 0.025) as ci_lo, quantile_cont(m, 0.975) as ci_hi from reps group by 1),
 st as (select flag, count(*) as n, avg(v) as mean, coalesce(stddev_samp(v), 0.0) as std from vals group by 1)
-select st.flag, n, 'v' as metric, {LONG} from st join ci on st.flag = ci.flag""")
+select st.flag, n, 'v' as metric, {LONG} from st join ci on st.flag is not distinct from ci.flag""")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag as flag", "l_orderkey * 10 + l_linenumber as k", "double(l_quantity) as v")
-    return rounded(bootstrap.multinomial_ci(rows, ["flag"], ["v"], "k", n_resamples=100, block_rows=5000))
+    rows = table(spark, sf_dir, "events").selectExpr("case when event_id % 10 < 9 then 'most' end as flag", "event_id as k", "double(value) as v")
+    return rounded(bootstrap.multinomial_ci(rows, ["flag"], ["v"], "k", n_resamples=100, block_rows=1000))
 
 
 # --- determinism ---------------------------------------------------------------------------

@@ -216,11 +216,31 @@ def _(spark, sf_dir):
     return rounded(found.select("query_id", "chunk_id", "score", "rank"))
 
 
-@query("topk_ann_recall")
+CELLS, PROBES = 16, 6
+
+
+def _ann_sql() -> str:
+    """Pivots by md5 order, every chunk in its nearest pivot's cell, every query in the cells of its nearest pivots."""
+    unit = "list_transform(embedding, lambda x: x::double / len)"
+    apart = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    norm = "sqrt(" + _dot("embedding", "embedding") + ")"
+    return f"""with u as (select vec_id, {unit} as v from (select *, {norm} as len from embeddings)),
+p as (select row_number() over (order by ('0x' || substr(md5(cast(vec_id as varchar)), 1, 15))::bigint, vec_id) - 1 as cell, v from u
+  qualify cell < {CELLS}),
+d as (select u.vec_id, p.cell, row_number() over (partition by u.vec_id order by round({apart("u.v", "p.v")}, 12), p.cell) as near from u, p),
+s as (select q.vec_id as query_id, c.vec_id as chunk_id, round({_dot("q.v", "c.v")}, 9) as score from u q, u c),
+e as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from s qualify r <= 5),
+a as (select s.* from s join d c on c.vec_id = s.chunk_id and c.near = 1 join d q on q.vec_id = s.query_id and q.cell = c.cell and q.near <= {PROBES}),
+n as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from a qualify r <= 5)
+select e.query_id, count(*) as n_exact, count(n.chunk_id) as n_found, {r6("count(n.chunk_id) / count(*)::double", "recall")}
+from e left join n on n.query_id = e.query_id and n.chunk_id = e.chunk_id group by 1"""
+
+
+@query("topk_ann_recall", _ann_sql())
 def _(spark, sf_dir):
     queries, chunks = vector_sides(spark, sf_dir)
     exact = vectors.topk_vectors(queries, chunks)
-    near = vectors.topk_vectors(queries, chunks, cells=16, nprobe=6)
+    near = vectors.topk_vectors(queries, chunks, cells=CELLS, nprobe=PROBES)
     return rounded(vectors.recall_at_k(exact, near, "query_id", "chunk_id"))
 
 
@@ -247,6 +267,24 @@ def _(spark, sf_dir):
     return rounded(found.select("query_id", "chunk_id", "score", "rank"))
 
 
+def _by_collection(bm25: str) -> str:
+    """The same scores with counts, lengths and frequencies of each query's collection."""
+    return bm25.replace("select chunk_id, " + _tokens_sql("text"), "select chunk_id, doc_id % 3 as g, " + _tokens_sql("text")) \
+        .replace("st as (select count(*) as n", "st as (select g, count(*) as n").replace("avgdl from ct)", "avgdl from ct group by 1)") \
+        .replace("select chunk_id, len as dl, tok, count(*) as tf from (select chunk_id, len(t)", "select chunk_id, g, len as dl, tok, count(*) as tf from (select chunk_id, g, len(t)") \
+        .replace("from ct) group by 1, 2, 3)", "from ct) group by 1, 2, 3, 4)").replace("select tok, count(*) as df from tf group by 1", "select g, tok, count(*) as df from tf group by 1, 2") \
+        .replace("from q join tf on q.tok = tf.tok join df on df.tok = q.tok, st group by", "from q join tf on q.tok = tf.tok and q.item_id % 3 = tf.g join df on df.tok = q.tok and df.g = tf.g join st on st.g = tf.g group by")
+
+
+@query("topk_lexical_by_collection", f"""with {_by_collection(BM25)}
+select item_id as query_id, chunk_id, {r6("score", "score")}, rank::int as rank from top""")
+def _(spark, sf_dir):
+    queries = passages_as_queries(spark, sf_dir, "query_id", "query").withColumn("g", F.col("query_id") % 3)
+    chunks = doc_chunks(spark, sf_dir).withColumn("g", F.col("doc_id") % 3)
+    found = lexical.bm25_topk(queries, chunks, by=["g"])
+    return rounded(found.select("query_id", "chunk_id", "score", "rank"))
+
+
 @query("retrieve_and_prompt", f"""with {BM25}, ctx as (select item_id, count(*) as n_chunks,
   array_to_string(list(dc.text order by rank), chr(10) || chr(10)) as c from top join dc on top.chunk_id = dc.chunk_id group by 1)
 select b.item_id as query_id, coalesce(n_chunks, 0) as n_chunks, case when c is not null then

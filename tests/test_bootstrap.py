@@ -171,3 +171,22 @@ def test_aggregated_records_meet_the_contract(spark):
     assert set(records["pass3"]["metrics"]) == {*METRICS, "preference_gap"}
     assert records["pass3"]["capability_degraded"] and not records["pass2"]["capability_degraded"]
     assert records["pass1"]["metrics"]["preference_gap"]["std"] == 0.0 and records["pass1"]["source"] == "local"
+
+
+def test_records_are_read_three_times(spark, tmp_path):
+    """Counted by the rows that leave the file scans; written intermediates are other files."""
+    rng = np.random.default_rng(8)
+    rows = [("m", f"Q{i % 4}", "d", "s", f"pass{2 + i % 2}", None, i // 2, i, float(rng.random())) for i in range(4000)]
+    schema = "model string, quantization string, dataset string, subset string, pass string, source string, query_id int, id int, cu double"
+    path = str(tmp_path / "records")
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.read.parquet(path).mapInArrow(counted, schema)
+    assert aggregate.aggregate_results(df, "id", "id", metrics=["cu"]).count() > 0
+    assert read.value == 3 * 4000

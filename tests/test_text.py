@@ -187,12 +187,6 @@ def test_claim_scores(spark):
     assert all(v == 0.0 for k, v in got[2].asDict().items() if k != "id")
 
 
-def test_verbatim_containment(spark):
-    rows = [("Big cats", "see the  BIG\ncats run", True), ("big cat", "see the big cats", False), ("x", "x", True)]
-    df = spark.createDataFrame(rows, "c string, t string, want boolean")
-    assert all(r["got"] == r["want"] for r in df.select("want", lexical.contained(F.col("c"), F.col("t")).alias("got")).collect())
-
-
 def test_context_is_ordered_by_rank(spark):
     from ragscale.operators import context
     found = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (2, "c", 1)], "query_id int, chunk_id string, rank int")
