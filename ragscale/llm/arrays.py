@@ -27,9 +27,20 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             to = int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
+            give_back()
             at = to
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system between slices; the workers of an executor share its memory."""
+    import ctypes  # not while a task's function is being loaded
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column (or a binary one's bytes) and the row offsets into them; null counts as empty."""
     column = column.cast(pa.large_binary())
@@ -96,3 +107,12 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of ``values[at[i]:at[i + 1]]``, each added up by itself, so that equal segments have equal sums."""
+    out = np.zeros(len(at) - 1, values.dtype)
+    some = at[1:] > at[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, at[:-1][some])
+    return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ragscale.llm.arrays import codes, text_buffers, text_slices, word_bounds, word_strings
+from ragscale.llm.arrays import codes, give_back, text_buffers, text_slices, word_bounds, word_strings
 from ragscale.llm.frames import carry
 from ragscale.session import materialize
 
@@ -132,6 +132,7 @@ def questions(stored: DataFrame, order: int, parts: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                give_back()
                 keys, _, _, bits = _asked(opened(data.as_py()), order, parts)
                 if not len(keys):
                     continue
@@ -164,6 +165,8 @@ def answers(asked: DataFrame) -> DataFrame:
         totals = np.empty(len(keys), np.int64)
         totals[order] = sums[np.cumsum(new) - 1]
         told = [planes(t) for t in np.split(totals, ends[:-1])]
+        del keys, own, order, new, sums, totals
+        give_back()
         return pa.table({"block": table.column("block"), "part": table.column("part"), "totals": pa.array(told, pa.binary())})
 
     return asked.groupBy("part").applyInArrow(count, "block bigint, part bigint, totals binary")
@@ -230,6 +233,7 @@ def backoff_scores(docs: DataFrame, keep: list[str], text: str = "text", order:
             n, hits, score = scores(table, totals, corpus, order, alpha, parts)
             columns = [*table.columns[:width], pa.array(n), *(pa.array(h.astype(np.int64)) for h in hits), pa.array(score, mask=n == 0)]
             out.append(pa.Table.from_arrays(columns, names=names))
+            give_back()
         return pa.concat_tables(out)
 
     schema = ", ".join(filter(None, [fields, "n_words bigint", *(f"n_{k} bigint" for k in range(order, 0, -1)), "n_unseen bigint", "score double"]))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ragscale.llm.arrays import text_buffers, text_slices, word_bounds
+from ragscale.llm.arrays import segment_sums, text_buffers, text_slices, word_bounds
 from ragscale.llm.frames import carry
 
 TEXT_BUCKETS, PAGE_BUCKETS = 1 << 13, 1 << 10
@@ -33,8 +33,7 @@ class Rows:
     at: np.ndarray
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(weights[self.bucket] * self.value)])
-        return total[self.at[1:]] - total[self.at[:-1]]
+        return segment_sums(weights[self.bucket] * self.value, self.at)
 
     def back(self, rows: np.ndarray, size: int) -> np.ndarray:
         return np.bincount(self.bucket, weights=np.repeat(rows, np.diff(self.at)) * self.value, minlength=size)
@@ -70,8 +69,7 @@ def text_rows(data: np.ndarray, offsets: np.ndarray) -> Rows:
 def text_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """What ``text_rows(...).dot(weights)`` gives, without sorting a row's trigrams."""
     bucket, at = trigram_buckets(data, offsets)
-    total = np.concatenate([[0.0], np.cumsum(weights[bucket])])
-    return (total[at[1:]] - total[at[:-1]]) / np.maximum(np.diff(at), 1) * TEXT_BUCKETS**0.5
+    return segment_sums(weights[bucket], at) / np.maximum(np.diff(at), 1) * TEXT_BUCKETS**0.5
 
 
 def _log_bin(x: np.ndarray) -> np.ndarray:
@@ -154,13 +152,14 @@ def co_train(text: Rows, page: Rows, label: np.ndarray, rounds: int = ROUNDS, sh
     return models[0], models[1]
 
 
-def combine(a: np.ndarray, b: np.ndarray, label: np.ndarray, steps: int = 200) -> np.ndarray:
+def combine(a: np.ndarray, b: np.ndarray, label: np.ndarray, known: np.ndarray, steps: int = 200) -> np.ndarray:
     """Weights (constant, text, page) of the two views' logits that make the combined score a probability, from rows kept aside.
 
-    Each view is calibrated by a line in its logit; the sum of the two lines is their joint fit, by Newton's method.
+    Each view is calibrated by a line in its logit; the sum of the two lines is their joint fit, by Newton's method. Rows of
+    one class only can't calibrate: then the share of good ones among all ``known`` labels stands for every document.
     """
     if not len(label) or label.min() == label.max():
-        share = (label.sum() + 1) / (len(label) + 2)
+        share = (known.sum() + 1) / (len(known) + 2)
         return np.array([np.log(share / (1 - share)), 0.0, 0.0])
     x = np.stack([np.ones(len(a)), a, b], axis=1)
     target = np.where(label == 1, (label.sum() + 1) / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
@@ -234,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "
     aside = known[np.arange(len(known)) % HELD == HELD - 1]
     rest = np.setdiff1d(np.arange(len(y)), aside)
     a, b = co_train(text_view.take(rest), page_view.take(rest), y[rest])
-    return Scorer(a, b, combine(a.logit(text_view.take(aside)), b.logit(page_view.take(aside)), y[aside].astype(float)))
+    return Scorer(a, b, combine(a.logit(text_view.take(aside)), b.logit(page_view.take(aside)), y[aside].astype(float), y[known]))
 
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[str], text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", least: float = 0.5) -> DataFrame:

@@ -50,9 +50,12 @@ class Vocabulary:
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
 
     def encode(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-        told = self.model.encode(words.to_pylist(), num_threads=1)
-        lengths = np.fromiter(map(len, told), np.int64, len(told))
-        return np.fromiter(chain.from_iterable(told), np.int64, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)])
+        lengths, flat = [np.zeros(1, np.int64)], []
+        for at in range(0, len(words), 1 << 14):
+            told = self.model.encode(words[at : at + (1 << 14)].to_pylist(), num_threads=1)
+            lengths.append(np.fromiter(map(len, told), np.int64, len(told)))
+            flat.append(np.fromiter(chain.from_iterable(told), np.int64, int(lengths[-1].sum())))
+        return np.concatenate(flat) if flat else np.zeros(0, np.int64), np.cumsum(np.concatenate(lengths))
 
 
 def repeated_words(number: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -174,11 +177,14 @@ def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str
     texts outside their script's bands. Null text counts as empty: no words, failed. Words are what stands between ASCII white
     space; each is encoded by itself. Only the text is looked at. Memory is bounded by a slice of texts or one text.
     """
-    rows, fields = carry(docs, keep, F.col(text).cast("string"))
+    own = keep.index(text) if text in keep else len(keep)  # a text that is kept anyway is sent once
+    rows, fields = carry(docs, keep, *([] if text in keep else [F.col(text).cast("string")]))
+
+    name = rows.columns[own]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "x0", slice_bytes):
-            measured = measure(part.column(len(keep)), vocabulary_of(vocabulary), bands)
+        for part in text_slices(batches, name, slice_bytes):
+            measured = measure(part.column(own), vocabulary_of(vocabulary), bands)
             yield pa.record_batch([*part.columns[: len(keep)], *measured], names=[*keep, *(n for n, _ in MEASURES)])
 
     return rows.mapInArrow(task, ", ".join([*filter(None, [fields]), *(f"{n} {t}" for n, t in MEASURES)]))

@@ -12,6 +12,17 @@ def carry(docs: DataFrame, keep: list[str], *extra: Column) -> tuple[DataFrame,
     return rows, ", ".join(f"`{c}` {rows.schema[f'k{i}'].dataType.simpleString()}" for i, c in enumerate(keep))
 
 
+def neutral(docs: DataFrame, *reads: str) -> tuple[DataFrame, list[str]]:
+    """All columns as ``c0, c1, ...``, which no operator adds, and the new names of the columns in ``reads``."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [names[c] for c in reads]
+
+
+def restored(df: DataFrame, docs: DataFrame, **instead: Column) -> DataFrame:
+    """The columns of ``docs`` from ``neutral``'s names, some of them replaced."""
+    return df.select(*[instead.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+
+
 def with_names(df: DataFrame, keep: list[str], *added: str) -> DataFrame:
     """``k0, k1, ...`` under their own names again, and the columns ``added``."""
     return df.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *added)
