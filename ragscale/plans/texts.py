@@ -96,6 +96,22 @@ def _(spark, sf_dir):
                       F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_id", F.md5("text").alias("digest"))
 
 
+_SAMPLE = "case when doc_id % 5 = 0 then {blank} else cast(doc_id as {t}) end"
+_FILLED = f"""ids as (select source, text, coalesce({_SAMPLE.format(blank="null", t="varchar")},
+  'docs_' || source || '_' || substr(sha256(cast(doc_id as varchar)), 1, 16)) as sample_id from documents)"""
+
+
+@query("chunk_numbering_null_ids", f"""with {_FILLED}, c as (select sample_id, source, i, chunk from ({_chunks_sql("ids", "sample_id, source", 300, 64)}))
+select source as subset, sample_id, i as chunk_index,
+  sample_id || '_chunk_' || (row_number() over (partition by source order by sample_id, i) - 1) as chunk_id from c""")
+def _(spark, sf_dir):
+    rows = documents(spark, sf_dir).select(
+        F.lit("docs").alias("dataset"), F.col("source").alias("subset"), "doc_id", "text", F.lit(0).alias("passage"),
+        F.expr(_SAMPLE.format(blank="if(doc_id % 2 = 0, null, ' ')", t="string")).alias("sample_id"))
+    out = chunking.number_chunks(chunking.sample_ids(rows, ["doc_id"]).drop("doc_id"))
+    return out.select("subset", "sample_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_id")
+
+
 @query("index_build_plan", f"""with n as (select doc_id, source, len({_words_sql('text')}) as w from documents),
 have as (select distinct source from documents d join labels l on d.doc_id = l.doc_id where toxic = 1 and quality = 0)
 select 'docs' as dataset, n.source as subset,
@@ -216,6 +232,14 @@ def _(spark, sf_dir):
     return rounded(found.select("query_id", "chunk_id", "score", "rank"))
 
 
+@query("topk_retrieval_null_vectors", _topk_sql(False).replace("from embeddings)", "from embeddings where vec_id % 9 <> 0)"))
+def _(spark, sf_dir):
+    holed = F.when(F.col("vec_id") % 9 != 0, F.col("embedding"))
+    queries, chunks = (side.withColumnRenamed(key, "vec_id").withColumn("embedding", holed).withColumnRenamed("vec_id", key)
+                       for side, key in zip(vector_sides(spark, sf_dir), ("query_id", "chunk_id")))
+    return rounded(vectors.topk_vectors(queries, chunks, cells=5).select("query_id", "chunk_id", "score", "rank"))
+
+
 CELLS, PROBES = 16, 6
 
 
