@@ -41,6 +41,19 @@ def give_back() -> None:
         trim(0)
 
 
+_HELD: dict = {}
+
+
+def held(kind, path: str):
+    """This worker's compiled vocabulary ``kind(path)``, kept for its next tasks. Asking for another one drops it: a worker
+    serves one stage after the other, and never needs two at once."""
+    if (kind, path) not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[kind, path] = kind(path)
+    return _HELD[kind, path]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column (or a binary one's bytes) and the row offsets into them; null counts as empty."""
     column = column.cast(pa.large_binary())

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ragscale.llm.arrays import codes, ragged_ranges, row_sums, slice_strings, text_buffers, text_slices, word_bounds, word_strings
+from ragscale.llm.arrays import codes, held, ragged_ranges, row_sums, slice_strings, text_buffers, text_slices, word_bounds, word_strings
 from ragscale.llm.frames import carry
 
 SYMBOLS = b"#*$%&|<>"
@@ -161,15 +161,6 @@ def measure(column: pa.Array, vocabulary: Vocabulary, bands: dict = BANDS) -> li
     return [pa.array(c) for c in (n_words, word_chars, symbols, lines, repeat, failed, kept, np.array(NAMES)[script], n_tokens, per, share, even)]
 
 
-_KNOWN: dict[str, Vocabulary] = {}
-
-
-def vocabulary_of(path: str) -> Vocabulary:
-    if path not in _KNOWN:
-        _KNOWN[path] = Vocabulary(path)
-    return _KNOWN[path]
-
-
 def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", bands: dict = BANDS, slice_bytes: int = 8 << 20) -> DataFrame:
     """Columns ``keep`` and MEASURES of every row, repeated rows included.
 
@@ -184,7 +175,7 @@ def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, name, slice_bytes):
-            measured = measure(part.column(own), vocabulary_of(vocabulary), bands)
+            measured = measure(part.column(own), held(Vocabulary, vocabulary), bands)
             yield pa.record_batch([*part.columns[: len(keep)], *measured], names=[*keep, *(n for n, _ in MEASURES)])
 
     return rows.mapInArrow(task, ", ".join([*filter(None, [fields]), *(f"{n} {t}" for n, t in MEASURES)]))

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ragscale.llm.arrays import ragged_ranges, text_buffers, text_slices
-from ragscale.llm.word_tokens import word_tokenizer
+from ragscale.llm.arrays import held, ragged_ranges, text_buffers, text_slices
+from ragscale.llm.word_tokens import WordTokenizer
 from ragscale.operators.skew import with_dimension
 from ragscale.session import materialize
 
@@ -40,7 +40,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id: str, text: str,
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, used = TaskContext.get().partitionId(), {}
         for part in text_slices(batches, "text"):
-            flat, at = word_tokenizer(vocabulary).ids(part.column(2))
+            flat, at = held(WordTokenizer, vocabulary).ids(part.column(2))
             if len(flat) and flat.max() > np.iinfo(ID).max:
                 raise ValueError("the vocabulary has ids of more than 16 bits")
             n = np.diff(at) + 1

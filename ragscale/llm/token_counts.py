@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ragscale.llm.arrays import text_buffers, text_slices
+from ragscale.llm.arrays import held, text_buffers, text_slices
 from ragscale.llm.transducer import Bpe, Lanes
 
 CHUNK = 1024  # bytes of a lane
@@ -230,15 +230,6 @@ def occurrences(data: bytes, part: bytes) -> Iterator[int]:
         at = data.find(part, at + len(part))
 
 
-_COUNTERS: dict[str, TextCounter] = {}  # one compiled vocabulary for all tasks of a worker
-
-
-def counter(path: str) -> TextCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = TextCounter(path)
-    return _COUNTERS[path]
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", limit: int = 512) -> DataFrame:
     """``key, n_bytes, n_tokens, over_limit`` of every row, repeated rows included.
 
@@ -252,7 +243,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", key: str
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             data, offsets = text_buffers(part.column(1))
-            n = counter(vocabulary).count(data, offsets)
+            n = held(TextCounter, vocabulary).count(data, offsets)
             yield pa.record_batch(
                 [part.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)],
                 names=[key, "n_bytes", "n_tokens", "over_limit"],

@@ -144,12 +144,3 @@ class _LastTokens:
             self.tokens[self.n : len(self.states)] = [s[-1][1] for s in self.states[self.n :]]
             self.n = len(self.states)
         return self.tokens[states]
-
-
-_KNOWN: dict[str, WordTokenizer] = {}
-
-
-def word_tokenizer(path: str) -> WordTokenizer:
-    if path not in _KNOWN:
-        _KNOWN[path] = WordTokenizer(path)
-    return _KNOWN[path]
