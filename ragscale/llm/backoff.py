@@ -9,6 +9,7 @@ block's question however often the block has it, so frequent n-grams weigh no mo
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from ragscale.llm.frames import carry
 from ragscale.session import materialize
 
 ALPHA = 0.4
-BLOCK_BYTES = 5 << 20  # text of a block
+BLOCK_BYTES = 8 << 20  # text of a block
 PART_GRAMS = 3 << 19  # n-grams that a hash partition is meant for
 KEY_BITS = 48  # that tell n-grams of one hash partition apart; partitions grow with the corpus, their contents do not
 
@@ -40,6 +41,15 @@ def unplaned(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Counts, most of them alike, as compressed ``planes``."""
+    return zlib.compress(planes(values), 3)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return unplaned(zlib.decompress(data)).astype(np.int64)
+
+
 def steps(keys: np.ndarray) -> bytes:
     """Ascending keys as their differences, which need fewer bytes."""
     return planes(np.diff(keys, prepend=np.uint64(0)))
@@ -57,7 +67,7 @@ def blocks(docs: DataFrame, keep: list[str], text: str, block_bytes: int) -> tup
         table = pa.Table.from_batches(parts).combine_chunks()
         words = sum(len(word_bounds(*text_buffers(p.column(len(keep))))[0]) for p in parts)
         out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
+        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
             writer.write_table(table)
         return pa.record_batch([pa.array([block]), pa.array([words]), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "n_words", "docs"])
 
@@ -144,7 +154,7 @@ def questions(stored: DataFrame, order: int, parts: int) -> DataFrame:
                 ends = np.append(cut[1:], len(keys))
                 keys &= np.uint64((1 << bits) - 1)
                 yield pa.record_batch(
-                    [pa.array(np.full(len(cut), block, np.int64)), pa.array(part[cut].astype(np.int64)), pa.array([steps(keys[a:b]) for a, b in zip(cut, ends)], pa.binary()), pa.array([planes(counts[a:b]) for a, b in zip(cut, ends)], pa.binary())],
+                    [pa.array(np.full(len(cut), block, np.int64)), pa.array(part[cut].astype(np.int64)), pa.array([steps(keys[a:b]) for a, b in zip(cut, ends)], pa.binary()), pa.array([squeezed(counts[a:b]) for a, b in zip(cut, ends)], pa.binary())],
                     names=["block", "part", "keys", "counts"],
                 )
 
@@ -152,28 +162,33 @@ def questions(stored: DataFrame, order: int, parts: int) -> DataFrame:
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """``block, part, totals``: corpus counts of the n-grams each block asked a partition for, in the question's order."""
+    """``block, part, others``: counts in all other blocks of the n-grams a block asked a partition for, in the question's order."""
 
     def count(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unstepped(k.as_py()) for k in table.column("keys")])
-        own = [unplaned(c.as_py()).astype(np.int64) for c in table.column("counts")]
+        own = [unsqueezed(c.as_py()) for c in table.column("counts")]
         ends = np.cumsum([len(c) for c in own])
         order = np.argsort(keys)
         keys = keys[order]
         new = np.append(True, keys[1:] != keys[:-1])
-        sums = np.add.reduceat(np.concatenate(own)[order], np.flatnonzero(new))
-        totals = np.empty(len(keys), np.int64)
-        totals[order] = sums[np.cumsum(new) - 1]
-        told = [planes(t) for t in np.split(totals, ends[:-1])]
-        del keys, own, order, new, sums, totals
+        mine = np.concatenate(own)
+        sums = np.add.reduceat(mine[order], np.flatnonzero(new))
+        others = np.empty(len(keys), np.int64)
+        others[order] = sums[np.cumsum(new) - 1]
+        others -= mine
+        told = [squeezed(t) for t in np.split(others, ends[:-1])]
+        del keys, own, order, new, sums, others, mine
         give_back()
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "totals": pa.array(told, pa.binary())})
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "others": pa.array(told, pa.binary())})
+
+    return asked.groupBy("part").applyInArrow(count, "block bigint, part bigint, others binary")
 
-    return asked.groupBy("part").applyInArrow(count, "block bigint, part bigint, totals binary")
 
+def scores(table: pa.Table, elsewhere: np.ndarray, corpus: int, order: int, alpha: float, parts: int) -> tuple[np.ndarray, ...]:
+    """``n_words``, words scored at each length (order to 1, then unseen), and mean log score of a block's rows.
 
-def scores(table: pa.Table, totals: np.ndarray, corpus: int, order: int, alpha: float, parts: int) -> tuple[np.ndarray, ...]:
-    """``n_words``, words scored at each length (order to 1, then unseen), and mean log score of a block's rows."""
+    ``elsewhere``: counts of the block's distinct n-grams, ascending, in all other blocks.
+    """
     keys, exist, first, _ = _asked(table, order, parts)
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
@@ -185,7 +200,8 @@ def scores(table: pa.Table, totals: np.ndarray, corpus: int, order: int, alpha:
     turn = np.flatnonzero(new | np.append(True, owner[1:] != owner[:-1])) if len(keys) else np.zeros(0, np.int64)
     own = np.diff(np.append(turn, len(keys)))
     outside = np.empty(len(keys), np.int64)
-    outside[by] = totals[np.cumsum(new) - 1] - np.repeat(own, own)
+    here = np.diff(np.append(np.flatnonzero(new), len(keys)))
+    outside[by] = (elsewhere + here)[np.cumsum(new) - 1] - np.repeat(own, own)
     others = np.zeros(exist.shape, np.int64)  # counts outside the word's own document
     others[exist] = outside
     rest = np.maximum(corpus - n, 0)[row]
@@ -225,12 +241,12 @@ def backoff_scores(docs: DataFrame, keep: list[str], text: str = "text", order:
     names = [*keep, "n_words", *(f"n_{k}" for k in range(order, 0, -1)), "n_unseen", "score"]
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        given = sorted(zip(left.column("part").to_pylist(), left.column("totals").to_pylist()))
-        totals = np.concatenate([unplaned(t) for _, t in given]).astype(np.int64) if given else np.zeros(0, np.int64)
+        given = sorted(zip(left.column("part").to_pylist(), left.column("others").to_pylist()))
+        elsewhere = np.concatenate([unsqueezed(t) for _, t in given]) if given else np.zeros(0, np.int64)
         out = []
         for data in right.column("docs").to_pylist():
             table = opened(data)
-            n, hits, score = scores(table, totals, corpus, order, alpha, parts)
+            n, hits, score = scores(table, elsewhere, corpus, order, alpha, parts)
             columns = [*table.columns[:width], pa.array(n), *(pa.array(h.astype(np.int64)) for h in hits), pa.array(score, mask=n == 0)]
             out.append(pa.Table.from_arrays(columns, names=names))
             give_back()

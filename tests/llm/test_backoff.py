@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ragscale.llm.backoff import backoff_scores, planes, steps, unplaned, unstepped
+from ragscale.llm.backoff import backoff_scores, planes, squeezed, steps, unplaned, unsqueezed, unstepped
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,5 +69,6 @@ def test_bytes_round_trip():
     for top in (1, 255, 256, 1 << 40, (1 << 63) - 1):
         values = rng.integers(0, top, 50).astype(np.uint64)
         assert unplaned(planes(values)).tolist() == values.tolist()
+        assert unsqueezed(squeezed(values)).tolist() == values.tolist()
         assert unstepped(steps(np.sort(values))).tolist() == sorted(values.tolist())
     assert unplaned(planes(np.zeros(0, np.uint64))).tolist() == []
