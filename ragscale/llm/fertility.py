@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ragscale.llm.arrays import codes, held, ragged_ranges, row_sums, slice_strings, text_buffers, text_slices, word_bounds, word_strings
+from ragscale.llm.arrays import SLICE_BYTES, codes, held, ragged_ranges, row_sums, slice_strings, text_buffers, text_slices, word_bounds, word_strings
 from ragscale.llm.frames import carry
 
 SYMBOLS = b"#*$%&|<>"
@@ -161,7 +161,7 @@ def measure(column: pa.Array, vocabulary: Vocabulary, bands: dict = BANDS) -> li
     return [pa.array(c) for c in (n_words, word_chars, symbols, lines, repeat, failed, kept, np.array(NAMES)[script], n_tokens, per, share, even)]
 
 
-def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", bands: dict = BANDS, slice_bytes: int = 8 << 20) -> DataFrame:
+def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", bands: dict = BANDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Columns ``keep`` and MEASURES of every row, repeated rows included.
 
     ``kept`` is false for texts under 50 words, texts more than half of whose words lie in repeated windows of three, and

@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = packed.value
-        room = max(1 << 18, 4 * SLICE_BYTES // max(4, len(model.names)))
+        room = max(1 << 18, 2 * SLICE_BYTES // max(4, len(model.names)))
         for part in text_slices(batches, "x0", room):
             data, offsets = text_buffers(part.column(len(keep)))
             shares = infer(model, data, offsets, penalty)

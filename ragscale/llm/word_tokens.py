@@ -14,7 +14,7 @@ from ragscale.llm.arrays import codes, ragged_ranges, slice_strings, text_buffer
 from ragscale.llm.transducer import WORD_END, Bpe, Lanes
 
 LETTER, DIGIT, SIGN, REST = 1, 2, 3, 0
-TRACE_CELLS = 8 << 20  # steps times lanes whose tokens are kept at once
+TRACE_CELLS = 2 << 20  # steps times lanes whose tokens are kept at once
 
 
 class WordTokenizer:
