@@ -11,7 +11,7 @@ for each member and finds exactly the pairs within the distance.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -244,11 +244,19 @@ def near_duplicates(docs: DataFrame, keep: list[str], id: str = "doc_id", text:
 
 
 def one_per_group(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, one of each near-duplicate group: that with the smallest id (null last), then the smallest text hash,
-    then the smallest hash of all its columns. All columns stay as they are. Texts are shuffled once at most."""
+    """The rows of ``docs``, one of each near-duplicate group, chosen by ``first_of_groups``."""
+    return first_of_groups(docs, id, text, lambda rows, keep: near_duplicates(rows, keep, "id", "text", **options))
+
+
+def first_of_groups(docs: DataFrame, id: str, text: str, groups: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """The rows of ``docs``, one of each group: that with the smallest id (null last), then the smallest text hash,
+    then the smallest hash of all its columns. All columns stay as they are. Texts are shuffled once at most.
+
+    ``groups`` adds ``group_fp`` to the columns named, given rows with ``id``, ``text`` and these.
+    """
     key = F.coalesce(F.concat(F.lit("="), F.col(id).cast("string")), F.lit(""))  # tells null from every value
     mark = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    narrow = near_duplicates(docs.select(F.col(id).alias("id"), key.alias("key"), mark.alias("mark"), F.col(text).alias("text")), ["id", "key", "mark"], "id", "text", **options)
+    narrow = groups(docs.select(F.col(id).alias("id"), key.alias("key"), mark.alias("mark"), F.col(text).alias("text")), ["id", "key", "mark"])
     first = narrow.groupBy("group_fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark", "key")).alias("first"))
     chosen = materialize(first.select("first.key", "first.mark").distinct(), "chosen")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), mark.alias("mark"))
