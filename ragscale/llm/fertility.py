@@ -1,8 +1,9 @@
 """Quality rules by tokenizer fertility.
 
 A public vocabulary is asked how well it fits a text: characters per token, the share of tokens that are single bytes
-because the vocabulary lacks a character, and how evenly the tokens are used. Each script has a band for each measure;
-a text outside its script's bands is rejected. Plain counts of words, signs and repetitions come first.
+because the vocabulary lacks a character, and how evenly the tokens are used; a second one how many characters its tokens
+have. Each script and language has a band for each measure, learned from all documents; a text outside its bands is
+rejected. Plain counts of words, signs and repetitions come first.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ragscale.llm.arrays import SLICE_BYTES, codes, held, ragged_ranges, row_sums, slice_strings, text_buffers, text_slices, word_bounds, word_strings
 from ragscale.llm.frames import carry
+from ragscale.llm.word_tokens import WordTokenizer
+from ragscale.operators.skew import with_dimension
+from ragscale.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -26,19 +30,29 @@ SCRIPTS = [
     ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xC0, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF),
     ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 ]
-NAMES = ["other", *dict.fromkeys(s[0] for s in SCRIPTS)]
+NAMES = ["other", *dict.fromkeys(s[0] for s in SCRIPTS), "none"]  # other: letters of no script above; none: no letters
 
-# Bands of a 32k vocabulary with byte fallback: characters per token (low, high), most bytes among the tokens, least evenness.
+# Bands of a 32k vocabulary with byte fallback, and the prior of learned ones: characters per token (low, high), most bytes among the tokens, least evenness.
 BANDS = {
     "latin": (1.5, 8.0, 0.25, 0.4), "greek": (0.5, 6.0, 0.6, 0.35), "cyrillic": (0.8, 8.0, 0.4, 0.4), "han": (0.3, 3.0, 0.9, 0.35), "kana": (0.3, 3.0, 0.9, 0.35),
     "hangul": (0.3, 3.0, 0.95, 0.3), "arabic": (0.4, 6.0, 0.7, 0.3), "hebrew": (0.4, 6.0, 0.7, 0.3), "devanagari": (0.25, 6.0, 0.95, 0.25), "thai": (0.25, 6.0, 0.95, 0.25),
-    "other": (0.2, 8.0, 1.0, 0.25),
+    "other": (0.2, 8.0, 1.0, 0.25), "none": (0.2, 8.0, 0.3, 0.25),
 }
+SPREADS = 4.0  # a learned band reaches so many robust standard deviations from the median
+PRIOR = 200  # documents that BANDS count for beside a group's own
+FLOOR = 0.02  # least standard deviation
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
+class Pair:
+    """Two vocabularies; the second gives the number of tokens of each word."""
+
+    def __init__(self, paths: tuple[str, str]):
+        self.first, self.second = Vocabulary(paths[0]), WordTokenizer(paths[1])
+
+
 class Vocabulary:
     """Pieces of words, one encoding for each distinct word of a slice."""
 
@@ -100,7 +114,7 @@ def repeated_lines(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) ->
 
 
 def scripts(texts_data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Index into NAMES of each row's most frequent script (ties: the first; no letter of a known script: other)."""
+    """Index into NAMES of each row's most frequent script (ties: the first; no letter of a known script: other; no letter: none)."""
     points = np.frombuffer(texts_data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     chars = np.concatenate([[0], np.cumsum((texts_data & 0xC0) != 0x80)])[offsets]
     table = np.zeros(0x10000, np.uint8)
@@ -110,7 +124,11 @@ def scripts(texts_data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(chars))
     counts = np.bincount(row * len(NAMES) + script[: len(row)], minlength=(len(offsets) - 1) * len(NAMES)).reshape(-1, len(NAMES))
     counts[:, 0] = 0
-    return counts.argmax(axis=1)
+    found = counts.argmax(axis=1)
+    for i in np.flatnonzero(counts.sum(axis=1) == 0):  # few rows
+        text = texts_data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
+        found[i] = 0 if any(c.isalpha() for c in text) else len(NAMES) - 1
+    return found
 
 
 def evenness(tokens: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -133,8 +151,8 @@ MEASURES = [
 ]
 
 
-def measure(column: pa.Array, vocabulary: Vocabulary, bands: dict = BANDS) -> list[pa.Array]:
-    """The columns of MEASURES for a slice of texts."""
+def measure(column: pa.Array, vocabulary: Vocabulary, bands: dict = BANDS, second: WordTokenizer | None = None) -> list[pa.Array]:
+    """The columns of MEASURES for a slice of texts, and the characters per token of a ``second`` vocabulary."""
     data, offsets = text_buffers(column)
     starts, ends, first = word_bounds(data, offsets)
     n_words = np.diff(first)
@@ -158,11 +176,15 @@ def measure(column: pa.Array, vocabulary: Vocabulary, bands: dict = BANDS) -> li
     script = scripts(data, offsets)
     low, high, most, least = (np.array([bands.get(n, bands["other"])[i] for n in NAMES])[script] for i in range(4))
     kept = ~failed & (per >= low) & (per <= high) & (share <= most) & (even >= least)
-    return [pa.array(c) for c in (n_words, word_chars, symbols, lines, repeat, failed, kept, np.array(NAMES)[script], n_tokens, per, share, even)]
+    columns = [n_words, word_chars, symbols, lines, repeat, failed, kept, np.array(NAMES)[script], n_tokens, per, share, even]
+    if second is not None:
+        sizes = np.diff(second.ids(distinct)[1])[number]
+        columns.append(word_chars / np.maximum(row_sums(sizes, first), 1))
+    return [pa.array(c) for c in columns]
 
 
-def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", bands: dict = BANDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Columns ``keep`` and MEASURES of every row, repeated rows included.
+def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", bands: dict = BANDS, slice_bytes: int = SLICE_BYTES, second: str | None = None) -> DataFrame:
+    """Columns ``keep`` and MEASURES of every row, repeated rows included; ``second_per_token`` if a ``second`` vocabulary is given.
 
     ``kept`` is false for texts under 50 words, texts more than half of whose words lie in repeated windows of three, and
     texts outside their script's bands. Null text counts as empty: no words, failed. Words are what stands between ASCII white
@@ -172,10 +194,60 @@ def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str
     rows, fields = carry(docs, keep, *([] if text in keep else [F.col(text).cast("string")]))
 
     name = rows.columns[own]
+    measures = MEASURES + ([("second_per_token", "double")] if second else [])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, name, slice_bytes):
-            measured = measure(part.column(own), held(Vocabulary, vocabulary), bands)
-            yield pa.record_batch([*part.columns[: len(keep)], *measured], names=[*keep, *(n for n, _ in MEASURES)])
+            if second:
+                both = held(Pair, (vocabulary, second))
+                measured = measure(part.column(own), both.first, bands, both.second)
+            else:
+                measured = measure(part.column(own), held(Vocabulary, vocabulary), bands)
+            yield pa.record_batch([*part.columns[: len(keep)], *measured], names=[*keep, *(n for n, _ in measures)])
+
+    return rows.mapInArrow(task, ", ".join([*filter(None, [fields]), *(f"{n} {t}" for n, t in measures)]))
 
-    return rows.mapInArrow(task, ", ".join([*filter(None, [fields]), *(f"{n} {t}" for n, t in MEASURES)]))
+
+def learned_bands(measured: DataFrame) -> DataFrame:
+    """``script, _lang, low, high, most, least, low2, high2`` from all rows of ``measured`` that pass the base rules.
+
+    A bound lies SPREADS robust standard deviations (1.4826 times the median distance from the median) from the group's
+    median; with few documents it leans on that of BANDS, which count for PRIOR documents. Exact medians of values in
+    steps of a thousandth.
+    """
+    group = ["script", "_lang"]
+    names = ["chars_per_token", "byte_share", "evenness", "second_per_token"]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), F.round(F.col(n), 3).alias("x")) for n in names])).alias("e")
+    counts = materialize(measured.where("not base_failed").select(*group, each).groupBy(*group, "e.m", "e.x").agg(F.count(F.lit(1)).alias("n")), "measure-counts")
+    middle = counts.groupBy(*group, "m").agg(F.expr("percentile(x, 0.5, n)").alias("mid"), F.sum("n").alias("total"))
+    spread = counts.join(middle, [*group, "m"]).groupBy(*group, "m").agg(
+        F.first("mid").alias("mid"), F.first("total").alias("total"), F.expr("percentile(abs(x - mid), 0.5, n)").alias("mad")
+    )
+    reach = F.lit(SPREADS) * F.greatest(F.lit(1.4826) * F.col("mad"), F.lit(FLOOR))
+    bounds = spread.groupBy(*group).agg(
+        F.max("total").alias("total"), *[F.max(F.when(F.col("m") == n, F.col("mid") + sign * reach)).alias(f"{n}{sign}") for n in names for sign in (-1, 1)]
+    )
+    weight = F.col("total") / (F.col("total") + PRIOR)
+
+    def bound(learned: str, place: int):
+        prior = F.coalesce(*[F.when(F.col("script") == n, F.lit(BANDS[n][place])) for n in NAMES])
+        return weight * F.col(learned) + (1 - weight) * prior
+
+    return bounds.select(
+        *group, bound("chars_per_token-1", 0).alias("low"), bound("chars_per_token1", 1).alias("high"), bound("byte_share1", 2).alias("most"),
+        bound("evenness-1", 3).alias("least"), bound("second_per_token-1", 0).alias("low2"), bound("second_per_token1", 1).alias("high2"),
+    )
+
+
+def learned_rules(docs: DataFrame, vocabulary: str, second: str, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """``fertility_rules`` with the bands of ``learned_bands`` for each script and value of ``lang`` (null is one), and the fixed ones
+    for texts without letters. ``keep`` must not have names of MEASURES. Texts are encoded once."""
+    tagged = docs.withColumn("_lang", F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")))
+    measured = materialize(fertility_rules(tagged, vocabulary, [*keep, "_lang"], text, second=second), "measured")
+    banded = with_dimension(measured, materialize(learned_bands(measured), "bands"), ["script", "_lang"])
+    inside = (
+        F.col("chars_per_token").between(F.col("low"), F.col("high")) & (F.col("byte_share") <= F.col("most"))
+        & (F.col("evenness") >= F.col("least")) & F.col("second_per_token").between(F.col("low2"), F.col("high2"))
+    )
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False)) & ((F.col("script") != NAMES[-1]) | F.col("kept"))
+    return banded.select(*keep, *[kept.alias(n) if n == "kept" else F.col(n) for n, _ in MEASURES])

@@ -101,9 +101,9 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_fertility")
 def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ragscale.llm.fertility import fertility_rules
+    from ragscale.llm.fertility import learned_rules
 
-    return fertility_rules(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"])
+    return learned_rules(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json"), ["doc_id"])
 
 
 _SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
