@@ -1,8 +1,8 @@
 """Quality scores by co-training a text view and a page view.
 
 The text view sees character trigrams, the page view source, language, length and layout. Both learn from a bounded
-sample of labelled documents; in each round either view labels the unlabelled documents it is surest of for the other to
-learn from. Labelled documents kept aside calibrate both views and weigh them; all documents get the combined score.
+sample of labelled documents; in each round either view scores all unlabelled documents and labels those it is surest of
+for the other to learn from. Labelled documents kept aside calibrate both views and weigh them; all documents get the combined score.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ragscale.llm.arrays import segment_sums, text_buffers, text_slices, word_bounds
 from ragscale.llm.frames import carry
+from ragscale.session import materialize
 
 TEXT_BUCKETS, PAGE_BUCKETS = 1 << 13, 1 << 10
-SAMPLE = 4000  # labelled documents, and as many unlabelled ones, that are learned from at most
+SAMPLE = 4000  # labelled documents that are learned from at most
+PICKED = 400  # documents that a view labels in a round at most
 ROUNDS, SHARE = 4, 0.05  # rounds, and the part of the unlabelled documents that a view labels in each
 STEPS = 60  # of gradient descent for each fit
 HELD = 5  # every fifth labelled document calibrates
@@ -92,6 +94,12 @@ def page_rows(data: np.ndarray, offsets: np.ndarray, source: np.ndarray, lang: n
     return Rows(np.stack(mixed, axis=1).ravel(), np.ones(n * len(traits)), np.arange(n + 1) * len(traits))
 
 
+def stacked(parts: list[Rows]) -> Rows:
+    ends = np.cumsum([0, *(p.at[-1] for p in parts)])
+    at = [p.at[:-1] + e for p, e in zip(parts, ends)]
+    return Rows(np.concatenate([p.bucket for p in parts]), np.concatenate([p.value for p in parts]), np.concatenate([*at, ends[-1:]]))
+
+
 @dataclass
 class Linear:
     weights: np.ndarray
@@ -126,7 +134,7 @@ def fit(rows: Rows, label: np.ndarray, size: int, strength: float, steps: int =
 
 
 def co_train(text: Rows, page: Rows, label: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> tuple[Linear, Linear]:
-    """Both views after the rounds; ``label`` is 0, 1, or -1 for unlabelled rows."""
+    """Both views after the rounds over rows in memory; ``label`` is 0, 1, or -1 for unlabelled rows. ``learn`` does the same over tables."""
     sizes, views = (TEXT_BUCKETS, PAGE_BUCKETS), (text, page)
     taught = [label.astype(float).copy(), label.astype(float).copy()]
     models: list[Linear] = []
@@ -194,19 +202,25 @@ def _features(part: pa.RecordBatch, first: int) -> tuple:
     return data, offsets, [part.column(first + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3)]
 
 
-def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "quality", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", sample: int = SAMPLE, seed: int = 11) -> Scorer:
-    """A scorer from at most ``sample`` labelled and ``sample`` unlabelled documents, those with the smallest seeded hashes.
+def _scored(mine: DataFrame, text: Linear, page: Linear) -> DataFrame:
+    """``_id, a, b``: both views' logits (nine digits, for ties) of every document with an id; of a repeated id one row counts."""
+    packed = mine.sparkSession.sparkContext.broadcast((text, page))  # two weight vectors of fixed length
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = packed.value
+        for part in text_slices(batches, "t"):
+            data, offsets, traits = _features(part, 1)
+            a, b = text_scores(data, offsets, one.weights) + one.bias, two.logit(page_rows(data, offsets, *traits))
+            yield pa.record_batch([part.column(0), part.column(5), pa.array(a.round(9)), pa.array(b.round(9))], names=["_id", "h", "a", "b"])
+
+    kind = mine.schema["_id"].dataType.simpleString()
+    rows = mine.where("_id is not null").mapInArrow(task, f"_id {kind}, h bigint, a double, b double")
+    return rows.groupBy("_id").agg(F.min(F.struct("h", "a", "b")).alias("r")).select("_id", "r.a", "r.b")
 
-    Labels other than 0 and 1, null ids and ids without a document teach nothing; if an id has several labels the least counts.
-    """
-    given = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id).alias("_id")).agg(F.min(label).cast("int").alias("_label"))
-    order = F.xxhash64(F.lit(seed), F.col("_id"))
-    picked = given.where("_id is not null").orderBy(order, "_id").limit(sample)
-    columns = [F.col(id).alias("_id"), F.col(text).cast("string").alias("t"), *[c.alias(f"p{i}") for i, c in enumerate(_page_columns(source, lang, n_chars))]]
-    mine = docs.select(*columns)
-    taught = mine.join(F.broadcast(picked), "_id").select("_id", "_label", "t", "p0", "p1", "p2")
-    pool_ids = docs.select(F.col(id).alias("_id")).where("_id is not null").join(given, "_id", "left_anti").distinct().orderBy(order, "_id").limit(sample)
-    pool = mine.join(F.broadcast(pool_ids), "_id").select("_id", F.lit(-1).alias("_label"), "t", "p0", "p1", "p2")
+
+def _fetched(mine: DataFrame, ids: DataFrame) -> tuple[list, np.ndarray, Rows, Rows]:
+    """Ids, labels and both views' rows of the documents in ``ids`` (columns ``_id, _label``), by label and id."""
+    rows = mine.join(F.broadcast(ids), "_id").select("_id", "_label", "t", "p0", "p1", "p2")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "t"):
@@ -216,7 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "
             yield pa.record_batch([part.column(0), part.column(1), *wide], names=["_id", "_label", "b", "v", "p"])
 
     kind = mine.schema["_id"].dataType.simpleString()
-    told = taught.unionByName(pool).mapInArrow(task, f"_id {kind}, _label int, b array<int>, v array<float>, p array<int>").toArrow()  # bounded by ``sample``
+    told = rows.mapInArrow(task, f"_id {kind}, _label int, b array<int>, v array<float>, p array<int>").toArrow()
     told = told.sort_by([("_label", "ascending"), ("_id", "ascending")]).combine_chunks()
 
     def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -228,12 +242,58 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "
     text_view = Rows(bucket.astype(np.int64), lists("v")[0].astype(float), at.astype(np.int64))
     bucket, at = lists("p")
     page_view = Rows(bucket.astype(np.int64), np.ones(len(bucket)), at.astype(np.int64))
-    y = told.column("_label").to_numpy().astype(np.int64)
-    known = np.flatnonzero(y >= 0)
-    aside = known[np.arange(len(known)) % HELD == HELD - 1]
-    rest = np.setdiff1d(np.arange(len(y)), aside)
-    a, b = co_train(text_view.take(rest), page_view.take(rest), y[rest])
-    return Scorer(a, b, combine(a.logit(text_view.take(aside)), b.logit(page_view.take(aside)), y[aside].astype(float), y[known]))
+    return told.column("_id").to_pylist(), told.column("_label").to_numpy().astype(np.int64), text_view, page_view
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "quality", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars",
+    sample: int = SAMPLE, seed: int = 11, rounds: int = ROUNDS, share: float = SHARE, most: int = PICKED,
+) -> Scorer:
+    """A scorer from at most ``sample`` labelled documents, those with the smallest seeded hashes, and all unlabelled ones.
+
+    In each round all unlabelled documents are scored in tasks; the surest of both classes, ``share`` of them but ``most`` at
+    most, get a view's label for the other view, and only those come to the fit. Labels other than 0 and 1, null ids and
+    ids without a document teach nothing; if an id has several labels the least counts.
+    """
+    spark = docs.sparkSession
+    given = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id).alias("_id")).agg(F.min(label).cast("int").alias("_label")).where("_id is not null")
+    picked = given.orderBy(F.xxhash64(F.lit(seed), F.col("_id")), "_id").limit(sample)
+    traits = [c.alias(f"p{i}") for i, c in enumerate(_page_columns(source, lang, n_chars))]
+    mine = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("t"), *traits).withColumn("h", F.xxhash64("t", "p0", "p1", "p2"))
+    _, y, text_view, page_view = _fetched(mine, picked)
+    known = np.arange(len(y))
+    aside = known[known % HELD == HELD - 1]
+    rest = np.setdiff1d(known, aside)
+    views, sizes = (text_view, page_view), (TEXT_BUCKETS, PAGE_BUCKETS)
+    rows = [[v.take(rest)] for v in views]  # what each view learns from
+    target = [[y[rest]], [y[rest]]]
+    taught: list[list] = [[], []]  # ids that the other view has labelled
+    good = y[rest].mean() if len(rest) else 0.5
+    kind = f"_id {mine.schema['_id'].dataType.simpleString()}, _label int"
+    for number in range(rounds + 1):
+        models = [fit(stacked(r), np.concatenate(t).astype(float), size, strength) for r, t, size, strength in zip(rows, target, sizes, (1e-4, 1e-3))]
+        if number == rounds or not 0 < good < 1:
+            break
+        scored = materialize(_scored(mine, *models).join(given, "_id", "left_anti"), "scored")
+        total = scored.count()
+        new = []
+        for column, other in (("a", 1), ("b", 0)):
+            done = spark.createDataFrame([(i,) for i in taught[other]], kind.split(",")[0])
+            left = scored.join(F.broadcast(done), "_id", "left_anti")
+            count = min(max(1, round(share * total)), most, total - len(taught[other]))
+            up = round(count * good)
+            high = left.orderBy(F.desc(column), "_id").limit(up).select("_id").collect()  # at most ``most`` rows
+            low = left.orderBy(F.asc(column), F.desc("_id")).limit(count - up).select("_id").collect()
+            new.append((other, [(r[0], 1) for r in high] + [(r[0], 0) for r in low]))
+        wanted = sorted({i for _, chosen in new for i, _ in chosen})
+        ids, _, *found = _fetched(mine, spark.createDataFrame([(i, -1) for i in wanted], kind))
+        place = {i: k for k, i in enumerate(ids)}
+        for other, chosen in new:
+            rows[other].append(found[other].take(np.array([place[i] for i, _ in chosen], np.int64)))
+            target[other].append(np.array([c for _, c in chosen], np.int64))
+            taught[other] += [i for i, _ in chosen]
+    a, b = models
+    return Scorer(a, b, combine(a.logit(text_view.take(aside)), b.logit(page_view.take(aside)), y[aside].astype(float), y))
 
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[str], text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", least: float = 0.5) -> DataFrame:
