@@ -219,8 +219,12 @@ def _scored(mine: DataFrame, text: Linear, page: Linear) -> DataFrame:
 
 
 def _fetched(mine: DataFrame, ids: DataFrame) -> tuple[list, np.ndarray, Rows, Rows]:
-    """Ids, labels and both views' rows of the documents in ``ids`` (columns ``_id, _label``), by label and id."""
-    rows = mine.join(F.broadcast(ids), "_id").select("_id", "_label", "t", "p0", "p1", "p2")
+    """Ids, labels and both views' rows of the documents in ``ids`` (columns ``_id, _label``), by label and id;
+    one row of each id, however often it is repeated."""
+    rows = mine.join(F.broadcast(ids), "_id")
+    one = rows.groupBy("_id").agg(F.min("h").alias("h"))  # the row that ``_scored`` takes; its copies are alike
+    columns = ["_label", "t", "p0", "p1", "p2"]
+    rows = rows.join(F.broadcast(one), ["_id", "h"]).groupBy("_id").agg(F.first(F.struct(*columns)).alias("r")).select("_id", *[f"r.{c}" for c in columns])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "t"):
