@@ -4,14 +4,15 @@ Each source's tokens form a queue, cut into cells. A window is filled by deficit
 every window, is served a cell when it has earned one, and carries what it has earned but not received into the next
 window. In virtual time that is an order of all cells: cell ``j`` of a source with weight ``w`` is due at ``(j + 1/2) / w``, so
 the place of any cell follows from the queues' lengths alone, a task packs its documents without seeing any others, and
-deficits carry across windows and tasks alike. What is left of the queues fills further windows and then windows of
+deficits carry across windows and tasks alike. With very many sources the cells themselves are numbered in that order by
+range partitions, and documents look theirs up; the result is the same. What is left of the queues fills further windows and then windows of
 powers of two, so that nothing is padded.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ragscale.llm.arrays import held, ragged_ranges, text_buffers, text_slices
+from ragscale.llm.order import numbered
 from ragscale.llm.word_tokens import WordTokenizer
 from ragscale.operators.skew import with_dimension
 from ragscale.session import materialize
 
 LENGTH, CELL, QUEUES = 2048, 128, 256
+RUN = 4096  # cells of a source that are made at once
 ID = np.dtype("<u2")  # stored ids; the vocabulary must fit
 
 
@@ -62,50 +65,116 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id: str, text: str,
     return materialize(rows.mapInArrow(task, f"id {kind}, block bigint, source string, start bigint, n bigint, ids binary"), "tokens")
 
 
-def queue_places(tokens: DataFrame, weights: dict | None, most_queues: int) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """Where each block's part of a source begins in its queue (``block, source, queue, base``), and the queues' tokens and weights.
-
-    The largest sources have queues of their own; all others, if there are more, share the last queue one after another.
-    """
-    totals = materialize(tokens.groupBy("block", "source").agg(F.sum("n").alias("n")), "totals")
-    by_source = totals.groupBy("source").agg(F.sum("n").alias("n"))
-    top = by_source.orderBy(F.desc("n"), "source").limit(most_queues).collect()
-    if len(top) == most_queues:
-        top = top[:-1]
-    names = sorted(r["source"] for r in top)
+def queue_places(tokens: DataFrame, weights: dict | None, most_queues: int) -> tuple[DataFrame, DataFrame, list[tuple[int, float]] | None]:
+    """Where each block's part of a source begins in its queue (``block, source, base``), the sources' tokens and weights
+    (``source, n, w``), and the latter by name as a list, if there are less than ``most_queues``."""
     spark = tokens.sparkSession
-    numbers = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "queue int, source string")
-    placed = totals.join(F.broadcast(numbers), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
-    blocks = placed.groupBy("queue", "block").agg(F.sum("n").alias("in_block"))
-    before = F.sum("in_block").over(Window.partitionBy("queue").orderBy("block")) - F.col("in_block")
-    inside = F.sum("n").over(Window.partitionBy("queue", "block").orderBy("source")) - F.col("n")
-    bases = placed.withColumn("inside", inside).join(blocks.withColumn("before", before), ["queue", "block"])
-    sizes = {r["queue"]: r["n"] for r in blocks.groupBy("queue").agg(F.sum("in_block").alias("n")).collect()}
-    share = {"=" + k if k is not None else "": v for k, v in (weights or {}).items()}
-    queues = []
-    for q in range(len(names) + 1):
-        size = sizes.get(q, 0)
-        queues.append((size, float(share.get(names[q], 0.0) if weights and q < len(names) else size)))
-    return materialize(bases.select("block", "source", "queue", (F.col("before") + F.col("inside")).alias("base")), "places"), queues
-
-
-class Layout:
+    totals = materialize(tokens.groupBy("block", "source").agg(F.sum("n").alias("n")), "totals")
+    sources = totals.groupBy("source").agg(F.sum("n").alias("n"))
+    if weights:
+        share = spark.createDataFrame([("=" + k if k is not None else "", float(v)) for k, v in weights.items()], "source string, w double")
+        sources = with_dimension(sources, share, ["source"]).withColumn("w", F.coalesce("w", F.lit(0.0)))
+    else:
+        sources = sources.withColumn("w", F.col("n").cast("double"))
+    sources = materialize(sources, "sources")
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("block")) - F.col("n")
+    places = materialize(totals.select("block", "source", before.alias("base")), "places")
+    few = sources.orderBy("source").limit(most_queues).collect()
+    return places, sources, [(r["n"], r["w"]) for r in few] if len(few) < most_queues else None
+
+
+def running(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each in ``order`` (distinct): ranges apart, then their sums."""
+    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    before, total = [], 0
+    for r in sorted(ranged.groupBy("_part").agg(F.sum(value).alias("s")).collect()):  # one row for each range
+        before.append((r["_part"], total))
+        total += r["s"]
+    offsets = df.sparkSession.createDataFrame(before, "_part int, _before bigint")
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(order)) - F.col(value)
+    return ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + F.col("_inside")).alias(out))
+
+
+def many_queues(tokens: DataFrame, places: DataFrame, sources: DataFrame, length: int, cell: int) -> tuple[DataFrame, Sequences]:
+    """Rows ``id, first, n, ids, cells, tail_at, ranks`` for any number of sources, and the sequences."""
+    lowest = sources.where("w > 0").agg(F.min(F.col("w") / F.greatest("n", F.lit(1)))).first()[0]
+    weight = F.when(F.col("w") > 0, F.col("w")).otherwise(F.greatest("n", F.lit(1)) * F.lit(1.0 if lowest is None else lowest)) / F.lit(cell)
+    sized = sources.select("source", weight.alias("w"), F.floor(F.col("n") / cell).alias("cells"), (F.col("n") % cell).alias("tail"))
+    sized = materialize(running(sized, "source", "tail", "tail_at"), "tails")
+    runs = sized.where("cells > 0").select("source", "w", "cells", F.explode(F.sequence(F.lit(0), F.floor((F.col("cells") - 1) / RUN))).alias("r"))
+    each = runs.select("source", "w", F.explode(F.sequence(F.col("r") * RUN, F.least(F.col("cells"), (F.col("r") + 1) * RUN) - 1)).alias("j"))
+    ranked, total = numbered(each.select("source", "j", ((F.col("j") + F.lit(0.5)) / F.col("w")).alias("due")), [F.col("due"), F.col("source")])
+    rest = sized.agg(F.sum("tail")).first()[0]
+    key = ["block", "source", "start"]  # one row each: every row has an id at least
+    at = with_dimension(with_dimension(tokens, places, ["block", "source"]), sized.drop("w", "tail"), ["source"]).withColumn("first", F.col("base") + F.col("start"))
+    last = F.least(F.floor((F.col("first") + F.col("n") - 1) / cell), F.col("cells") - 1)
+    spans = at.select(*key, F.floor(F.col("first") / cell).alias("lo"), last.alias("hi")).where("lo <= hi")
+    asked = spans.select(*key, F.explode(F.sequence("lo", "hi")).alias("j")).join(ranked.select("source", "j", "rank"), ["source", "j"])
+    told = asked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("j", "rank")))["rank"].alias("ranks"))  # cells of one document
+    none = F.array().cast("array<bigint>")
+    rows = at.join(told, key, "left").select("id", "first", "n", "ids", "cells", "tail_at", F.coalesce("ranks", none).alias("ranks"))
+    return rows, Sequences(total, rest, length, cell)
+
+
+class Sequences:
+    """Windows of cells, and the line of what is left after them."""
+
+    def __init__(self, cells: int, tails: int, length: int = LENGTH, cell: int = CELL):
+        self.length, self.cell, self.per = length, cell, length // cell
+        self.windows = cells // self.per
+        self.loose = (cells - self.windows * self.per) * cell  # tokens of cells beyond the last full window
+        rest = self.loose + tails
+        steps = [length] * (rest // length) + [1 << b for b in range(length.bit_length() - 1, -1, -1) if (rest % length) >> b & 1]
+        self.cuts = np.concatenate([[0], np.cumsum(steps)]).astype(np.int64)
+
+    def laid(self, first: np.ndarray, n: np.ndarray, cells: np.ndarray, tail_at: np.ndarray, ranked: Callable) -> tuple[np.ndarray, ...]:
+        """``row, start, length, sequence, offset`` of the pieces of documents at ``first`` in queues of ``cells`` full cells, whose
+        tails begin at ``tail_at`` behind the loose cells. ``ranked`` gives the places of a row's full cells, in order."""
+        lo, hi = first // self.cell, (first + n - 1) // self.cell
+        row = np.repeat(np.arange(len(n)), hi - lo + 1)
+        j = ragged_cells(lo, hi)
+        a, b = np.maximum(first[row], j * self.cell), np.minimum((first + n)[row], (j + 1) * self.cell)
+        full = j < cells[row]
+        rank = np.zeros(len(j), np.int64)
+        rank[full] = ranked(row[full], j[full])
+        seq, offset = rank // self.per, rank % self.per * self.cell + a - j * self.cell
+        late = ~full | (seq >= self.windows)
+        line = np.where(full, (rank - self.windows * self.per) * self.cell, self.loose + tail_at[row])[late] + (a - j * self.cell)[late]
+        start, size = a - first[row], b - a
+        if not late.any():
+            return self._joined(row, start, size, seq, offset)
+        # What lies on the line after the last full window is cut at the ends of the sequences there.
+        k0, k1 = np.searchsorted(self.cuts, line, "right") - 1, np.searchsorted(self.cuts, line + size[late] - 1, "right") - 1
+        part, k = np.repeat(np.arange(len(line)), k1 - k0 + 1), ragged_cells(k0, k1)
+        x, y = np.maximum(line[part], self.cuts[k]), np.minimum((line + size[late])[part], self.cuts[k + 1])
+        parts = (row[late][part], start[late][part] + x - line[part], y - x, self.windows + k, x - self.cuts[k])
+        early = [c[~late] for c in (row, start, size, seq, offset)]
+        return self._joined(*(np.concatenate([e, p]) for e, p in zip(early, parts)))
+
+    @staticmethod
+    def _joined(row, start, size, seq, offset):
+        """Pieces that follow each other in both the document and the sequence become one."""
+        order = np.lexsort((start, row))
+        row, start, size, seq, offset = (c[order] for c in (row, start, size, seq, offset))
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (seq[1:] != seq[:-1]) | (offset[1:] != offset[:-1] + size[:-1])
+        at = np.flatnonzero(new)
+        return row[at], start[at], np.add.reduceat(size, at) if len(at) else size, seq[at], offset[at]
+
+
+class Layout(Sequences):
     """Places of cells in windows, from the queues' lengths and weights."""
 
     def __init__(self, queues: list[tuple[int, float]], length: int = LENGTH, cell: int = CELL):
-        self.length, self.cell, self.per = length, cell, length // cell
         self.sizes = np.array([n for n, _ in queues], np.int64)
         self.cells = self.sizes // cell
         lowest = min((w / max(n, 1) for n, w in queues if w > 0), default=1.0)
         # A queue without a weight is drained at the slowest pace that the others have.
         self.weights = np.array([w if w > 0 else max(n, 1) * lowest for n, w in queues]) / cell
-        self.windows = int(self.cells.sum()) // self.per
-        self.loose = (int(self.cells.sum()) - self.windows * self.per) * cell  # tokens of cells beyond the last full window
         tails = self.sizes - self.cells * cell
-        self.tail_at = self.loose + np.cumsum(tails) - tails
-        rest = self.loose + int(tails.sum())
-        steps = [length] * (rest // length) + [1 << b for b in range(length.bit_length() - 1, -1, -1) if (rest % length) >> b & 1]
-        self.cuts = np.concatenate([[0], np.cumsum(steps)]).astype(np.int64)
+        self.tail_at = np.cumsum(tails) - tails
+        super().__init__(int(self.cells.sum()), int(tails.sum()), length, cell)
 
     def due(self, queue: int, j: np.ndarray) -> np.ndarray:
         return (j + 0.5) / self.weights[queue]
@@ -132,38 +201,8 @@ class Layout:
         return out
 
     def pieces(self, queue: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        """``row, start, length, sequence, offset`` of the pieces of documents at ``first`` in their queues."""
-        lo, hi = first // self.cell, (first + n - 1) // self.cell
-        row = np.repeat(np.arange(len(n)), hi - lo + 1)
-        j = ragged_cells(lo, hi)
-        q = queue[row]
-        a, b = np.maximum(first[row], j * self.cell), np.minimum((first + n)[row], (j + 1) * self.cell)
-        full = j < self.cells[q]
-        rank = np.zeros(len(j), np.int64)
-        rank[full] = self.ranks(q[full], j[full])
-        seq, offset = rank // self.per, rank % self.per * self.cell + a - j * self.cell
-        late = ~full | (seq >= self.windows)
-        line = np.where(full, (rank - self.windows * self.per) * self.cell, self.tail_at[q])[late] + (a - j * self.cell)[late]
-        start, size = a - first[row], b - a
-        if not late.any():
-            return self._joined(row, start, size, seq, offset)
-        # What lies on the line after the last full window is cut at the ends of the sequences there.
-        k0, k1 = np.searchsorted(self.cuts, line, "right") - 1, np.searchsorted(self.cuts, line + size[late] - 1, "right") - 1
-        part, k = np.repeat(np.arange(len(line)), k1 - k0 + 1), ragged_cells(k0, k1)
-        x, y = np.maximum(line[part], self.cuts[k]), np.minimum((line + size[late])[part], self.cuts[k + 1])
-        parts = (row[late][part], start[late][part] + x - line[part], y - x, self.windows + k, x - self.cuts[k])
-        early = [c[~late] for c in (row, start, size, seq, offset)]
-        return self._joined(*(np.concatenate([e, p]) for e, p in zip(early, parts)))
-
-    @staticmethod
-    def _joined(row, start, size, seq, offset):
-        """Pieces that follow each other in both the document and the sequence become one."""
-        order = np.lexsort((start, row))
-        row, start, size, seq, offset = (c[order] for c in (row, start, size, seq, offset))
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (seq[1:] != seq[:-1]) | (offset[1:] != offset[:-1] + size[:-1])
-        at = np.flatnonzero(new)
-        return row[at], start[at], np.add.reduceat(size, at) if len(at) else size, seq[at], offset[at]
+        """The pieces of documents at ``first`` in their queues."""
+        return self.laid(first, n, self.cells[queue], self.tail_at[queue], lambda row, j: self.ranks(queue[row], j))
 
 
 def ragged_cells(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -185,18 +224,28 @@ def pack(
     Equal due times go by queue, queues by name. No rows give no pieces. Other columns are not read.
     """
     tokens = tokenized(docs, vocabulary, end_id, id, text, source)
-    places, queues = queue_places(tokens, weights, most_queues)
-    layout = Layout(queues, length, cell)
-    rows = with_dimension(tokens, places, ["block", "source"]).select("id", "queue", (F.col("base") + F.col("start")).alias("first"), "n", "ids")
+    places, sources, queues = queue_places(tokens, weights, most_queues)
+    if queues is None:
+        rows, layout = many_queues(tokens, places, sources, length, cell)
+    else:
+        layout = Layout(queues, length, cell)
+        names = [r["source"] for r in sources.select("source").orderBy("source").collect()]  # less than ``most_queues``
+        numbers = tokens.sparkSession.createDataFrame([(i, x) for i, x in enumerate(names)], "queue int, source string")
+        placed = with_dimension(with_dimension(tokens, places, ["block", "source"]), numbers, ["source"])
+        rows = placed.select("id", (F.col("base") + F.col("start")).alias("first"), "n", "ids", "queue")
     kind = rows.schema["id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            queue, first, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
-            flat = text_buffers(batch.column(4))[0].view(ID).astype("<u4")
-            row, start, size, seq, offset = layout.pieces(queue, first, n)
+            first, n, queue_or_cells = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 4))
+            flat = text_buffers(batch.column(3))[0].view(ID).astype("<u4")
+            if isinstance(layout, Layout):
+                row, start, size, seq, offset = layout.pieces(queue_or_cells, first, n)
+            else:
+                ranks = batch.column(6).flatten().to_numpy()
+                row, start, size, seq, offset = layout.laid(first, n, queue_or_cells, batch.column(5).to_numpy().astype(np.int64), lambda row, j, ranks=ranks: ranks)
             at = (np.cumsum(n) - n)[row] + start
             view = memoryview(flat).cast("B")
             crc = [zlib.crc32(view[4 * a : 4 * (a + s)]) for a, s in zip(at.tolist(), size.tolist())]
