@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ragscale.operators.skew import is_small, join_same, with_dimension
+from ragscale.operators.skew import BROADCAST_ROWS, is_small, join_same, with_dimension
+from ragscale.session import materialize
 
 
 def remaining_work(todo: DataFrame, done: DataFrame, key: list[str], query: str = "query_id") -> DataFrame:
@@ -44,18 +45,24 @@ def collection_plan(found: DataFrame, existing: DataFrame, key: list[str], force
 
 
 def experiment_grid(
-    queries: DataFrame, configs: DataFrame, policy: DataFrame, default_passes: list[str], subset: str = "subset",
+    queries: DataFrame, configs: DataFrame, policy: DataFrame, default_passes: list[str], subset: str = "subset", block_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Planned calls: every query with every configuration and the passes of its subset.
 
     The product is the result here. The configurations go as one array to each query and are
-    exploded there, so nothing is shuffled and no copy of them multiplied; they are counted first.
+    exploded there, so nothing is shuffled and no copy of them multiplied; they are counted first. More than
+    ``block_rows`` of them are numbered and cut into blocks, one array each, that every query meets.
     """
-    if not is_small(configs):
-        raise ValueError("a grid of this many configurations has to be planned in parts")
     default = F.array(*[F.lit(p) for p in default_passes])
     planned = with_dimension(queries, policy, [subset]).withColumn(
         "pass", F.explode(F.coalesce(F.col("passes"), default))
     ).drop("passes")
+    if not is_small(configs, block_rows):
+        marked = materialize(configs.withColumn("_at", F.monotonically_increasing_id()), "configs")
+        # A task numbers its rows without gaps, so a block has ``block_rows`` rows at most.
+        of = F.struct(F.shiftright("_at", 33), F.floor(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) / block_rows))
+        blocks = marked.groupBy(of.alias("_block")).agg(F.collect_list(F.struct(*configs.columns)).alias("_configs"))
+        met = planned.crossJoin(blocks.select("_configs"))
+        return met.withColumn("_config", F.explode("_configs")).select(*planned.columns, "_config.*")
     every = configs.agg(F.collect_list(F.struct(*configs.columns)).alias("_configs"))
     return planned.withColumn("_config", F.explode(every.scalar())).select(*planned.columns, "_config.*")
