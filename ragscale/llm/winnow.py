@@ -3,6 +3,10 @@
 The units of a text are its words (long ones in pieces, ideographs singly). Every ``gram`` consecutive units are hashed;
 of every ``window`` consecutive hashes the least is selected, the rightmost if several are least, with its position. Two
 texts that share ``gram + window - 1`` consecutive units therefore share a selected hash.
+
+Hashes have 32 bits. Between two texts chance matches hardly occur, but as an index over many texts they do: of ``n``
+distinct selected hashes a given one meets another's by chance at a rate of about ``1 - exp(-n / 2**32)``, 13 % at 6e8
+(roughly 30 GB of text). Matches found across a corpus must be verified on the texts.
 """
 
 from __future__ import annotations
