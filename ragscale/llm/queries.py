@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ragscale.plans.catalog import r6, rounded
 
@@ -138,3 +138,60 @@ def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scorer = cotrain.learn(docs, table(spark, sf_dir, "labels"))
     return cotrain.score(docs, scorer, ["doc_id"])
+
+
+_INTEGERS = """v as (select vec_id, {label} as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where {there} embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)"""
+_SCORES = """s as (select q.vec_id as q, q.label as q_label, c.vec_id as c, c.label as c_label,
+  coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0)::bigint as score
+  from v q, v c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)"""
+
+
+@query("op11_hard_negatives", f"""
+with {_INTEGERS.format(label="case when vec_id % 7 = 0 then (label + 1) % 10 else label end", there="label is not null and")}, {_SCORES},
+p as (select * from s where q_label = c_label qualify row_number() over (partition by q order by score desc, c) <= 5),
+n as (select p.q as anchor_id, p.c as positive_id, p.score as positive_score, s.c as negative_id, s.score as negative_score,
+  row_number() over (partition by p.q, p.c order by s.score desc, s.c) as rank
+  from p join s on s.q = p.q and s.c_label <> s.q_label and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 3""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragscale.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+_UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+
+@query("op12_fill_in_middle", f"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_UNIT}') as u,
+       sha256('42:' || coalesce(doc_id::varchar, '')) as h from documents),
+     n as (select *, len(u)::bigint as n, {", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::bigint as h{i + 1}" for i in range(4))} from d),
+     c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as lo, greatest(h1 % (n + 1), h2 % (n + 1)) as hi,
+       case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain'
+         when h4 % 100 < 80 then 'spm' else 'psm' end as form from n),
+     t as (select *, coalesce(array_to_string(u[1 : lo], ''), '') as p, coalesce(array_to_string(u[lo + 1 : hi], ''), '') as m,
+       coalesce(array_to_string(u[hi + 1 : n], ''), '') as s from c)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256 from t""")
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragscale.llm.middle import fill_in_middle, restored_texts
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"), ["doc_id"])
+    columns = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
+    back = restored_texts(made.withColumn("output_sha256", F.sha2("output", 256)), [*columns, "output_sha256"])
+    return back.select(*columns, "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op13_exact_topk", f"""
+with {_INTEGERS.format(label="0", there="")}, {_SCORES}
+select q as query_id, (row_number() over (partition by q order by score desc, c))::int as rank, c as vec_id, score from s
+qualify row_number() over (partition by q order by score desc, c) <= 5""")
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragscale.llm.search import exact_topk
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk(vectors.where(F.col("vec_id") % 50 == 0), vectors)
