@@ -6,15 +6,22 @@ leave the task. A group bigger than a task's fair share is salted over several
 blocks whose replicate sums are added up by a normal aggregation, so no task
 ever needs a whole hot group.
 
-* ``poisson_ci``: every row gets a Poisson(1) weight per replicate from integer
-  arithmetic on its key. Independent of partitioning and of row order.
-* ``multinomial_ci``: n draws with replacement per replicate. A draw is a
-  position from a hash of its number; a block keeps the draws that fall into
-  its own range of positions, so blocks change nothing in the result.
+* ``poisson_ci``: every row gets a Poisson(1) weight per replicate from a hash
+  of its key. Independent of partitioning and of row order.
+* ``multinomial_ci``: n draws with replacement per replicate. The unit interval
+  is halved until a part expects at most ``LEAF`` draws; fair bits, hashed from
+  (tree node, counter, replicate), say how many draws of a node fall into its left
+  half. The draws of a leaf are hashed from (leaf, counter, replicate) and fall on
+  positions ``floor(u * n)``. A block reads the counts of its own leaves and makes
+  their draws only, so all blocks together make each draw once.
+
+Hashes are linear in two 31-bit numbers modulo the prime 2**31 - 1, with three random
+coefficients for each replicate and lane, then scrambled; two lanes make one number of 62 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from ragscale.functions.hashing import stable_key
+from ragscale.functions.hashing import stable_pair
 from ragscale.operators.skew import hot_keys, is_small, join_same, shuffle_partitions, with_salt
 from ragscale.schemas import BOOTSTRAP_RESAMPLES, BOOTSTRAP_SEED, CONFIDENCE_LEVEL
 from ragscale.session import materialize
@@ -32,8 +39,13 @@ PRIME = (1 << 31) - 1
 POISSON_CUTS = (790015084, 1580030168, 1975037710, 2106706891, 2139624186, 2146207645, 2147304888)
 BLOCK_ROWS = 1 << 20
 DRAW_BLOCK_ROWS = 1 << 18
+LEAF = 1 << 12  # draws that a leaf of the tree expects at most; part of the rule, other values give other draws
+BITS = 31  # fair bits of one hash
+MOST_ROWS = BITS * PRIME  # rows of one group, beyond which the counters of a node would repeat
+WEIGHTS, SPLITS, HIGH, LOW = range(4)  # lanes
 _TILE = 64
-_DRAW_CELLS = 1 << 20
+_DRAW_CELLS = 1 << 18
+_SLICE = 50  # replicates whose tree one row of the tree table stands for
 
 
 def _fold(x: np.ndarray, spare: np.ndarray) -> None:
@@ -58,60 +70,120 @@ def _scramble(h: np.ndarray, x: np.ndarray, spare: np.ndarray) -> np.ndarray:
     return u
 
 
-def _row_seed(keys: np.ndarray, seed: int) -> np.ndarray:
-    return (((keys % PRIME) * 1000003 + seed) % PRIME).astype(np.uint64)
-
-
-def _replicate_seed(n_resamples: int) -> np.ndarray:
-    return ((np.arange(n_resamples, dtype=np.int64) * 7919) % PRIME).astype(np.uint64)
+def coefficients(lane: int, n_resamples: int, seed: int) -> np.ndarray:
+    """Three numbers below PRIME for each replicate, the first two not 0."""
+    digests = [hashlib.md5(f"{seed}-{lane}-{b}".encode()).hexdigest() for b in range(n_resamples)]
+    a, b, c = (np.array([int(d[k:k + 10], 16) for d in digests], dtype=np.uint64) for k in (0, 10, 20))
+    return np.stack([a % np.uint64(PRIME - 1) + np.uint64(1), b % np.uint64(PRIME - 1) + np.uint64(1), c % np.uint64(PRIME)])
 
 
 def _buffers(*shape: int) -> list[np.ndarray]:
     return [np.empty(shape, dtype=np.uint64) for _ in range(3)]
 
 
-def poisson_weights(row_seeds: np.ndarray, replicate_seeds: np.ndarray, buffers: list[np.ndarray]) -> np.ndarray:
+def lane_hash(k1: np.ndarray, k2: np.ndarray, by: np.ndarray, buffers: list[np.ndarray] | None = None) -> np.ndarray:
+    """Hashes below PRIME of pairs of numbers below PRIME, with coefficients that broadcast against them."""
+    shape = np.broadcast_shapes(np.shape(k1), by[0].shape)
+    h, x, spare = buffers or _buffers(*shape)
+    np.multiply(k1, by[0], out=h)
+    np.multiply(k2, by[1], out=x)
+    np.add(h, x, out=h)
+    np.add(h, by[2], out=h)  # below 2**63
+    _fold(h, spare)
+    _fold(h, spare)
+    return _scramble(h, x, spare)
+
+
+def poisson_weights(k1: np.ndarray, k2: np.ndarray, by: np.ndarray, buffers: list[np.ndarray] | None = None) -> np.ndarray:
     """Weight of every row (first axis) in every replicate (second axis)."""
-    h, x, spare = (b[:len(row_seeds)] for b in buffers)
-    np.add(row_seeds[:, None], replicate_seeds[None, :], out=h)
-    u = _scramble(h, x, spare)
+    u = lane_hash(k1[:, None], k2[:, None], by[:, None, :], buffers and [b[:len(k1)] for b in buffers])
     weights = np.zeros(u.shape, dtype=np.int8)
     for cut in POISSON_CUTS:
         weights += (u >= np.uint32(cut)).view(np.int8)
     return weights
 
 
-def _poisson_sums(keys: np.ndarray, values: np.ndarray, n_resamples: int, seed: int):
-    rows, replicates = _row_seed(keys, seed), _replicate_seed(n_resamples)
+def _poisson_sums(k1: np.ndarray, k2: np.ndarray, values: np.ndarray, by: np.ndarray):
+    n_resamples = by.shape[1]
+    k1, k2 = ((k % PRIME).astype(np.uint64) for k in (k1, k2))
     buffers = _buffers(_TILE, n_resamples)
     total = np.zeros(n_resamples)
     sums = np.zeros((values.shape[1], n_resamples))
-    for at in range(0, len(keys), _TILE):
-        w = poisson_weights(rows[at:at + _TILE], replicates, buffers).astype(np.float64)
+    for at in range(0, len(k1), _TILE):
+        w = poisson_weights(k1[at:at + _TILE], k2[at:at + _TILE], by, buffers).astype(np.float64)
         total += w.sum(axis=0)
         sums += values[at:at + _TILE].T @ w
     return total, sums.T
 
 
-def draw_positions(first: int, last: int, replicate: int, n_rows: int, seed: int) -> np.ndarray:
-    """Row positions of draws ``first`` to ``last`` (exclusive) of one replicate."""
-    h = _row_seed(np.arange(first, last, dtype=np.int64), seed) + np.uint64((replicate * 7919) % PRIME)
-    _, x, spare = _buffers(last - first)
-    return (_scramble(h, x, spare) % np.uint64(n_rows)).astype(np.int64)
+def tree_levels(n_rows: int, leaf: int = LEAF) -> int:
+    """Halvings after which a part of the unit interval expects at most ``leaf`` of ``n_rows`` draws."""
+    return max(0, (-(-n_rows // leaf) - 1).bit_length())
+
+
+def scaled(high: np.ndarray, low: np.ndarray, n_rows: int) -> np.ndarray:
+    """``floor((high * PRIME + low) * n_rows / PRIME**2)``, exactly, for any ``n_rows`` below ``PRIME**2``."""
+    high, low = high.astype(np.uint64), low.astype(np.uint64)
+    prime, (n1, n0) = np.uint64(PRIME), (np.uint64(x) for x in divmod(n_rows, PRIME))
+    return high * n1 + (high * n0 + low * n1 + low * n0 // prime) // prime
+
+
+def split_counts(n_rows: int, by: np.ndarray, leaf: int = LEAF) -> np.ndarray:
+    """How many of ``n_rows`` draws each leaf gets in one replicate, whose coefficients are ``by``."""
+    counts = np.array([n_rows], dtype=np.int64)
+    for level in range(tree_levels(n_rows, leaf)):
+        words = -(-counts // BITS)
+        at = np.concatenate([[0], np.cumsum(words)])
+        node = np.repeat(np.arange(len(counts)) + (1 << level), words).astype(np.uint64)
+        counter = (np.arange(at[-1]) - np.repeat(at[:-1], words)).astype(np.uint64)
+        bits = lane_hash(counter, node, by[:, None])
+        last = at[1:][words > 0] - 1  # a node's last hash gives the bits that are left
+        bits[last] &= ((1 << (counts - BITS * (words - 1))[words > 0]) - 1).astype(np.uint32)
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)])
+        left = ones[at[1:]] - ones[at[:-1]]
+        counts = np.stack([left, counts - left], axis=1).ravel()
+    return counts
+
+
+def leaf_range(lo: int, hi: int, n_rows: int, levels: int) -> tuple[int, int]:
+    """First and last leaf (inclusive) whose draws can fall on positions ``lo`` to ``hi`` (exclusive)."""
+    return (lo << levels) // n_rows, min(((hi << levels) - 1) // n_rows, (1 << levels) - 1)
+
+
+def leaf_draws(first: int, counts: np.ndarray, n_rows: int, levels: int, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Positions of the draws of consecutive leaves in one replicate, whose coefficients are ``high`` and ``low``."""
+    leaf = np.repeat(np.arange(first, first + len(counts)), counts)
+    counter = (np.arange(len(leaf)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
+    node = (leaf + (1 << levels)).astype(np.uint64)
+    inside = scaled(lane_hash(counter, node, high[:, None]), lane_hash(counter, node, low[:, None]), n_rows)
+    return (leaf.astype(np.uint64) * np.uint64(n_rows) + inside >> np.uint64(levels)).astype(np.int64)
 
 
-def _draw_sums(positions: np.ndarray, values: np.ndarray, n_rows: int, n_resamples: int, seed: int):
-    """Sums over the draws that fall on a block's consecutive positions, and their number, per replicate."""
-    lo, size = int(positions[0]), len(positions)
+def _draw_sums(lo: int, values: np.ndarray, n_rows: int, counts: np.ndarray | None, high: np.ndarray, low: np.ndarray):
+    """Sums over the draws that fall on a block's consecutive positions, and their number, per replicate.
+
+    ``counts`` (replicates x leaves of the block) is None for a group of a single leaf.
+    """
+    n_resamples, size = high.shape[1], len(values)
     total, sums = np.zeros(n_resamples), np.zeros((n_resamples, values.shape[1]))
+    if counts is None:
+        counter, node = np.arange(n_rows, dtype=np.uint64)[None, :], np.uint64(1)
+        step = max(1, _DRAW_CELLS // n_rows)
+        for b in range(0, n_resamples, step):
+            h, w = (lane_hash(counter, node, x[:, b:b + step, None]) for x in (high, low))
+            drawn = scaled(h, w, n_rows).astype(np.int64) - lo
+            cell = drawn + size * np.arange(len(drawn))[:, None]
+            times = np.bincount(cell[(drawn >= 0) & (drawn < size)], minlength=cell.shape[0] * size).reshape(-1, size)
+            total[b:b + step] = times.sum(axis=1)
+            sums[b:b + step] = times @ values
+        return total, sums
+    levels = tree_levels(n_rows)
+    first, _ = leaf_range(lo, lo + size, n_rows, levels)
     for b in range(n_resamples):
-        for at in range(0, n_rows, _DRAW_CELLS):
-            drawn = draw_positions(at, min(at + _DRAW_CELLS, n_rows), b, n_rows, seed) - lo
-            if size < n_rows:
-                drawn = drawn[(drawn >= 0) & (drawn < size)]
-            times = np.bincount(drawn, minlength=size)
-            total[b] += len(drawn)
-            sums[b] += times @ values
+        drawn = leaf_draws(first, counts[b], n_rows, levels, high[:, b], low[:, b]) - lo
+        times = np.bincount(drawn[(drawn >= 0) & (drawn < size)], minlength=size)
+        total[b] = times.sum()
+        sums[b] = times @ values
     return total, sums
 
 
@@ -156,9 +228,9 @@ def _resample(
 ) -> DataFrame:
     """Intervals per key as arrays ``lo`` and ``hi`` in metric order.
 
-    ``df`` has columns keys, ``_salt``, ``_row``, ``_n`` and the metrics. ``sums_of`` takes
-    (row keys, group size, values) of a block and returns weights and sums. A row
-    key that repeats inside a block, where rows of one key always meet, raises.
+    ``df`` has columns keys, ``_salt``, ``_row``, ``_more``, ``_n``, ``_counts`` and the metrics. ``sums_of`` takes
+    (both row keys, group size, counts, values) of a block and returns weights and sums. A row with key -1
+    brings a block's counts. A row key that repeats inside a block, where rows of one key always meet, raises.
     """
     n_keys, n_metrics = len(keys), len(metrics)
     key_fields = [df.schema[k] for k in keys]
@@ -168,11 +240,14 @@ def _resample(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, n_keys):
             first = block.slice(0, 1)
-            row_keys = block.column(n_keys + 1).to_numpy()
-            if (row_keys[1:] == row_keys[:-1]).any():
+            counts = None
+            if block.column(n_keys + 1)[0].as_py() == -1:
+                counts, block = block.column(n_keys + 4)[0].values.to_numpy(), block.slice(1)
+            row_keys, more = (block.column(n_keys + i).to_numpy() for i in (1, 2))
+            if ((row_keys[1:] == row_keys[:-1]) & (more[1:] == more[:-1])).any():
                 raise ValueError("the row key repeats inside a group; name columns that identify a record")
-            values = np.column_stack([block.column(n_keys + 3 + i).to_numpy() for i in range(n_metrics)])
-            total, sums = sums_of(row_keys, block.column(n_keys + 2)[0].as_py(), values)
+            values = np.column_stack([block.column(n_keys + 5 + i).to_numpy() for i in range(n_metrics)])
+            total, sums = sums_of(row_keys, more, block.column(n_keys + 3)[0].as_py(), counts, values)
             if salted:
                 lists = [total, *sums.T]
             else:
@@ -181,8 +256,8 @@ def _resample(
             columns += [pa.array([a], type=pa.list_(pa.float64())) for a in lists]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, *arrays])
 
-    columns = df.select(*keys, "_salt", "_row", "_n", *metrics)
-    ordered = columns.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt", "_row")
+    columns = df.select(*keys, "_salt", "_row", "_more", "_n", "_counts", *metrics)
+    ordered = columns.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt", "_row", "_more")
     found = ordered.mapInArrow(run, out_schema)
     if not salted:
         return found
@@ -233,8 +308,8 @@ def row_key_text(row_key: str | list[str]) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in row_key])
 
 
-def _prepare(df: DataFrame, keys: list[str], metrics: list[str], row: Column) -> DataFrame:
-    return df.select(*keys, row.alias("_row"), *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics])
+def _prepare(df: DataFrame, keys: list[str], metrics: list[str], *row: Column) -> DataFrame:
+    return df.select(*keys, *[r.alias(name) for r, name in zip(row, ("_row", "_more"))], *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics])
 
 
 def poisson_ci(
@@ -245,19 +320,21 @@ def poisson_ci(
     """``(keys, n, metric, mean, ci_lo, ci_hi, std)`` by the Poisson bootstrap.
 
     A missing metric counts as 0.0. ``row_key`` (one or several columns) identifies a
-    row inside its group; its hash drives the weights, so the same rows give the same
+    row inside its group; 120 bits of its hash drive the weights, so the same rows give the same
     interval in any order. A key that repeats inside a group raises. ``stats`` (as of
     ``metric_stats``, written) saves computing them, which is the first of two reads.
     """
-    data = _prepare(df, keys, metrics, stable_key(row_key_text(row_key)))
+    data = _prepare(df, keys, metrics, *stable_pair(row_key_text(row_key)))
     if stats is None:
         stats = materialize(metric_stats(data, keys, metrics), "stats")
     hot = hot_keys(df, keys, block_rows, stats.select(*keys, F.col("n").alias("n_rows")))
 
-    def sums_of(row_keys, n_rows, values):
-        return _poisson_sums(row_keys, values, n_resamples, seed)
+    by = coefficients(WEIGHTS, n_resamples, seed)
+
+    def sums_of(row_keys, more, n_rows, counts, values):
+        return _poisson_sums(row_keys, more, values, by)
 
-    salted = with_salt(data, keys, hot, "_row").withColumn("_n", F.lit(0).cast("bigint"))
+    salted = with_salt(data, keys, hot, "_row").withColumns({"_n": F.lit(0).cast("bigint"), "_counts": F.lit(None).cast("array<int>")})
     return _finish(stats, keys, metrics, _resample(salted, keys, metrics, hot is not None, sums_of, confidence))
 
 
@@ -277,6 +354,37 @@ def dense_positions(df: DataFrame, keys: list[str], order: str, position: str =
     return joined.withColumn(position, F.col("_before") + F.col("_mid") - F.col("_first")).select(*df.columns, position, size)
 
 
+def block_counts(sizes: DataFrame, keys: list[str], n_resamples: int, seed: int, block_rows: int) -> DataFrame:
+    """``keys, _salt, _counts``: for each block of the groups in ``sizes`` (``keys, _n``, more than a leaf each) the draws of its
+    leaves, replicate after replicate.
+
+    A group's tree is worked out once for each replicate, ``_SLICE`` replicates to a row of a table that is spread by group and
+    slice; a task holds the leaves of one replicate.
+    """
+    slices = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1), F.lit(_SLICE))).alias("_b"))
+    spread = slices.repartition(shuffle_partitions(sizes), *keys, "_b")
+    by, n_keys = coefficients(SPLITS, n_resamples, seed), len(keys)
+    added = [T.StructField("_salt", T.LongType()), T.StructField("_b", T.IntegerType()), T.StructField("_some", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*[sizes.schema[k] for k in keys], *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n_rows, b = batch.column(n_keys)[i].as_py(), batch.column(n_keys + 1)[i].as_py()
+                levels, n_blocks = tree_levels(n_rows), -(-n_rows // block_rows)
+                spans = [leaf_range(s * block_rows, min((s + 1) * block_rows, n_rows), n_rows, levels) for s in range(n_blocks)]
+                for replicate in range(b, min(b + _SLICE, n_resamples)):
+                    counts = split_counts(n_rows, by[:, replicate]).astype(np.int32)
+                    some = [pa.array(counts[lo:hi + 1]) for lo, hi in spans]
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, some)]), pa.int32()), pa.concat_arrays(some))
+                    own = [pa.repeat(batch.column(k)[i], n_blocks) for k in range(n_keys)]
+                    yield pa.record_batch([*own, pa.array(np.arange(n_blocks)), pa.array(np.full(n_blocks, replicate, np.int32)), lists], names=schema.names)
+
+    parts = spread.mapInArrow(run, schema)
+    gathered = F.sort_array(F.collect_list(F.struct("_b", "_some")))  # one entry for each replicate
+    return parts.groupBy(*keys, "_salt").agg(F.flatten(F.transform(gathered, lambda p: p["_some"])).alias("_counts"))
+
+
 def multinomial_ci(
     df: DataFrame, keys: list[str], metrics: list[str], row_key: str,
     n_resamples: int = BOOTSTRAP_RESAMPLES, confidence: float = CONFIDENCE_LEVEL,
@@ -285,20 +393,26 @@ def multinomial_ci(
     """Like ``poisson_ci`` with exactly n draws with replacement per replicate.
 
     ``row_key`` must be an integer that orders the rows of a group; one that repeats raises. One rule
-    holds at every size: neither ``block_rows`` nor the number of partitions changes a result. Each
-    block goes through all draws of its group, so the work for one group grows with its size times its blocks;
-    for very large groups ``poisson_ci`` is the estimator of choice.
+    holds at every size: neither ``block_rows`` nor the number of partitions changes a draw. Each block makes
+    the draws of its own leaves, so a replicate costs a group n draws and n / 31 hashes for each level of its
+    tree, however many blocks it has. Groups of more than ``MOST_ROWS`` rows raise.
     """
     data = dense_positions(_prepare(df, keys, metrics, F.col(row_key).cast("bigint")), keys, "_row")
     repeats = data.groupBy(*keys, "_row").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
     if repeats.take(1):
         raise ValueError("the row key repeats inside a group; name a column that identifies a record")
-    salt = F.floor(F.col("_pos") / block_rows).cast("int")
-    salted = data.select(*keys, *metrics, "_n", F.col("_pos").alias("_row"), salt.alias("_salt"))
-
-    def sums_of(positions, n_rows, values):
-        return _draw_sums(positions, values, n_rows, n_resamples, seed)
-
-    split = bool(data.where(F.col("_n") > block_rows).take(1))
-    bounds = _resample(salted, keys, metrics, split, sums_of, confidence)
-    return _finish(metric_stats(data, keys, metrics), keys, metrics, bounds)
+    stats = materialize(metric_stats(data, keys, metrics), "stats")
+    largest = stats.agg(F.max("n")).first()[0] or 0
+    if largest > MOST_ROWS:
+        raise ValueError(f"a group has {largest} rows; the counters of its draws reach to {MOST_ROWS}")
+    salt = F.floor(F.col("_pos") / block_rows).cast("bigint")
+    salted = data.select(*keys, *metrics, "_n", F.col("_pos").alias("_row"), F.lit(0).cast("bigint").alias("_more"), salt.alias("_salt"), F.lit(None).cast("array<int>").alias("_counts"))
+    if largest > LEAF:
+        counts = block_counts(stats.where(F.col("n") > LEAF).select(*keys, F.col("n").alias("_n")), keys, n_resamples, seed, block_rows)
+        salted = salted.unionByName(counts.withColumns({"_row": F.lit(-1).cast("bigint"), "_more": F.lit(0).cast("bigint")}), allowMissingColumns=True)
+    high, low = (coefficients(lane, n_resamples, seed) for lane in (HIGH, LOW))
+
+    def sums_of(positions, more, n_rows, counts, values):
+        return _draw_sums(int(positions[0]), values, n_rows, None if counts is None else counts.reshape(n_resamples, -1), high, low)
+
+    return _finish(stats, keys, metrics, _resample(salted, keys, metrics, largest > block_rows, sums_of, confidence))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ragscale.operators.bootstrap import BITS, HIGH, LEAF, LOW, SPLITS, WEIGHTS
 from ragscale.plans.catalog import table
 from ragscale.schemas import BOOTSTRAP_RESAMPLES, BOOTSTRAP_SEED, METRICS
 
@@ -50,6 +51,43 @@ def ev(body: str) -> str:
     return f"with ev as ({EV_SQL.format(events='events')}) {body}"
 
 
+_LINEAR = "(k1 * ca + k2 * cb + cc) % 2147483647"
+_SCRAMBLED = "((h0 * h0 + 12345) % 2147483647 * ((h0 * h0 + 12345) % 2147483647) + h0) % 2147483647"
+
+
+def _key_half(row_key: str, at: int) -> str:
+    return f"('0x' || substr(md5(cast({row_key} as varchar)), {at}, 15))::bigint % 2147483647"
+
+
+def _coefficients(lane: int, n: int, seed: int) -> str:
+    """A table of the three hash coefficients of every replicate."""
+    digits = lambda at: f"('0x' || substr(d, {at}, 10))::bigint"
+    return f"""(select b, {digits(1)} % 2147483646 + 1 as ca, {digits(11)} % 2147483646 + 1 as cb, {digits(21)} % 2147483647 as cc
+    from (select b, md5('{seed}-{lane}-' || b) as d from range({n}) t(b))) cf"""
+
+
+def draws_cte(vals: str, keys: list[str], n: int = BOOTSTRAP_RESAMPLES, seed: int = BOOTSTRAP_SEED, levels: int = 5) -> str:
+    """CTEs ending in ``picked``: keys, replicate and position of every draw. ``vals`` has keys and n, up to LEAF * 2**levels."""
+    ks = ", ".join(keys)
+    out = [f"""sizes as (select distinct {ks}, n, case when n <= {LEAF} then 0 else ceil(log2(n / {LEAF}.0))::int end as lv from {vals}),
+t0 as (select {ks}, n, lv, b, 1::bigint as node, n as k from sizes, range({n}) r(b))"""]
+    for level in range(levels):
+        out.append(f"""w{level} as (select {ks}, n, lv, t.b, node, k, w as k1, node as k2, ca, cb, cc
+  from (select *, unnest(range((k + {BITS - 1}) // {BITS})) as w from t{level} where lv > {level}) t join {_coefficients(SPLITS, n, seed)} on cf.b = t.b),
+x{level} as (select *, {_SCRAMBLED} as u from (select *, {_LINEAR} as h0 from w{level})),
+s{level} as (select {ks}, n, lv, b, node, k, sum(bit_count(u & ((1::bigint << least({BITS}, k - {BITS} * k1)::int) - 1)))::bigint as ones
+  from x{level} group by {ks}, n, lv, b, node, k),
+t{level + 1} as (select {ks}, n, lv, b, 2 * node as node, ones as k from s{level} union all select {ks}, n, lv, b, 2 * node + 1, k - ones from s{level})""")
+    leaves = " union all ".join(f"select * from t{level} where lv = {level}" for level in range(levels + 1))
+    out.append(f"""leaves as ({leaves}), di as (select *, unnest(range(k)) as k1, node as k2 from leaves),
+dh as (select {ks}, n, lv, d.b, node, k1, k2, {_LINEAR} as h0 from di d join {_coefficients(HIGH, n, seed)} on cf.b = d.b),
+du as (select {ks}, n, lv, b, node, k1, k2, {_SCRAMBLED} as hi from dh),
+dl as (select {ks}, n, lv, d.b, node, hi, {_LINEAR} as h0 from du d join {_coefficients(LOW, n, seed)} on cf.b = d.b),
+dv as (select {ks}, n, lv, b, node, hi, {_SCRAMBLED} as lo from dl),
+picked as (select {ks}, b, ((node - (1::bigint << lv)) * n + (hi * n + lo * n // 2147483647) // 2147483647) >> lv as pos from dv)""")
+    return ",\n".join(out)
+
+
 def poisson_cte(src: str, keys: list[str], metrics: list[str], row_key: str, name: str = "boot",
                 n: int = BOOTSTRAP_RESAMPLES, seed: int = BOOTSTRAP_SEED) -> str:
     """CTEs ending in ``name``: keys, n and per metric m_mean, m_lo, m_hi, m_std."""
@@ -61,13 +99,9 @@ def poisson_cte(src: str, keys: list[str], metrics: list[str], row_key: str, nam
     on = " and ".join(f"s.{k} = c.{k}" for k in keys)
     outs = ", ".join(f"{m}_mean, {m}_lo, {m}_hi, {m}_std" for m in metrics)
     return f"""
-{name}_rows as (select {ks}, {ms},
-    ((('0x' || substr(md5(cast({row_key} as varchar)), 1, 15))::bigint % 2147483647) * 1000003 + {seed})
-      % 2147483647 as a from {src}),
-{name}_h0 as (select r.*, b, (a + (b * 7919) % 2147483647) % 2147483647 as h0
-    from {name}_rows r, range({n}) t(b)),
-{name}_h1 as (select *, (h0 * h0 + 12345) % 2147483647 as h1 from {name}_h0),
-{name}_u as (select *, (h1 * h1 + h0) % 2147483647 as u from {name}_h1),
+{name}_rows as (select {ks}, {ms}, {_key_half(row_key, 1)} as k1, {_key_half(row_key, 16)} as k2 from {src}),
+{name}_h0 as (select r.*, b, {_LINEAR} as h0 from {name}_rows r, {_coefficients(WEIGHTS, n, seed)}),
+{name}_u as (select *, {_SCRAMBLED} as u from {name}_h0),
 {name}_k as (select *, case when u < 790015084 then 0 when u < 1580030168 then 1 when u < 1975037710 then 2
     when u < 2106706891 then 3 when u < 2139624186 then 4 when u < 2146207645 then 5
     when u < 2147304888 then 6 else 7 end as k from {name}_u),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ragscale.functions.scoring import discretize_closed, discretize_open
 from ragscale.operators import agreement, aggregate, bootstrap, incremental, quality
 from ragscale.plans.catalog import query, r6, rounded, table
-from ragscale.plans.evalview import ev, eval_records, long_rows, poisson_cte
+from ragscale.plans.evalview import draws_cte, ev, eval_records, long_rows, poisson_cte
 from ragscale.schemas import BOOTSTRAP_RESAMPLES, CONFIG_KEY, METRICS, PAIR_KEY
 
 KEYS = ", ".join(CONFIG_KEY)
@@ -88,11 +88,7 @@ def _(spark, sf_dir):
 @query("bootstrap_ci_exact", ev(f""",
 vals as (select model, quantization, cu, row_number() over (partition by model, quantization order by event_id) - 1 as pos,
   count(*) over (partition by model, quantization) as n from ev),
-sizes as (select distinct model, quantization, n from vals),
-draws as (select model, quantization, b, ((i * 1000003 + 42) % 2147483647 + (b * 7919) % 2147483647) % 2147483647 as h0, n
-  from sizes, range((select max(n) from sizes)) t(i), range(1000) s(b) where i < n),
-h1 as (select *, (h0 * h0 + 12345) % 2147483647 as h1 from draws),
-picked as (select model, quantization, b, ((h1 * h1 + h0) % 2147483647) % n as pos from h1),
+{draws_cte("vals", _MQ)},
 reps as (select p.model, p.quantization, b, avg(cu) as m from picked p join vals v
   on p.model = v.model and p.quantization = v.quantization and p.pos = v.pos group by 1, 2, 3),
 ci as (select model, quantization, quantile_cont(m, 0.025) as ci_lo, quantile_cont(m, 0.975) as ci_hi from reps group by 1, 2),
@@ -323,39 +319,30 @@ def _(spark, sf_dir):
 _FLAG_ROWS = "select case when event_id % 10 < 9 then 'most' end as flag, event_id as k, value::double as v from events"
 
 
-@query("bootstrap_ci_exact_large", f"""
-with vals as (select flag, v, row_number() over (partition by flag order by k) - 1 as pos, count(*) over (partition by flag) as n from ({_FLAG_ROWS})),
-sizes as (select distinct flag, n from vals),
-draws as (select flag, b, ((i * 1000003 + 42) % 2147483647 + (b * 7919) % 2147483647) % 2147483647 as h0, n
-  from sizes, range((select max(n) from sizes)) t(i), range(100) s(b) where i < n),
-h1 as (select *, (h0 * h0 + 12345) % 2147483647 as h1 from draws),
-picked as (select flag, b, ((h1 * h1 + h0) % 2147483647) % n as pos from h1),
+def _exact_sql(rows: str) -> str:
+    """Exact bootstrap of ``flag, k, v`` rows."""
+    return f"""with vals as (select flag, v, row_number() over (partition by flag order by k) - 1 as pos, count(*) over (partition by flag) as n from ({rows})),
+{draws_cte("vals", ["flag"])},
 reps as (select p.flag, b, avg(v) as m from picked p join vals v on p.flag is not distinct from v.flag and p.pos = v.pos group by 1, 2),
 ci as (select flag, quantile_cont(m, 0.025) as ci_lo, quantile_cont(m, 0.975) as ci_hi from reps group by 1),
 st as (select flag, count(*) as n, avg(v) as mean, coalesce(stddev_samp(v), 0.0) as std from vals group by 1)
-select st.flag, n, 'v' as metric, {LONG} from st join ci on st.flag is not distinct from ci.flag""")
-def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").selectExpr("case when event_id % 10 < 9 then 'most' end as flag", "event_id as k", "double(value) as v")
-    return rounded(bootstrap.multinomial_ci(rows, ["flag"], ["v"], "k", n_resamples=100, block_rows=1000))
+select st.flag, n, 'v' as metric, {LONG} from st join ci on st.flag is not distinct from ci.flag"""
 
 
-@query("bootstrap_ci_exact_large_full", f"""
-with vals as (select flag, v, row_number() over (partition by flag order by k) - 1 as pos, count(*) over (partition by flag) as n from ({_FLAG_ROWS})),
-sizes as (select distinct flag, n from vals),
-draws as (select flag, b, ((i * 1000003 + 42) % 2147483647 + (b * 7919) % 2147483647) % 2147483647 as h0, n
-  from sizes, range((select max(n) from sizes)) t(i), range({BOOTSTRAP_RESAMPLES}) s(b) where i < n),
-h1 as (select *, (h0 * h0 + 12345) % 2147483647 as h1 from draws),
-picked as (select flag, b, ((h1 * h1 + h0) % 2147483647) % n as pos from h1),
-reps as (select p.flag, b, avg(v) as m from picked p join vals v on p.flag is not distinct from v.flag and p.pos = v.pos group by 1, 2),
-ci as (select flag, quantile_cont(m, 0.025) as ci_lo, quantile_cont(m, 0.975) as ci_hi from reps group by 1),
-st as (select flag, count(*) as n, avg(v) as mean, coalesce(stddev_samp(v), 0.0) as std from vals group by 1)
-select st.flag, n, 'v' as metric, {LONG} from st join ci on st.flag is not distinct from ci.flag""")
+@query("bootstrap_ci_exact_large_full", _exact_sql(_FLAG_ROWS))
 def _(spark, sf_dir):
-    """The large groups with the operator's own number of resamples."""
+    """Two groups, one of them null and one with nine tenths of the rows, in many small blocks."""
     rows = table(spark, sf_dir, "events").selectExpr("case when event_id % 10 < 9 then 'most' end as flag", "event_id as k", "double(value) as v")
     return rounded(bootstrap.multinomial_ci(rows, ["flag"], ["v"], "k", block_rows=1000))
 
 
+@query("bootstrap_ci_exact_large", _exact_sql("select event_type = 'purchase' as flag, event_id as k, ln(1 + value::double) as v from events"))
+def _(spark, sf_dir):
+    """All purchases against all other events, in blocks of the operator's own size."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_type = 'purchase' as flag", "event_id as k", "log1p(double(value)) as v")
+    return rounded(bootstrap.multinomial_ci(rows, ["flag"], ["v"], "k"))
+
+
 # --- determinism ---------------------------------------------------------------------------
 
 RUNS = "select user_id as query, event_id % 10 as seed, event_type as response from events"

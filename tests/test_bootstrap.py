@@ -1,5 +1,9 @@
 """Properties of the bootstrap estimators and the preference gap."""
 
+import hashlib
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,15 +49,104 @@ def test_interval_properties(spark, method):
             assert r["ci_hi"] - r["ci_lo"] == pytest.approx(3.92 * values.std(ddof=1) / len(values) ** 0.5, rel=0.15)
 
 
-def brute_multinomial(values, n_resamples=1000, seed=42):
-    prime, n = (1 << 31) - 1, len(values)
-    means = []
-    for b in range(n_resamples):
-        h = [((i * 1000003 + seed) % prime + (b * 7919) % prime) % prime for i in range(n)]
-        means.append(np.mean([values[(((x * x + 12345) % prime) ** 2 + x) % prime % n] for x in h]))
+def brute_hash(lane, b, k1, k2, seed=42):
+    """A hash below the prime in Python's own integers."""
+    prime = (1 << 31) - 1
+    d = hashlib.md5(f"{seed}-{lane}-{b}".encode()).hexdigest()
+    ca, cb, cc = int(d[:10], 16) % (prime - 1) + 1, int(d[10:20], 16) % (prime - 1) + 1, int(d[20:30], 16) % prime
+    x = (k1 * ca + k2 * cb + cc) % prime
+    return ((x * x + 12345) ** 2 + x) % prime
+
+
+def brute_draws(n, b, leaf=bootstrap.LEAF):
+    """Positions of all draws of one replicate, node by node."""
+    prime, levels = (1 << 31) - 1, 0
+    while leaf << levels < n:
+        levels += 1
+    out = []
+
+    def visit(level, node, k):
+        if level < levels:
+            bits = "".join(format(brute_hash(bootstrap.SPLITS, b, w, node), "031b")[::-1] for w in range(-(-k // 31)))[:k]
+            visit(level + 1, 2 * node, bits.count("1"))
+            visit(level + 1, 2 * node + 1, k - bits.count("1"))
+            return
+        for i in range(k):
+            u = Fraction(brute_hash(bootstrap.HIGH, b, i, node) * prime + brute_hash(bootstrap.LOW, b, i, node), prime * prime)
+            out.append(math.floor((node - (1 << levels) + u) * n / (1 << levels)))
+
+    visit(0, 1, n)
+    return out
+
+
+def brute_multinomial(values, n_resamples=1000):
+    means = [np.mean(np.asarray(values)[brute_draws(len(values), b)]) for b in range(n_resamples)]
     return np.percentile(means, [2.5, 97.5])
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 16, 17, 100, 1000])
+def test_tree_and_draws_against_plain_integers(n):
+    leaf, levels = 16, bootstrap.tree_levels(n, 16)
+    split, high, low = (bootstrap.coefficients(lane, 3, 42) for lane in (bootstrap.SPLITS, bootstrap.HIGH, bootstrap.LOW))
+    for b in range(3):
+        counts = bootstrap.split_counts(n, split[:, b], leaf)
+        assert len(counts) == 1 << levels and counts.sum() == n
+        got = bootstrap.leaf_draws(0, counts, n, levels, high[:, b], low[:, b])
+        assert got.tolist() == brute_draws(n, b, leaf) and 0 <= got.min() <= got.max() < n
+
+
+@pytest.mark.parametrize("n", [1_500_000_000, 3_000_000_000, 50_000_000_000])
+def test_draws_of_huge_groups_fall_evenly_on_all_positions(n):
+    """Leaves of a simulated tree: every stretch of positions gets its share, the last positions too."""
+    levels = bootstrap.tree_levels(n)
+    high, low = (bootstrap.coefficients(lane, 1, 42)[:, 0] for lane in (bootstrap.HIGH, bootstrap.LOW))
+    per, first = 2000, [0, (1 << levels) // 3, (1 << levels) - 60]
+    for leaf in first:
+        drawn = bootstrap.leaf_draws(leaf, np.full(60, per), n, levels, high, low)
+        inside = (drawn / n * (1 << levels) - leaf) * 4  # quarters of a leaf
+        times = np.bincount(np.floor(inside + 1e-6).astype(int).clip(0, 239), minlength=240)
+        chi = ((times - per / 4) ** 2 / (per / 4)).sum()
+        assert abs(chi - 180) < 6 * (2 * 180) ** 0.5  # 240 cells, 60 sums fixed
+    assert drawn.max() >= n - n / (1 << levels) / 100
+    top = np.uint32(bootstrap.PRIME - 1)
+    assert bootstrap.scaled(np.array([top]), np.array([top]), n)[0] == n - 1
+    exact = [(h * bootstrap.PRIME + w) * n // bootstrap.PRIME**2 for h, w in ((5, 7), (2**30, 2**31 - 2), (2**31 - 2, 0))]
+    assert bootstrap.scaled(np.array([5, 2**30, 2**31 - 2]), np.array([7, 2**31 - 2, 0]), n).tolist() == exact
+
+
+def test_split_is_a_fair_binomial():
+    by = bootstrap.coefficients(bootstrap.SPLITS, 300, 7)
+    left = np.array([bootstrap.split_counts(100_000, by[:, b], 50_000)[0] for b in range(300)])
+    z = (left - 50_000) / 25_000**0.5
+    assert abs(z.mean()) < 0.25 and 0.85 < z.std() < 1.15
+
+
+def test_leaves_of_a_block_are_those_that_reach_it():
+    for n, levels in ((1000, 6), (77, 3), (4097, 1)):
+        for lo, hi in ((0, 1), (3, 30), (n - 5, n), (0, n)):
+            want = [j for j in range(1 << levels) if any(lo <= (j * n + t) >> levels < hi for t in range(n))]
+            assert bootstrap.leaf_range(lo, hi, n, levels) == (want[0], want[-1])
+
+
+def test_weights_of_different_keys_are_independent():
+    prime = bootstrap.PRIME
+    by = bootstrap.coefficients(bootstrap.WEIGHTS, 1000, 42)
+    keys = np.array([(5, 9), (5, 10), (6, 9), (9, 5), (0, 0), (prime - 1, prime - 1)], dtype=np.uint64)
+    w = bootstrap.poisson_weights(keys[:, 0], keys[:, 1], by).astype(float)
+    assert abs(w.mean() - 1) < 0.06 and abs(w.var() - 1) < 0.15
+    close = np.abs(np.corrcoef(w) - np.eye(len(w)))
+    assert close.max() < 0.15
+    for shift in (1, 2, 7):  # no row repeats another one some replicates later
+        assert max(abs(np.corrcoef(w[i, shift:], w[j, :-shift])[0, 1]) for i in range(6) for j in range(6)) < 0.15
+
+
+def test_row_keys_that_differ_by_the_prime_are_different_rows(spark):
+    from ragscale.functions.hashing import stable_pair
+    prime = bootstrap.PRIME
+    rows = spark.createDataFrame([(5,), (5 + prime,), (5 + 2 * prime,)], "id bigint").select(*[c.alias(n) for n, c in zip("ab", stable_pair("id"))]).collect()
+    assert len({(r.a % prime, r.b % prime) for r in rows}) == 3 and all(0 <= r.a < 1 << 60 and 0 <= r.b < 1 << 60 for r in rows)
+
+
 @pytest.mark.parametrize("partitions", [1, 7, 60])
 @pytest.mark.parametrize("block_rows", [23, 1 << 18])
 def test_multinomial_does_not_depend_on_blocks_or_partitions(spark, partitions, block_rows):
@@ -68,6 +161,20 @@ def test_multinomial_does_not_depend_on_blocks_or_partitions(spark, partitions,
         assert (found[g]["ci_lo"], found[g]["ci_hi"]) == pytest.approx(tuple(brute_multinomial(values, 60)), abs=1e-9)
 
 
+@pytest.mark.parametrize("partitions", [1, 8, 200])
+@pytest.mark.parametrize("block_rows", [700, 5000, 1 << 18])
+def test_trees_give_one_answer_for_all_blocks_and_partitions(spark, partitions, block_rows):
+    groups = {"deep": skewed(3 * bootstrap.LEAF + 11, 3, 4), "two": skewed(bootstrap.LEAF + 1, 2, 5), "leaf": skewed(bootstrap.LEAF, 2, 6), None: GROUPS["constant"]}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = by_group(bootstrap.multinomial_ci(frame(spark, groups).repartition(5), ["g"], ["v"], "id", n_resamples=7, block_rows=block_rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for g, values in groups.items():
+        assert (found[g]["ci_lo"], found[g]["ci_hi"]) == pytest.approx(tuple(brute_multinomial(values, 7)), abs=1e-10)
+
+
 @pytest.mark.parametrize("method", METHODS)
 def test_a_repeated_row_key_is_an_error(spark, method):
     df = frame(spark, {"a": [0.1, 0.2, 0.3]}).withColumn("id", F.lit(1).cast("bigint"))
