@@ -27,7 +27,7 @@ DIGITS = 9  # scores closer than this count as equal; the smaller id comes first
 _TILE_CELLS = 1 << 22
 
 
-def _matrix(column, unit: bool) -> np.ndarray:
+def unit_matrix(column, unit: bool = True) -> np.ndarray:
     """A list<float> Arrow column as a float64 matrix, rows scaled to length 1 for cosine."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -42,12 +42,12 @@ def _matrix(column, unit: bool) -> np.ndarray:
     return m
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     sq = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+def lists_of(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.empty(0)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
@@ -61,7 +61,7 @@ def _assign(chunks: DataFrame, pivots: np.ndarray, vector: str, unit: bool) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = _distances(_matrix(batch.column(at), unit), pivots)
+            d = distances(unit_matrix(batch.column(at), unit), pivots)
             cell = d.argmin(axis=1)
             extra = [pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(cell)), cell])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=schema.names)
@@ -69,7 +69,7 @@ def _assign(chunks: DataFrame, pivots: np.ndarray, vector: str, unit: bool) -> D
     return chunks.mapInArrow(run, schema)
 
 
-def _visits(queries: DataFrame, pivots: np.ndarray, vector: str, unit: bool, nprobe: int,
+def visited(queries: DataFrame, pivots: np.ndarray, vector: str, unit: bool, nprobe: int,
             radius: np.ndarray | None = None) -> DataFrame:
     """One row per query and cell to visit.
 
@@ -82,7 +82,7 @@ def _visits(queries: DataFrame, pivots: np.ndarray, vector: str, unit: bool, npr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = _distances(_matrix(batch.column(at), unit), pivots)
+            d = distances(unit_matrix(batch.column(at), unit), pivots)
             near = np.argsort(d, axis=1, kind="stable")
             if radius is None:
                 cells = list(near[:, :nprobe].astype(np.int32))
@@ -91,7 +91,7 @@ def _visits(queries: DataFrame, pivots: np.ndarray, vector: str, unit: bool, npr
                 open_cells = d - radius[None, :] <= np.nan_to_num(reach, nan=np.inf)[:, None] + 1e-9
                 np.put_along_axis(open_cells, near[:, :nprobe], False, axis=1)
                 cells = [np.flatnonzero(row).astype(np.int32) for row in open_cells]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(cells, pa.int32())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists_of(cells, pa.int32())], names=schema.names)
 
     found = queries.mapInArrow(run, schema)
     return found.withColumn("_cell", F.explode("_cells")).drop("_cells", *(["_reach"] if radius is not None else []))
@@ -103,7 +103,7 @@ def _best(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, cosine: bool):
     tile = max(1, _TILE_CELLS // max(1, len(c)))
     for at in range(0, len(q), tile):
         part = q[at:at + tile]
-        scores = part @ c.T if cosine else -_distances(part, c) ** 2
+        scores = part @ c.T if cosine else -distances(part, c) ** 2
         scores = np.round(scores, DIGITS)
         if len(c) > k:
             cut = np.partition(scores, len(c) - k, axis=1)[:, len(c) - k]
@@ -115,16 +115,20 @@ def _best(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, cosine: bool):
             yield pool[order], row[pool[order]]
 
 
-def _search(visits: DataFrame, chunks: DataFrame, hot_chunks: DataFrame | None, by: list[str], query_id: str, chunk_id: str,
-            vector: str, k: int, cosine: bool, block_rows: int) -> DataFrame:
-    """Best k per query and (cell block) of the visited cells."""
+def meeting(visits: DataFrame, chunks: DataFrame, hot_chunks: DataFrame | None, by: list[str], query_id: str, chunk_id: str,
+            block_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the keys of bounded groups in which every visit meets every chunk of its cell once."""
     keys = [*by, "_cell"]
     hot_visits = hot_keys(visits, keys, block_rows)
     left = with_salt(visits, keys, hot_visits, query_id, "_qs")
     right = with_salt(chunks, keys, hot_chunks, chunk_id, "_cs")
-    left = replicated(left, keys, hot_chunks, "_cs")
-    right = replicated(right, keys, hot_visits, "_qs")
-    group = [*keys, "_cs", "_qs"]
+    return replicated(left, keys, hot_chunks, "_cs"), replicated(right, keys, hot_visits, "_qs"), [*keys, "_cs", "_qs"]
+
+
+def _search(visits: DataFrame, chunks: DataFrame, hot_chunks: DataFrame | None, by: list[str], query_id: str, chunk_id: str,
+            vector: str, k: int, cosine: bool, block_rows: int) -> DataFrame:
+    """Best k per query and (cell block) of the visited cells."""
+    left, right, group = meeting(visits, chunks, hot_chunks, by, query_id, chunk_id, block_rows)
     schema = T.StructType([
         T.StructField(query_id, visits.schema[query_id].dataType),
         T.StructField(chunk_id, chunks.schema[chunk_id].dataType),
@@ -137,7 +141,7 @@ def _search(visits: DataFrame, chunks: DataFrame, hot_chunks: DataFrame | None,
             return pa.table([q_ids.slice(0, 0), c_ids.slice(0, 0), pa.array([], pa.float64())], names=schema.names)
         ids = np.array(c_ids.to_pylist())
         picks, scores, sizes = [], [], []
-        for pos, val in _best(_matrix(a.column(vector), cosine), _matrix(b.column(vector), cosine), ids, k, cosine):
+        for pos, val in _best(unit_matrix(a.column(vector), cosine), unit_matrix(b.column(vector), cosine), ids, k, cosine):
             picks.append(pos)
             scores.append(val)
             sizes.append(len(pos))
@@ -152,7 +156,7 @@ def _search(visits: DataFrame, chunks: DataFrame, hot_chunks: DataFrame | None,
     return lq.groupBy(*group).cogroup(rc.groupBy(*group)).applyInArrow(run, schema)
 
 
-def _rank(found: DataFrame, query_id: str, chunk_id: str, k: int) -> DataFrame:
+def ranked(found: DataFrame, query_id: str, chunk_id: str, k: int) -> DataFrame:
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), chunk_id)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -183,7 +187,7 @@ def topk_vectors(
     if len(rows) <= 1:
         whole = chunks.withColumn("_cell", F.lit(0))
         hot = hot_keys(whole, [*by, "_cell"], block_rows)
-        return _rank(_search(queries.withColumn("_cell", F.lit(0)), whole, hot, by, query_id, chunk_id, vector, k,
+        return ranked(_search(queries.withColumn("_cell", F.lit(0)), whole, hot, by, query_id, chunk_id, vector, k,
                              cosine, block_rows), query_id, chunk_id, k)
     pivots = np.asarray(rows, dtype=np.float64)
     if cosine:
@@ -195,23 +199,23 @@ def topk_vectors(
         F.count(F.lit(1)).alias("n_rows"), F.max("_dist").alias("radius")), "cells")
     hot = hot_keys(placed, [*by, "_cell"], block_rows, sizes.select(*by, "_cell", "n_rows"))
     probe = nprobe or 1
-    near = _search(_visits(queries, pivots, vector, cosine, probe), placed, hot, by, query_id, chunk_id, vector, k,
+    near = _search(visited(queries, pivots, vector, cosine, probe), placed, hot, by, query_id, chunk_id, vector, k,
                    cosine, block_rows)
     if nprobe:
-        return _rank(near, query_id, chunk_id, k)
+        return ranked(near, query_id, chunk_id, k)
     radius = np.full(len(pivots), -np.inf)
     for row in sizes.groupBy("_cell").agg(F.max("radius").alias("radius")).collect():
         radius[row["_cell"]] = row["radius"]
-    first = materialize(_rank(near, query_id, chunk_id, k), "nearest")
+    first = materialize(ranked(near, query_id, chunk_id, k), "nearest")
     kth = first.where(F.col("rank") == k).select(query_id, F.col("score").alias("_kth"))
     gap = F.lit(2.0) - F.lit(2.0) * F.col("_kth") if cosine else -F.col("_kth")
     slack = F.lit(10.0 ** -DIGITS * 4)
     # fewer than k found so far: no bound, every cell is open
     reach = F.when(F.col("_kth").isNotNull(), F.sqrt(F.greatest(gap, F.lit(0.0)) + slack))
     bounded = queries.join(kth, query_id, "left").withColumn("_reach", reach).drop("_kth")
-    rest = _visits(bounded, pivots, vector, cosine, probe, radius)
+    rest = visited(bounded, pivots, vector, cosine, probe, radius)
     far = _search(rest, placed, hot, by, query_id, chunk_id, vector, k, cosine, block_rows)
-    return _rank(first.drop("rank").unionByName(far), query_id, chunk_id, k)
+    return ranked(first.drop("rank").unionByName(far), query_id, chunk_id, k)
 
 
 def recall_at_k(exact: DataFrame, approximate: DataFrame, query_id: str, chunk_id: str) -> DataFrame:
