@@ -78,9 +78,9 @@ def replicated(df: DataFrame, keys: list[str], hot: DataFrame | None, salt: str
 
 
 def with_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join to a lookup table, broadcast only after counting that it is small.
+    """Null-safe join to a lookup table, broadcast only after counting that it is small.
 
     A broadcast keeps frequent keys where they are. A larger table takes the
     planner's ordinary join, where adaptive execution splits skewed keys.
     """
-    return df.join(F.broadcast(dim) if is_small(dim, max_rows) else dim, on, how)
+    return join_same(df, F.broadcast(dim) if is_small(dim, max_rows) else dim, on, how)

@@ -57,12 +57,31 @@ def clear_work(spark: SparkSession) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATH = "_ragscale_path"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts lineage and pins values that a retry could compute differently.
+    Cuts lineage and pins values that a retry could compute differently. The shuffle files that the write needed
+    are removed after it; nothing else reads them.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    written = spark.read.schema(df.schema).parquet(path)
+    setattr(written, _PATH, path)
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove tables that ``materialize`` returned, once everything that reads them has been written itself."""
+    for df in written:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(getattr(df, _PATH))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
