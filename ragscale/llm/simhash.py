@@ -16,11 +16,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ragscale.llm.arrays import SPACE, text_buffers, text_slices, word_bounds
 from ragscale.llm.components import connected_components
 from ragscale.llm.frames import carry, with_names
+from ragscale.operators.skew import with_dimension
 from ragscale.session import materialize
 
 BITS = 64
@@ -54,7 +55,13 @@ def simhash_rows(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int)
         (xxh64_intdigest(text[a:b], seed) for a, b in zip(begin[left].tolist(), (begin[right] + lengths[right]).tolist())),
         np.uint64, int(row_at[-1]),
     )
-    out = np.zeros(n, np.uint64)
+    return majority_bits(hashes, row_at)
+
+
+def majority_bits(hashes: np.ndarray, row_at: np.ndarray) -> np.ndarray:
+    """For each row the bits set in over half of ``hashes[row_at[i]:row_at[i + 1]]`` (uint64); 0 for a row without any."""
+    per = np.diff(row_at)
+    out = np.zeros(len(per), np.uint64)
     full = np.flatnonzero(per)
     if len(full):
         spread = _SPREAD[hashes.astype(">u8").view(np.uint8).reshape(-1, 8)]
@@ -209,15 +216,13 @@ def near_links(fps: DataFrame, distance: int = 2, paired: int = PAIRED, plan: li
             links = pairs
             crowd = grouped.where(F.col("n") > paired).select(F.col("fp").alias("member"), "key")
             free = [b for b in range(BITS) if b not in set(part)]
-        # Members of a crowded value within the distance have a common fingerprint half way between them.
-        middles = crowd.select("member", F.explode(_near(F.col("member"), free, rest)).alias("middle"))
-        met = middles.groupBy("middle").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("a"))
-        bridges = middles.join(met.where("n > 1"), "middle")
-        if half == rest:
-            bridges = bridges.select("a", F.col("member").alias("b")).where(F.col("a") != F.col("b"))
-            links = links.unionByName(bridges)
-        else:
-            raise ValueError("crowded values are linked through midpoints, which needs an even distance")
+        # Members of a crowded value within the distance have a common fingerprint half way between them, at most
+        # ``half`` bits from one of them and ``rest`` bits from the other.
+        near = F.transform(_near(F.col("member"), free, rest), lambda m: F.struct(m.alias("middle"), (F.bit_count(m.bitwiseXOR(F.col("member"))) <= half).alias("inner")))
+        middles = crowd.select("member", F.explode(near).alias("_m")).select("member", "_m.*")
+        met = middles.groupBy("middle").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("inner"), F.col("member"))).alias("a"))
+        bridges = middles.join(met.where("n > 1 and a is not null"), "middle")
+        links = links.unionByName(bridges.select("a", F.col("member").alias("b")).where(F.col("a") != F.col("b")))
         out = links if out is None else out.unionByName(links)
     return out.distinct()
 
@@ -250,7 +255,8 @@ def one_per_group(docs: DataFrame, id: str = "doc_id", text: str = "text", **opt
 
 def first_of_groups(docs: DataFrame, id: str, text: str, groups: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
     """The rows of ``docs``, one of each group: that with the smallest id (null last), then the smallest text hash,
-    then the smallest hash of all its columns. All columns stay as they are. Texts are shuffled once at most.
+    then the smallest hash of all its columns. All columns stay as they are. Texts are shuffled once at most; of a repeated
+    row each task sends one copy.
 
     ``groups`` adds ``group_fp`` to the columns named, given rows with ``id``, ``text`` and these.
     """
@@ -260,9 +266,10 @@ def first_of_groups(docs: DataFrame, id: str, text: str, groups: Callable[[DataF
     first = narrow.groupBy("group_fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark", "key")).alias("first"))
     chosen = materialize(first.select("first.key", "first.mark").distinct(), "chosen")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), mark.alias("mark"))
-    kept = whole.join(chosen, ["key", "mark"], "left_semi")
-    turn = F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.xxhash64("row")))
-    return kept.withColumn("turn", turn).where("turn = 1").select("row.*")
+    repeated = whole.groupBy("key", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if repeated:  # copies of a row are brought down to one before anything is shuffled
+        whole = whole.groupBy("key", "mark").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return with_dimension(whole, chosen, ["key", "mark"], "left_semi", 1_000_000).select("row.*")
 
 
 def fingerprint_hex(fp: Column | str) -> Column:

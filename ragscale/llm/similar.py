@@ -1,9 +1,10 @@
-"""Near-duplicate groups by exact Jaccard similarity of word shingles.
+"""Near-duplicate groups by exact Jaccard similarity of word shingles, proposed by SimHash.
 
-Two sets whose similarity reaches ``least`` share an element among the first ``n - ceil(least * n) + 1`` of either, in any
-order of elements that is common to all sets. Those prefixes are joined, so no such pair is missed, and every pair that
-meets is verified on the whole sets. Elements known to be frequent come last in the order. A value that very many sets
-share is first compared with single members of it, and then only pairs that are not connected yet are.
+SimHash fingerprints of the shingles propose pairs within a few bits; every proposal is verified on the whole sets. What
+they miss, prefixes of the sets find: two sets whose similarity reaches ``least`` share an element among the first
+``n - ceil(least * n) + 1`` of either, in any order of elements that is common to all sets. Elements known to be frequent
+come last in the order. All sets of an element are first compared with one of them; then only pairs that no chain of links
+joins yet are compared, so no such pair is missed, and groups of copies cost as many comparisons as they have members.
 """
 
 from __future__ import annotations
@@ -18,14 +19,17 @@ from pyspark.sql import DataFrame, functions as F
 from ragscale.llm.arrays import text_buffers, text_slices, word_bounds
 from ragscale.llm.components import connected_components
 from ragscale.llm.frames import carry, with_names
-from ragscale.llm.simhash import _LOWER, PAIRED, first_of_groups
+from ragscale.llm.simhash import _LOWER, PAIRED, first_of_groups, majority_bits, near_links
 from ragscale.operators.skew import with_dimension
-from ragscale.session import materialize
+from ragscale.session import discard, materialize
 
 SHINGLE, LEAST = 5, 0.8
+DISTANCE = 2  # bits within which SimHash proposes pairs
 SLICE = 4 << 20
 FREQUENT = 10_000  # elements that are put last at most; which ones changes the work, not the result
 PIVOTS = 4  # rounds in which the members of a crowded value are compared with one of them
+BYTES = 6  # of an element's hash
+NARROW_ROWS = 1_000_000  # rows of a few numbers each that are broadcast at most
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -35,8 +39,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 64-bit shingle hashes of each row, ascending, and where each row's begin. A text under ``shingle`` words has one."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each row's shingles, repeats included, and where each row's begin. A text under ``shingle`` words has one."""
     from xxhash import xxh64_intdigest
 
     starts, ends, first = word_bounds(data, offsets)
@@ -51,39 +55,61 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     for step in range(shingle):
         more = used > step
         h[more] = _mixed(h[more] * _A + word[left[more] + step])
-    row = np.repeat(np.arange(len(words)), per)
+    return h, at
+
+
+def distinct_elements(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct hashes, cut to ``BYTES`` bytes, ascending, and where each row's begin."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    h = h >> np.uint64(64 - 8 * BYTES)
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    return h[new], np.searchsorted(row[new], np.arange(len(words) + 1))
+    return h[new], np.searchsorted(row[new], np.arange(len(at)))
+
+
+def packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Elements of rows as binary, ``BYTES`` bytes each."""
+    flat = values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at * BYTES, np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of all rows (int64), and where each row's begin."""
+    flat, offsets = text_buffers(column)
+    wide = np.zeros((len(flat) // BYTES, 8), np.uint8)
+    wide[:, 8 - BYTES :] = flat.reshape(-1, BYTES)
+    return wide.view(">i8").ravel().astype(np.int64), offsets // BYTES
 
 
 def written_sets(docs: DataFrame, keep: list[str], text: str, shingle: int) -> DataFrame:
-    """Written ``k0, k1, ..., row, fp, n, elements``: a number of the row, a digest of its set, the set's size and the set."""
+    """Written ``k0, k1, ..., row, fp, sim, n, elements``: a number of the row, a digest of its set, its SimHash fingerprint,
+    the set's size and the set."""
     rows, _ = carry(docs, keep, F.col(text).cast("string"))
     names = [f"k{i}" for i in range(len(keep))]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = TaskContext.get().partitionId() << 33
         for part in text_slices(batches, "x0", SLICE):
-            values, at = shingle_sets(*text_buffers(part.column(len(keep))), shingle)
+            hashes, row_at = shingle_hashes(*text_buffers(part.column(len(keep))), shingle)
+            sim = majority_bits(hashes, row_at)
+            values, at = distinct_elements(hashes, row_at)
             total = np.concatenate([[0], np.cumsum(_mixed(values * _A))]).astype(np.uint64)  # sums wrap, order does not matter
             n = np.diff(at)
             fp = _mixed(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64) * _B)
-            sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
             yield pa.record_batch(
-                [*part.columns[: len(keep)], pa.array(done + np.arange(len(n))), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), sets],
-                names=[*names, "row", "fp", "n", "elements"],
+                [*part.columns[: len(keep)], pa.array(done + np.arange(len(n))), pa.array(fp.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(n.astype(np.int32)), packed(values, at)],
+                names=[*names, "row", "fp", "sim", "n", "elements"],
             )
             done += len(n)
 
     fields = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
-    return materialize(rows.mapInArrow(task, f"{fields}row bigint, fp bigint, n int, elements array<bigint>"), "sets")
+    return materialize(rows.mapInArrow(task, f"{fields}row bigint, fp bigint, sim bigint, n int, elements binary"), "sets")
 
 
 def prefixes(sets: DataFrame, least: float, last: np.ndarray) -> DataFrame:
-    """Distinct ``element, fp, n``: the prefix of each set in the order of hashes, those in ``last`` (sorted) after all others."""
+    """``element, fp, n``: the prefix of each set in the order of hashes, those in ``last`` (sorted) after all others."""
     held = sets.sparkSession.sparkContext.broadcast(last)  # FREQUENT elements at most
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +118,7 @@ def prefixes(sets: DataFrame, least: float, last: np.ndarray) -> DataFrame:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 n = part.column(1).to_numpy().astype(np.int64)
-                values = part.column(2).flatten().to_numpy()
+                values, _ = unpacked(part.column(2))
                 row = np.repeat(np.arange(len(n)), n)
                 if len(late):
                     there = np.minimum(np.searchsorted(late, values), len(late) - 1)
@@ -103,71 +129,104 @@ def prefixes(sets: DataFrame, least: float, last: np.ndarray) -> DataFrame:
                 row = row[keep]
                 yield pa.record_batch([pa.array(values[keep]), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["element", "fp", "n"])
 
-    return sets.select("fp", "n", "elements").mapInArrow(task, "element bigint, fp bigint, n int").distinct()
+    return sets.select("fp", "n", "elements").mapInArrow(task, "element bigint, fp bigint, n int")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
-    """The distinct pairs ``a, b`` of set digests whose sets have a similarity of ``least`` or more. Written."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    asked = materialize(firsts.select("fp", "row").join(asked, "fp", "left_semi"), "asked")
-    whole = materialize(with_dimension(sets.select("fp", "row", "elements"), asked, ["fp", "row"], "inner").select("fp", "elements"), "asked-sets")
-    own = with_dimension(pairs, whole.select(F.col("fp").alias("a"), F.col("elements").alias("x")), ["a"], "inner", 1000)
-    both = with_dimension(own, whole.select(F.col("fp").alias("b"), F.col("elements").alias("y")), ["b"], "inner", 1000)
-    common = F.size(F.array_intersect("x", "y"))
-    close = common >= F.lit(least) * (F.size("x") + F.size("y") - common) - F.lit(1e-9)
-    return materialize(both.where(close).select("a", "b"), "links")
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs ``a, b`` of set digests whose sets have a similarity of ``least`` or more. Written.
 
+    The set of ``b`` moves once for each pair, that of ``a`` once for all its pairs.
+    """
+    pairs = materialize(pairs.distinct(), "pairs")
+    own = with_dimension(sets.select(F.col("fp").alias("b"), F.col("elements").alias("y")), pairs, ["b"], "inner", NARROW_ROWS)
+    pivots = sets.join(pairs.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("a"), F.col("elements").alias("x"))
 
-def similar_links(sets: DataFrame, firsts: DataFrame, least: float, paired: int = PAIRED) -> DataFrame:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            close = np.zeros(batch.num_rows, bool)
+            for k in range(0, batch.num_rows, 64):
+                (x, at), (y, to) = (unpacked(batch.column(c).slice(k, 64)) for c in (2, 3))
+                for i in range(len(at) - 1):
+                    a, b = x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    close[k + i] = common >= least * (len(a) + len(b) - common) - 1e-9
+            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(close))
+
+    links = materialize(own.join(pivots, "a").select("a", "b", "x", "y").mapInArrow(task, "a bigint, b bigint"), "verified")
+    discard(pairs)
+    return links
+
+
+def simhash_pairs(sets: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs ``a, b`` of set digests whose SimHash fingerprints are equal or linked within ``distance`` bits."""
+    firsts = materialize(sets.groupBy("sim").agg(F.min("fp").alias("a")), "simhash")
+    same = with_dimension(sets.select("sim", F.col("fp").alias("b")), firsts, ["sim"], "inner", NARROW_ROWS).where("a != b").select("a", "b")
+    links = near_links(firsts.select(F.col("sim").alias("fp")), distance).select(F.col("a").alias("one"), F.col("b").alias("two"))
+    ends = links.join(firsts.select(F.col("sim").alias("one"), "a"), "one").join(firsts.select(F.col("sim").alias("two"), F.col("a").alias("b")), "two")
+    return same.unionByName(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def similar_links(sets: DataFrame, least: float, paired: int = PAIRED, distance: int = DISTANCE) -> DataFrame:
     """``node, root``: components of the distinct sets over all pairs with a similarity of ``least`` or more."""
     fits = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - F.lit(1e-9)
+    links = verified(simhash_pairs(sets, distance), sets, least)
+
     known = prefixes(sets, least, np.zeros(0, np.int64)).groupBy("element").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > paired)
     often = known.orderBy(F.desc("n"), "element").limit(FREQUENT).collect()  # FREQUENT rows at most
     found = materialize(prefixes(sets, least, np.sort(np.array([r["element"] for r in often], np.int64))), "prefixes")
-    sizes = materialize(found.groupBy("element").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "element-sizes")
-    small = found.join(sizes.where(F.col("size") <= paired), "element")
-    gathered = small.groupBy("element").agg(F.collect_list(F.struct("fp", "n")).alias("all"))  # at most ``paired`` of them
-    pairs = gathered.select(F.explode("all").alias("one"), "all").select(
-        F.col("one.fp").alias("a"), F.explode(F.filter("all", lambda o: (o["fp"] > F.col("one.fp")) & fits(o["n"], F.col("one.n")))["fp"]).alias("b")
-    )
-    links = verified(pairs, sets, firsts, least)
-    crowd = materialize(found.join(sizes.where(F.col("size") > paired), "element").select("element", "fp", "n"), "crowd")
-    if crowd.limit(1).count() == 0:
-        return connected_components(links)
-
-    def open_members() -> DataFrame:
-        """Members of crowded values that aren't one component already, with their components."""
-        roots = connected_components(links).withColumnRenamed("node", "fp")
-        placed = crowd.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    sizes = found.groupBy("element").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(found.join(sizes, "element"), "shared")
+    discard(found)
+
+    def open_members() -> tuple[DataFrame, DataFrame]:
+        """Components so far, and the members of elements whose sets aren't one of them already."""
+        roots = connected_components(links)
+        placed = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         several = placed.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("element")
-        return materialize(placed.join(several, "element", "left_semi"), "open")
+        return roots, materialize(placed.join(several, "element", "left_semi"), "open")
 
+    roots, left = open_members()
     for number in range(PIVOTS):
-        left = open_members()
         if left.limit(1).count() == 0:
-            return connected_components(links)
-        chosen = left.groupBy("element").agg(F.min(F.struct(F.xxhash64("fp", F.lit(number)).alias("h"), "fp", "n", "root")).alias("p"))
-        met = with_dimension(left, chosen, ["element"], "inner").where((F.col("root") != F.col("p.root")) & fits(F.col("n"), F.col("p.n")))
-        links = links.unionByName(verified(met.select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b")), sets, firsts, least))
-    left = open_members()
-    other = left.select("element", *[F.col(c).alias(f"o_{c}") for c in ("fp", "n", "root")])
-    met = left.join(other, "element").where((F.col("fp") < F.col("o_fp")) & (F.col("root") != F.col("o_root")) & fits(F.col("n"), F.col("o_n")))
-    return connected_components(links.unionByName(verified(met.select(F.col("fp").alias("a"), F.col("o_fp").alias("b")), sets, firsts, least)))
-
-
-def similar_groups(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE, least: float = LEAST, paired: int = PAIRED) -> DataFrame:
+            return roots
+        # Each member against one of them: all members at first, then those of crowded values.
+        some = left if number == 0 else left.where(F.col("size") > paired)
+        chosen = some.groupBy("element").agg(F.min(F.struct(F.xxhash64("fp", F.lit(number)).alias("h"), "fp", "n", "root")).alias("p"))
+        met = some.join(chosen, "element").where((F.col("root") != F.col("p.root")) & fits(F.col("n"), F.col("p.n")))
+        links = links.unionByName(verified(met.select(F.col("p.fp").alias("a"), F.col("fp").alias("b")), sets, least))
+        discard(left)
+        roots, left = open_members()
+        if left.where(F.col("size") > paired).limit(1).count() == 0:
+            break
+    small = left.where(F.col("size") <= paired)
+    gathered = small.groupBy("element").agg(F.collect_list(F.struct("fp", "n", "root")).alias("all"))  # at most ``paired`` of them
+    other = F.filter("all", lambda o: (o["fp"] > F.col("one.fp")) & (o["root"] != F.col("one.root")) & fits(o["n"], F.col("one.n")))
+    pairs = gathered.select(F.explode("all").alias("one"), "all").select(F.col("one.fp").alias("a"), F.explode(other).alias("two")).select("a", F.col("two.fp").alias("b"))
+    large = left.where(F.col("size") > paired)
+    across = large.select("element", *[F.col(c).alias(f"o_{c}") for c in ("fp", "n", "root")])
+    met = large.join(across, "element").where((F.col("fp") < F.col("o_fp")) & (F.col("root") != F.col("o_root")) & fits(F.col("n"), F.col("o_n")))
+    links = links.unionByName(verified(pairs.unionByName(met.select(F.col("fp").alias("a"), F.col("o_fp").alias("b"))), sets, least))
+    discard(left, shared)
+    return connected_components(links)
+
+
+def similar_groups(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE, least: float = LEAST, paired: int = PAIRED, distance: int = DISTANCE) -> DataFrame:
     """Columns ``keep`` and ``group_fp`` of every row: rows have the same one if links of ``least`` similarity or more join them.
 
     Text: A-Z in lower case, words between ASCII white space, distinct shingles of ``shingle`` words; a shorter text is one
-    shingle, null and blank texts are one group. Shingles and sets are told apart by 64-bit hashes. Rows with the same set
-    are joined before anything is paired.
+    shingle, null and blank texts are one group. Shingles are told apart by 48-bit hashes, sets by 64-bit ones. Rows with
+    the same set are joined before anything is paired. Repeated rows are copies like others; an empty table gives none.
     """
-    sets = written_sets(docs, keep, text, shingle)
-    firsts = materialize(sets.groupBy("fp").agg(F.min("row").alias("row")), "set-firsts")
-    roots = similar_links(sets, firsts, least, paired).withColumnRenamed("node", "fp")
-    named = firsts.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group_fp"))
-    return with_names(sets.drop("elements").join(named, "fp"), keep, "group_fp")
+    every = written_sets(docs, keep, text, shingle)
+    firsts = every.groupBy("fp").agg(F.min("row").alias("row"))
+    names = [f"k{i}" for i in range(len(keep))]
+    rows = materialize(every.select(*names, "fp"), "rows")
+    sets = materialize(with_dimension(every.select("row", "fp", "sim", "n", "elements"), materialize(firsts, "set-firsts"), ["fp", "row"], "left_semi", NARROW_ROWS).drop("row"), "distinct-sets")
+    discard(every)
+    roots = similar_links(sets, least, paired, distance).withColumnRenamed("node", "fp")
+    discard(sets)
+    named = rows.join(roots, "fp", "left").withColumn("group_fp", F.coalesce("root", "fp"))
+    return with_names(named, keep, "group_fp")
 
 
 def one_per_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

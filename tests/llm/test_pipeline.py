@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 from ragscale.llm import language
-from test_simhash import brute_components, brute_simhash
+from test_similar import brute_groups
 
 from ragscale.session import materialize
 
@@ -37,9 +37,13 @@ def test_stages_against_brute_force(spark):
 
     three = materialize(stages["SimHash near-dedup"](spark, two, ""), "three")
     kept = two.collect()
-    groups = brute_components([(r.doc_id, brute_simhash(r.text)) for r in kept])
+    rank = sorted(range(len(kept)), key=lambda i: (kept[i].doc_id is None, kept[i].doc_id or 0))
+    first = {}
+    for i, g in zip(rank, brute_groups([(kept[i].doc_id, kept[i].text) for i in rank])):
+        first.setdefault(g, kept[i].doc_id)
     got = three.collect()
-    assert three.columns == columns and sorted(r.doc_id for r in got) == sorted({g for g in groups if g is not None})
+    assert three.columns == columns and sorted(r.doc_id or -1 for r in got) == sorted(x or -1 for x in first.values())
+    assert len(got) < len(kept) - 20
     texts = {(r.doc_id, r.text) for r in kept}
     assert all((r.doc_id, r.text) in texts for r in got)
 

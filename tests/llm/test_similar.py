@@ -4,7 +4,7 @@ import pytest
 from test_simhash import WORDS
 
 import corpus_pipeline
-from ragscale.llm.similar import similar_groups
+from ragscale.llm.similar import simhash_pairs, similar_groups, verified, written_sets
 
 
 def brute_sets(text):
@@ -37,10 +37,10 @@ def edited(seed=4):
     return rows
 
 
-@pytest.mark.parametrize("paired", [64, 2])
-def test_groups_are_those_of_exact_jaccard(spark, paired):
+@pytest.mark.parametrize("paired, distance", [(64, 2), (2, 2), (64, 3)])
+def test_groups_are_those_of_exact_jaccard(spark, paired, distance):
     rows = edited()
-    got = {r.doc_id: r.group_fp for r in similar_groups(spark.createDataFrame(rows, "doc_id int, text string").repartition(3), ["doc_id"], paired=paired).collect()}
+    got = {r.doc_id: r.group_fp for r in similar_groups(spark.createDataFrame(rows, "doc_id int, text string").repartition(3), ["doc_id"], paired=paired, distance=distance).collect()}
     mine, want = {}, {}
     for (i, _), g in zip(rows, brute_groups(rows)):
         mine.setdefault(got[i], set()).add(i)
@@ -58,3 +58,18 @@ def test_stage_drops_near_copies(spark):
     stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == sorted(first.values())
     assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_simhash_proposes_the_closest_pairs(spark):
+    """Many copies with a word altered in 900 are proposed by their fingerprints alone, and what is verified is close."""
+    rng, rows = random.Random(9), []
+    for _ in range(40):
+        base = rng.choices(WORDS, k=900)
+        changed = list(base)
+        changed[rng.randrange(900)] += "x"
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(changed))]
+    sets = written_sets(spark.createDataFrame(rows, "doc_id int, text string"), ["doc_id"], "text", 5)
+    of = {r.fp: r.k0 for r in sets.collect()}
+    pairs = {tuple(sorted((of[r.a], of[r.b]))) for r in simhash_pairs(sets).collect()}
+    assert len(pairs & {(2 * i, 2 * i + 1) for i in range(40)}) >= 12
+    assert {tuple(sorted((of[r.a], of[r.b]))) for r in verified(simhash_pairs(sets), sets, 0.8).collect()} == pairs & {(2 * i, 2 * i + 1) for i in range(40)}
