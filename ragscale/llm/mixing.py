@@ -32,6 +32,7 @@ def _measured(docs: DataFrame, id: str, text: str, source: str, seed: int) -> di
         "_source": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")),  # tells null from every name
         "_size": word_size(body),
         "_hash": F.xxhash64(F.lit(seed), F.col(id), body).bitwiseAND(F.lit((1 << HASH_BITS) - 1)),
+        "_row": F.monotonically_increasing_id(),  # tells repeated rows apart
     }
 
 
@@ -113,9 +114,10 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> dict[int, in
 
 
 def mixing_plan(measured: DataFrame, weights: list[int], most: int, dp_budget: int = DP_BUDGET) -> DataFrame:
-    """``_source, _size, total, target, base, cut``: all documents get ``base`` copies, those with ``_hash <= cut`` one more.
+    """``_source, _size, total, target, base, cut, part_hash, cut_row``: all documents get ``base`` copies, those with
+    ``_hash <= cut`` one more, and so do those with ``part_hash`` up to ``cut_row``.
 
-    ``measured`` should be a written table. Counts by exact length go to one group for each source; its size is the number of
+    ``measured`` must be a written table. Counts by exact length go to one group for each source; its size is the number of
     distinct lengths, not of documents. Ranking at a boundary sees a thousandth of a length's hashes at most.
     """
     targets = source_targets(measured, weights, most)
@@ -132,30 +134,51 @@ def mixing_plan(measured: DataFrame, weights: list[int], most: int, dp_budget: i
     fitted = materialize(fitted.withColumn("width", width), "lengths")
 
     some = fitted.where("more > 0 and more < n").select("_source", "_size", "more", "width")
-    placed = with_dimension(measured, some, ["_source", "_size"], "inner").withColumn("bucket", F.floor(F.col("_hash") / F.col("width").cast("decimal(20,0)")).cast("bigint"))
-    counts = placed.groupBy("_source", "_size", "more", "width", "bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
-    upto = F.sum("in_bucket").over(Window.partitionBy("_source", "_size").orderBy("bucket"))
+    group = ["_source", "_size"]
+    placed = with_dimension(measured, some, group, "inner").withColumn("bucket", F.floor(F.col("_hash") / F.col("width").cast("decimal(20,0)")).cast("bigint"))
+    hashes = placed.groupBy(*group, "more", "width", "bucket", "_hash").agg(F.count(F.lit(1)).alias("c"))  # repeated rows are one entry
+    counts = hashes.groupBy(*group, "more", "bucket").agg(F.sum("c").alias("in_bucket"))
+    upto = F.sum("in_bucket").over(Window.partitionBy(*group).orderBy("bucket"))
     edge = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("more")) & (F.col("upto") - F.col("in_bucket") < F.col("more")))
-    edge = edge.select("_source", "_size", "bucket", "width", (F.col("more") - F.col("upto") + F.col("in_bucket")).alias("need"))
-    ranked = placed.select("_source", "_size", "bucket", "_hash").join(edge, ["_source", "_size", "bucket"])
-    place = F.count(F.lit(1)).over(Window.partitionBy("_source", "_size", "bucket").orderBy("_hash"))  # equal hashes together
-    cuts = ranked.withColumn("place", place).groupBy("_source", "_size").agg(
-        F.max(F.when(F.col("place") <= F.col("need"), F.col("_hash"))).alias("inside"), F.first(F.col("bucket") * F.col("width") - 1).alias("below")
-    ).select("_source", "_size", F.coalesce("inside", "below").alias("edge"))
+    edge = edge.select(*group, "bucket", (F.col("more") - F.col("upto") + F.col("in_bucket")).alias("need"))
+    place = F.sum("c").over(Window.partitionBy(*group, "bucket").orderBy("_hash"))
+    last = hashes.select(*group, "bucket", "_hash", "c").join(edge, [*group, "bucket"]).withColumn("place", place)
+    last = last.where((F.col("place") >= F.col("need")) & (F.col("place") - F.col("c") < F.col("need")))
+    short = F.col("need") - F.col("place") + F.col("c")  # rows of the last hash that are taken
+    cuts = last.select(*group, (F.col("_hash") - F.when(short < F.col("c"), 1).otherwise(0)).alias("edge"), F.when(short < F.col("c"), F.col("_hash")).alias("part_hash"), short.alias("part_need"))
+    cuts = materialize(cuts, "cuts")
     everyone, nobody = F.lit((1 << HASH_BITS) - 1), F.lit(-1)
     cut = F.when(F.col("more") == 0, nobody).when(F.col("more") >= F.col("n"), everyone).otherwise(F.coalesce("edge", nobody))
-    return materialize(fitted.join(cuts, ["_source", "_size"], "left").select("_source", "_size", "total", "target", "base", cut.cast("bigint").alias("cut")), "plan")
+    planned = fitted.join(cuts, group, "left").join(_last_rows(measured, cuts), group, "left")
+    return materialize(planned.select(*group, "total", "target", "base", cut.cast("bigint").alias("cut"), "part_hash", "cut_row"), "plan")
+
+
+def _last_rows(measured: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``_source, _size, cut_row``: of the rows that share the last hash, which repeated rows do, those up to ``cut_row`` are taken.
+
+    They are counted by input partition first, so that only one partition's rows of that hash are ever ranked together.
+    """
+    group = ["_source", "_size"]
+    parts = cuts.where("part_hash is not null").select(*group, "part_hash", "part_need")
+    rows = with_dimension(measured, parts, group, "inner").where("_hash = part_hash").withColumn("_part", F.shiftright("_row", 33))
+    counts = rows.groupBy(*group, "_part", "part_need").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*group).orderBy("_part"))
+    edge = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("part_need")) & (F.col("upto") - F.col("c") < F.col("part_need")))
+    edge = edge.select(*group, "_part", (F.col("part_need") - F.col("upto") + F.col("c")).alias("need"))
+    place = F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_row"))
+    return rows.select(*group, "_part", "_row").join(edge, [*group, "_part"]).withColumn("place", place).where("place = need").select(*group, F.col("_row").alias("cut_row"))
 
 
 def _copies() -> Column:
-    return F.col("base") + F.when(F.col("_hash") <= F.col("cut"), 1).otherwise(0)
+    last = (F.col("_hash") == F.col("part_hash")) & (F.col("_row") <= F.col("cut_row"))
+    return F.col("base") + F.when((F.col("_hash") <= F.col("cut")) | F.coalesce(last, F.lit(False)), 1).otherwise(0)
 
 
 def mix_sizes(docs: DataFrame, weights: list[int], most: int = 3, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
     """``id, size, source_size, target, taken`` of every row.
 
     ``size`` counts words (null text: 0), ``target`` is the source's, ``taken`` the words the mix takes, repeats counted:
-    a multiple of the size, at most ``most`` times it. Reruns agree. Rows alike in id and text are taken alike. Sources may be
+    a multiple of the size, at most ``most`` times it. Reruns agree; of rows alike in id and text some may be taken once more than others. Sources may be
     null; a source without words has target 0. An empty table gives no rows. Other columns are not read.
     """
     measured = materialize(docs.select(F.col(id).alias("id"), *[c.alias(n) for n, c in _measured(docs, id, text, source, seed).items()]), "measured")
@@ -170,8 +193,12 @@ def mix(docs: DataFrame, weights: list[int], most: int = 3, id: str = "doc_id",
     """The mixed documents: all columns of ``docs``, each row as often as the mix takes it. Documents without words, which
     take no part in a budget of words, stay once."""
     added = _measured(docs, id, text, source, seed)
-    plan = mixing_plan(materialize(docs.select(*[c.alias(n) for n, c in added.items()]), "measured"), weights, most)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row_of"), *[c.alias(n) for n, c in added.items()])
+    measured = materialize(whole.select(*added), "measured")
+    plan = mixing_plan(measured, weights, most)
+    if plan.where("cut_row is not null").limit(1).count():  # repeated rows are told apart by their places, which are written once
+        whole = materialize(whole, "placed")
+        plan = mixing_plan(whole.select(*added), weights, most)
     times = F.when(F.col("_size") == 0, 1).otherwise(_copies()).cast("int")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in added.items()])
-    mixed = with_dimension(whole, plan.select("_source", "_size", "base", "cut"), ["_source", "_size"], "inner")
-    return mixed.where(times > 0).select("_row", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).select("_row.*")
+    mixed = with_dimension(whole, plan.drop("total", "target"), ["_source", "_size"], "inner")
+    return mixed.where(times > 0).select("_row_of", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).select("_row_of.*")

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ragscale.llm.mixing import fit_lengths, knapsack, mix, mix_sizes
@@ -102,3 +103,21 @@ def test_ties_and_hot_lengths(spark):
 def test_no_documents(spark):
     assert mix_sizes(frame(spark, []), [1, 2, 3]).collect() == []
     assert mix(frame(spark, []), [1, 2, 3]).collect() == []
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_repeated_rows_are_taken_up_to_the_target(spark, partitions):
+    """A source of one row a hundred times over: its target falls between two copies."""
+    rows = [(1, "one two three four", "a")] * 100 + [(2, "one two three", "b")] * 30 + [(i, "w " * (1 + i % 7), "b") for i in range(3, 90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(partitions)
+    got = mix_sizes(docs, [1, 2]).collect()
+    taken, target = {}, {}
+    for r in got:
+        s = "a" if r.doc_id == 1 else "b"
+        taken[s], target[s] = taken.get(s, 0) + r.taken, r.target
+        assert r.taken % r.size == 0 and r.taken <= 3 * r.size
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 4 for s in "ab") and 0 < taken["a"] < 400
+    mixed = mix(docs, [1, 2]).collect()
+    assert sum(r.text.count(" ") + 1 for r in mixed if r.source == "a") == taken["a"]
+    assert sum(len(r.text.split()) for r in mixed if r.source == "b") == taken["b"]
+    assert {tuple(r) for r in mixed} <= set(rows)
