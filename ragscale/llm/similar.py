@@ -5,6 +5,7 @@ they miss, prefixes of the sets find: two sets whose similarity reaches ``least`
 ``n - ceil(least * n) + 1`` of either, in any order of elements that is common to all sets. Elements known to be frequent
 come last in the order. All sets of an element are first compared with one of them; then only pairs that no chain of links
 joins yet are compared, so no such pair is missed, and groups of copies cost as many comparisons as they have members.
+A pair left over is only compared if it shares so many elements of its prefixes that the rests can bring it to ``least``.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ragscale.llm.arrays import text_buffers, text_slices, word_bounds
 from ragscale.llm.components import connected_components
@@ -29,6 +31,7 @@ SLICE = 4 << 20
 FREQUENT = 10_000  # elements that are put last at most; which ones changes the work, not the result
 PIVOTS = 4  # rounds in which the members of a crowded value are compared with one of them
 BYTES = 6  # of an element's hash
+REPEATED = 1.1  # sets that may be there for each different one
 NARROW_ROWS = 1_000_000  # rows of a few numbers each that are broadcast at most
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -85,21 +88,23 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def written_sets(docs: DataFrame, keep: list[str], text: str, shingle: int) -> DataFrame:
     """Written ``k0, k1, ..., row, fp, sim, n, elements``: a number of the row, a digest of its set, its SimHash fingerprint,
-    the set's size and the set."""
+    the set's size and the set, which is null where the task has written the same set before."""
     rows, _ = carry(docs, keep, F.col(text).cast("string"))
     names = [f"k{i}" for i in range(len(keep))]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = TaskContext.get().partitionId() << 33
+        done, seen = TaskContext.get().partitionId() << 33, set()
         for part in text_slices(batches, "x0", SLICE):
             hashes, row_at = shingle_hashes(*text_buffers(part.column(len(keep))), shingle)
             sim = majority_bits(hashes, row_at)
             values, at = distinct_elements(hashes, row_at)
             total = np.concatenate([[0], np.cumsum(_mixed(values * _A))]).astype(np.uint64)  # sums wrap, order does not matter
             n = np.diff(at)
-            fp = _mixed(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64) * _B)
+            fp = _mixed(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64) * _B).view(np.int64)
+            new = np.fromiter((not (x in seen or seen.add(x)) for x in fp.tolist()), bool, len(fp))
+            elements = pc.if_else(pa.array(new), packed(values, at), pa.scalar(None, pa.binary()))
             yield pa.record_batch(
-                [*part.columns[: len(keep)], pa.array(done + np.arange(len(n))), pa.array(fp.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(n.astype(np.int32)), packed(values, at)],
+                [*part.columns[: len(keep)], pa.array(done + np.arange(len(n))), pa.array(fp), pa.array(sim.view(np.int64)), pa.array(n.astype(np.int32)), elements],
                 names=[*names, "row", "fp", "sim", "n", "elements"],
             )
             done += len(n)
@@ -109,11 +114,12 @@ def written_sets(docs: DataFrame, keep: list[str], text: str, shingle: int) -> D
 
 
 def prefixes(sets: DataFrame, least: float, last: np.ndarray) -> DataFrame:
-    """``element, fp, n``: the prefix of each set in the order of hashes, those in ``last`` (sorted) after all others."""
-    held = sets.sparkSession.sparkContext.broadcast(last)  # FREQUENT elements at most
+    """``element, fp, n``: the prefix of each set in the order of hashes, but those in ``last`` after all others and in its order."""
+    by_value = np.argsort(last, kind="stable")
+    held = sets.sparkSession.sparkContext.broadcast((last[by_value], by_value + 1))  # FREQUENT elements at most
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = held.value
+        late, place = held.value
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -122,7 +128,7 @@ def prefixes(sets: DataFrame, least: float, last: np.ndarray) -> DataFrame:
                 row = np.repeat(np.arange(len(n)), n)
                 if len(late):
                     there = np.minimum(np.searchsorted(late, values), len(late) - 1)
-                    order = np.lexsort((values, late[there] == values, row))
+                    order = np.lexsort((values, np.where(late[there] == values, place[there], 0), row))
                     values = values[order]
                 size = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
                 keep = np.arange(len(values)) - (np.cumsum(n) - n)[row] < size[row]
@@ -172,8 +178,9 @@ def similar_links(sets: DataFrame, least: float, paired: int = PAIRED, distance:
     links = verified(simhash_pairs(sets, distance), sets, least)
 
     known = prefixes(sets, least, np.zeros(0, np.int64)).groupBy("element").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > paired)
-    often = known.orderBy(F.desc("n"), "element").limit(FREQUENT).collect()  # FREQUENT rows at most
-    found = materialize(prefixes(sets, least, np.sort(np.array([r["element"] for r in often], np.int64))), "prefixes")
+    often = materialize(known.orderBy(F.desc("n"), "element").limit(FREQUENT), "frequent").collect()  # FREQUENT rows at most
+    last = [r["element"] for r in sorted(often, key=lambda r: (r["n"], r["element"]))]
+    found = materialize(prefixes(sets, least, np.array(last, np.int64)), "prefixes")
     sizes = found.groupBy("element").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialize(found.join(sizes, "element"), "shared")
     discard(found)
@@ -187,29 +194,46 @@ def similar_links(sets: DataFrame, least: float, paired: int = PAIRED, distance:
 
     roots, left = open_members()
     for number in range(PIVOTS):
-        if left.limit(1).count() == 0:
-            return roots
-        # Each member against one of them: all members at first, then those of crowded values.
+        # Each member against one of them: all members at first, then those of crowded values while that finds links.
         some = left if number == 0 else left.where(F.col("size") > paired)
+        if some.limit(1).count() == 0:
+            break
         chosen = some.groupBy("element").agg(F.min(F.struct(F.xxhash64("fp", F.lit(number)).alias("h"), "fp", "n", "root")).alias("p"))
         met = some.join(chosen, "element").where((F.col("root") != F.col("p.root")) & fits(F.col("n"), F.col("p.n")))
-        links = links.unionByName(verified(met.select(F.col("p.fp").alias("a"), F.col("fp").alias("b")), sets, least))
+        more = verified(met.select(F.col("p.fp").alias("a"), F.col("fp").alias("b")), sets, least)
+        if more.limit(1).count() == 0:
+            break
+        links = links.unionByName(more)
         discard(left)
         roots, left = open_members()
-        if left.where(F.col("size") > paired).limit(1).count() == 0:
-            break
+    if left.limit(1).count() == 0:
+        return roots
+    # All pairs of different components that meet, with the number of elements they share.
     small = left.where(F.col("size") <= paired)
     gathered = small.groupBy("element").agg(F.collect_list(F.struct("fp", "n", "root")).alias("all"))  # at most ``paired`` of them
     other = F.filter("all", lambda o: (o["fp"] > F.col("one.fp")) & (o["root"] != F.col("one.root")) & fits(o["n"], F.col("one.n")))
-    pairs = gathered.select(F.explode("all").alias("one"), "all").select(F.col("one.fp").alias("a"), F.explode(other).alias("two")).select("a", F.col("two.fp").alias("b"))
+    near = gathered.select(F.explode("all").alias("one"), "all").select("one", F.explode(other).alias("two"))
+    near = near.select(F.col("one.fp").alias("a"), F.col("one.n").alias("na"), F.col("two.fp").alias("b"), F.col("two.n").alias("nb"))
     large = left.where(F.col("size") > paired)
     across = large.select("element", *[F.col(c).alias(f"o_{c}") for c in ("fp", "n", "root")])
     met = large.join(across, "element").where((F.col("fp") < F.col("o_fp")) & (F.col("root") != F.col("o_root")) & fits(F.col("n"), F.col("o_n")))
-    links = links.unionByName(verified(pairs.unionByName(met.select(F.col("fp").alias("a"), F.col("o_fp").alias("b"))), sets, least))
+    met = met.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("o_fp").alias("b"), F.col("o_n").alias("nb"))
+    counted = near.unionByName(met).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(enough(F.col("c"), F.col("na"), F.col("nb"), least))
+    links = links.unionByName(verified(counted.select("a", "b"), sets, least))
     discard(left, shared)
     return connected_components(links)
 
 
+def enough(common: Column, a: Column, b: Column, least: float) -> Column:
+    """Whether sets of sizes ``a`` and ``b`` whose prefixes share ``common`` elements can have a similarity of ``least``.
+
+    Of the set whose prefix ends first in the order, elements of the prefix that the other set has are in its prefix too;
+    so the sets share at most those and the rest of that set.
+    """
+    rest = lambda n: F.ceil(F.lit(least) * n - F.lit(1e-9)) - 1
+    return common + F.greatest(rest(a), rest(b)) >= F.lit(least / (1 + least)) * (a + b) - F.lit(1e-6)
+
+
 def similar_groups(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE, least: float = LEAST, paired: int = PAIRED, distance: int = DISTANCE) -> DataFrame:
     """Columns ``keep`` and ``group_fp`` of every row: rows have the same one if links of ``least`` similarity or more join them.
 
@@ -218,14 +242,21 @@ def similar_groups(docs: DataFrame, keep: list[str], text: str = "text", shingle
     the same set are joined before anything is paired. Repeated rows are copies like others; an empty table gives none.
     """
     every = written_sets(docs, keep, text, shingle)
-    firsts = every.groupBy("fp").agg(F.min("row").alias("row"))
     names = [f"k{i}" for i in range(len(keep))]
-    rows = materialize(every.select(*names, "fp"), "rows")
-    sets = materialize(with_dimension(every.select("row", "fp", "sim", "n", "elements"), materialize(firsts, "set-firsts"), ["fp", "row"], "left_semi", NARROW_ROWS).drop("row"), "distinct-sets")
-    discard(every)
-    roots = similar_links(sets, least, paired, distance).withColumnRenamed("node", "fp")
-    discard(sets)
-    named = rows.join(roots, "fp", "left").withColumn("group_fp", F.coalesce("root", "fp"))
+    sets = every.where("elements is not null").select("row", "fp", "sim", "n", "elements")
+    some, different = sets.agg(F.count(F.lit(1)), F.count_distinct("fp")).first()
+    if some > REPEATED * different:  # copies that many tasks have met; a few of them do no harm
+        rows = materialize(every.select(*names, "fp"), "rows")
+        firsts = materialize(sets.groupBy("fp").agg(F.min("row").alias("row")), "set-firsts")
+        sets = materialize(with_dimension(sets, firsts, ["fp", "row"], "left_semi", NARROW_ROWS), "distinct-sets")
+        discard(every)
+        every, written = rows, sets
+    else:
+        written = None
+    roots = similar_links(sets.drop("row"), least, paired, distance).withColumnRenamed("node", "fp")
+    if written is not None:
+        discard(written)
+    named = every.select(*names, "fp").join(roots, "fp", "left").withColumn("group_fp", F.coalesce("root", "fp"))
     return with_names(named, keep, "group_fp")
 
 

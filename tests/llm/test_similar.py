@@ -4,6 +4,7 @@ import pytest
 from test_simhash import WORDS
 
 import corpus_pipeline
+from ragscale.llm import similar
 from ragscale.llm.similar import simhash_pairs, similar_groups, verified, written_sets
 
 
@@ -49,6 +50,27 @@ def test_groups_are_those_of_exact_jaccard(spark, paired, distance):
     assert 20 < len(want) < len(rows) - 20
 
 
+def test_copies_in_many_tasks_and_a_crowd(spark, monkeypatch):
+    """A third of the rows are one text, another third near copies of it; small limits send everything the long way."""
+    monkeypatch.setattr(similar, "FREQUENT", 3)
+    rng = random.Random(12)
+    base = rng.choices(WORDS, k=60)
+    rows = [(i, " ".join(base)) for i in range(40)]
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(60)] = rng.choice(WORDS)
+        rows.append((40 + i, " ".join(words)))
+    rows += [(80 + i, " ".join(base[:20] + rng.choices(WORDS, k=40))) for i in range(40)]  # a passage in common
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(20)
+    got = {r.doc_id: r.group_fp for r in similar_groups(docs, ["doc_id"], paired=4).collect()}
+    mine, want = {}, {}
+    for (i, _), g in zip(rows, brute_groups(rows)):
+        mine.setdefault(got[i], set()).add(i)
+        want.setdefault(g, set()).add(i)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
+
+
 def test_stage_drops_near_copies(spark):
     rows = edited()
     docs = spark.createDataFrame(rows, "doc_id int, text string")
