@@ -85,15 +85,23 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(task, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+MOST_LANGUAGES = 256  # that models are held of
+
+
 @dataclass
 class LanguageModel:
     names: list[str]
     logs: np.ndarray  # buckets x languages, log frequencies
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Models of all languages in ``docs``; their size is languages times buckets, whatever the number of documents."""
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_LANGUAGES) -> LanguageModel:
+    """Models of the ``most`` languages with the most documents in ``docs`` (ties by name); rarer ones teach nothing. Their size
+    is languages times buckets, whatever the number of documents."""
     held: dict[str, np.ndarray] = {}
+    sizes = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    known = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(most + 1).collect()]  # most + 1 rows at most
+    if len(known) > most:
+        docs = docs.where(F.col(lang).cast("string").isin(known[:most]))
     for r in gram_counts(docs, text, lang).collect():  # languages x buckets at most
         held.setdefault(r["lang"], np.zeros(BUCKETS))[r["bucket"]] = r["n"]
     names = sorted(held)
@@ -199,13 +207,15 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
     """Columns ``keep``, ``lang_pred``, ``score`` (its share of the words) and ``languages`` (name to share) of every row.
 
     A text that is null or has no letter, or any text if no language was learned, is ``und`` with score 0 and no languages.
-    Equal shares go to the name that comes first. Nothing but the text is looked at; repeated rows come out alike.
+    Equal shares go to the name that comes first. Nothing but the text is looked at; repeated rows come out alike. A column
+    of ``keep`` named like an added one is left out.
     """
-    packed = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep if c not in ("lang_pred", "score", "languages")]
+    packed = docs.sparkSession.sparkContext.broadcast((model.names, model.logs))  # MOST_LANGUAGES x buckets at most
     rows, fields = carry(docs, keep, letters_only(text), has_letter(text))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = packed.value
+        model = LanguageModel(*packed.value)
         room = max(1 << 18, 2 * SLICE_BYTES // max(4, len(model.names)))
         for part in text_slices(batches, "x0", room):
             data, offsets = text_buffers(part.column(len(keep)))

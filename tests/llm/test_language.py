@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ragscale.llm.arrays import text_buffers
 from ragscale.llm.language import FLOOR, PENALTY, ROUNDS, LanguageModel, held_out, identify, infer, learn, word_logs
@@ -98,3 +99,18 @@ def test_held_out_accuracy(spark, sf_dir):
     model = learn(docs.where(~held_out("doc_id")))
     rows = identify(docs.where(held_out("doc_id")), model, ["lang"]).collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) > 0
+
+
+def test_rare_languages_beyond_the_bound_teach_nothing(spark):
+    rows = [(i, "the quick brown fox jumps", "en") for i in range(6)] + [(10 + i, "der schnelle braune fuchs springt", "de") for i in range(4)]
+    rows += [(100 + i, "noise", f"x{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    assert learn(docs, most=2).names == ["de", "en"] and len(learn(docs).names) == 32
+    told = identify(docs.withColumn("score", F.lit("mine")), learn(docs, most=2), ["doc_id", "score"])
+    assert told.columns == ["doc_id", "lang_pred", "score", "languages"] and told.count() == len(rows)
+
+
+def test_a_text_longer_than_a_slice(spark):
+    long = "der schnelle braune fuchs springt " * 150_000
+    docs = spark.createDataFrame([(1, long, "de"), (2, "the quick brown fox jumps " * 150_000, "en"), (3, "fuchs springt", None)], "doc_id int, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in identify(docs, learn(docs), ["doc_id"]).collect()} == {1: "de", 2: "en", 3: "de"}
