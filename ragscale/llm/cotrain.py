@@ -204,10 +204,10 @@ def _features(part: pa.RecordBatch, first: int) -> tuple:
 
 def _scored(mine: DataFrame, text: Linear, page: Linear) -> DataFrame:
     """``_id, a, b``: both views' logits (nine digits, for ties) of every document with an id; of a repeated id one row counts."""
-    packed = mine.sparkSession.sparkContext.broadcast((text, page))  # two weight vectors of fixed length
+    packed = mine.sparkSession.sparkContext.broadcast((text.weights, text.bias, page.weights, page.bias))  # two weight vectors of fixed length
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = packed.value
+        one, two = Linear(*packed.value[:2]), Linear(*packed.value[2:])
         for part in text_slices(batches, "t"):
             data, offsets, traits = _features(part, 1)
             a, b = text_scores(data, offsets, one.weights) + one.bias, two.logit(page_rows(data, offsets, *traits))
@@ -302,16 +302,19 @@ def learn(
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[str], text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", least: float = 0.5) -> DataFrame:
     """Columns ``keep``, ``text_score`` and ``page_score`` (each view's probability), ``score`` and ``kept`` (``score >= least``) of
-    every row, repeated rows included. Null text counts as empty, other nulls are values; labels are not looked at."""
+    every row, repeated rows included. Null text counts as empty, other nulls are values; labels are not looked at.
+    A column of ``keep`` named like an added one is left out."""
+    keep = [c for c in keep if c not in ("text_score", "page_score", "score", "kept")]
     rows, fields = carry(docs, keep, F.col(text).cast("string"), *_page_columns(source, lang, n_chars))
-    packed = docs.sparkSession.sparkContext.broadcast(scorer)  # two weight vectors of fixed length
+    views = (scorer.text.weights, scorer.text.bias, scorer.page.weights, scorer.page.bias, scorer.mix)
+    packed = docs.sparkSession.sparkContext.broadcast(views)  # two weight vectors of fixed length
     width = len(keep)
 
     def chance(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = packed.value
+        known = Scorer(Linear(*packed.value[:2]), Linear(*packed.value[2:4]), packed.value[4])
         for part in text_slices(batches, "x0"):
             data, offsets, traits = _features(part, width)
             a = text_scores(data, offsets, known.text.weights) + known.text.bias
