@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ragscale.functions.text import exploded, tokens
 from ragscale.operators.skew import hot_keys, is_small, join_same, replicated, with_salt
+from ragscale.operators.word_index import B, DIGITS, K1, open_words, postings_of
 from ragscale.schemas import TOP_K
 from ragscale.session import materialize
 
-K1 = 1.2
-B = 0.75
-DIGITS = 9
 POSTING_BLOCK = 1 << 20
 
 
@@ -123,17 +121,22 @@ def bm25_topk(
 
 
 def entailed_claims(
-    claims: DataFrame, texts: DataFrame, coverage: int = 80, claim_id: str = "claim_id", text_id: str = "text_id",
-    claim: str = "claim", text: str = "text",
+    claims: DataFrame, texts: DataFrame | None = None, coverage: int = 80, claim_id: str = "claim_id", text_id: str = "text_id",
+    claim: str = "claim", text: str = "text", index: str | None = None,
 ) -> DataFrame:
     """Texts holding at least ``coverage`` percent of a claim's distinct tokens.
 
     A match that may lack d of a claim's tokens holds one of any d + 1 of them,
-    so the d + 1 rarest tokens find all candidates.
+    so the d + 1 rarest tokens find all candidates. With ``index`` (a path of ``word_index``) the stored
+    postings stand for the texts, which are not read.
     """
-    cut = texts.select(text_id, F.array_distinct(tokens(text)).alias("_t"))
     vocabulary = _vocabulary(claims, [claim_id], claim)
-    postings = materialize(_postings(cut, [text_id], vocabulary, []).select(text_id, "token"), "postings")
+    if index is not None:
+        found = postings_of(open_words(claims.sparkSession, index), vocabulary, text_id)
+    else:
+        cut = texts.select(text_id, F.array_distinct(tokens(text)).alias("_t"))
+        found = _postings(cut, [text_id], vocabulary, [])
+    postings = materialize(found.select(text_id, "token"), "postings")
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rare = Window.partitionBy(claim_id).orderBy(F.coalesce("df", F.lit(0)), "token")
     sizes = vocabulary.groupBy(claim_id).agg(F.count(F.lit(1)).alias("n_claim_tokens"))

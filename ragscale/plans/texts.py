@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ragscale.functions.hashing import content_digest, stable_key
@@ -9,11 +11,11 @@ from ragscale.functions.text import (
     NON_TOKEN, SENTENCE_END, WHITESPACE, chunk_count, chunk_words, format_context, is_blank, word_count,
     words,
 )
-from ragscale.operators import chunking, claims, context, incremental, lexical, prompts, vector_index, vectors
+from ragscale.operators import chunking, claims, context, incremental, lexical, prompts, vector_index, vectors, word_index
 from ragscale.operators.skew import spread
 from ragscale.plans.catalog import query, r6, rounded, table
 from ragscale.schemas import PROMPTS, SCORE_FIELDS
-from ragscale.session import work_path
+from ragscale.session import work_dir, work_path
 
 
 def _words_sql(t: str) -> str:
@@ -292,6 +294,22 @@ def _(spark, sf_dir):
     return rounded(found.select("query_id", "chunk_id", "score", "rank"))
 
 
+def chunk_words_index(spark: SparkSession, sf_dir: str, collections: int = 0) -> str:
+    """Path of the word index of the document chunks, built by the first query that asks for it in an application.
+
+    With ``collections`` the chunks fall into that many by document.
+    """
+    name = hashlib.md5(f"{sf_dir}-{collections}".encode()).hexdigest()
+    path = f"{work_dir(spark)}/word-index-{name}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/blocks/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        chunks = doc_chunks(spark, sf_dir)
+        if collections:
+            chunks = chunks.withColumn("g", F.col("doc_id") % collections)
+        word_index.build_words(chunks, path, by=["g"] if collections else None)
+    return path
+
+
 def passages_as_queries(spark: SparkSession, sf_dir: str, key: str, text: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias(key), F.col("text").alias(text))
 
@@ -311,7 +329,7 @@ top as (select item_id, chunk_id, score, rank from r where rank <= 5)"""
 @query("topk_lexical", f"""with {BM25}
 select item_id as query_id, chunk_id, {r6("score", "score")}, rank::int as rank from top""")
 def _(spark, sf_dir):
-    found = lexical.bm25_topk(passages_as_queries(spark, sf_dir, "query_id", "query"), doc_chunks(spark, sf_dir))
+    found = word_index.search_words(passages_as_queries(spark, sf_dir, "query_id", "query"), chunk_words_index(spark, sf_dir))
     return rounded(found.select("query_id", "chunk_id", "score", "rank"))
 
 
@@ -324,12 +342,19 @@ def _by_collection(bm25: str) -> str:
         .replace("from q join tf on q.tok = tf.tok join df on df.tok = q.tok, st group by", "from q join tf on q.tok = tf.tok and q.item_id % 3 = tf.g join df on df.tok = q.tok and df.g = tf.g join st on st.g = tf.g group by")
 
 
+@query("topk_lexical_no_index", f"""with {BM25}
+select item_id as query_id, chunk_id, {r6("score", "score")}, rank::int as rank from top""")
+def _(spark, sf_dir):
+    """The search that goes through the texts themselves, for corpora that are searched once."""
+    found = lexical.bm25_topk(passages_as_queries(spark, sf_dir, "query_id", "query"), doc_chunks(spark, sf_dir))
+    return rounded(found.select("query_id", "chunk_id", "score", "rank"))
+
+
 @query("topk_lexical_by_collection", f"""with {_by_collection(BM25)}
 select item_id as query_id, chunk_id, {r6("score", "score")}, rank::int as rank from top""")
 def _(spark, sf_dir):
     queries = passages_as_queries(spark, sf_dir, "query_id", "query").withColumn("g", F.col("query_id") % 3)
-    chunks = doc_chunks(spark, sf_dir).withColumn("g", F.col("doc_id") % 3)
-    found = lexical.bm25_topk(queries, chunks, by=["g"])
+    found = word_index.search_words(queries, chunk_words_index(spark, sf_dir, 3), by=["g"])
     return rounded(found.select("query_id", "chunk_id", "score", "rank"))
 
 
@@ -340,7 +365,8 @@ select b.item_id as query_id, coalesce(n_chunks, 0) as n_chunks, case when c is
 from benchmark b left join ctx on b.item_id = ctx.item_id""")
 def _(spark, sf_dir):
     queries, chunks = passages_as_queries(spark, sf_dir, "query_id", "query"), doc_chunks(spark, sf_dir)
-    contexts = context.gather_context(lexical.bm25_topk(queries, chunks), chunks)
+    found = word_index.search_words(queries, chunk_words_index(spark, sf_dir))
+    contexts = context.gather_context(found, chunks)
     asked = context.with_context(queries, contexts).withColumn("pass", F.lit("pass3_strict"))
     flat = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
     n_chunks = F.coalesce(F.size(F.col("context_chunks")), F.lit(0))
@@ -355,8 +381,7 @@ s as (select item_id, chunk_id, count(*) as n_shared from q join ct on q.tok = c
 select s.item_id as claim_id, chunk_id as text_id, n_shared, n_claim_tokens from s join m on s.item_id = m.item_id
 where n_shared * 100 >= n_claim_tokens * 70""")
 def _(spark, sf_dir):
-    texts = doc_chunks(spark, sf_dir).select(F.col("chunk_id").alias("text_id"), "text")
-    return lexical.entailed_claims(passages_as_queries(spark, sf_dir, "claim_id", "claim"), texts, coverage=70)
+    return lexical.entailed_claims(passages_as_queries(spark, sf_dir, "claim_id", "claim"), coverage=70, index=chunk_words_index(spark, sf_dir))
 
 
 # --- claim scores: a turn answers the turn before it, its context is what surrounds it -------
