@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import types as T
 
 from ragscale.operators import aggregate, collections, incremental, quality, sampling
 from ragscale.operators.skew import spread
@@ -12,7 +13,8 @@ from ragscale.plans.evalview import ev, eval_records
 from ragscale.plans.statistics import AGGREGATED_SQL, KEYS, results
 from ragscale.schemas import AGGREGATED_RECORD, CONFIG_KEY, ERROR_CATEGORIES, JUDGE_NAME, METRICS, RAW_RECORD, SCORE_FIELDS, SHORT_NAME
 from ragscale.session import work_path
-from ragscale.sources import jsonl, records, registry
+from ragscale.sources import collections as stored
+from ragscale.sources import jsonl, lines, records, registry
 from ragscale.streaming import ingest
 
 _M = ", ".join(r6(m, m) for m in METRICS)
@@ -77,6 +79,42 @@ def _(spark, sf_dir):
     return counted.unionByName(rejected)
 
 
+@query("scan_numbered_lines", """select row_number() over (order by event_id) as line, case when event_type <> 'error' then event_id end as event_id,
+  case when event_type = 'error' then 'docs_events_' || (row_number() over (order by event_id)) else 'e' || event_id end as sample_id from events""")
+def _(spark, sf_dir):
+    """Events as lines of several files, in order through all of them; every record and reject has its line."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type").withColumn("sample_id", F.expr("'e' || event_id"))
+    ordered = events.repartitionByRange(8, "event_id").sortWithinPartitions("event_id")
+    path = work_path(spark, "lines")
+    # the lines of error events lose their closing brace
+    json = F.to_json(F.struct("event_id", "sample_id"))
+    cut = F.when(F.col("event_type") == "error", F.substring(json, F.lit(1), F.length(json) - 1)).otherwise(json)
+    ordered.select(cut.alias("value")).write.text(path)
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("sample_id", T.StringType())])
+    good, bad = lines.split_numbered(lines.scan_numbered(spark, path, schema, "*.txt"))
+    every = good.unionByName(bad.drop("_corrupt_record"), allowMissingColumns=True)
+    # files in the order of their names follow each other; their numbers of lines are a table of one row for each file
+    sizes = every.groupBy("_file").agg(F.max("_line").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(lines.file_part(1)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = every.join(F.broadcast(sizes.select("_file", before.alias("before"))), "_file").withColumn("_line", F.col("_line") + F.col("before"))
+    named = lines.line_ids(every.withColumns({"dataset": F.lit("docs"), "subset": F.lit("events")}))
+    return named.select(F.col("_line").alias("line"), "event_id", "sample_id")
+
+
+@query("collections_built_twice", """select case when event_type <> 'error' then event_type end as subset, count(*) as n_chunks, sum(event_id)::bigint as ids,
+  min(case when event_type in ('click', 'error') then 'first' else 'second' end) as build from events group by 1""")
+def _(spark, sf_dir):
+    """Two builds of the same collections, one of them with a null key: the second adds only what the first lacks."""
+    chunks = table(spark, sf_dir, "events").select("event_id", F.expr("case when event_type <> 'error' then event_type end").alias("subset"))
+    path = work_path(spark, "collections")
+    stored.build_collections(chunks.where("subset = 'click' or subset is null").withColumn("build", F.lit("first")), path, ["subset"])
+    every = chunks.withColumn("build", F.lit("second"))
+    stored.build_collections(every, path, ["subset"])
+    stored.build_collections(every, path, ["subset"])
+    back = spark.read.schema(every.schema).parquet(path)
+    return back.groupBy("subset").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("event_id").alias("ids"), F.min("build").alias("build"))
+
+
 @query("model_dim", """select p_name || '-' || p_partkey as model, p_type as role, 'FP16, Q' || p_size as quant_list,
   u.q as quantization, u.f as file from part,
   unnest([{'q': 'FP16', 'f': p_brand || '-f16'}, {'q': 'Q' || p_size, 'f': p_brand || '-q' || p_size}]) t(u)""")
