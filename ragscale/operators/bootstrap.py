@@ -259,10 +259,14 @@ def _resample(
     columns = df.select(*keys, "_salt", "_row", "_more", "_n", "_counts", *metrics)
     ordered = columns.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt", "_row", "_more")
     found = ordered.mapInArrow(run, out_schema)
-    if not salted:
-        return found
+    return _bounds(found, keys, n_metrics, confidence) if salted else found
+
+
+def _bounds(found: DataFrame, keys: list[str], n_metrics: int, confidence: float) -> DataFrame:
+    """Intervals as arrays ``_lo`` and ``_hi`` from parts with replicate sums ``_w, _s0, _s1, ...``, which are added up."""
     alpha = 1.0 - confidence
     points = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
+    arrays = ["_w", *[f"_s{i}" for i in range(n_metrics)]]
     replicate = found.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("_b", "_z")).groupBy(*keys, "_b")
     sums = replicate.agg(*[F.sum(f"_z.{a}").alias(a) for a in arrays]).where("_w > 0")
     bounds = sums.groupBy(*keys).agg(
@@ -275,6 +279,11 @@ def _resample(
     )
 
 
+def combined_intervals(parts: DataFrame, stats: DataFrame, keys: list[str], metrics: list[str], confidence: float = CONFIDENCE_LEVEL) -> DataFrame:
+    """``(keys, n, metric, mean, ci_lo, ci_hi, std)`` from stored replicate sums of parts of the groups and statistics as of ``metric_stats``."""
+    return _finish(stats, keys, metrics, _bounds(parts, keys, len(metrics), confidence))
+
+
 def metric_stats(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Row count, mean and sample standard deviation (0 for a single row), one row per key."""
     aggs = [F.count(F.lit(1)).alias("n")]

@@ -9,13 +9,13 @@ from ragscale.operators import aggregate, collections, incremental, quality, sam
 from ragscale.operators.skew import spread
 from ragscale.plans.catalog import query, r6, rounded, table
 from ragscale.plans.curves import ROLES, role_table
-from ragscale.plans.evalview import ev, eval_records
+from ragscale.plans.evalview import EV_SQL, ev, eval_records, long_rows, poisson_cte
 from ragscale.plans.statistics import AGGREGATED_SQL, KEYS, results
 from ragscale.schemas import AGGREGATED_RECORD, CONFIG_KEY, ERROR_CATEGORIES, JUDGE_NAME, METRICS, RAW_RECORD, SCORE_FIELDS, SHORT_NAME
 from ragscale.session import work_path
 from ragscale.sources import collections as stored
 from ragscale.sources import jsonl, lines, records, registry
-from ragscale.streaming import ingest
+from ragscale.streaming import ingest, intervals
 
 _M = ", ".join(r6(m, m) for m in METRICS)
 
@@ -366,15 +366,26 @@ def _(spark, sf_dir):
     return back.select("event_id", "user_id", "event_type", "props.k")
 
 
+def records_delivered_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study's records as a stream in which every record arrives twice, as after a restart that repeats its last batch."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    twice = stream.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    return spark.sql(EV_SQL.format(events="{events}"), events=twice).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_bootstrap_ci", ev(f""", {poisson_cte("ev", CONFIG_KEY, ["cu", "sk"], "event_id")}
+select {KEYS}, n, metric, {", ".join(r6(c, c) for c in ("mean", "ci_lo", "ci_hi", "std"))} from ({long_rows("boot", CONFIG_KEY, ["cu", "sk"])})""").replace(") ,", "),", 1))
+def _(spark, sf_dir):
+    """Intervals of records as they arrive, from states that are added up, against the bootstrap over all records at once."""
+    found = records_delivered_twice(spark, sf_dir)
+    states = intervals.running_sums(found, ["event_id"], metrics=["cu", "sk"], late_after="30 days", event_time="ts")
+    return rounded(intervals.drain_intervals(states, found, metrics=["cu", "sk"]))
+
+
 @query("stream_config_aggregate", ev(f"""select {KEYS}, count(*) as n_queries, {r6("avg(cu)", "mean")},
   {r6("coalesce(stddev_samp(cu), 0.0)", "std")} from ev group by {KEYS}"""))
 def _(spark, sf_dir):
-    from ragscale.plans.evalview import EV_SQL
-
-    schema = table(spark, sf_dir, "events").schema
-    stream = lambda: spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    # every record arrives twice, as after a restart that repeats its last batch
-    twice = stream().unionByName(stream())
-    found = spark.sql(EV_SQL.format(events="{events}"), events=twice).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = records_delivered_twice(spark, sf_dir)
     # re-deliveries come with the same batch or the next; older keys leave the state
     return rounded(ingest.drain(ingest.running_stats(found, ["query_id", "event_id"], late_after="30 days", event_time="ts")))

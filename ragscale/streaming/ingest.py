@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from ragscale.functions.scoring import or_zero
 from ragscale.schemas import CONFIG_KEY
@@ -29,22 +30,25 @@ def running_stats(
     )
 
 
-def drain(stats: DataFrame, name: str = "running") -> DataFrame:
+def drain(stats: DataFrame, name: str = "running", keys: list[str] = CONFIG_KEY) -> DataFrame:
     """Process everything available now and return the statistics as a table.
 
-    Each micro-batch rewrites the (small) result under the shared folder; the
-    streaming checkpoint lives there too and replaces a list of finished ids.
+    Each micro-batch writes the rows of the configurations that changed under its own number, so a batch that is run
+    again replaces itself; the last row of each configuration counts. The streaming checkpoint replaces a list of
+    finished ids.
     """
     spark = stats.sparkSession
     path = work_path(spark, name)
-    spark.createDataFrame([], stats.schema).write.parquet(f"{path}/result")  # stays if nothing arrives
+    spark.createDataFrame([], stats.schema).write.parquet(f"{path}/changes/batch=-1")  # stays if nothing arrives
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/result")
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
 
     query = (
-        stats.writeStream.outputMode("complete").foreachBatch(save)
+        stats.writeStream.outputMode("update").foreachBatch(save)
         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stats.schema).parquet(f"{path}/result")
+    changes = spark.read.schema(T.StructType([*stats.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{path}/changes")
+    rest = [c for c in stats.columns if c not in keys]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
