@@ -54,6 +54,13 @@ def held(kind, path: str):
     return _HELD[kind, path]
 
 
+def let_go() -> None:
+    """Drop the vocabulary an earlier stage left in this worker; for tasks that need none."""
+    if _HELD:
+        _HELD.clear()
+        give_back()
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column (or a binary one's bytes) and the row offsets into them; null counts as empty."""
     column = column.cast(pa.large_binary())

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ragscale.llm.arrays import SLICE_BYTES, ragged_ranges, text_buffers, text_slices
+from ragscale.llm.arrays import SLICE_BYTES, let_go, ragged_ranges, text_buffers, text_slices
 from ragscale.llm.frames import carry
 
 GRAM = 3  # bytes
@@ -69,6 +69,7 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), letters_only(text).alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: dict[str, np.ndarray] = {}
         for part in text_slices(batches, "text"):
             data, offsets = text_buffers(part.column(1))
@@ -215,6 +216,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
     rows, fields = carry(docs, keep, letters_only(text), has_letter(text))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         model = LanguageModel(*packed.value)
         room = max(1 << 18, 2 * SLICE_BYTES // max(4, len(model.names)))
         for part in text_slices(batches, "x0", room):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ragscale.llm.arrays import held, ragged_ranges, text_buffers, text_slices
+from ragscale.llm.arrays import held, let_go, ragged_ranges, text_buffers, text_slices
 from ragscale.llm.order import numbered
 from ragscale.llm.word_tokens import WordTokenizer
 from ragscale.operators.skew import with_dimension
@@ -117,6 +117,9 @@ def many_queues(tokens: DataFrame, places: DataFrame, sources: DataFrame, length
     return rows, Sequences(total, rest, length, cell)
 
 
+PLACED_BYTES = 2 << 20  # ids, two bytes each, that are placed at once
+
+
 class Sequences:
     """Windows of cells, and the line of what is left after them."""
 
@@ -236,9 +239,8 @@ def pack(
     kind = rows.schema["id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        let_go()
+        for batch in text_slices(batches, "ids", PLACED_BYTES):
             first, n, queue_or_cells = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 4))
             flat = text_buffers(batch.column(3))[0].view(ID).astype("<u4")
             if isinstance(layout, Layout):

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ragscale.llm.arrays import text_buffers, text_slices, word_bounds
+from ragscale.llm.arrays import let_go, text_buffers, text_slices, word_bounds
 from ragscale.llm.components import connected_components
 from ragscale.llm.frames import carry, with_names
 from ragscale.llm.simhash import _LOWER, PAIRED, first_of_groups, majority_bits, near_links
@@ -93,6 +93,7 @@ def written_sets(docs: DataFrame, keep: list[str], text: str, shingle: int) -> D
     names = [f"k{i}" for i in range(len(keep))]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         done, seen = TaskContext.get().partitionId() << 33, set()
         for part in text_slices(batches, "x0", SLICE):
             hashes, row_at = shingle_hashes(*text_buffers(part.column(len(keep))), shingle)
