@@ -226,7 +226,15 @@ def _intervals(total: np.ndarray, sums: np.ndarray, confidence: float) -> np.nda
 def _resample(
     df: DataFrame, keys: list[str], metrics: list[str], salted: bool, sums_of: Callable, confidence: float,
 ) -> DataFrame:
-    """Intervals per key as arrays ``lo`` and ``hi`` in metric order.
+    """Intervals per key as arrays ``lo`` and ``hi`` in metric order."""
+    found = _block_sums(df, keys, metrics, salted, sums_of, confidence)
+    return _bounds(found, keys, len(metrics), confidence) if salted else found
+
+
+def _block_sums(
+    df: DataFrame, keys: list[str], metrics: list[str], salted: bool, sums_of: Callable, confidence: float = CONFIDENCE_LEVEL,
+) -> DataFrame:
+    """Replicate sums of each block as arrays ``_w, _s0, ...`` if ``salted``; else each group is one block, and its intervals.
 
     ``df`` has columns keys, ``_salt``, ``_row``, ``_more``, ``_n``, ``_counts`` and the metrics. ``sums_of`` takes
     (both row keys, group size, counts, values) of a block and returns weights and sums. A row with key -1
@@ -259,7 +267,7 @@ def _resample(
     columns = df.select(*keys, "_salt", "_row", "_more", "_n", "_counts", *metrics)
     ordered = columns.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt", "_row", "_more")
     found = ordered.mapInArrow(run, out_schema)
-    return _bounds(found, keys, n_metrics, confidence) if salted else found
+    return found
 
 
 def _bounds(found: DataFrame, keys: list[str], n_metrics: int, confidence: float) -> DataFrame:
@@ -347,6 +355,21 @@ def poisson_ci(
     return _finish(stats, keys, metrics, _resample(salted, keys, metrics, hot is not None, sums_of, confidence))
 
 
+def poisson_parts(data: DataFrame, keys: list[str], metrics: list[str], counts: DataFrame, n_resamples: int, seed: int, block_rows: int) -> DataFrame:
+    """``keys, _w, _s0, _s1, ...``: replicate sums of weights and weighted metrics for parts of the groups, hot ones being split.
+
+    ``data`` has keys, both halves of the row key (``_row, _more``) and the metrics; ``counts`` has ``n_rows`` of each group.
+    """
+    hot = hot_keys(data, keys, block_rows, counts)
+    by = coefficients(WEIGHTS, n_resamples, seed)
+
+    def sums_of(row_keys, more, n_rows, counted, values):
+        return _poisson_sums(row_keys, more, values, by)
+
+    salted = with_salt(data, keys, hot, "_row").withColumns({"_n": F.lit(0).cast("bigint"), "_counts": F.lit(None).cast("array<int>")})
+    return _block_sums(salted, keys, metrics, True, sums_of)
+
+
 def dense_positions(df: DataFrame, keys: list[str], order: str, position: str = "_pos", size: str = "_n") -> DataFrame:
     """Written rows with their position in ``order`` inside their group and the group's size.
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ragscale.operators import aggregate, bootstrap, curves
+from ragscale.operators import aggregate, bootstrap, curves, replicates
 from ragscale.plans.catalog import NUDGE, query, r6, rounded
 from ragscale.plans.evalview import AXIS, ev, eval_records, long_rows, poisson_cte
 from ragscale.plans.statistics import KEYS, STATS, results, results_cte
-from ragscale.schemas import CONFIG_KEY
+from ragscale.schemas import CONFIG_KEY, PRACTICAL_DELTA
 
 CURVE = ["model", "dataset", "subset", "pass"]
 CURVE_SQL = ", ".join(CURVE)
@@ -199,3 +199,72 @@ def _(spark, sf_dir):
 
 
 __all__ = ["cu_points", "results", "role_table"]
+
+
+# --- replicate vectors: differences of configurations over the same queries, and shapes of curves ---
+
+_PQ = f"""pq as (select {KEYS}, query_id, avg(coalesce(cu, 0.0)) as cu from ev group by {KEYS}, query_id),
+{poisson_cte("pq", CONFIG_KEY, ["cu"], "query_id", "pb")}"""
+_DELTA = ", ".join(r6(c, c) for c in ("mean", "other_mean", "delta", "ci_lo", "ci_hi"))
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicate means of cu per configuration, the same query having the same weight in all of them."""
+    means = replicates.per_query(eval_records(spark, sf_dir), CONFIG_KEY, ["cu"])
+    return replicates.replicate_vectors(means, CONFIG_KEY, ["cu"], "query_id")
+
+
+def _difference_sql(condition: str, extra: str) -> str:
+    other = " and ".join(f"a.{k} = o.{k}" for k in CONFIG_KEY if k not in ("quantization", "model"))
+    keys = ", ".join(f"a.{k}" for k in CONFIG_KEY)
+    return f"""select {KEYS}, {extra} {_DELTA}, ci_lo > 0 or ci_hi < 0 as differs from (
+  select {keys}, {"any_value(o.model) as other," if extra else ""} any_value(sa.cu_mean) as mean, any_value(so.cu_mean) as other_mean, any_value(sa.cu_mean) - any_value(so.cu_mean) as delta,
+    quantile_cont(a.cu - o.cu, 0.025) as ci_lo, quantile_cont(a.cu - o.cu, 0.975) as ci_hi
+  from pb_reps a join pb_reps o on a.b = o.b and {other} and {condition}
+  join pb sa on {" and ".join(f"sa.{k} = a.{k}" for k in CONFIG_KEY)} join pb so on {" and ".join(f"so.{k} = o.{k}" for k in CONFIG_KEY)}
+  group by {keys}{", o.model" if extra else ""})"""
+
+
+@query("baseline_delta_paired", _cte(f"{_PQ} {_difference_sql(f"a.model = o.model and o.quantization = '{AXIS[-1]}' and a.quantization <> o.quantization", '')}"))
+def _(spark, sf_dir):
+    found = replicates.baseline_differences(query_vectors(spark, sf_dir), CONFIG_KEY, AXIS[-1])
+    return rounded(found.select(*CONFIG_KEY, "mean", "other_mean", "delta", "ci_lo", "ci_hi", "differs"))
+
+
+_MODELS = [("click", "view"), ("purchase", "signup"), ("click", "error")]
+
+
+@query("cross_arch_paired", _cte(f"{_PQ} {_difference_sql('a.quantization = o.quantization and (' + ' or '.join(f"(a.model = '{a}' and o.model = '{b}')" for a, b in _MODELS) + ')', 'other,')}"))
+def _(spark, sf_dir):
+    found = replicates.pair_differences(query_vectors(spark, sf_dir), _MODELS, CONFIG_KEY)
+    return rounded(found.select(*CONFIG_KEY, "other", "mean", "other_mean", "delta", "ci_lo", "ci_hi", "differs"))
+
+
+def _isotonic_sql(direction: int) -> str:
+    """Fits by the formula of greatest least means: point i of the best non-decreasing fit (of ``direction`` times the curve)."""
+    inner = f"(select m.*, {direction} * y as v from pts m)"
+    return f"""select {CURVE_SQL}, b, i, max(low) * {direction} as fit from (
+  select p.{", p.".join(CURVE)}, p.b, p.i, s.j, min(s.mean) as low from pts p join (
+    select x.{", x.".join(CURVE)}, x.b, x.i as j, z.i as k, (z.up - x.up + x.v) / (z.i - x.i + 1) as mean
+    from (select *, sum(v) over (partition by {CURVE_SQL}, b order by i) as up from {inner}) x
+    join (select *, sum(v) over (partition by {CURVE_SQL}, b order by i) as up from {inner}) z
+      on {" and ".join(f"x.{k} = z.{k}" for k in CURVE)} and x.b = z.b and x.i <= z.i) s
+  on {" and ".join(f"p.{k} = s.{k}" for k in CURVE)} and p.b = s.b and s.j <= p.i and s.k >= p.i group by all) group by {CURVE_SQL}, b, i"""
+
+
+@query("curve_probabilities", _cte(f"""{_PQ}, pts as (select {CURVE_SQL}, b, cu as y, row_number() over (partition by {CURVE_SQL}, b order by {_X} desc) as i
+  from pb_reps where {_X} is not null and cu is not null),
+up as ({_isotonic_sql(1)}), dn as ({_isotonic_sql(-1)}),
+fits as (select {", ".join("p." + k for k in CURVE)}, p.b, count(*) as n, sum((y - up.fit) * (y - up.fit)) as loss_up, sum((y - dn.fit) * (y - dn.fit)) as loss_dn,
+  max(up.fit) - min(up.fit) as span_up, max(dn.fit) - min(dn.fit) as span_dn from pts p
+  join up on {" and ".join(f"up.{k} = p.{k}" for k in CURVE)} and up.b = p.b and up.i = p.i
+  join dn on {" and ".join(f"dn.{k} = p.{k}" for k in CURVE)} and dn.b = p.b and dn.i = p.i group by all),
+named as (select {CURVE_SQL}, case when n < 2 then 'indeterminate' when loss_up < loss_dn - 1e-12 then case when span_up <= {PRACTICAL_DELTA} then 'flat' else 'rising' end
+  when loss_dn < loss_up - 1e-12 then case when span_dn <= {PRACTICAL_DELTA} then 'flat' else 'falling' end
+  when greatest(span_up, span_dn) <= {PRACTICAL_DELTA} then 'flat' else 'indeterminate' end as shape from fits),
+labels as (select {CURVE_SQL}, count(distinct quantization) as n_points from pb where {_X} is not null group by {CURVE_SQL})
+select {CURVE_SQL}, n_points, {", ".join(r6(f"count(*) filter (shape = '{p}') / 1000.0::double", f"p_{p}") for p in replicates.PATTERNS[:3])},
+  {r6("1.0::double - count(*) filter (shape <> 'indeterminate') / 1000.0::double", "p_indeterminate")}
+from named join labels using ({CURVE_SQL}) group by {CURVE_SQL}, n_points"""))
+def _(spark, sf_dir):
+    return rounded(replicates.curve_probabilities(query_vectors(spark, sf_dir), CURVE, AXIS))
