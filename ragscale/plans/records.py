@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
@@ -10,11 +12,11 @@ from ragscale.operators.skew import spread
 from ragscale.plans.catalog import query, r6, rounded, table
 from ragscale.plans.curves import ROLES, role_table
 from ragscale.plans.evalview import EV_SQL, ev, eval_records, long_rows, poisson_cte
-from ragscale.plans.statistics import AGGREGATED_SQL, KEYS, results
-from ragscale.schemas import AGGREGATED_RECORD, CONFIG_KEY, ERROR_CATEGORIES, JUDGE_NAME, METRICS, RAW_RECORD, SCORE_FIELDS, SHORT_NAME
+from ragscale.plans.statistics import AGGREGATED_SQL, KEYS, PAIRS, results
+from ragscale.schemas import AGGREGATED_RECORD, CONFIG_KEY, ERROR_CATEGORIES, JUDGE_NAME, METRICS, PAIR_KEY, RAW_RECORD, SCORE_FIELDS, SHORT_NAME
 from ragscale.session import work_path
 from ragscale.sources import collections as stored
-from ragscale.sources import jsonl, lines, records, registry
+from ragscale.sources import jsonl, lines, records, registry, store
 from ragscale.streaming import ingest, intervals
 
 _M = ", ".join(r6(m, m) for m in METRICS)
@@ -274,6 +276,41 @@ def _(spark, sf_dir):
     return incremental.remaining_work(todo, work.where("cents < 5000"), CONFIG_KEY)
 
 
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study's records as a bucketed table, written by the first query that asks for it in an application."""
+    name = "records_" + hashlib.md5(f"{sf_dir}-{spark.sparkContext.applicationId}".encode()).hexdigest()
+    if spark.catalog.tableExists(name):
+        return spark.table(name)
+    return store.store_records(eval_records(spark, sf_dir).drop("source", "ts"), name, work_path(spark, "records"), buckets=8)
+
+
+@query("stored_resume", ev(f""", w as (select distinct {KEYS}, query_id from ev)
+select {KEYS}, query_id from w t where not exists (select 1 from ev d where d.query_id = t.query_id
+  and {" and ".join(f"d.{k} = case when '{k}' = 'pass' and t.pass = 'pass1' then 'pass2' else t.{k} end" for k in CONFIG_KEY)})""").replace(") ,", "),", 1))
+def _(spark, sf_dir):
+    """Planned work: every stored query once more, first passes as second ones; what is stored isn't done again."""
+    work = eval_records(spark, sf_dir).select(*CONFIG_KEY, "query_id").distinct()
+    planned = work.withColumn("was", F.col("pass")).withColumn("pass", F.when(F.col("pass") == "pass1", "pass2").otherwise(F.col("pass")))
+    left = store.remaining_of_store(planned, stored_records(spark, sf_dir))
+    return left.withColumn("pass", F.col("was")).select(*CONFIG_KEY, "query_id")
+
+
+@query("stored_pairs", ev(f""", last as (select {PAIRS}, pass, query_id, arg_max(struct_pack(v := cu), event_id).v as cu from ev
+  where pass in ('pass2', 'pass3') group by {PAIRS}, pass, query_id)
+select {", ".join("a." + k for k in PAIR_KEY)}, a.query_id, {r6("a.cu", "loose")}, {r6("b.cu", "strict")}, {r6("b.cu - a.cu", "preference_gap")}
+from last a join last b on {" and ".join(f"a.{k} = b.{k}" for k in PAIR_KEY)} and a.query_id = b.query_id and a.pass = 'pass2' and b.pass = 'pass3'
+where a.cu is not null and b.cu is not null""").replace(") ,", "),", 1))
+def _(spark, sf_dir):
+    return rounded(store.stored_pairs(stored_records(spark, sf_dir), "event_id", "pass2", "pass3"))
+
+
+@query("stored_last_wins", ev(f"""select {KEYS}, query_id, max(event_id) as event_id, {r6("arg_max(struct_pack(v := cu), event_id).v", "cu")}
+  from ev group by {KEYS}, query_id"""))
+def _(spark, sf_dir):
+    last = store.last_stored(stored_records(spark, sf_dir), [*CONFIG_KEY, "query_id"], "event_id")
+    return rounded(last.select(*CONFIG_KEY, "query_id", "event_id", "cu"))
+
+
 @query("role_lookup", ev(f""", {ROLES} select e.model, coalesce(role, 'unknown') as role, count(*) as n
 from ev e left join roles r on e.model = r.model group by 1, 2""").replace(") ,", "),", 1))
 def _(spark, sf_dir):
