@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ragscale.functions.text import chunk_count, chunk_words, exploded, is_blank, words
-from ragscale.operators.skew import join_same
+from ragscale.operators.skew import join_same, with_dimension
 from ragscale.schemas import CHUNK_OVERLAP, CHUNK_WORDS
 from ragscale.session import materialize
 
@@ -57,9 +57,9 @@ def running_start(df: DataFrame, group: list[str], order: list[str], value: str)
 
 def number_chunks(
     passages: DataFrame, sample: str = "sample_id", group: list[str] | None = None, text: str = "text",
-    size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP,
+    size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, marks: DataFrame | None = None,
 ) -> DataFrame:
-    """Chunks with ids ``<sample>_chunk_<n>``, n counting through the whole collection.
+    """Chunks with ids ``<sample>_chunk_<n>``, n counting through the whole collection, from ``first`` of ``marks`` (group, first) on.
 
     Needs columns group, sample, ``passage`` and text, unique in the first three; any may be null. A null sample
     takes the fallback id of ``sample_ids`` in its chunk ids.
@@ -68,10 +68,12 @@ def number_chunks(
     order = [sample, "passage"]
     counts = passages.withColumn("n_chunks", chunk_count(F.size(words(text)), size, overlap))
     starts = running_start(counts, group, order, "n_chunks")
+    if marks is not None:
+        starts = with_dimension(starts, marks, group).withColumn("start", F.col("start") + F.coalesce("first", F.lit(0))).drop("first")
     chunks = chunk_passages(join_same(passages, starts, [*group, *order]), text, size, overlap)
     number = (F.col("start") + F.col("chunk_index")).cast("string")
     named = F.coalesce(F.col(sample).cast("string"), fallback_id(group))
-    return chunks.withColumn("chunk_id", F.concat_ws("_chunk_", named, number)).drop("start")
+    return chunks.withColumns({"chunk_id": F.concat_ws("_chunk_", named, number), "number": number.cast("bigint")}).drop("start")
 
 
 def fallback_id(group: list[str], *content: str) -> Column:
