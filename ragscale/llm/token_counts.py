@@ -3,14 +3,16 @@
 The byte-level vocabulary and its rule for splitting texts become one deterministic transducer over bytes: a
 state pairs the splitting rule's position (inside letters, numbers, other signs, white space, a possible
 contraction, an unfinished character) with a state of the byte-pair transducer, and each transition carries the
-number of tokens it emits. Texts are cut into chunks that run as parallel lanes. A chunk maps the state before it
-to the state after it and a count; the maps compose along the text by a scan: chunks cut where every state leads to
-the same one are settled at once, the others are run again from the state that the scan has brought to them, until
-nothing changes.
+number of tokens it emits. Texts are cut into chunks that run as parallel lanes. A chunk owns a map from the state before it
+to the state after it and a count, filled with the entries that are asked for; the maps compose along the text by a
+parallel prefix scan that doubles the composed stretch in every step. Chunks cut where every state leads to the same
+one need one entry; the others get an entry for every state that the maps before them bring, until each text's way
+from its known first state is composed to its end. Because states forget what is far back, maps stay very small.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,23 +208,60 @@ class TextCounter:
             return total
         at, to, owner, firm, last = self.chunks(data, starts, ends)
         self.lanes.fit()
-        begin = np.full(len(at), machine.start, np.int32)
-        end, counts = begin.copy(), np.zeros(len(at), np.int64)
-        todo = np.arange(len(at))
-        while len(todo):
-            state = begin[todo].copy()
-            counts[todo] = self.lanes.run(data, at[todo], (to - at)[todo], state, held=(begin, end))
-            end[todo] = state
-            brought = np.where(firm[1:], machine.start, end[:-1])
-            todo = np.flatnonzero(brought != begin[1:]) + 1
-            begin[1:] = brought
-        closing = last | np.append(firm[1:], True)
-        owed = {int(s): machine.ending(int(s)) for s in np.unique(end[closing])}
-        counts[closing] += np.array([owed[int(s)] for s in end[closing]], np.int64)
-        np.add.at(total, rows[owner], counts)
+        open_ = np.append(~firm[1:], False)  # the next chunk goes on with this one's state
+        chunk, entry, leave, counts = np.zeros(0, np.int64), *(np.zeros(0, np.int32) for _ in range(2)), np.zeros(0, np.int64)
+        new_chunk, new_entry = np.arange(len(at)), np.full(len(at), machine.start, np.int32)
+        roots = np.flatnonzero(firm)  # the first entries of chunks whose state before is known
+        for turn in itertools.count():
+            state = new_entry.copy()
+            more = self.lanes.run(data, at[new_chunk], (to - at)[new_chunk], state, held=(entry, leave, new_entry))
+            chunk, counts = np.concatenate([chunk, new_chunk]), np.concatenate([counts, more])
+            entry, leave = np.concatenate([entry, new_entry]), np.concatenate([leave, state])
+            follows = following(chunk, entry, leave, open_)
+            summed, tail = composed(follows, counts)
+            lost = np.flatnonzero(follows == UNKNOWN)
+            if turn >= SPECULATED:  # later only what a known state has led to
+                lost = np.intersect1d(lost, tail[roots])
+            if not (follows[tail[roots]] == UNKNOWN).any():
+                break
+            width = int(leave.max()) + 1
+            new_chunk, new_entry = np.divmod(np.unique((chunk[lost] + 1) * width + leave[lost]), width)
+            new_entry = new_entry.astype(np.int32)
+        final = leave[tail[roots]]
+        owed = {int(s): machine.ending(int(s)) for s in np.unique(final)}
+        np.add.at(total, rows[owner[roots]], summed[roots] + np.array([owed[int(s)] for s in final], np.int64))
         return total
 
 
+UNKNOWN, END = -1, -2
+SPECULATED = 2  # rounds in which chunks are also run from states that only a guess has led to
+
+
+def following(chunk: np.ndarray, entry: np.ndarray, leave: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """For each entry of a chunk's map the entry of the next chunk that begins in the state it leaves; UNKNOWN if that chunk's map
+    lacks it, END if the next chunk's state doesn't depend on this one."""
+    width = int(max(entry.max(), leave.max())) + 1
+    have, want = chunk * width + entry, (chunk + 1) * width + leave
+    order = np.argsort(have, kind="stable")
+    spot = np.minimum(np.searchsorted(have[order], want), len(have) - 1)
+    found = order[spot]
+    return np.where(~open_[chunk], END, np.where(have[found] == want, found, UNKNOWN))
+
+
+def composed(follows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maps composed along the text by a parallel prefix scan: for each entry the tokens from it to the end of the known way,
+    and the last entry of that way. Each step composes stretches of twice the length."""
+    n = len(follows)
+    summed = np.append(counts, 0)
+    ahead = np.append(np.where(follows >= 0, follows, n), n)  # n: nothing further
+    tail = np.arange(n + 1)
+    while (ahead[:n] < n).any():
+        summed = summed + summed[ahead]
+        tail = np.where(ahead < n, tail[ahead], tail)
+        ahead = ahead[ahead]
+    return summed[:n], tail[:n]
+
+
 def occurrences(data: bytes, part: bytes) -> Iterator[int]:
     at = data.find(part)
     while at >= 0:
