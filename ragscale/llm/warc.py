@@ -59,8 +59,11 @@ def page_record(key, url: str | None, payload: bytes, sha1: str, refers_to, date
     return _record("revisit", [*fields, ("WARC-Refers-To", _urn(refers_to)), ("WARC-Profile", REVISIT_PROFILE)], http)
 
 
+NO_KEY = "<urn:page-without-key>"
+
+
 def _urn(key) -> str:
-    return f"<urn:page:{'' if key is None else quote(str(key))}>"
+    return NO_KEY if key is None else f"<urn:page:{quote(str(key))}>"
 
 
 def write_archives(records: DataFrame, folder: str, date: str = EPOCH) -> DataFrame:
@@ -124,13 +127,13 @@ def member(window: _Window, at: int) -> tuple[bytes, int] | None:
             out.append(unpack.decompress(piece))
         except zlib.error:
             return None
-        if pos == at and not (out[0].startswith(b"WARC/1.") or b"WARC/1.".startswith(out[0])):
+        if pos == at and not (out[0].startswith(b"WARC/") or b"WARC/".startswith(out[0])):
             return None
         pos, step = pos + len(piece), BLOCK
     end = pos - len(unpack.unused_data)
     record = b"".join(out)
     follows = window.piece(end, end + len(MAGIC))
-    if not record.startswith(b"WARC/1.") or b"\r\n\r\n" not in record or follows not in (b"", MAGIC):
+    if not record.startswith(b"WARC/") or not split_head(record)[1] or follows not in (b"", MAGIC):
         return None
     return record, end
 
@@ -147,41 +150,125 @@ def owned_records(window: _Window, start: int, end: int) -> Iterator[tuple[int,
         at = found[1]
 
 
+def headers(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name: white space around values is optional, folded lines go on, the first of a name counts."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t"):
+            if name is not None:
+                out[name] = (out[name] + " " + line.strip()).strip()
+            continue
+        key, colon, value = line.partition(":")
+        name = key.strip().lower() if colon and key.strip().lower() not in out else None
+        if name is not None:
+            out[name] = value.strip()
+    return out
+
+
+def split_head(data: bytes) -> tuple[bytes, bytes]:
+    """What comes before and after the first empty line."""
+    ends = [(at, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (at := data.find(mark)) >= 0]
+    if not ends:
+        return data, b""
+    at, n = min(ends)
+    return data[:at], data[at + n :]
+
+
+def dechunked(body: bytes) -> bytes:
+    """The content of a body in chunked transfer coding; one that isn't is itself (archives often store it decoded)."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at : end if end >= 0 else len(body)].split(b";")[0].strip(), 16)
+        except ValueError:
+            return body
+        if end < 0 or size < 0 or len(body) < end + 2 + size:
+            return body
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size
+        if body[at : at + 2] != b"\r\n":
+            return body
+        at += 2
+
+
+def sha1_base32(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def stated_sha1(field: str | None) -> str | None:
+    """The base32 SHA-1 that a digest field states, in whichever of the two usual forms; None for other digests."""
+    kind, _, value = (field or "").partition(":")
+    if kind.strip().lower() != "sha1":
+        return None
+    value = value.strip()
+    if len(value) == 40:
+        try:
+            return base64.b32encode(bytes.fromhex(value)).decode()
+        except ValueError:
+            return None
+    return value.upper()
+
+
 def parse(record: bytes) -> dict | None:
-    """Fields of a response or revisit record; None for other kinds."""
-    head, _, rest = record.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:])
-    kind = fields.get("WARC-Type")
+    """Fields of a response or revisit record; None for other kinds. Raises ValueError if the record contradicts itself.
+
+    A payload is what follows the HTTP header, without chunked transfer coding, or the whole block if there is no such
+    header. Digests may be missing or of another kind; the payload's own is returned then, null for a revisit.
+    """
+    head, rest = split_head(record)
+    fields = headers(head)
+    kind = fields.get("warc-type")
     if kind not in ("response", "revisit"):
         return None
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    length = int(dict(line.split(": ", 1) for line in http.decode("latin-1").split("\r\n")[1:])["Content-Length"])
-    if kind == "response" and (len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-        raise ValueError(f"payload of {fields.get('WARC-Record-ID')} differs from its digest")
+    length = fields.get("content-length", "")
+    if not length.isdigit() or len(rest) < int(length):
+        raise ValueError(f"block of {fields.get('warc-record-id')} is shorter than its length {length or 'that is missing'}")
+    block = rest[: int(length)]
+    http, payload = split_head(block) if block.startswith(b"HTTP/") else (b"", block)
+    told = headers(http)
+    raw = payload
+    if "chunked" in told.get("transfer-encoding", "").lower():
+        payload = dechunked(payload)
+    stated, size = stated_sha1(fields.get("warc-payload-digest")), told.get("content-length", "")
+    if kind == "response":
+        own = sha1_base32(payload)
+        if stated is not None and stated not in (own, sha1_base32(raw)):
+            raise ValueError(f"payload of {fields.get('warc-record-id')} differs from its digest")
+        stated, size = own, len(payload)
+    else:
+        size = int(size) if size.isdigit() else None
     return {
-        "key": _key(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"),
-        "payload": payload if kind == "response" else None, "payload_bytes": length, "payload_digest": digest,
-        "record_type": kind, "refers_to": _key(fields["WARC-Refers-To"]) if kind == "revisit" else None,
+        "key": _key(fields.get("warc-record-id")), "url": fields.get("warc-target-uri", "").removeprefix("<").removesuffix(">") or None,
+        "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": stated,
+        "record_type": kind, "refers_to": _key(fields.get("warc-refers-to")) if kind == "revisit" else None, "error": None,
     }
 
 
-def _key(urn: str) -> str | None:
-    return unquote(urn.removeprefix("<urn:page:").removesuffix(">")) or None
+def _key(urn: str | None) -> str | None:
+    if urn is None or urn == NO_KEY:
+        return None
+    if urn.startswith("<urn:page:"):
+        return unquote(urn.removeprefix("<urn:page:").removesuffix(">"))
+    return urn.removeprefix("<").removesuffix(">")
 
 
-FIELDS = {"key": pa.string(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.string()}
+FIELDS = {"key": pa.string(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "error": pa.string()}
 
 
-def read_archives(manifest: DataFrame, columns: list[str] | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_archives(manifest: DataFrame, columns: list[str] | None = None, range_bytes: int = RANGE_BYTES, rejects: bool = False) -> DataFrame:
     """Records of the archives in ``manifest`` (``path``, ``bytes``): the ``columns`` of FIELDS, and ``path, offset``.
 
     A task gets byte ranges, looks in each for gzip magic, takes a place for a record's start only if a WARC header
     unpacks there and another member or the file's end follows the member, and owns the records that start inside its
-    range, reading past the range's end to finish the last. A damaged payload raises. Memory is one range and one record.
+    range, reading past the range's end to finish the last. Archives may come from elsewhere, see ``parse``; keys that
+    weren't written here are record ids without brackets. A damaged record raises, or with ``rejects`` becomes a row with
+    nothing but ``error``, path and offset. Memory is one range and one record.
     """
-    names = list(FIELDS) if columns is None else columns
+    names = list(FIELDS) if columns is None else [*columns, *(["error"] if rejects and "error" not in columns else [])]
     tasks = manifest.select(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
     ranges = manifest.where("bytes > 0").select(
         "path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(range_bytes).cast("bigint"))).alias("start")
@@ -194,7 +281,12 @@ def read_archives(manifest: DataFrame, columns: list[str] | None = None, range_b
                 rows, held = [], 0
                 with fs.open_input_file(local) as file:
                     for offset, record in owned_records(_Window(file, start, size), start, min(start + range_bytes, size)):
-                        told = parse(record)
+                        try:
+                            told = parse(record)
+                        except ValueError as wrong:
+                            if not rejects:
+                                raise
+                            told = dict.fromkeys(FIELDS) | {"error": str(wrong)}
                         if told is not None:
                             rows.append([*(told[n] for n in names), path, offset])
                             held += len(record)
