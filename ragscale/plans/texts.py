@@ -11,7 +11,7 @@ from ragscale.functions.text import (
     NON_TOKEN, SENTENCE_END, WHITESPACE, chunk_count, chunk_words, format_context, is_blank, word_count,
     words,
 )
-from ragscale.operators import chunking, claims, context, incremental, lexical, prompts, vector_index, vectors, word_index
+from ragscale.operators import alignment, chunking, claims, context, incremental, lexical, prompts, vector_index, vectors, word_index
 from ragscale.operators.skew import spread
 from ragscale.plans.catalog import query, r6, rounded, table
 from ragscale.schemas import PROMPTS, SCORE_FIELDS
@@ -384,6 +384,15 @@ def _(spark, sf_dir):
     return lexical.entailed_claims(passages_as_queries(spark, sf_dir, "claim_id", "claim"), coverage=70, index=chunk_words_index(spark, sf_dir))
 
 
+@query("claim_alignment")
+def _(spark, sf_dir):
+    """Of the pairs that share enough tokens those whose tokens match in order; no SQL for the alignment."""
+    claims = passages_as_queries(spark, sf_dir, "claim_id", "claim")
+    texts = doc_chunks(spark, sf_dir).select(F.col("chunk_id").alias("text_id"), "text")
+    pairs = lexical.entailed_claims(claims, coverage=70, index=chunk_words_index(spark, sf_dir))
+    return alignment.aligned_claims(pairs, claims, texts, coverage=70)
+
+
 # --- claim scores: a turn answers the turn before it, its context is what surrounds it -------
 
 COVERAGE = 50
