@@ -11,13 +11,14 @@ distinct selected hashes a given one meets another's by chance at a rate of abou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ragscale.llm.order import numbered
 
 GRAM, WINDOW = 5, 16
 SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
 UNIT = rf"[{SINGLE}]|[^\x20\x09-\x0D{SINGLE}]{{1,32}}"
+COPIES = 1024  # rows of one repeated row that a task makes
 PLACE = (1 << 31) - 1  # a packed entry: 32 bits of hash, then the distance from the largest position
 
 
@@ -71,7 +72,7 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text",
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     mark = F.xxhash64(body, F.col(id).isNull())
     rows = docs.select(F.col(id).alias("id"), key.alias("key"), mark.alias("h"), F.char_length(body).alias("n_chars"))
-    distinct = rows.groupBy("key", "h").agg(F.first("id").alias("id"), F.first("n_chars").alias("n_chars"))
+    distinct = rows.groupBy("key", "h").agg(F.first("id").alias("id"), F.first("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("copies"))
     ranked, total = numbered(distinct, [F.col("id").asc_nulls_last(), F.col("h").asc()])
     ranked = ranked.withColumn("next_rank", (F.col("rank") + 1) % F.lit(max(total, 1)))
     following = ranked.select(F.col("rank").alias("next_rank"), F.col("key").alias("next_key"), F.col("h").alias("next_h"))
@@ -79,21 +80,28 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text",
         F.col("next_key").alias("key"), F.col("next_h").alias("h"), F.col("key").alias("to_key"), F.col("h").alias("to_h"), F.floor(F.col("n_chars") / 4).cast("int").alias("wanted")
     )
 
+    repeated = (ranked.agg(F.max("copies")).first()[0] or 0) > 1
     base = docs.select(key.alias("key"), mark.alias("h"), body.alias("text"))
+    if repeated:  # copies of a row are brought down to one before anything is shuffled
+        base = base.groupBy("key", "h").agg(F.first("text").alias("text"))
     base = with_fingerprint(base, "text", "fp", gram, window).repartition("key", "h")  # shuffled once, read by both sides below
-    copies = base.withColumn("copy", F.row_number().over(Window.partitionBy("key", "h").orderBy("h")))
-    told = copies.where("copy = 1").join(asks, ["key", "h"]).select(
+    told = base.join(asks, ["key", "h"]).select(
         F.col("to_key").alias("key"), F.col("to_h").alias("h"), F.substring("text", F.lit(1), F.col("wanted")).alias("beginning"), hashes("fp").alias("next_set")
     )
-    joined = copies.join(told, ["key", "h"]).withColumn("n_chars", F.char_length("text"))
+    joined = base.join(told, ["key", "h"]).withColumn("n_chars", F.char_length("text"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    again = F.col("copy") > 1  # the document after a repeated row's first copy is the copy
-    beginning = F.when(again, F.substring("text", F.lit(1), quarter)).otherwise(F.col("beginning"))
+    joined = joined.withColumn("times", F.lit(1).cast("bigint"))
+    if repeated:  # all copies but the last are followed by a copy
+        again = base.join(ranked.where("copies > 1").select("key", "h", (F.col("copies") - 1).alias("times")), ["key", "h"]).withColumn("n_chars", F.char_length("text"))
+        joined = joined.unionByName(again.withColumns({"beginning": F.substring("text", F.lit(1), quarter), "next_set": hashes("fp")}))
     edited = joined.select(
-        F.when(F.col("key") != "", F.substring("key", 2, 1 << 30).cast(kind)).alias("id"), "n_chars", "fp", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), beginning).alias("edited"),
-        hashes("fp").alias("own_set"), F.when(again, hashes("fp")).otherwise(F.col("next_set")).alias("next_set"),
+        F.when(F.col("key") != "", F.substring("key", 2, 1 << 30).cast(kind)).alias("id"), "n_chars", "fp", "times",
+        F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), "beginning").alias("edited"), hashes("fp").alias("own_set"), "next_set",
     )
     both = with_fingerprint(edited, "edited", "edited_fp", gram, window)
+    if repeated:  # rows of copies are made in many tasks
+        blocks = both.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("times") - 1) / COPIES)))).repartition("id", "_block")
+        both = blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(COPIES).cast("bigint"), F.col("times") - F.col("_block") * COPIES))))
     return both.select(
         F.col("id").alias(id), F.col("n_chars").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         shown("fp").alias("fingerprint"), shown("edited_fp").alias("edited_fingerprint"),

@@ -79,3 +79,16 @@ def test_empty_and_single(spark):
     assert edited_fingerprints(rows_of(spark, [])).collect() == []
     only = edited_fingerprints(rows_of(spark, [(4, "abcdefgh")])).collect()[0]
     assert only.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and only.near_next == 1.0
+
+
+def test_a_hot_row_is_counted_not_gathered(spark):
+    """Three thousand copies of a row: all but the last are followed by a copy, the last by the next document."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, text)] * 3000 + [(6, "other words follow here")] + [(None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = edited_fingerprints(docs).collect()
+    mine = [r for r in got if r.doc_id == 5]
+    assert len(got) == len(rows) and len(mine) == 3000 and len({r.fingerprint for r in mine}) == 1
+    near = sorted(r.near_next for r in mine)
+    assert near[0] == 0.0 and near[1:] == [1.0] * 2999
+    assert sorted((r.doc_id is None, r.n_chars) for r in got if r.doc_id != 5) == [(False, 23), (True, 0), (True, 0)]
