@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ragscale.llm.arrays import let_go, text_buffers, text_slices, word_bounds
+from ragscale.llm.arrays import give_back, let_go, text_buffers, text_slices, word_bounds
 from ragscale.llm.components import connected_components
 from ragscale.llm.frames import carry, with_names
 from ragscale.llm.simhash import _LOWER, PAIRED, first_of_groups, majority_bits, near_links
@@ -135,6 +135,7 @@ def prefixes(sets: DataFrame, least: float, last: np.ndarray) -> DataFrame:
                 keep = np.arange(len(values)) - (np.cumsum(n) - n)[row] < size[row]
                 row = row[keep]
                 yield pa.record_batch([pa.array(values[keep]), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["element", "fp", "n"])
+            give_back()
 
     return sets.select("fp", "n", "elements").mapInArrow(task, "element bigint, fp bigint, n int")
 
@@ -158,6 +159,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                     common = len(np.intersect1d(a, b, assume_unique=True))
                     close[k + i] = common >= least * (len(a) + len(b) - common) - 1e-9
             yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(close))
+            give_back()
 
     links = materialize(own.join(pivots, "a").select("a", "b", "x", "y").mapInArrow(task, "a bigint, b bigint"), "verified")
     discard(pairs)
