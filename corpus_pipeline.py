@@ -15,11 +15,19 @@ from ragscale.session import materialize
 
 LEAST_SHARE = 0.5  # of a document's words in its main language
 WEIGHTS = [1, 2, 3]
+BATCH_ROWS = 1500  # documents that travel to a Python worker at once; stages follow each other in the same executors
 
 
+def bounded(spark: SparkSession) -> None:
+    """From here on smaller Arrow batches than the session's, unless its own are smaller still."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting, "0"))  # 0: no bound
+    spark.conf.set(setting, str(now if 0 < now < BATCH_ROWS else BATCH_ROWS))
+
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose main language has under half of the words; a null ``lang`` is filled in."""
+    bounded(spark)
     plain, (text, lang) = neutral(docs, "text", "lang")
     told = language.identify(plain, language.learn(docs), plain.columns, text)
     good = told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
@@ -28,6 +36,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or lie outside the bands learned for their script and language."""
+    bounded(spark)
     plain, (text, lang) = neutral(docs, "text", "lang")
     told = learned_rules(plain, vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json"), plain.columns, text, lang)
     return restored(told.where("kept"), docs)
@@ -35,6 +44,7 @@ def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group joined by a similarity of 0.8 or more of their five-word shingles."""
+    bounded(spark)
     return one_per_similar(docs)
 
 
@@ -45,6 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, with their ids."""
+    bounded(spark)
     return pack(docs, vocabulary("word_bpe_49k.json"), with_ids=True)
 
 
