@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 import zlib
 
 import numpy as np
@@ -89,6 +90,44 @@ def test_layout_is_deficit_round_robin():
         assert layout.ranks(q, j).tolist() == list(want.values())
 
 
+def served_by_deficit(sizes, weights, cell, per):
+    """Queues served window by window: every slot each open queue earns its share of a cell, the queue that is owed most in units
+    of its own weight is served one cell, and what it was owed or overpaid is carried on, also into the next window."""
+    cells = [n // cell for n in sizes]
+    taken, owed, windows = [0] * len(sizes), [Fraction(0)] * len(sizes), []
+    weights = [Fraction(w) for w in weights]
+    total = sum(weights)
+    while any(t < c for t, c in zip(taken, cells)):
+        window = []
+        while len(window) < per and any(t < c for t, c in zip(taken, cells)):
+            for q, w in enumerate(weights):
+                owed[q] += w / total
+            open_ = [q for q in range(len(cells)) if taken[q] < cells[q]]
+            # Owed most for its weight: the half cell lets a queue be served in the middle of the stretch that a cell stands for.
+            best = max(open_, key=lambda q: ((owed[q] - Fraction(1, 2)) / weights[q], -q))
+            window.append((best, taken[best]))
+            taken[best] += 1
+            owed[best] -= 1
+        windows.append(window)
+    return windows, owed
+
+
+def test_places_are_those_of_queues_that_carry_deficits():
+    """The closed form against queues that are really served: the same cells in the same windows, deficits carried on."""
+    rng = random.Random(6)
+    for _ in range(25):
+        sizes = [rng.randint(0, 9000) for _ in range(rng.randint(1, 6))]
+        weights = [float(rng.randint(1, 40)) for _ in sizes]
+        layout = Layout(list(zip(sizes, weights)))
+        windows, _ = served_by_deficit(layout.sizes.tolist(), [w * layout.cell for w in layout.weights.tolist()], layout.cell, layout.per)
+        flat = [c for w in windows for c in w]
+        if not flat:
+            continue
+        q, j = np.array([a for a, _ in flat], np.int64), np.array([b for _, b in flat], np.int64)
+        assert (layout.ranks(q, j) // layout.per).tolist() == [i for i, w in enumerate(windows) for _ in w]
+        assert layout.ranks(q, j).tolist() == list(range(len(flat)))
+
+
 def test_windows_keep_the_proportions():
     queues = [(1_000_000, 1e6), (500_000, 5e5), (250_000, 2.5e5), (70_000, 7e4)]
     layout = Layout(queues)
