@@ -160,6 +160,11 @@ class Lanes:
 
     def _grow(self, rows: int, columns: int) -> None:
         r, c = self.next.shape
+        if columns == c:  # rows are added in place, without a second copy for the time being
+            self.next.resize((rows, c), refcheck=False)
+            self.emit.resize((rows, c), refcheck=False)
+            self.next[r:] = -1
+            return
         nxt, emit = np.full((rows, columns), -1, np.int32), np.zeros((rows, columns), np.int8)
         nxt[:r, :c], emit[:r, :c] = self.next, self.emit
         self.next, self.emit = nxt, emit
