@@ -15,6 +15,7 @@ from ragscale.session import materialize
 
 LEAST_SHARE = 0.5  # of a document's words in its main language
 WEIGHTS = [1, 2, 3]
+SLICE = 3 << 18  # bytes of text that packing tokenizes at once
 BATCH_ROWS = 1500  # documents that travel to a Python worker at once; stages follow each other in the same executors
 
 
@@ -56,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, with their ids."""
     bounded(spark)
-    return pack(docs, vocabulary("word_bpe_49k.json"), with_ids=True)
+    return pack(docs, vocabulary("word_bpe_49k.json"), with_ids=True, slice_bytes=SLICE)
 
 
 STAGES = [
