@@ -217,10 +217,19 @@ def similar_links(sets: DataFrame, least: float, paired: int = PAIRED, distance:
     other = F.filter("all", lambda o: (o["fp"] > F.col("one.fp")) & (o["root"] != F.col("one.root")) & fits(o["n"], F.col("one.n")))
     near = gathered.select(F.explode("all").alias("one"), "all").select("one", F.explode(other).alias("two"))
     near = near.select(F.col("one.fp").alias("a"), F.col("one.n").alias("na"), F.col("two.fp").alias("b"), F.col("two.n").alias("nb"))
+    # Of a crowded value the members outside its largest component meet all others, so that no large component meets itself.
     large = left.where(F.col("size") > paired)
+    shares = large.groupBy("element", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = shares.groupBy("element").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    minor = large.join(main, "element").where(F.col("root") != F.col("main"))
     across = large.select("element", *[F.col(c).alias(f"o_{c}") for c in ("fp", "n", "root")])
-    met = large.join(across, "element").where((F.col("fp") < F.col("o_fp")) & (F.col("root") != F.col("o_root")) & fits(F.col("n"), F.col("o_n")))
-    met = met.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("o_fp").alias("b"), F.col("o_n").alias("nb"))
+    once = (F.col("o_root") == F.col("main")) | (F.col("fp") < F.col("o_fp"))
+    met = minor.join(across, "element").where((F.col("root") != F.col("o_root")) & once & fits(F.col("n"), F.col("o_n")))
+    first = F.col("fp") < F.col("o_fp")
+    met = met.select(
+        F.least("fp", "o_fp").alias("a"), F.when(first, F.col("n")).otherwise(F.col("o_n")).alias("na"),
+        F.greatest("fp", "o_fp").alias("b"), F.when(first, F.col("o_n")).otherwise(F.col("n")).alias("nb"),
+    )
     counted = near.unionByName(met).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(enough(F.col("c"), F.col("na"), F.col("nb"), least))
     links = links.unionByName(verified(counted.select("a", "b"), sets, least))
     discard(left, shared)
