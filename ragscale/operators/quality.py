@@ -98,8 +98,9 @@ def aggregated_record_violations(lines: DataFrame, text: str = "line", names: li
     names = names or [*METRICS, GAP_METRIC]
     doc = F.col("_doc")
     parsed = lines.withColumn("_doc", F.try_parse_json(F.col(text)))
-    typed = parsed.withColumn("_top", _kinds(doc, "$")).withColumn("_metrics", _kinds(doc, "$.metrics"))
-    have = F.map_keys("_metrics")
+    held = F.map_keys(F.try_variant_get(doc, "$.metrics", "map<string,variant>"))  # names only: no rule is about a metric's type
+    typed = parsed.withColumn("_top", _kinds(doc, "$")).withColumn("_metrics", held)
+    have = F.col("_metrics")
     found = [_type_rules(F.col("_top"), AGGREGATED_TYPES)]
     found.append(F.transform(F.array_except(F.array(*map(F.lit, names)), have), lambda m: F.concat(F.lit("missing:metrics."), m)))
     found.append(F.transform(F.array_except(have, F.array(*map(F.lit, names))), lambda m: F.concat(F.lit("unknown:metrics."), m)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from ragscale.operators import aggregate, collections, incremental, quality, sampling
-from ragscale.operators.skew import spread
+from ragscale.operators.skew import spread, spread_rows
 from ragscale.plans.catalog import query, r6, rounded, table
 from ragscale.plans.curves import ROLES, role_table
 from ragscale.plans.evalview import EV_SQL, ev, eval_records, long_rows, poisson_cte
@@ -238,7 +238,7 @@ def _(spark, sf_dir):
         F.concat(F.lit('"n_queries":'), F.when(breaks("type:n_queries"), F.lit('"several"')).when(breaks("value:n_queries"), F.lit("0")).otherwise(F.lit("9"))),
         F.concat(F.lit('"metrics":{'), F.concat_ws(",", *metrics), F.lit("}")), F.lit('"capability_degraded":false'),
     ]
-    hashed = spread(table(spark, sf_dir, "events"), "event_id").selectExpr(_HASHED)
+    hashed = spread_rows(table(spark, sf_dir, "events"), "event_id").selectExpr(_HASHED)
     lines = hashed.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("line"))
     return quality.violation_counts(quality.aggregated_record_violations(lines))
 

@@ -282,3 +282,12 @@ def test_collections_are_built_once(spark, tmp_path):
     stored.build_collections(more, path, keys, force=True)
     assert read() == {("x", "1", "changed"), ("007", "2", "b"), ("y", "3", "c")}
     assert stored.read_collection(first.schema, spark, path, dataset="d", subset="y").count() == 1
+
+
+def test_events_are_spread_by_their_number(spark):
+    """Tasks hold a bounded number of rows; they held a core's share of all before."""
+    from ragscale.operators.skew import spread_rows
+    rows = spark.range(1000).toDF("id").coalesce(1)
+    assert spread_rows(rows, "id", most=20).rdd.getNumPartitions() == 50
+    assert spread_rows(rows.repartition(60), "id", most=20).rdd.getNumPartitions() == 60
+    assert sorted(r.id for r in spread_rows(rows, "id", most=20).collect()) == list(range(1000))
