@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ragscale.functions.text import tokens
-from ragscale.operators.skew import join_same
+from ragscale.operators.skew import join_same, small
+from ragscale.session import materialize
 
 BAND = 16
 # Tokens that turn a statement round ("don't" falls into "don" and "t").
@@ -81,7 +82,8 @@ def aligned_claims(
     a claim without tokens is entailed by nothing. Equal pairs come out alike.
     """
     left, right = claims.select(claim_id, F.col(claim).alias("_a")), texts.select(text_id, F.col(text).alias("_b"))
-    joined = join_same(join_same(pairs.select(claim_id, text_id), left, [claim_id]), right, [text_id])
+    asked = materialize(join_same(pairs.select(claim_id, text_id), left, [claim_id]), "asked")
+    joined = join_same(small(asked), right, [text_id])  # few pairs: texts stay where they are
     cut = [F.coalesce(tokens(c), F.array().cast("array<string>")).alias(c) for c in ("_a", "_b")]  # only what is in a pair is split
     both = joined.select(claim_id, text_id, *cut)
     numbers = ["score", "n_matched", "n_claim", "first", "end"]

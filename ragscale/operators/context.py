@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ragscale.operators.skew import small
+from ragscale.session import materialize
+
 
 def gather_context(
     found: DataFrame, chunks: DataFrame, query_id: str = "query_id", chunk_id: str = "chunk_id", text: str = "text",
@@ -12,7 +15,7 @@ def gather_context(
 
     A query has as many chunks as the search returned, so a row stays small.
     """
-    texts = found.join(chunks.select(chunk_id, text), chunk_id)
+    texts = small(materialize(found, "found")).join(chunks.select(chunk_id, text), chunk_id)  # few ids: texts stay where they are
     ordered = F.sort_array(F.collect_list(F.struct("rank", text)))
     return texts.groupBy(query_id).agg(ordered.alias("_c")).select(
         query_id, F.transform("_c", lambda c: c[text]).alias("context_chunks"))

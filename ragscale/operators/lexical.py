@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ragscale.functions.text import exploded, tokens
-from ragscale.operators.skew import hot_keys, is_small, join_same, replicated, with_salt
+from ragscale.operators.skew import hot_keys, is_small, join_same, replicated, small, with_salt
 from ragscale.operators.word_index import B, DIGITS, K1, open_words, postings_of
 from ragscale.schemas import TOP_K
 from ragscale.session import materialize
@@ -32,15 +32,15 @@ def _postings(df: DataFrame, keys: list[str], vocabulary: DataFrame, by: list[st
 def _token_hits(terms: DataFrame, postings: DataFrame, by_text: str, by: list[str]) -> DataFrame:
     """Inverted-index join on the token (inside a collection); a frequent token is split over several tasks."""
     keys = [*by, "token"]
-    used = join_same(postings, terms.select(*keys).distinct(), keys, "left_semi")
+    used = join_same(postings, small(terms.select(*keys).distinct()), keys, "left_semi")
     hot = hot_keys(used, keys, POSTING_BLOCK)
-    big, small = with_salt(used, keys, hot, by_text), replicated(terms, keys, hot)
-    return join_same(small, big, [*keys, "_salt"]).drop("_salt")
+    big, few = with_salt(used, keys, hot, by_text), replicated(terms, keys, hot)
+    return join_same(few, big, [*keys, "_salt"]).drop("_salt")
 
 
 def _pair_hits(pairs: DataFrame, terms: DataFrame, postings: DataFrame, left: str, right: str) -> DataFrame:
     """The given terms of every given pair that its text holds. Postings of texts in no pair drop out first."""
-    used = postings.join(pairs.select(right).distinct(), right, "left_semi")
+    used = postings.join(small(pairs.select(right).distinct()), right, "left_semi")
     return pairs.join(terms, left).join(used, [right, "token"])
 
 
@@ -143,7 +143,8 @@ def entailed_claims(
     need = F.ceil(F.col("n_claim_tokens") * coverage / F.lit(100)).cast("bigint")
     ranked = vocabulary.join(df, "token", "left").withColumn("_r", F.row_number().over(rare)).join(sizes, claim_id)
     drivers = ranked.where(F.col("df").isNotNull() & (F.col("_r") <= F.col("n_claim_tokens") - need + 1))
-    pairs = materialize(_token_hits(drivers.select(claim_id, "token"), postings, text_id, []).select(claim_id, text_id).distinct(), "pairs")
+    drivers = materialize(drivers.select(claim_id, "token"), "drivers")  # counted and read
+    pairs = materialize(_token_hits(drivers, postings, text_id, []).select(claim_id, text_id).distinct(), "pairs")
     shared = _pair_hits(pairs, vocabulary, postings, claim_id, text_id).groupBy(claim_id, text_id).agg(
         F.count(F.lit(1)).alias("n_shared"))
     return shared.join(sizes, claim_id).where(F.col("n_shared") * 100 >= F.col("n_claim_tokens") * coverage)

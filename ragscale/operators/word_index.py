@@ -156,8 +156,12 @@ def search_words(
     terms = materialize(terms, "terms")
     keys = [*by, "token"]
     light = held.select(*keys, "range", "max_tf", "min_len")
-    hot = hot_keys(light, keys, POSTING_BLOCK)
-    met = join_same(replicated(terms, keys, hot), with_salt(light, keys, hot, "range"), [*keys, "_salt"])
+    if is_small(terms):
+        # All tokens of a range meet in one task, so that a sum of bounds is whole there and only sums are many.
+        met = join_same(light.repartition("range"), F.broadcast(terms), keys)
+    else:
+        hot = hot_keys(light, keys, POSTING_BLOCK)
+        met = join_same(replicated(terms, keys, hot), with_salt(light, keys, hot, "range"), [*keys, "_salt"])
     bound = F.sum(F.col("idf") * _weight(F.col("max_tf"), F.col("min_len"), F.col("mean")))
     bounds = materialize(met.groupBy(query_id, "range").agg(bound.alias("_bound")), "bounds")
 
