@@ -190,14 +190,19 @@ def _scored(pairs: DataFrame, terms: DataFrame, blocks: DataFrame, query_id: str
     shares = max(1, -(-n_terms // TERMS))
     share = F.pmod(F.xxhash64(query_id), F.lit(shares)).cast("int")
     segment = F.floor(F.col("range") / SEGMENT).cast("bigint")
-    asked = pairs.select(query_id, "range").join(terms.select(query_id, "token", "idf", "mean"), query_id)
-    left = asked.select(segment.alias("_segment"), share.alias("_share"), query_id, "range", "token", "idf", "mean")
+    # A query's terms go once to a segment, with its ranges there; tasks put them together.
+    spans = pairs.groupBy(query_id, segment.alias("_segment")).agg(F.collect_list("range").alias("_ranges"))  # ``SEGMENT`` at most
+    asked = spans.join(terms.select(query_id, "token", "idf", "mean"), query_id)
+    left = asked.select("_segment", share.alias("_share"), query_id, "_ranges", "token", "idf", "mean")
     used = blocks.join(pairs.select("range").distinct(), "range", "left_semi")
     right = used.select(segment.alias("_at"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_part"), "range", "token", "chunks", "tfs", "lens")
     id_type = blocks.schema["chunks"].dataType.elementType
     schema = T.StructType([terms.schema[query_id], T.StructField(chunk_id, id_type), T.StructField("score", T.DoubleType())])
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        ranges = a.column("_ranges").combine_chunks()
+        line = pa.array(np.repeat(np.arange(a.num_rows), np.diff(ranges.offsets.to_numpy())))
+        a = a.select([query_id, "token", "idf", "mean"]).take(line).append_column("range", ranges.flatten())
         q_ids = a.column(query_id).combine_chunks()
         lists = b.column("chunks").combine_chunks() if b.num_rows else None
         if not a.num_rows or lists is None:
