@@ -15,8 +15,13 @@ from ragscale.session import materialize
 
 LEAST_SHARE = 0.5  # of a document's words in its main language
 WEIGHTS = [1, 2, 3]
+# Stages follow each other in the same executors, whose JVM keeps the heap that near-dedup needed; so less is held at once than
+# where an operator has an executor to itself.
 SLICE = 3 << 18  # bytes of text that packing tokenizes at once
-BATCH_ROWS = 1500  # documents that travel to a Python worker at once; stages follow each other in the same executors
+MEASURED = 1 << 20  # and that the quality rules measure
+COUNTED = 2 << 20  # and whose n-grams are counted; half of it is identified at once
+CELLS = 8 << 20  # transitions of a vocabulary that a worker keeps
+BATCH_ROWS = 500  # documents that travel to a Python worker at once
 
 
 def bounded(spark: SparkSession) -> None:
@@ -30,7 +35,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Drops documents without letters and those whose main language has under half of the words; a null ``lang`` is filled in."""
     bounded(spark)
     plain, (text, lang) = neutral(docs, "text", "lang")
-    told = language.identify(plain, language.learn(docs), plain.columns, text)
+    told = language.identify(plain, language.learn(docs, slice_bytes=COUNTED), plain.columns, text, slice_bytes=COUNTED)
     good = told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
     return restored(good, docs, lang=F.coalesce(lang, "lang_pred"))
 
@@ -39,7 +44,8 @@ def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drops documents that fail the base rules or lie outside the bands learned for their script and language."""
     bounded(spark)
     plain, (text, lang) = neutral(docs, "text", "lang")
-    told = learned_rules(plain, vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json"), plain.columns, text, lang)
+    vocabularies = vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json")
+    told = learned_rules(plain, *vocabularies, plain.columns, text, lang, MEASURED, CELLS)
     return restored(told.where("kept"), docs)
 
 
@@ -57,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, with their ids."""
     bounded(spark)
-    return pack(docs, vocabulary("word_bpe_49k.json"), with_ids=True, slice_bytes=SLICE)
+    return pack(docs, vocabulary("word_bpe_49k.json"), with_ids=True, slice_bytes=SLICE, max_cells=CELLS)
 
 
 STAGES = [

@@ -22,13 +22,19 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
         if not batch.num_rows:
             continue
         _, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)))
-        at = 0
-        while at < batch.num_rows:
-            to = int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
+        for at, to in row_pieces(offsets, max_bytes):
             yield batch.slice(at, to - at)
             give_back()
-            at = to
+
+
+def row_pieces(offsets: np.ndarray, max_bytes: int) -> Iterator[tuple[int, int]]:
+    """First row and end of runs of rows that hold at most ``max_bytes`` each, or one row."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1
+        to = min(max(to, at + 1), n)
+        yield at, to
+        at = to
 
 
 def give_back() -> None:
@@ -44,14 +50,14 @@ def give_back() -> None:
 _HELD: dict = {}
 
 
-def held(kind, path: str):
-    """This worker's compiled vocabulary ``kind(path)``, kept for its next tasks. Asking for another one drops it: a worker
+def held(kind, *given):
+    """This worker's compiled vocabulary ``kind(*given)``, kept for its next tasks. Asking for another one drops it: a worker
     serves one stage after the other, and never needs two at once."""
-    if (kind, path) not in _HELD:
+    if (kind, *given) not in _HELD:
         _HELD.clear()
         give_back()
-        _HELD[kind, path] = kind(path)
-    return _HELD[kind, path]
+        _HELD[kind, *given] = kind(*given)
+    return _HELD[kind, *given]
 
 
 def let_go() -> None:

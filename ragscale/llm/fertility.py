@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ragscale.llm.arrays import SLICE_BYTES, codes, held, ragged_ranges, row_sums, slice_strings, text_buffers, text_slices, word_bounds, word_strings
+from ragscale.llm.arrays import SLICE_BYTES, codes, held, ragged_ranges, row_pieces, row_sums, slice_strings, text_buffers, text_slices, word_bounds, word_strings
 from ragscale.llm.frames import carry
-from ragscale.llm.word_tokens import WordTokenizer
+from ragscale.llm.word_tokens import MAX_CELLS, WordTokenizer
 from ragscale.operators.skew import with_dimension
 from ragscale.session import materialize
 
@@ -41,6 +41,7 @@ BANDS = {
 SPREADS = 4.0  # a learned band reaches so many robust standard deviations from the median
 PRIOR = 200  # documents that BANDS count for beside a group's own
 FLOOR = 0.02  # least standard deviation
+PIECE_BYTES = 1 << 18  # text of a slice that is counted at once: the counts need some 70 bytes for each byte of text
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -49,8 +50,8 @@ _SYMBOL[list(SYMBOLS)] = True
 class Pair:
     """Two vocabularies; the second gives the number of tokens of each word."""
 
-    def __init__(self, paths: tuple[str, str]):
-        self.first, self.second = Vocabulary(paths[0]), WordTokenizer(paths[1])
+    def __init__(self, first: str, second: str, max_cells: int = MAX_CELLS):
+        self.first, self.second = Vocabulary(first), WordTokenizer(second, max_cells)
 
 
 class Vocabulary:
@@ -155,40 +156,51 @@ def measure(column: pa.Array, vocabulary: Vocabulary, bands: dict = BANDS, secon
     """The columns of MEASURES for a slice of texts, and the characters per token of a ``second`` vocabulary."""
     data, offsets = text_buffers(column)
     starts, ends, first = word_bounds(data, offsets)
-    n_words = np.diff(first)
-    lead = (data & 0xC0) != 0x80
-    chars = np.concatenate([[0], np.cumsum(lead)])
-    word_chars = row_sums(chars[ends] - chars[starts], first)
-    symbols = row_sums(_SYMBOL[data], offsets)
     number, distinct = codes(word_strings(data, starts, ends))
-    repeat = repeated_words(number, first)
-    lines = repeated_lines(data, offsets, starts)
-    failed = (n_words < MIN_WORDS) | (100 * repeat > MOST_REPEATED * n_words)
-
     flat, at = vocabulary.encode(distinct)
-    sizes = np.diff(at)[number]
-    tokens, token_at = ragged_ranges(flat, at[number], sizes)
-    at = token_at[first]
-    n_tokens = np.diff(at)
-    bytes_used = row_sums(vocabulary.is_byte[tokens], at)
+    more = None if second is None else np.diff(second.ids(distinct)[1])
+    pieces = []
+    for a, b in row_pieces(offsets, PIECE_BYTES) if len(column) else [(0, 0)]:
+        w, z = first[a], first[b]
+        row_first, begin, words = first[a : b + 1] - w, starts[w:z] - offsets[a], number[w:z]
+        plain = plain_measures(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], begin, ends[w:z] - offsets[a], words, row_first)
+        tokens = token_measures(flat, at, words, row_first, vocabulary)
+        pieces.append([*plain, *tokens] + ([] if more is None else [row_sums(more[words], row_first)]))
+    n_words, word_chars, symbols, lines, repeat, script, n_tokens, bytes_used, even, *more = (np.concatenate(c) for c in zip(*pieces))
+    failed = (n_words < MIN_WORDS) | (100 * repeat > MOST_REPEATED * n_words)
     some = np.maximum(n_tokens, 1)
-    per, share, even = word_chars / some, bytes_used / some, evenness(tokens, at, vocabulary.size)
-    script = scripts(data, offsets)
+    per, share = word_chars / some, bytes_used / some
     low, high, most, least = (np.array([bands.get(n, bands["other"])[i] for n in NAMES])[script] for i in range(4))
     kept = ~failed & (per >= low) & (per <= high) & (share <= most) & (even >= least)
     columns = [n_words, word_chars, symbols, lines, repeat, failed, kept, np.array(NAMES)[script], n_tokens, per, share, even]
-    if second is not None:
-        sizes = np.diff(second.ids(distinct)[1])[number]
-        columns.append(word_chars / np.maximum(row_sums(sizes, first), 1))
+    if more:
+        columns.append(word_chars / np.maximum(more[0], 1))
     return [pa.array(c) for c in columns]
 
 
-def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", bands: dict = BANDS, slice_bytes: int = SLICE_BYTES, second: str | None = None) -> DataFrame:
+def plain_measures(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Of each row: words, their characters, signs, repeated lines, repeated words, script."""
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    word_chars = row_sums(chars[ends] - chars[starts], first)
+    del chars
+    symbols = row_sums(_SYMBOL[data], offsets)
+    return [np.diff(first), word_chars, symbols, repeated_lines(data, offsets, starts), repeated_words(number, first), scripts(data, offsets)]
+
+
+def token_measures(flat: np.ndarray, at: np.ndarray, number: np.ndarray, first: np.ndarray, vocabulary: Vocabulary) -> list[np.ndarray]:
+    """Of each row: tokens, byte tokens, evenness. ``flat`` and ``at``: the tokens of each word number."""
+    tokens, token_at = ragged_ranges(flat, at[number], np.diff(at)[number])
+    row_at = token_at[first]
+    return [np.diff(row_at), row_sums(vocabulary.is_byte[tokens], row_at), evenness(tokens, row_at, vocabulary.size)]
+
+
+def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", bands: dict = BANDS, slice_bytes: int = SLICE_BYTES, second: str | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
     """Columns ``keep`` and MEASURES of every row, repeated rows included; ``second_per_token`` if a ``second`` vocabulary is given.
 
     ``kept`` is false for texts under 50 words, texts more than half of whose words lie in repeated windows of three, and
     texts outside their script's bands. Null text counts as empty: no words, failed. Words are what stands between ASCII white
-    space; each is encoded by itself. Only the text is looked at. Memory is bounded by a slice of texts or one text.
+    space; each is encoded by itself. Only the text is looked at. Memory is bounded by a slice of texts or one text
+    and the transitions of ``second`` (``max_cells``).
     """
     own = keep.index(text) if text in keep else len(keep)  # a text that is kept anyway is sent once
     rows, fields = carry(docs, keep, *([] if text in keep else [F.col(text).cast("string")]))
@@ -199,7 +211,7 @@ def fertility_rules(docs: DataFrame, vocabulary: str, keep: list[str], text: str
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, name, slice_bytes):
             if second:
-                both = held(Pair, (vocabulary, second))
+                both = held(Pair, vocabulary, second, max_cells)
                 measured = measure(part.column(own), both.first, bands, both.second)
             else:
                 measured = measure(part.column(own), held(Vocabulary, vocabulary), bands)
@@ -239,11 +251,11 @@ def learned_bands(measured: DataFrame) -> DataFrame:
     )
 
 
-def learned_rules(docs: DataFrame, vocabulary: str, second: str, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+def learned_rules(docs: DataFrame, vocabulary: str, second: str, keep: list[str], text: str = "text", lang: str = "lang", slice_bytes: int = SLICE_BYTES, max_cells: int = MAX_CELLS) -> DataFrame:
     """``fertility_rules`` with the bands of ``learned_bands`` for each script and value of ``lang`` (null is one), and the fixed ones
     for texts without letters. ``keep`` must not have names of MEASURES. Texts are encoded once."""
     tagged = docs.withColumn("_lang", F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")))
-    measured = materialize(fertility_rules(tagged, vocabulary, [*keep, "_lang"], text, second=second), "measured")
+    measured = materialize(fertility_rules(tagged, vocabulary, [*keep, "_lang"], text, slice_bytes=slice_bytes, second=second, max_cells=max_cells), "measured")
     banded = with_dimension(measured, materialize(learned_bands(measured), "bands"), ["script", "_lang"])
     inside = (
         F.col("chars_per_token").between(F.col("low"), F.col("high")) & (F.col("byte_share") <= F.col("most"))

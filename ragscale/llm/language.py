@@ -64,14 +64,14 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return ((code * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int32), word, np.searchsorted(first, offsets)
 
 
-def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+def gram_counts(docs: DataFrame, text: str, lang: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``lang, bucket, n`` over all rows with a language; counted inside each task first."""
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), letters_only(text).alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         held: dict[str, np.ndarray] = {}
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", slice_bytes):
             data, offsets = text_buffers(part.column(1))
             bucket, word, first_word = gram_buckets(data, offsets)
             names, codes = np.unique(np.array(part.column(0).to_pylist(), object), return_inverse=True)
@@ -95,7 +95,7 @@ class LanguageModel:
     logs: np.ndarray  # buckets x languages, log frequencies
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_LANGUAGES) -> LanguageModel:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_LANGUAGES, slice_bytes: int = SLICE_BYTES) -> LanguageModel:
     """Models of the ``most`` languages with the most documents in ``docs`` (ties by name); rarer ones teach nothing. Their size
     is languages times buckets, whatever the number of documents."""
     held: dict[str, np.ndarray] = {}
@@ -103,7 +103,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = M
     known = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(most + 1).collect()]  # most + 1 rows at most
     if len(known) > most:
         docs = docs.where(F.col(lang).cast("string").isin(known[:most]))
-    for r in gram_counts(docs, text, lang).collect():  # languages x buckets at most
+    for r in gram_counts(docs, text, lang, slice_bytes).collect():  # languages x buckets at most
         held.setdefault(r["lang"], np.zeros(BUCKETS))[r["bucket"]] = r["n"]
     names = sorted(held)
     logs = np.zeros((BUCKETS, len(names)), np.float32)
@@ -204,7 +204,7 @@ def _rows_of(values: np.ndarray, first_word: np.ndarray, rows: np.ndarray) -> tu
     return ragged_ranges(values, first_word[rows], n)
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", penalty: float = PENALTY) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", penalty: float = PENALTY, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Columns ``keep``, ``lang_pred``, ``score`` (its share of the words) and ``languages`` (name to share) of every row.
 
     A text that is null or has no letter, or any text if no language was learned, is ``und`` with score 0 and no languages.
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         model = LanguageModel(*packed.value)
-        room = max(1 << 18, 2 * SLICE_BYTES // max(4, len(model.names)))
+        room = max(1 << 18, 2 * slice_bytes // max(4, len(model.names)))
         for part in text_slices(batches, "x0", room):
             data, offsets = text_buffers(part.column(len(keep)))
             shares = infer(model, data, offsets, penalty)

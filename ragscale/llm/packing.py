@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ragscale.llm.arrays import SLICE_BYTES, held, let_go, ragged_ranges, text_buffers, text_slices
 from ragscale.llm.order import numbered
-from ragscale.llm.word_tokens import WordTokenizer
+from ragscale.llm.word_tokens import MAX_CELLS, WordTokenizer
 from ragscale.operators.skew import with_dimension
 from ragscale.session import materialize
 
@@ -30,7 +30,7 @@ RUN = 4096  # cells of a source that are made at once
 ID = np.dtype("<u2")  # stored ids; the vocabulary must fit
 
 
-def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id: str, text: str, source: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id: str, text: str, source: str, slice_bytes: int = SLICE_BYTES, max_cells: int = MAX_CELLS) -> DataFrame:
     """Written ``id, block, source, start, n, ids``: each row's ids as bytes (16 bits each), and its place among its source's
     ids in its block.
 
@@ -43,7 +43,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id: str, text: str,
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, used = TaskContext.get().partitionId(), {}
         for part in text_slices(batches, "text", slice_bytes):
-            flat, at = held(WordTokenizer, vocabulary).ids(part.column(2))
+            flat, at = held(WordTokenizer, vocabulary, max_cells).ids(part.column(2))
             if len(flat) and flat.max() > np.iinfo(ID).max:
                 raise ValueError("the vocabulary has ids of more than 16 bits")
             n = np.diff(at) + 1
@@ -217,6 +217,7 @@ def ragged_cells(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 def pack(
     docs: DataFrame, vocabulary: str, end_id: int = 1, id: str = "doc_id", text: str = "text", source: str = "source", weights: dict | None = None,
     length: int = LENGTH, cell: int = CELL, most_queues: int = QUEUES, with_ids: bool = False, slice_bytes: int = SLICE_BYTES,
+    max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """Pieces ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked for, their ``ids``.
 
@@ -224,10 +225,10 @@ def pack(
     dry leaves its room to the others. ``length`` is a power of two and a multiple of ``cell``. Each id of a document (its text's
     ids, then ``end_id``) lies in one piece, each sequence is full from 0 on; all but the last few have ``length`` ids, those have
     powers of two. Null text is empty and null sources are a source; ids may repeat or be null. Memory is bounded by a slice of texts
-    (``slice_bytes``, or one longer text).
+    (``slice_bytes``, or one longer text) and the vocabulary's transitions (``max_cells``).
     Equal due times go by queue, queues by name. No rows give no pieces. Other columns are not read.
     """
-    tokens = tokenized(docs, vocabulary, end_id, id, text, source, slice_bytes)
+    tokens = tokenized(docs, vocabulary, end_id, id, text, source, slice_bytes, max_cells)
     places, sources, queues = queue_places(tokens, weights, most_queues)
     if queues is None:
         rows, layout = many_queues(tokens, places, sources, length, cell)

@@ -27,7 +27,7 @@ from ragscale.session import discard, materialize
 
 SHINGLE, LEAST = 5, 0.8
 DISTANCE = 2  # bits within which SimHash proposes pairs
-SLICE = 4 << 20
+SLICE = 1 << 20  # bytes of text whose shingles are made at once
 FREQUENT = 10_000  # elements that are put last at most; which ones changes the work, not the result
 PIVOTS = 4  # rounds in which the members of a crowded value are compared with one of them
 BYTES = 6  # of an element's hash
