@@ -11,6 +11,7 @@ from ragscale.llm.mixing import mix
 from ragscale.llm.packing import pack
 from ragscale.llm.queries import vocabulary
 from ragscale.llm.similar import one_per_similar
+from ragscale.operators.skew import with_dimension
 from ragscale.session import materialize
 
 LEAST_SHARE = 0.5  # of a document's words in its main language
@@ -22,6 +23,7 @@ MEASURED = 1 << 20  # and that the quality rules measure
 COUNTED = 2 << 20  # and whose n-grams are counted; half of it is identified at once
 CELLS = 8 << 20  # transitions of a vocabulary that a worker keeps
 BATCH_ROWS = 500  # documents that travel to a Python worker at once
+REJECTED_ROWS = 1_000_000  # digests of rejected texts that are broadcast at most
 
 
 def bounded(spark: SparkSession) -> None:
@@ -45,8 +47,12 @@ def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     bounded(spark)
     plain, (text, lang) = neutral(docs, "text", "lang")
     vocabularies = vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json")
-    told = learned_rules(plain, *vocabularies, plain.columns, text, lang, MEASURED, CELLS)
-    return restored(told.where("kept"), docs)
+    # The verdict follows from text and language. It is written with a digest of the text, so that no text is written again.
+    marks = {f"mark{i}": F.xxhash64(F.lit(i), F.col(text).cast("string")) for i in range(2)}
+    rows, keys = plain.withColumns(marks), [*marks, lang]
+    told = learned_rules(rows.select(*keys, text), *vocabularies, keys, text, lang, MEASURED, CELLS)
+    rejected = materialize(told.where(~F.coalesce("kept", F.lit(False))).select(*keys).distinct(), "rejected")
+    return restored(with_dimension(rows, rejected, keys, "left_anti", REJECTED_ROWS), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,10 +62,11 @@ def held(kind, *given):
 
 
 def let_go() -> None:
-    """Drop the vocabulary an earlier stage left in this worker; for tasks that need none."""
-    if _HELD:
-        _HELD.clear()
-        give_back()
+    """Drop the vocabulary an earlier stage left in this worker, and what its objects that refer to each other keep; for
+    tasks that need none."""
+    _HELD.clear()
+    gc.collect()
+    give_back()
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,11 +6,14 @@ they miss, prefixes of the sets find: two sets whose similarity reaches ``least`
 come last in the order. All sets of an element are first compared with one of them; then only pairs that no chain of links
 joins yet are compared, so no such pair is missed, and groups of copies cost as many comparisons as they have members.
 A pair left over is only compared if it shares so many elements of its prefixes that the rests can bring it to ``least``.
+Sets move in passes, so that the disk holds a part of the pairs' sets at a time, and all pairs have had their pass.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,15 @@ from ragscale.session import discard, materialize
 
 SHINGLE, LEAST = 5, 0.8
 DISTANCE = 2  # bits within which SimHash proposes pairs
-SLICE = 1 << 20  # bytes of text whose shingles are made at once
+SLICE = 1 << 18  # bytes of text whose shingles are made at once
 FREQUENT = 10_000  # elements that are put last at most; which ones changes the work, not the result
 PIVOTS = 4  # rounds in which the members of a crowded value are compared with one of them
+FEW = 0.001  # links for each set, below which another such round costs more than it saves
+BLOCK = 2 << 20  # bytes of a row group of written sets, which are read many times
 BYTES = 6  # of an element's hash
 REPEATED = 1.1  # sets that may be there for each different one
 NARROW_ROWS = 1_000_000  # rows of a few numbers each that are broadcast at most
+MOVED = 0.25  # pairs whose sets move in one pass, for each set there is
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -111,7 +117,7 @@ def written_sets(docs: DataFrame, keep: list[str], text: str, shingle: int) -> D
             done += len(n)
 
     fields = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
-    return materialize(rows.mapInArrow(task, f"{fields}row bigint, fp bigint, sim bigint, n int, elements binary"), "sets")
+    return materialize(rows.mapInArrow(task, f"{fields}row bigint, fp bigint, sim bigint, n int, elements binary"), "sets", BLOCK)
 
 
 def prefixes(sets: DataFrame, least: float, last: np.ndarray) -> DataFrame:
@@ -122,8 +128,8 @@ def prefixes(sets: DataFrame, least: float, last: np.ndarray) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, place = held.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
                 n = part.column(1).to_numpy().astype(np.int64)
                 values, _ = unpacked(part.column(2))
                 row = np.repeat(np.arange(len(n)), n)
@@ -143,11 +149,11 @@ def prefixes(sets: DataFrame, least: float, last: np.ndarray) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The distinct pairs ``a, b`` of set digests whose sets have a similarity of ``least`` or more. Written.
 
-    The set of ``b`` moves once for each pair, that of ``a`` once for all its pairs.
+    The set of ``b`` moves once for each pair, that of ``a`` once for all its pairs. A pass takes the pairs of some ``a``, some
+    MOVED times as many as there are sets; its shuffle files go before the next one.
     """
     pairs = materialize(pairs.distinct(), "pairs")
-    own = with_dimension(sets.select(F.col("fp").alias("b"), F.col("elements").alias("y")), pairs, ["b"], "inner", NARROW_ROWS)
-    pivots = sets.join(pairs.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("a"), F.col("elements").alias("x"))
+    passes = max(1, math.ceil(pairs.count() / max(1.0, MOVED * sets.count())))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,9 +167,14 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(close))
             give_back()
 
-    links = materialize(own.join(pivots, "a").select("a", "b", "x", "y").mapInArrow(task, "a bigint, b bigint"), "verified")
+    links = []
+    for number in range(passes):
+        some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(passes)) == number) if passes > 1 else pairs
+        own = with_dimension(sets.select(F.col("fp").alias("b"), F.col("elements").alias("y")), some, ["b"], "inner", NARROW_ROWS)
+        pivots = with_dimension(sets.select(F.col("fp").alias("a"), F.col("elements").alias("x")), some.select("a").distinct(), ["a"], "left_semi", NARROW_ROWS)
+        links.append(materialize(own.join(pivots, "a").select("a", "b", "x", "y").mapInArrow(task, "a bigint, b bigint"), "verified"))
     discard(pairs)
-    return links
+    return reduce(DataFrame.unionByName, links)
 
 
 def simhash_pairs(sets: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -196,6 +207,7 @@ def similar_links(sets: DataFrame, least: float, paired: int = PAIRED, distance:
         return roots, materialize(placed.join(several, "element", "left_semi"), "open")
 
     roots, left = open_members()
+    worth = sets.count() * FEW
     for number in range(PIVOTS):
         # Each member against one of them: all members at first, then those of crowded values while that finds links.
         some = left if number == 0 else left.where(F.col("size") > paired)
@@ -204,9 +216,12 @@ def similar_links(sets: DataFrame, least: float, paired: int = PAIRED, distance:
         chosen = some.groupBy("element").agg(F.min(F.struct(F.xxhash64("fp", F.lit(number)).alias("h"), "fp", "n", "root")).alias("p"))
         met = some.join(chosen, "element").where((F.col("root") != F.col("p.root")) & fits(F.col("n"), F.col("p.n")))
         more = verified(met.select(F.col("p.fp").alias("a"), F.col("fp").alias("b")), sets, least)
-        if more.limit(1).count() == 0:
+        new = more.count()
+        if not new:
             break
         links = links.unionByName(more)
+        if number and new < worth:
+            break  # what is left is compared below
         discard(left)
         roots, left = open_members()
     if left.limit(1).count() == 0:
@@ -256,20 +271,24 @@ def similar_groups(docs: DataFrame, keep: list[str], text: str = "text", shingle
     every = written_sets(docs, keep, text, shingle)
     names = [f"k{i}" for i in range(len(keep))]
     sets = every.where("elements is not null").select("row", "fp", "sim", "n", "elements")
-    some, different = sets.agg(F.count(F.lit(1)), F.count_distinct("fp")).first()
-    if some > REPEATED * different:  # copies that many tasks have met; a few of them do no harm
+    firsts = materialize(sets.groupBy("fp").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("c")), "set-firsts")
+    some, different = firsts.agg(F.sum("c"), F.count(F.lit(1))).first()
+    if different and some > REPEATED * different:  # copies that many tasks have met
         rows = materialize(every.select(*names, "fp"), "rows")
-        firsts = materialize(sets.groupBy("fp").agg(F.min("row").alias("row")), "set-firsts")
-        sets = materialize(with_dimension(sets, firsts, ["fp", "row"], "left_semi", NARROW_ROWS), "distinct-sets")
+        sets = materialize(with_dimension(sets, firsts.drop("c"), ["fp", "row"], "left_semi", NARROW_ROWS), "distinct-sets")
         discard(every)
-        every, written = rows, sets
+        every, written = rows, [rows, sets]
     else:
-        written = None
+        written = [every]
+        if different and 0 < some - different <= NARROW_ROWS:  # a few of them are passed over where they lie
+            again = with_dimension(sets.select("fp", "row"), firsts.where("c > 1").select("fp", F.col("row").alias("first")), ["fp"], "inner")
+            copies = materialize(again.where("row != first").select("row"), "copies")
+            sets = sets.join(F.broadcast(copies), "row", "left_anti")
     roots = similar_links(sets.drop("row"), least, paired, distance).withColumnRenamed("node", "fp")
-    if written is not None:
-        discard(written)
     named = every.select(*names, "fp").join(roots, "fp", "left").withColumn("group_fp", F.coalesce("root", "fp"))
-    return with_names(named, keep, "group_fp")
+    groups = materialize(named.select(*names, "group_fp"), "groups")
+    discard(*written)
+    return with_names(groups, keep, "group_fp")
 
 
 def one_per_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
