@@ -5,7 +5,9 @@ they miss, prefixes of the sets find: two sets whose similarity reaches ``least`
 ``n - ceil(least * n) + 1`` of either, in any order of elements that is common to all sets. Elements known to be frequent
 come last in the order. All sets of an element are first compared with one of them; then only pairs that no chain of links
 joins yet are compared, so no such pair is missed, and groups of copies cost as many comparisons as they have members.
-A pair left over is only compared if it shares so many elements of its prefixes that the rests can bring it to ``least``.
+A pair left over is only compared if it shares so many elements of its prefixes that the rests can bring it to ``least``. Of
+crowded elements whose members would meet very often, those take part that share enough with the others at all: what only one of
+these sets has is in no two of them.
 Sets move in passes, so that the disk holds a part of the pairs' sets at a time, and all pairs have had their pass.
 """
 
@@ -146,6 +148,24 @@ def prefixes(sets: DataFrame, least: float, last: np.ndarray) -> DataFrame:
     return sets.select("fp", "n", "elements").mapInArrow(task, "element bigint, fp bigint, n int")
 
 
+def shared_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``fp, held``: how many elements of each set of ``members`` (column ``fp``, distinct) another one of them has too. Written."""
+    own = with_dimension(sets.select("fp", "elements"), members, ["fp"], "left_semi", NARROW_ROWS)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices([batch], "elements", SLICE):
+                values, at = unpacked(part.column(1))
+                yield pa.record_batch([pa.array(values), part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(at))))], names=["element", "fp"])
+
+    each = materialize(own.mapInArrow(task, "element bigint, fp bigint"), "members")
+    several = each.groupBy("element").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("element")
+    told = members.join(each.join(several, "element").groupBy("fp").agg(F.count(F.lit(1)).alias("held")), "fp", "left")
+    told = materialize(told.select("fp", F.coalesce("held", F.lit(0)).alias("held")), "held")
+    discard(each)
+    return told
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The distinct pairs ``a, b`` of set digests whose sets have a similarity of ``least`` or more. Written.
 
@@ -235,11 +255,19 @@ def similar_links(sets: DataFrame, least: float, paired: int = PAIRED, distance:
     # Of a crowded value the members outside its largest component meet all others, so that no large component meets itself.
     large = left.where(F.col("size") > paired)
     shares = large.groupBy("element", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = shares.groupBy("element").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    minor = large.join(main, "element").where(F.col("root") != F.col("main"))
-    across = large.select("element", *[F.col(c).alias(f"o_{c}") for c in ("fp", "n", "root")])
+    main = shares.groupBy("element").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("c"))
+    main = materialize(main.where("c > most").select("element", "main", ((F.col("c") - F.col("most")) * F.col("c")).alias("rows")), "mains")
+    large = crowded = materialize(large.join(main.drop("rows"), "element"), "crowded")
+    members = large.select("fp", "n").distinct()
+    if (main.agg(F.sum("rows")).first()[0] or 0) > (members.agg(F.sum("n")).first()[0] or 0):
+        large = large.join(shared_counts(members.select("fp"), sets), "fp").where(F.col("held") >= F.lit(least) * F.col("n") - F.lit(1e-9))
+    else:
+        large = large.withColumn("held", F.col("n"))
+    minor = large.where(F.col("root") != F.col("main"))
+    across = large.select("element", *[F.col(c).alias(f"o_{c}") for c in ("fp", "n", "root", "held")])
     once = (F.col("o_root") == F.col("main")) | (F.col("fp") < F.col("o_fp"))
-    met = minor.join(across, "element").where((F.col("root") != F.col("o_root")) & once & fits(F.col("n"), F.col("o_n")))
+    can = F.least("held", "o_held") >= F.lit(least / (1 + least)) * (F.col("n") + F.col("o_n")) - F.lit(1e-6)
+    met = minor.join(across, "element").where((F.col("root") != F.col("o_root")) & once & fits(F.col("n"), F.col("o_n")) & can)
     first = F.col("fp") < F.col("o_fp")
     met = met.select(
         F.least("fp", "o_fp").alias("a"), F.when(first, F.col("n")).otherwise(F.col("o_n")).alias("na"),
@@ -247,7 +275,7 @@ def similar_links(sets: DataFrame, least: float, paired: int = PAIRED, distance:
     )
     counted = near.unionByName(met).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(enough(F.col("c"), F.col("na"), F.col("nb"), least))
     links = links.unionByName(verified(counted.select("a", "b"), sets, least))
-    discard(left, shared)
+    discard(left, shared, main, crowded)
     return connected_components(links)
 
 

@@ -95,3 +95,34 @@ def test_simhash_proposes_the_closest_pairs(spark):
     pairs = {tuple(sorted((of[r.a], of[r.b]))) for r in simhash_pairs(sets).collect()}
     assert len(pairs & {(2 * i, 2 * i + 1) for i in range(40)}) >= 12
     assert {tuple(sorted((of[r.a], of[r.b]))) for r in verified(simhash_pairs(sets), sets, 0.8).collect()} == pairs & {(2 * i, 2 * i + 1) for i in range(40)}
+
+
+def test_outliers_of_a_crowd_are_not_compared_with_all_of_it(spark, monkeypatch):
+    """Texts with many words of their own share a crowd's passages, but too few of them to be near any; copies of such a text are near it."""
+    monkeypatch.setattr(similar, "FREQUENT", 3)
+    rng = random.Random(21)
+    base = rng.choices(WORDS, k=240)
+    rows = []
+    for edits, copies in ((1, 30), (2, 10), (20, 40)):
+        for _ in range(copies):
+            words = list(base)
+            for at in rng.sample(range(240), edits):
+                words[at] = f"w{len(rows)}x{at}"
+            rows.append((len(rows), " ".join(words)))
+    edge = rows[45][1].split()  # an outlier's near copies, which are near no others
+    rows += [(80 + i, " ".join(edge[: 30 * i] + ["more"] + edge[30 * i :])) for i in range(1, 7)]
+    written, plain = [], similar.materialize
+
+    def counted(df, name, *a):
+        table = plain(df, name, *a)
+        written.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(similar, "materialize", counted)
+    got = {r.doc_id: r.group_fp for r in similar_groups(spark.createDataFrame(rows, "doc_id int, text string").repartition(3), ["doc_id"], paired=4).collect()}
+    mine, want = {}, {}
+    for (i, _), g in zip(rows, brute_groups(rows)):
+        mine.setdefault(got[i], set()).add(i)
+        want.setdefault(g, set()).add(i)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values())) and {len(s) for s in want.values()} == {40, 7, 1}
+    assert sum(n for name, n in written if name == "pairs") < 40 * 39  # as many as outliers with the crowd
