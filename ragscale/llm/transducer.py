@@ -169,9 +169,12 @@ class Lanes:
         nxt[:r, :c], emit[:r, :c] = self.next, self.emit
         self.next, self.emit = nxt, emit
 
+    def _full(self) -> bool:
+        return self.machine.size() * max(self.n_columns, 1) > self.max_cells
+
     def fit(self, *held: np.ndarray) -> None:
         """Forget all but the states in ``held`` (renumbered in place) if the arrays are full."""
-        if self.machine.size() * max(self.n_columns, 1) <= self.max_cells:
+        if not self._full():
             return
         kept = np.unique(np.concatenate([h.ravel() for h in held])) if held else np.zeros(0, np.int32)
         told = [self.machine.describe(int(s)) for s in kept]
@@ -190,6 +193,22 @@ class Lanes:
             self.next[state, self.columns[symbol]] = nxt
             self.emit[state, self.columns[symbol]] = count
 
+    def _room(self, seen: np.ndarray) -> None:
+        if (self.columns[seen] < 0).any():
+            self._column(seen[self.columns[seen] < 0])
+        if self.machine.size() > self.next.shape[0]:
+            self._grow(self.machine.size() * 5 // 4, self.next.shape[1])
+
+    def _step(self, now: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state of each lane and what it emits."""
+        column = self.columns[symbol]
+        to = self.next[now, column]
+        missing = to < 0
+        if missing.any():
+            self._learn(now[missing], symbol[missing])
+            to = self.next[now, column]
+        return to, self.emit[now, column]
+
     def run(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, states: np.ndarray, held=(), trace=None):
         """Token-count changes of each lane; ``states`` becomes the lanes' end states.
 
@@ -202,18 +221,10 @@ class Lanes:
         step, active = 0, int(np.searchsorted(-lengths, 0, "left"))
         while active:
             self.fit(state, *held)
-            if (self.columns[seen] < 0).any():
-                self._column(seen[self.columns[seen] < 0])
-            if self.machine.size() > self.next.shape[0]:
-                self._grow(self.machine.size() * 5 // 4, self.next.shape[1])
+            self._room(seen)
             symbol = symbols[starts[:active] + step]
-            column, now = self.columns[symbol], state[:active]
-            to = self.next[now, column]
-            missing = to < 0
-            if missing.any():
-                self._learn(now[missing], symbol[missing])
-                to = self.next[now, column]
-            counts[:active] += self.emit[now, column]
+            to, emitted = self._step(state[:active], symbol)
+            counts[:active] += emitted
             state[:active] = to
             step += 1
             if trace is not None:
@@ -222,3 +233,68 @@ class Lanes:
         out = np.empty(len(order), np.int64)
         out[order], states[order] = counts, state
         return out
+
+
+STATE_CELLS = 64  # cells that a state of SparseLanes counts for with its transitions: the bytes that the machine keeps of it count too
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class SparseLanes(Lanes):
+    """Lanes for machines of which few symbols follow each state: a hash table holds the transitions that texts have needed.
+
+    In the memory of the arrays, most of whose cells stay empty, it keeps several times the states.
+    """
+
+    def _clear(self) -> None:
+        self.bits, self.used = 14, 0
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys = np.full(1 << self.bits, -1, np.int64)  # state * 512 + symbol
+        self.next, self.emit = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int8)
+
+    def _full(self) -> bool:
+        return self.machine.size() * STATE_CELLS > self.max_cells
+
+    def _room(self, seen: np.ndarray) -> None:
+        pass
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or the free place that it would take."""
+        at = ((keys.astype(np.uint64) * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[at]
+        other = np.flatnonzero((there != keys) & (there >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[other]]
+            other = other[(there != keys[other]) & (there >= 0)]
+        return at
+
+    def _put(self, keys: np.ndarray, to: np.ndarray, out: np.ndarray) -> None:
+        """Enters distinct keys that are not there yet."""
+        left = np.arange(len(keys))
+        while len(left):
+            at = self._places(keys[left])
+            first = np.unique(at, return_index=True)[1]  # of those that want the same place one gets it
+            self.keys[at[first]], self.next[at[first]], self.emit[at[first]] = keys[left[first]], to[left[first]], out[left[first]]
+            left = np.delete(left, first)
+        self.used += len(keys)
+
+    def _learn(self, states: np.ndarray, symbols: np.ndarray) -> None:
+        keys = np.unique(states.astype(np.int64) * 512 + symbols)
+        told = np.array([self.machine.advance(*divmod(key, 512)) for key in keys.tolist()], np.int64)
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            old, before = np.flatnonzero(self.keys >= 0), (self.keys, self.next, self.emit)
+            self.bits, self.used = max(self.bits + 1, int(4 * (self.used + len(keys)) - 1).bit_length() - 1), 0
+            self._empty()
+            self._put(*(c[old] for c in before))
+        self._put(keys, told[:, 0], told[:, 1])
+
+    def _step(self, now: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = now.astype(np.int64) * 512 + symbol
+        at = self._places(keys)
+        missing = self.keys[at] != keys
+        if missing.any():
+            self._learn(now[missing], symbol[missing])
+            at = self._places(keys)
+        return self.next[at], self.emit[at]

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 from ragscale.llm.arrays import codes, ragged_ranges, slice_strings, text_buffers, word_bounds, word_strings
-from ragscale.llm.transducer import MAX_CELLS, WORD_END, Bpe, Lanes
+from ragscale.llm.transducer import MAX_CELLS, WORD_END, Bpe, SparseLanes
 
 LETTER, DIGIT, SIGN, REST = 1, 2, 3, 0
 TRACE_CELLS = 2 << 20  # steps times lanes whose tokens are kept at once
@@ -25,7 +25,7 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.bpe = Bpe(path, suffix="</w>", remember=False)
-        self.lanes, self.last = Lanes(self.bpe, max_cells), _LastTokens(self.bpe)
+        self.lanes, self.last = SparseLanes(self.bpe, max_cells), _LastTokens(self.bpe)
         self.width = np.zeros(max(self.bpe.symbols) + 1, np.int64)  # symbols of each token
         for token, seq in self.bpe.symbols.items():
             self.width[token] = len(seq)

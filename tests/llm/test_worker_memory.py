@@ -74,3 +74,18 @@ def test_pipeline_bounds_its_vocabularies(spark, monkeypatch):
     stages["quality rules"](spark, docs, "")
     stages["packing"](spark, docs, "")
     assert all(slice_bytes <= 1 << 20 and cells <= 8 << 20 for slice_bytes, cells in asked) and len(asked) == 2
+
+
+def test_transitions_are_kept_in_the_room_of_few_cells():
+    """Words of many letters: what was learned for them is not forgotten, though the cells of all states and letters would be too many."""
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzéèüößñóáíêàçâîôûäëï"
+    words = pa.array(["".join(rng.choices(letters, k=rng.randint(4, 12))) for _ in range(5500)])
+    few, many = (WordTokenizer(vocabulary("word_bpe_49k.json"), cells) for cells in (1 << 20, 1 << 26))
+    learned, plain = [], few.bpe.advance
+    few.bpe.advance = lambda *a: learned.append(a) or plain(*a)
+    first = few.ids(words)
+    assert all((x == y).all() for x, y in zip(first, many.ids(words)))
+    once = len(learned)
+    assert few.bpe.size() * 91 > 1 << 20  # cells of an array with a column for each symbol
+    assert all((x == y).all() for x, y in zip(first, few.ids(words))) and len(learned) == once
